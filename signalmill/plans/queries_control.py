@@ -10,6 +10,7 @@ from signalmill.operators import forecast as P, spc as S
 from signalmill.operators.grid import make_series
 from signalmill.plans.queries_relate import DECOMP
 from signalmill.plans.registry import query
+from signalmill.plans.runtime import checkpointed
 from signalmill.plans.samples import END, FILLED, START, hourly, rounded, signals, sql_grid, sql_round
 from signalmill.sources.telemetry import canonicalize
 
@@ -258,7 +259,9 @@ def _(t):
 SELECT bd.* REPLACE (coalesce(forecast + el, lower) AS lower, coalesce(forecast + eh, upper) AS upper, CASE WHEN el IS NOT NULL THEN 'backtest' ELSE method END AS method)
  FROM bd LEFT JOIN eq ON eq.signal_id = bd.signal_id AND eq.step = bd.step""", BAND_COLS))
 def _(t):
-    return rounded(P.measured_bands(P.forecast_bands(fc(t), 0.95), errors(t), 0.95))
+    grid = checkpointed(hourly(t))  # read by the forecast and by the backtest
+    bands = P.forecast_bands(P.forecast(grid, H, HOUR, P24), 0.95)
+    return rounded(P.measured_bands(bands, P.backtest(grid, H, PLAN.history, PLAN.step, P24), 0.95))
 
 
 RECENT = P.recent_window(PLAN.history, H)
@@ -267,7 +270,9 @@ RECENT = P.recent_window(PLAN.history, H)
 @query("f06_select_model", sql_round(FILLED + _backtest_sql("bt", PLAN.history) + _backtest_sql("br", RECENT) + """, a AS (SELECT signal_id, sqrt(avg(error * error)) AS base_rmse FROM bt GROUP BY signal_id), b AS (SELECT signal_id, sqrt(avg(error * error)) AS candidate_rmse FROM br GROUP BY signal_id)
 SELECT signal_id, base_rmse, candidate_rmse, CASE WHEN candidate_rmse < base_rmse * 0.98 THEN 'candidate' ELSE 'base' END AS choice FROM a JOIN b USING (signal_id)""", "base_rmse candidate_rmse"))
 def _(t):
-    return rounded(P.select_model(errors(t), errors(t, RECENT)))
+    grid = checkpointed(hourly(t))
+    full, recent = (P.backtest(grid, H, PLAN.history, PLAN.step, P24, w) for w in (None, RECENT))
+    return rounded(P.select_model(full, recent))
 
 
 @query("f07_quantile_curves", sql_round(FILLED + FC + """, q AS (SELECT signal_id, 0.1::DOUBLE AS p, quantile_cont(residual, 0.1) AS r FROM fc WHERE step IS NULL GROUP BY ALL UNION ALL SELECT signal_id, 0.5::DOUBLE, quantile_cont(residual, 0.5) FROM fc WHERE step IS NULL GROUP BY ALL

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,15 +26,26 @@ def build_session(app: str = "signalmill", master: str | None = None, **conf) ->
     return builder.getOrCreate()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the session names in ``spark.checkpoint.dir``.
+
+    Only when none is set (tests on one machine) is a scratch folder made.
+    """
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if folder is None:
+        folder = tempfile.mkdtemp(prefix="signalmill-")
+        context.setCheckpointDir(folder)
+    return folder
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage of ``df`` with a reliable checkpoint.
+    """Cut the lineage of ``df``: write it as a table in the shared folder and read that back.
 
-    The folder is the one the session names in ``spark.checkpoint.dir``. Only
-    when none is set (tests on one machine) is a scratch folder made.
+    Used where several passes would otherwise repeat a scan of the raw readings. The
+    table is columnar, so later passes still prune columns and know its size.
     """
     spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="signalmill-ckpt-"))
-    return df.checkpoint()
+    path = f"{shared_folder(spark)}/signalmill-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -32,6 +32,12 @@ def user_daily(t, filled: bool = True) -> DataFrame:
     return (search_space if filled else make_series)(user_signals(t), START, END, DAY)
 
 
+def tracks(t) -> DataFrame:
+    """events, entity = user group, track = event type."""
+    entity = F.concat(F.lit("e"), (F.col("user_id") % 5).cast("string"))
+    return t.events.select(entity.alias("entity_id"), F.col("event_type").alias("track_id"), "ts", "value")
+
+
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     """Doubles rounded for comparison, minus zero folded into zero.
 
@@ -60,7 +66,7 @@ USERS = "raw AS (SELECT 'u' || user_id AS signal_id, ts, value FROM events)"
 
 def sql_grid(raw: str = SIGNALS, unit: str = "HOUR", n: int = 720, agg: str = "avg", fill: bool = True) -> str:
     """Common table expressions ``raw, agg, grid`` (and ``filled``) of the START..END grid."""
-    us = {"HOUR": HOUR, "DAY": DAY}[unit]
+    us = {"HOUR": HOUR, "3H": 3 * HOUR, "DAY": DAY}[unit]
     default = "coalesce(a.v, 0)::DOUBLE" if agg == "count" else "a.v"
     ctes = f"""{raw},
 agg AS (SELECT signal_id, (epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) // {us} AS bin_idx, {agg}(value) AS v
@@ -87,4 +93,7 @@ filled AS (SELECT signal_id, bin_idx, ts,
 GRID = sql_grid(fill=False)
 FILLED = sql_grid()
 USER_GRID = sql_grid(USERS, "DAY", 30, fill=False)
+TRACKS = "raw AS (SELECT 'e' || (user_id % 5) || '|' || event_type AS signal_id, ts, value FROM events)"
+TRACK_GRID = sql_grid(TRACKS, "3H", 240, fill=False)
+TRACK_FILLED = sql_grid(TRACKS, "3H", 240)
 USER_FILLED = sql_grid(USERS, "DAY", 30)
