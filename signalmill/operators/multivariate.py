@@ -73,7 +73,8 @@ def prepare(
         (F.col("validation_error") == "").alias("is_valid"),
         "validation_error",
     )
-    return Prepared(fill_linear(raw, TRACK), tracks, as_us(start), int(bin_us), n)
+    # one small row per track, read by every detector several times
+    return Prepared(fill_linear(raw, TRACK), checkpointed(tracks), as_us(start), int(bin_us), n)
 
 
 def coverage_report(prep: Prepared) -> DataFrame:
@@ -485,7 +486,7 @@ def random_projection(
     )
     profiles = profile(prep.tracks, window_us, max(16, 2 * season if season > 0 else 16))
     ok = profiles.filter(F.col("status") == "ok").select("entity_id")
-    weights = projection_weights(prep.tracks.join(ok, "entity_id", "left_semi"), count, density, seed)
+    weights = checkpointed(projection_weights(prep.tracks.join(ok, "entity_id", "left_semi"), count, density, seed))
     work = weights.groupBy("entity_id").agg(F.count(F.lit(1)).alias("_w"))
     guarded = profiles.join(work, "entity_id", "left").withColumn("_work", F.coalesce("_w", F.lit(0)) * F.col("point_count"))
     over = (F.col("status") == "ok") & (F.col("_work") > max_work_rows)
