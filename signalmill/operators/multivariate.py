@@ -10,6 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from signalmill.functions.frames import empty_frame
 from signalmill.functions.ordered import BLOCK, attach, framed, with_stats
 from signalmill.functions.timeparts import as_us, floor_div, from_us, ntz
 from signalmill.operators.anomaly import tukey_outliers
@@ -507,7 +508,7 @@ def random_projection(
 
     def kernel(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
-            return pd.DataFrame({"entity_id": [], "projection_id": [], "bin_idx": [], "projected": []})
+            return empty_frame(["entity_id"], ["projection_id", "bin_idx"], ["projected"])
         names = {n: k for k, n in enumerate(sorted(left["track_id"].unique()))}
         lo = int(left["bin_idx"].min())
         size = int(left["bin_idx"].max()) - lo + 1

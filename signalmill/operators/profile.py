@@ -14,6 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
+from signalmill.functions.frames import empty_frame
 from signalmill.functions.ordered import attach, framed, mark_bins, running_sum
 from signalmill.functions.quantiles import quantiles
 from signalmill.functions.timeparts import floor_div
@@ -95,7 +96,7 @@ def _neighbours(grid: DataFrame, m: int, minlag: int, mass: bool, by: Sequence[s
 
     def kernel(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
-            return pd.DataFrame({**{k: [] for k in by}, "idx": [], "side": [], "corr": [], "nn": []})
+            return empty_frame([*by, "side"], ["idx", "nn"], ["corr"])
         a, b = int(left["lo"].iloc[0]), int(right["_lo"].iloc[0])
         za, fa = _unit(left["values"].iloc[0], m)
         zb, fb = (za, fa) if a == b else _unit(right["_values"].iloc[0], m)
@@ -197,7 +198,7 @@ def query_profiles(
     def kernel(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         names = [*by, "query_id", "seed", "idx", "dist"]
         if left.empty or right.empty:
-            return pd.DataFrame({k: [] for k in names})
+            return empty_frame(by, ["query_id", "seed", "idx"], ["dist"])
         z, flat = _unit(right["values"].iloc[0], m)
         idx = np.arange(len(z)) + int(right["lo"].iloc[0])
         out = []
@@ -331,7 +332,7 @@ def motif_pruned(grid: DataFrame, m: int, minlag: int | None = None, segments: i
 
     fields = [grid.schema[k] for k in by] + [T.StructField(n, t) for n, t in (("dist", T.DoubleType()), ("idx_a", T.LongType()), ("idx_b", T.LongType()))]
     schema = T.StructType(fields)
-    empty = lambda: pd.DataFrame({f.name: [] for f in fields})
+    empty = lambda: empty_frame(by, ["idx_a", "idx_b"], ["dist"])
 
     def row(pdf, best):
         if not np.isfinite(best[0]):
@@ -506,7 +507,7 @@ def _cross_neighbours(parts: DataFrame, pairs: DataFrame, m: int) -> DataFrame:
 
     def kernel(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
         if x.empty or y.empty:
-            return pd.DataFrame({"series": [], "other": [], "idx": [], "corr": [], "nn": []})
+            return empty_frame(["series", "other"], ["idx", "nn"], ["corr"])
         za, fa = _unit(x["values"].iloc[0], m)
         zb, fb = _unit(y["_values"].iloc[0], m)
         i, j = np.arange(len(za)) + int(x["lo"].iloc[0]), np.arange(len(zb)) + int(y["_lo"].iloc[0])
@@ -598,7 +599,7 @@ def mstamp(tracks: DataFrame, m: int, k_dims: Sequence[int] | None = None, minla
 
     def kernel(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
-            return pd.DataFrame({"entity_id": [], "k": [], "idx": [], "dist": [], "nn": []})
+            return empty_frame(["entity_id"], ["k", "idx", "nn"], ["dist"])
         a, b = int(left["lo"].iloc[0]), int(right["_lo"].iloc[0])
         xs = [_unit(v, m) for v in left["values"].iloc[0]]
         ys = [_unit(v, m) for v in right["_values"].iloc[0]]

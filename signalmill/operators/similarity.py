@@ -10,6 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from signalmill.functions.frames import empty_frame
 from signalmill.functions.ordered import attach, framed, known_bins, mark_bins
 from signalmill.functions.quantiles import quantiles
 from signalmill.functions.symbols import (
@@ -235,7 +236,7 @@ def _nearest(cands: DataFrame, others: DataFrame, window: int, chunk: int = 4096
 
     def kernel(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if a.empty or b.empty:
-            return pd.DataFrame({"signal_id": [], "start_index": [], "d": [], "j": []})
+            return empty_frame(["signal_id"], ["start_index", "j"], ["d"])
         x, y = np.stack(a["paa"].to_numpy()), np.stack(b["_paa"].to_numpy())
         i, j = a["start_index"].to_numpy(), b["_at"].to_numpy()
         d = np.sqrt(((x[:, None, :] - y[None, :, :]) ** 2).sum(axis=2))
@@ -488,7 +489,7 @@ def linkage(words: DataFrame, alpha: int, length: int) -> DataFrame:
         pdf = pdf.sort_values("cycle")
         d = _word_matrix(pdf["word"].tolist(), alpha, length)
         size = np.ones(len(d))
-        merges = []
+        merges: list[tuple[int, int, float]] = []
         while len(d) > 1:
             upper = np.where(np.triu(np.ones_like(d), 1) > 0, d, np.inf)
             i, j = np.unravel_index(int(np.argmin(upper)), d.shape)
