@@ -38,8 +38,13 @@ def make_series(
         raise ValueError(f"aggregation must be one of {BIN_US_AGGS}")
     by, n, origin = list(by), bin_count(start, end, bin_us), as_us(start)
     keyed = df.filter(between(start, end)).withColumn("bin_idx", floor_div(to_us("ts") - origin, bin_us))
+    # the join below would add these filters to one branch only and so split the scan
+    for name in (*by, "bin_idx"):
+        keyed = keyed.filter(F.col(name).isNotNull())
     filled = keyed.groupBy(*by, "bin_idx").agg(BIN_AGGS[agg]("value").alias("value"))
-    frame = skeleton(filled.select(*by).distinct(), n, by, block)
+    # counting the binned values keeps this branch on the same exchange: one scan of the readings
+    ids = filled.groupBy(*by).agg(F.count("value").alias("_seen")).filter(F.col("_seen") >= 0).select(*by)
+    frame = skeleton(ids, n, by, block)
     out = frame.join(filled, [*by, "bin_idx"], "left")
     if agg == "count":
         out = out.withColumn("value", F.coalesce("value", F.lit(0)).cast("double"))

@@ -14,7 +14,7 @@ from signalmill.functions.timeparts import floor_div
 from signalmill.operators.grid import pivot_signals
 from signalmill.operators.spectral import series_length
 
-GROUP = 32  # signals per side of one pair cell
+GROUP = 128  # signals per side of one pair cell
 
 
 def _pair_cells(grid: DataFrame, lags: int, groups: int, block: int) -> DataFrame:
@@ -28,69 +28,97 @@ def _pair_cells(grid: DataFrame, lags: int, groups: int, block: int) -> DataFram
     )
 
 
-def pair_products(grid: DataFrame, lags: int = 0, block: int = 1 << 14) -> DataFrame:
-    """Sums of products over shared complete bins for signal pairs, one row per pair.
+def _groups(ids: DataFrame) -> int:
+    return max(1, -(-ids.select("signal_id").distinct().count() // GROUP))
 
-    ``lags=0``: unordered pairs, features [1, a, b]. Otherwise ordered pairs with
-    features [1, a(t), a(t-1) … a(t-p), b(t-1) … b(t-p)]. Values are centred per
-    signal first. Cells of at most two signal groups and one time block do the
-    sums as matrix products, so no row per pair and bin is ever produced.
+
+def _cell_matrix(pdf: pd.DataFrame, block: int, lags: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Signal names, their groups and the value matrix of one pair cell."""
+    lo = int(pdf["_blk"].iloc[0]) * block
+    row, names = pd.factorize(pdf["signal_id"], sort=True)
+    group = np.zeros(len(names), dtype=int)
+    group[row] = pdf["_g"].to_numpy()
+    width = int(pdf["bin_idx"].max()) - lo + 1
+    x = np.full((len(names), width + lags), np.nan)
+    x[row, pdf["bin_idx"].to_numpy() - lo + lags] = pdf["value"].to_numpy(dtype=float)
+    return np.asarray(names, dtype=object), group, x
+
+
+def pair_moments(grid: DataFrame, block: int = 1 << 14) -> DataFrame:
+    """Moment sums over the shared bins of every unordered signal pair, one row per pair.
+
+    Cells of at most two signal groups and one time block do the sums as matrix
+    products, so no row per pair and bin is ever produced. Values are centred first.
     """
-    groups = max(1, -(-grid.select("signal_id").distinct().count() // GROUP))
     centred = with_stats(grid, "signal_id", {"_mean": F.avg("value")})
     centred = centred.withColumn("value", F.col("value") - F.col("_mean"))
-    cells = _pair_cells(centred, lags, groups, block)
+    cells = _pair_cells(centred, 0, _groups(grid), block)
 
     def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
-        lo = int(pdf["_blk"].iloc[0]) * block
-        ga, gb = int(pdf["_ga"].iloc[0]), int(pdf["_gb"].iloc[0])
-        names, row = np.unique(pdf["signal_id"].to_numpy(dtype=str), return_inverse=True)
-        group = np.zeros(len(names), dtype=int)
-        group[row] = pdf["_g"].to_numpy()
-        x = np.full((len(names), block + lags), np.nan)
-        x[row, pdf["bin_idx"].to_numpy() - lo + lags] = pdf["value"].to_numpy(dtype=float)
-        mine = lambda a, b: ga == gb or group[a] != group[b]
+        names, group, x = _cell_matrix(pdf, block, 0)
+        m = np.isfinite(x).astype(float)
+        z = np.nan_to_num(x)
+        n, sx, sxx, sxy = m @ m.T, z @ m.T, (z * z) @ m.T, z @ z.T
+        a, b = np.triu_indices(len(names), 1)
+        if pdf["_ga"].iloc[0] != pdf["_gb"].iloc[0]:  # pairs within a group belong to its own cell
+            apart = group[a] != group[b]
+            a, b = a[apart], b[apart]
+        return pd.DataFrame(
+            {
+                "signal_a": names[a], "signal_b": names[b], "n": n[a, b], "sx": sx[a, b], "sy": sx[b, a],
+                "sxx": sxx[a, b], "sxy": sxy[a, b], "syy": sxx[b, a],
+            }
+        )
+
+    sums = ("n", "sx", "sy", "sxx", "sxy", "syy")
+    schema = "signal_a string, signal_b string, " + ", ".join(f"{c} double" for c in sums)
+    parts = cells.groupBy("_ga", "_gb", "_blk").applyInPandas(kernel, schema)
+    return parts.groupBy("signal_a", "signal_b").agg(*[F.sum(c).alias(c) for c in sums])
+
+
+def pair_products(grid: DataFrame, lags: int, block: int = 1 << 14) -> DataFrame:
+    """Product sums over complete bins for every ordered signal pair, one row per pair.
+
+    Features are [1, a(t), a(t-1) … a(t-p), b(t-1) … b(t-p)]; cells as in ``pair_moments``.
+    """
+    centred = with_stats(grid, "signal_id", {"_mean": F.avg("value")})
+    centred = centred.withColumn("value", F.col("value") - F.col("_mean"))
+    cells = _pair_cells(centred, lags, _groups(grid), block)
+
+    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
+        names, group, x = _cell_matrix(pdf, block, lags)
+        x = x[:, : block + lags]
+        same = pdf["_ga"].iloc[0] == pdf["_gb"].iloc[0]
+        stack = np.stack([x[:, lags - k : x.shape[1] - k] for k in range(lags + 1)])  # lag, signal, time
         out = []
-        if lags == 0:
-            m = np.isfinite(x).astype(float)
-            z = np.nan_to_num(x)
-            n, sx, sxx, sxy = m @ m.T, z @ m.T, (z * z) @ m.T, z @ z.T
-            for a in range(len(names)):
-                for b in range(a + 1, len(names)):
-                    if mine(a, b):
-                        sums = [n[a, b], sx[a, b], sx[b, a], sx[a, b], sxx[a, b], sxy[a, b], sx[b, a], sxy[a, b], sxx[b, a]]
-                        out.append((names[a], names[b], sums))
-        else:
-            past = [x[:, lags - k : x.shape[1] - k] for k in range(lags + 1)]
-            stack = np.stack(past)  # lag, signal, time
-            for a in range(len(names)):
-                for b in range(len(names)):
-                    if a != b and mine(a, b):
-                        f = np.vstack([np.ones(block), stack[:, a], stack[1:, b]])
-                        f = f[:, np.isfinite(f).all(axis=0)]
-                        out.append((names[a], names[b], (f @ f.T).ravel().tolist()))
+        for a in range(len(names)):
+            for b in range(len(names)):
+                if a != b and (same or group[a] != group[b]):
+                    f = np.vstack([np.ones(stack.shape[2]), stack[:, a], stack[1:, b]])
+                    f = f[:, np.isfinite(f).all(axis=0)]
+                    out.append((names[a], names[b], (f @ f.T).ravel().tolist()))
         return pd.DataFrame(out, columns=["signal_a", "signal_b", "sums"])
 
     parts = cells.groupBy("_ga", "_gb", "_blk").applyInPandas(kernel, "signal_a string, signal_b string, sums array<double>")
-    flat = parts.select("signal_a", "signal_b", F.posexplode("sums").alias("at", "s"))
-    flat = flat.groupBy("signal_a", "signal_b", "at").agg(F.sum("s").alias("s"))
-    packed = flat.groupBy("signal_a", "signal_b").agg(F.sort_array(F.collect_list(F.struct("at", "s"))).alias("p"))
-    return packed.select("signal_a", "signal_b", F.transform("p", lambda e: e["s"]).alias("sums"))
+    size = (2 * lags + 2) ** 2
+    totals = F.array(*[F.sum(F.col("sums")[i]) for i in range(size)])
+    return parts.groupBy("signal_a", "signal_b").agg(totals.alias("sums"))
 
 
 def signal_pairs(grid: DataFrame) -> DataFrame:
     """Unordered signal pairs with the number of bins both have a value in."""
-    return pair_products(grid).select("signal_a", "signal_b", F.col("sums")[0].cast("bigint").alias("shared_bins"))
+    return pair_moments(grid).select("signal_a", "signal_b", F.col("n").cast("bigint").alias("shared_bins"))
 
 
 def correlation_matrix(grid: DataFrame, symmetric: bool = False) -> DataFrame:
     """Pairwise-complete Pearson correlation of every signal pair (NULL if constant)."""
-    s = F.col("sums")
-    n, sx, sy, sxx, sxy, syy = s[0], s[1], s[2], s[4], s[5], s[8]
+    n, sx, sy, sxx, sxy, syy = (F.col(c) for c in ("n", "sx", "sy", "sxx", "sxy", "syy"))
     vx, vy = n * sxx - sx * sx, n * syy - sy * sy
-    ok = (n >= 2) & (vx > 0) & (vy > 0)
+    # a constant side leaves rounding dust only
+    some = lambda v, s: v > 1e-12 * n * s
+    ok = (n >= 2) & some(vx, sxx) & some(vy, syy)
     r = F.when(ok, (n * sxy - sx * sy) / (F.sqrt(vx) * F.sqrt(vy)))
-    upper = pair_products(grid).select("signal_a", "signal_b", n.cast("bigint").alias("n"), r.alias("r"))
+    upper = pair_moments(grid).select("signal_a", "signal_b", n.cast("bigint").alias("n"), r.alias("r"))
     if not symmetric:
         return upper
     flipped = upper.select(F.col("signal_b").alias("signal_a"), F.col("signal_a").alias("signal_b"), "n", "r")
@@ -113,7 +141,7 @@ def lag_sums(target: DataFrame, candidates: DataFrame, max_lag: int, block: int
     Time blocks carry ``max_lag`` extra candidate bins on both sides, so the lags
     never multiply the shuffled rows.
     """
-    groups = max(1, -(-candidates.select("signal_id").distinct().count() // GROUP))
+    groups = _groups(candidates)
     i = F.col("bin_idx")
     t = target.select(F.lit(None).cast("string").alias("signal_id"), "bin_idx", "value", floor_div(i, block).alias("_blk"))
     t = t.withColumn("_g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))

@@ -10,6 +10,7 @@ from signalmill.functions.normal import normal_cdf
 from signalmill.functions.ordered import attach, framed, ordinal
 from signalmill.functions.timeparts import DAY, floor_div, to_us
 from signalmill.operators.catalog import best_row
+from signalmill.plans.runtime import checkpointed
 
 SIGNAL = ("signal_id",)
 CHARTS = ("i-mr", "xbar-r", "xbar-s")
@@ -131,6 +132,8 @@ LIMITS = ("center", "sigma", "ucl", "lcl", "s_center", "s_ucl", "s_lcl")
 def control_chart(sub: DataFrame, chart: str, frozen: DataFrame | None = None, by: Sequence[str] = SIGNAL) -> DataFrame:
     """Points with their limits and zone: own limits (phase I) or a frozen table (phase II)."""
     by = list(by)
+    if frozen is None:
+        sub = checkpointed(sub)  # read for the limits and for the points
     limits = control_limits(sub, chart, by) if frozen is None else frozen
     out = attach(chart_points(sub, chart, by), limits.select(*by, *LIMITS), by, salt="subgroup")
     return out.withColumn("phase", F.lit("I" if frozen is None else "II")).withColumn("zone", _zone(F.col("value")))

@@ -128,7 +128,7 @@ def _readings(spark, shift=False):
         for k, t in enumerate(("t1", "t2", "t3")):
             v = np.sin(np.arange(400) / 6 + k) + rng.normal(0, 0.05, 400)
             if e == "e1":
-                v[390 : 400 if shift else 391] += 6  # a lasting level change, or one spike
+                v[390 : 400 if shift else 391] += 12 if shift else 6  # a lasting level change, or one spike
             rows += [(e, t, datetime(2024, 1, 1) + timedelta(hours=i), float(x)) for i, x in enumerate(v)]
     rows.append(("lonely", "t1", datetime(2024, 1, 1), 1.0))
     return spark.createDataFrame(rows, "entity_id string, track_id string, ts timestamp_ntz, value double")
