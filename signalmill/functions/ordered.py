@@ -153,6 +153,15 @@ def attach(df: DataFrame, stats: DataFrame, keys: str | Sequence[str], how: str
     return many.join(few, [*keys, "_salt"], how).drop("_salt")
 
 
+def with_row(df: DataFrame, facts: DataFrame) -> DataFrame:
+    """Add the columns of a one-row table (a total without grouping) to every row.
+
+    One row is a proven bound, so it is broadcast and the rows stay where they are.
+    """
+    one = F.lit(1)
+    return df.withColumn("_one", one).join(F.broadcast(facts.withColumn("_one", one)), "_one").drop("_one")
+
+
 def with_stats(
     df: DataFrame,
     keys: str | Sequence[str],

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from signalmill.functions.frames import empty_frame
-from signalmill.functions.ordered import attach, framed, mark_bins, running_sum
+from signalmill.functions.ordered import attach, framed, known_bins, mark_bins, running_sum
 from signalmill.functions.quantiles import quantiles
 from signalmill.functions.timeparts import floor_div
 from signalmill.operators.catalog import best_row
@@ -143,7 +143,13 @@ def matrix_profile(
     if m < 4:
         raise ValueError("windows have at least 4 samples")
     lag = exclusion(m) if minlag is None else int(minlag)
-    return _reduce(_neighbours(grid, m, lag, mass, by, chunk), [*by, "idx"], m)
+    return _marked(_reduce(_neighbours(grid, m, lag, mass, by, chunk), [*by, "idx"], m), grid)
+
+
+def _marked(profile: DataFrame, grid: DataFrame) -> DataFrame:
+    """Pass the proven length of the grid on to the window index."""
+    bins = known_bins(grid)
+    return profile if bins is None else mark_bins(profile, bins, "idx")
 
 
 def lr_matrix_profile(

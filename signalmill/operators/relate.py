@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from signalmill.functions.ordered import BLOCK, with_stats, known_bins
+from signalmill.functions.ordered import BLOCK, ordinal, with_row, with_stats
 from signalmill.functions.timeparts import floor_div
 from signalmill.operators.grid import pivot_signals
 from signalmill.operators.spectral import series_length
@@ -291,8 +291,8 @@ def what_if(fits: DataFrame, scenario: DataFrame) -> DataFrame:
     """
     total = fits.agg(F.avg("intercept").alias("_c"))
     sums = scenario.join(fits, "feature").groupBy("scenario_id").agg(F.sum(F.col("slope") * F.col("x")).alias("_s"))
-    ids = scenario.select("scenario_id").distinct().join(sums, "scenario_id", "left").withColumn("_one", F.lit(1))
-    out = ids.join(total.withColumn("_one", F.lit(1)), "_one")
+    ids = scenario.select("scenario_id").distinct().join(sums, "scenario_id", "left")
+    out = with_row(ids, total)
     return out.select("scenario_id", (F.col("_c") + F.coalesce("_s", F.lit(0.0))).alias("predicted"))
 
 
@@ -328,11 +328,11 @@ def validate_points(grid: DataFrame, target: str, refs: Sequence[str], fraction:
         F.count(F.lit(1)).alias("_m"),
         F.avg("value").alias("_my"),
     ).filter(F.col("_m") >= p + 2)
-    fit = fit.withColumn("beta", _solve("_xtx", "_xty")).filter(F.col("beta").isNotNull()).withColumn("_one", F.lit(1))
+    fit = fit.withColumn("beta", _solve("_xtx", "_xty")).filter(F.col("beta").isNotNull())
     est = F.col("beta")[0]
     for i, x in enumerate(names):
         est = est + F.col("beta")[i + 1] * F.col(x)
-    rows = wide.withColumn("_one", F.lit(1)).join(fit.select("beta", "_m", "_my", "_one"), "_one").drop("_one")
+    rows = with_row(wide, fit.select("beta", "_m", "_my"))
     rows = rows.withColumn("estimate", est).withColumn("residual", F.col("value") - F.col("estimate"))
     rows = rows.withColumn("is_train", F.col("bin_idx") < train_end)
     used = F.col("is_train") & F.col("residual").isNotNull()
@@ -340,7 +340,7 @@ def validate_points(grid: DataFrame, target: str, refs: Sequence[str], fraction:
         F.sqrt(F.sum(F.col("residual") * F.col("residual")) / F.greatest(F.lit(1), F.max("_m") - (p + 1))).alias("sigma"),
         (1 - F.sum(F.col("residual") * F.col("residual")) / F.sum(F.pow(F.col("value") - F.col("_my"), 2))).alias("r2"),
     )
-    rows = rows.withColumn("_one", F.lit(1)).join(noise.withColumn("_one", F.lit(1)), "_one").drop("_one", "_m", "_my", *names)
+    rows = with_row(rows, noise).drop("_m", "_my", *names)
     sd = F.when(F.col("sigma") > 0, F.col("sigma")).otherwise(1.0)
     return rows.withColumn("residual_z", F.col("residual") / sd).withColumn("r2", F.greatest(F.coalesce("r2", F.lit(0.0)), F.lit(0.0)))
 
@@ -432,10 +432,10 @@ def diagnose_anomalies(
         F.max(F.when(F.col("signal_id") == target, (F.col("flag") != 0).cast("int"))).alias("_a"),
         *[F.max(F.when(F.col("signal_id") == c, F.col("_state"))).alias(n) for c, n in zip(cands, names)],
     )
-    total = wide.agg(F.sum("_a").alias("_ta"), F.sum(1 - F.col("_a")).alias("_tn")).withColumn("_one", F.lit(1))
+    total = wide.agg(F.sum("_a").alias("_ta"), F.sum(1 - F.col("_a")).alias("_tn"))
     sets = [[F.col(n) for n in s] for size in range(1, min(max_terms, len(names)) + 1) for s in combinations(names, size)]
     counts = wide.groupingSets(sets, *names).agg(F.sum("_a").alias("count_anomalous"), F.sum(1 - F.col("_a")).alias("count_normal"))
-    rows = counts.withColumn("_one", F.lit(1)).join(total, "_one").drop("_one")
+    rows = with_row(counts, total)
     pct = lambda c, t: F.when(F.col(t) > 0, F.col(c) * 100.0 / F.col(t)).otherwise(0.0)
     rows = rows.withColumn("pct_anomalous", pct("count_anomalous", "_ta")).withColumn("pct_normal", pct("count_normal", "_tn"))
     rows = rows.withColumn("contribution", F.col("pct_anomalous") - F.col("pct_normal")).drop("_ta", "_tn")
@@ -444,11 +444,9 @@ def diagnose_anomalies(
 
 def scatter_pairs(grid: DataFrame, x: str, y: str, max_points: int = 3000) -> DataFrame:
     """Shared bins of two signals, every step-th one when there are too many."""
-    from signalmill.functions.ordered import ordinal
-
     wide = pivot_signals(grid, {"x": x, "y": y}).filter(F.col("x").isNotNull() & F.col("y").isNotNull())
     wide = wide.withColumn("_all", F.lit(1))
     rows = ordinal(wide, "_all", ["bin_idx"], floor_div(F.col("bin_idx"), BLOCK), name="_at")
-    total = wide.groupBy("_all").agg(F.count(F.lit(1)).alias("_n"))
+    total = wide.agg(F.count(F.lit(1)).alias("_n"))
     step = F.when(F.col("_n") > max_points, F.ceil(F.col("_n") / max_points)).otherwise(1)
-    return rows.join(total, "_all").filter(F.pmod(F.col("_at"), step) == 0).select("bin_idx", "ts", "x", "y")
+    return with_row(rows, total).filter(F.pmod(F.col("_at"), step) == 0).select("bin_idx", "ts", "x", "y")

@@ -7,7 +7,7 @@ from collections.abc import Iterator, Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from signalmill.functions.ordered import framed, known_bins, ordinal, runs
+from signalmill.functions.ordered import attach, fits_block, framed, ordinal, runs
 from signalmill.functions.quantiles import quantiles
 from signalmill.functions.timeparts import to_us
 
@@ -123,6 +123,22 @@ def _greedy(pdf: pd.DataFrame, k: int, radius: int, idx: str) -> pd.DataFrame:
     return out
 
 
+CUTS = (0.0003, 0.001, 0.003, 0.01, 0.03, 0.1, 0.3)
+
+
+def _near_best(rows: DataFrame, by: Sequence[str], score: Column, bound: int, descending: bool) -> DataFrame:
+    """Drop rows that a sketch proves to lie behind the best ``bound`` rows of their key."""
+    rows = rows.withColumn("_key", -score if descending else score)
+    facts = rows.groupBy(*by).agg(F.percentile_approx("_key", list(CUTS), 10_000).alias("_e"), F.count("_key").alias("_n"))
+    # the sketch ranks within 1/10,000 of the rows; allow twice that
+    safe = lambda p: (F.lit(p) - 0.0002) * F.col("_n") > bound
+    limit = F.lit(float("inf"))
+    for i, p in reversed(list(enumerate(CUTS))):
+        limit = F.when(safe(p), F.col("_e")[i].cast("double")).otherwise(limit)
+    kept = attach(rows, facts.select(*by, limit.alias("_limit")), by, salt="_key")
+    return kept.filter(F.col("_key") <= F.col("_limit")).drop("_key", "_limit")
+
+
 def pick_nonoverlap(
     scored: DataFrame,
     k: int,
@@ -140,6 +156,8 @@ def pick_nonoverlap(
     """
     by = list(by)
     bound = k * (2 * radius + 1)
+    if not fits_block(scored, idx):
+        scored = _near_best(scored, by, F.col(score), bound, descending)
     best = F.col(score).desc() if descending else F.col(score).asc()
     w = Window.partitionBy(*by).orderBy(best, F.col(idx).asc())
     head = (

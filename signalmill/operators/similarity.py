@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from signalmill.functions.frames import empty_frame
-from signalmill.functions.ordered import attach, framed, known_bins, mark_bins
+from signalmill.functions.ordered import attach, framed, known_bins, mark_bins, with_row
 from signalmill.functions.quantiles import quantiles
 from signalmill.functions.symbols import (
     ROUNDED_BREAKPOINTS, fitted_breakpoints, gaussian_breakpoints, literal_array, mindist, similarity, symbol_index, symbolize,
@@ -217,7 +217,7 @@ def word_counts(windows: DataFrame, by: Sequence[str] = SIGNAL) -> DataFrame:
     return windows.groupBy(*by, "word").agg(F.count(F.lit(1)).alias("word_frequency"))
 
 
-def _nearest(cands: DataFrame, others: DataFrame, window: int, chunk: int = 4096, width: int = 512) -> DataFrame:
+def score_candidates(cands: DataFrame, others: DataFrame, window: int, chunk: int = 4096, width: int = 512) -> DataFrame:
     """Nearest non-overlapping window of each candidate by distance of segment means.
 
     Windows go into time chunks and candidates into packs; every (chunk, pack) cell is
@@ -280,7 +280,7 @@ def sax_discords(
     else:
         common = rows.groupBy("signal_id").agg(F.avg("word_frequency").alias("_cut"))
         pool = attach(pool, common, "signal_id", salt="start_index").filter(F.col("word_frequency") <= F.col("_cut")).drop("_cut")
-    near = _nearest(pool.select("signal_id", "start_index", "paa"), others.select("signal_id", "start_index", "paa"), window)
+    near = score_candidates(pool.select("signal_id", "start_index", "paa"), others.select("signal_id", "start_index", "paa"), window)
     scored = near.join(pool.drop("paa"), ["signal_id", "start_index"])
     picks = pick_nonoverlap(scored, k, window - 1, "nn_distance", idx="start_index").drop("pick")
     order = [F.col("nn_distance").desc(), F.col("signal_id"), F.col("start_index")]
@@ -320,8 +320,7 @@ def vsm_wordbag(
 def vsm_train(bags: DataFrame, drop_common: bool = False) -> DataFrame:
     """Class weights ln(1 + tf) · ln(N / df); optionally without words of every class."""
     df = bags.groupBy("word").agg(F.count_distinct("class_label").alias("document_frequency"))
-    n = bags.agg(F.count_distinct("class_label").alias("class_count")).withColumn("_one", F.lit(1))
-    rows = bags.join(df, "word").withColumn("_one", F.lit(1)).join(n, "_one").drop("_one")
+    rows = with_row(bags.join(df, "word"), bags.agg(F.count_distinct("class_label").alias("class_count")))
     if drop_common:
         rows = rows.filter(F.col("document_frequency") < F.col("class_count"))
     rows = rows.withColumn("tf", F.log1p("term_frequency")).withColumn("idf", F.log(F.col("class_count") / F.col("document_frequency")))
@@ -338,8 +337,8 @@ def vsm_scores(
     classes = model.groupBy("class_label").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("_mn"))
     hit = bag.join(model.select("class_label", "word", "weight"), "word")
     dot = hit.groupBy("series_id", "class_label").agg(F.sum(F.col("weight") * F.col("input_tf")).alias("_dot"))
-    labels = classes.agg(F.collect_list(F.struct("class_label", "_mn")).alias("_all")).withColumn("_one", F.lit(1))
-    ids = grid.select("series_id").distinct().withColumn("_one", F.lit(1)).join(labels, "_one").drop("_one")
+    labels = classes.agg(F.collect_list(F.struct("class_label", "_mn")).alias("_all"))  # one entry per class
+    ids = with_row(grid.select("series_id").distinct(), labels)
     pairs = ids.select("series_id", F.explode("_all").alias("_c")).select("series_id", "_c.class_label", "_c._mn")
     out = pairs.join(norms, "series_id", "left").join(dot, ["series_id", "class_label"], "left")
     length = F.col("_mn") * F.coalesce("_in", F.lit(0.0))

@@ -163,7 +163,7 @@ def _(t):
 
 @query("c09_baseline_versions", sql_round(_limits("xbar-r") + """, ev AS (SELECT signal_id AS baseline_id, 1 AS version, 'draft' AS status, 1 AS seq, center FROM lim UNION ALL
  SELECT signal_id, 1, 'approved', 2, center FROM lim UNION ALL SELECT signal_id, 2, 'draft', 1, center + 1 FROM lim UNION ALL
- SELECT signal_id, 2, 'approved', 2, center + 1 FROM lim WHERE signal_id LIKE '%1')
+ SELECT signal_id, 2, 'approved', 2, center + 1 FROM lim WHERE center >= 25)
 SELECT baseline_id, version, center FROM ev WHERE status = 'approved' QUALIFY row_number() OVER (PARTITION BY baseline_id ORDER BY version DESC) = 1""", "center"))
 def _(t):
     at = F.lit("2024-02-01 00:00:00").cast("timestamp_ntz")
@@ -171,7 +171,7 @@ def _(t):
     log = S.save_baseline(limits, F.col("signal_id"), "ops", at)
     log = S.approve(log, log, "lead", at)
     log = S.revise(log, limits.withColumn("center", F.col("center") + 1).withColumn("baseline_id", F.col("signal_id")), "ops", at)
-    drafts = log.filter((F.col("version") == 2) & F.col("baseline_id").endswith("1"))
+    drafts = log.filter((F.col("version") == 2) & (F.col("center") >= 26))
     log = S.approve(log, drafts, "lead", at)
     return rounded(S.effective_baselines(log).select("baseline_id", "version", "center"))
 

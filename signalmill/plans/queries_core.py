@@ -72,6 +72,11 @@ for _agg, _sql in (("avg", "avg"), ("min", "min"), ("max", "max"), ("sum", "sum"
     _binned(_agg, _sql)
 
 
+@query("a07_read_dimension", "SELECT n_nationkey, n_name, n_regionkey FROM nation")
+def _(t):
+    return A.read_dimension(t.spark, f"{t.folder}/nation.parquet")
+
+
 @query("a10_validate_wide")
 def _(t):
     return A.validate_source(t.lineitem, "wide", "l_returnflag", "l_shipdate", measures=MEASURES)

@@ -11,7 +11,7 @@ from signalmill.functions.timeparts import DAY, HOUR, to_us
 from signalmill.operators.catalog import best_row
 from signalmill.operators.grid import rate_of_change
 from signalmill.operators.spectral import decompose
-from signalmill.functions.ordered import with_stats
+from signalmill.functions.ordered import with_row, with_stats
 from signalmill.plans.registry import query
 from signalmill.plans.runtime import shared_folder
 from signalmill.plans.samples import END, FILLED, START, hourly, rounded, signals, sql_round, tracks
@@ -159,8 +159,7 @@ def _(t):
 @query("l11_split_late", "SELECT 'late' AS part, count(*) AS n FROM events WHERE ts < (SELECT max(ts) FROM events) - INTERVAL 3 DAY UNION ALL SELECT 'fresh', count(*) FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 3 DAY")
 def _(t):
     rows = signals(t)
-    newest = rows.agg(F.max("ts").alias("newest")).withColumn("_one", F.lit(1))
-    tagged = rows.withColumn("_one", F.lit(1)).join(newest, "_one")
+    tagged = with_row(rows, rows.agg(F.max("ts").alias("newest")))
     fresh, late = L.split_late(tagged, F.col("newest"), timedelta(days=3))
     count = lambda df, part: df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(part).alias("part"), "n")
     return count(late, "late").unionByName(count(fresh, "fresh"))

@@ -203,6 +203,20 @@ def _(t):
     return rounded(X.similarity_1d(pattern(grid, "click", 0, 24), grid, segments=4, alpha=4, k=20, tolerance=1).select(*SHOWN))
 
 
+@query("x02_window_distances", sql_round(FILLED + QUERY + " SELECT signal_id, start_index, distance, symbolic_distance FROM dg", "distance"))
+def _(t):
+    grid = hourly(t)
+    q = X.Query(pattern(grid, "click", 0, 24), 4, 4, 0.01)
+    return rounded(X.scored_windows(grid, q, 4, 1.0, 1.0, 1, 0.01, ["signal_id"]).select("signal_id", "start_index", "distance", "symbolic_distance"))
+
+
+@query("j09_score_candidates", sql_round(FILLED + WINDOWS + """, nd AS (SELECT c.signal_id, c.start_index, w.start_index AS j, sqrt(pow(c.p0 - w.p0, 2) + pow(c.p1 - w.p1, 2) + pow(c.p2 - w.p2, 2) + pow(c.p3 - w.p3, 2)) AS d FROM pw c JOIN pw w ON c.signal_id = w.signal_id AND abs(c.start_index - w.start_index) >= 24)
+SELECT signal_id, start_index, min(d) AS nn_distance FROM nd GROUP BY ALL""", "nn_distance"))
+def _(t):
+    rows = W.window_means(hourly(t), 24, 4).drop("end_index")
+    return rounded(X.score_candidates(rows, rows, 24).drop("nearest_neighbor_start"))
+
+
 @query("x01_similarity_scales")
 def _(t):
     grid = hourly(t)

@@ -44,10 +44,10 @@ def _(t):
     return rounded(P.distance_profile(pattern(grid, "click", 0, M), grid), 5)
 
 
-@query("p04_nn_scan", sql_round(FILLED + PROFILE + " SELECT * FROM mp WHERE idx % 50 = 0", "dist", 5))
+@query("p04_nn_scan", sql_round(FILLED + PROFILE + " SELECT * FROM mp", "dist", 5))
 def _(t):
     grid = hourly(t)
-    idxs = grid.filter((F.col("bin_idx") % 50 == 0) & (F.col("bin_idx") < N)).select("signal_id", F.col("bin_idx").alias("idx"))
+    idxs = grid.select("signal_id", F.col("bin_idx").alias("idx"))
     return rounded(P.nn_scan(grid, M, idxs), 5)
 
 

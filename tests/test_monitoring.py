@@ -10,7 +10,7 @@ from signalmill.functions.normal import normal_cdf, normal_quantile
 from signalmill.functions.timeparts import DAY, HOUR
 from signalmill.operators import forecast as P, multivariate as M, spc as S
 from signalmill.operators.grid import formula_column
-from signalmill.operators.sequences import pick_nonoverlap
+from signalmill.operators.sequences import _near_best, pick_nonoverlap
 from signalmill.streaming import live as L
 
 
@@ -108,6 +108,22 @@ def test_greedy_cut_is_exact(spark):
             taken.append(int(i))
     got = [r["bin_idx"] for r in pick_nonoverlap(df, 5, 15, "score").orderBy("pick").collect()]
     assert got == taken[:5]
+    low = []
+    for i in np.argsort(score, kind="stable"):
+        if all(abs(i - t) > 2 for t in low):
+            low.append(int(i))
+    got = [r["bin_idx"] for r in pick_nonoverlap(df, 3, 2, "score", descending=False).orderBy("pick").collect()]
+    assert got == low[:3]
+
+
+def test_sketch_cut_keeps_every_needed_row(spark):
+    rng = np.random.default_rng(1)
+    score = np.round(rng.normal(size=20_000), 2)  # many ties
+    df = spark.createDataFrame([("s", i, float(v)) for i, v in enumerate(score)], "signal_id string, bin_idx long, score double")
+    kept = _near_best(df, ["signal_id"], F.col("score"), 30, True)
+    assert 30 <= kept.count() < 1_000
+    top = np.sort(score)[::-1][:30]
+    assert sorted((r["score"] for r in kept.collect()), reverse=True)[:30] == pytest.approx(top)
 
 
 def test_formula_guard(spark):

@@ -99,8 +99,8 @@ def test_discords_by_brute_force(grid_of, candidates, detection, monkeypatch):
                 taken.append(s)
         found += taken
     want = sorted(found, key=lambda s: (-s[0], s[1], s[2]))[:4]
-    base = X._nearest
-    monkeypatch.setattr(X, "_nearest", lambda c, o, win: base(c, o, win, chunk=50, width=7))
+    base = X.score_candidates
+    monkeypatch.setattr(X, "score_candidates", lambda c, o, win: base(c, o, win, chunk=50, width=7))
     got = X.sax_discords(grid_of(data), w, 4, p, 4, candidates=candidates, detection_bins=detection).orderBy("rank").collect()
     assert [r["nn_distance"] for r in got] == pytest.approx([s[0] for s in want], abs=1e-6)
     assert [(r["signal_id"], r["start_index"]) for r in got] == [s[1:] for s in want]
