@@ -12,6 +12,7 @@ from signalmill.operators.catalog import best_row
 from signalmill.operators.grid import rate_of_change
 from signalmill.operators.spectral import decompose
 from signalmill.functions.ordered import with_row, with_stats
+from signalmill.plans.queries_core import EPISODES
 from signalmill.plans.registry import query
 from signalmill.plans.runtime import shared_folder
 from signalmill.plans.samples import END, FILLED, START, hourly, rounded, signals, sql_round, tracks
@@ -60,7 +61,7 @@ def _(t):
     return rounded(ntz(newest(out, "signal_id", "start_ts"), "start_ts", "end_ts"))
 
 
-@query("l03_stream_episodes")
+@query("l03_stream_episodes", FILLED + EPISODES + " SELECT * FROM ep QUALIFY seg_id < max(seg_id) OVER (PARTITION BY signal_id)")
 def _(t):
     bins = hourly(t).select("signal_id", F.col("ts").cast("timestamp").alias("ts"), "value")
     base = f"{shared_folder(t.spark)}/bins-{uuid.uuid4().hex}"
@@ -114,13 +115,13 @@ def _(t):
     return rounded(L.collapse_alerts_batch(fired(t), timedelta(hours=12)))
 
 
-@query("l05_collapse_stream")
+@query("l05_collapse_stream", sql_round(ALERTS + " SELECT * EXCLUDE (a) FROM al", "last_value"))
 def _(t):
     base = f"{shared_folder(t.spark)}/fired-{uuid.uuid4().hex}"
     fired(t).select("dedup_key", F.col("ts").cast("timestamp").alias("ts"), "value").repartition(1).write.parquet(base)
     live = t.spark.readStream.schema("dedup_key string, ts timestamp, value double").parquet(base)
     out = drained(t, L.collapse_alerts(live, timedelta(hours=12)), "update")
-    return ntz(newest(out, "dedup_key", "opened_at"), "opened_at", "last_at")
+    return rounded(ntz(newest(out, "dedup_key", "opened_at"), "opened_at", "last_at"))
 
 
 @query("l06_active_alerts", sql_round(ALERTS + " SELECT * EXCLUDE (a) FROM al WHERE status <> 'CLOSED'", "last_value"))

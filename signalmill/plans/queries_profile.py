@@ -10,7 +10,7 @@ from signalmill.operators.grid import search_space
 from signalmill.operators.stats import overview
 from signalmill.plans.registry import query
 from signalmill.plans.runtime import checkpointed
-from signalmill.plans.samples import END, FILLED, START, hourly, rounded, sql_round, tracks
+from signalmill.plans.samples import END, FILLED, START, TRACK_FILLED, hourly, rounded, sql_round, tracks
 
 M, N = 24, 697
 LAG = P.exclusion(M)
@@ -155,7 +155,13 @@ def channels(t):
     return search_space(tracks(t), START, END, 3 * HOUR, by=P.TRACK)
 
 
-@query("p14_mstamp")
+CHANNELS = TRACK_FILLED + """, w0 AS (SELECT split_part(signal_id, '|', 1) AS entity_id, split_part(signal_id, '|', 2) AS track_id, bin_idx - o.o AS i, o.o AS o, value AS v FROM filled CROSS JOIN range(16) o(o) WHERE bin_idx - o.o BETWEEN 0 AND 224),
+zw AS MATERIALIZED (SELECT entity_id, track_id, i, o, (v - avg(v) OVER p) / sqrt(16 * var_pop(v) OVER p) AS z FROM w0 WINDOW p AS (PARTITION BY entity_id, track_id, i)),
+ds AS (SELECT a.entity_id, a.track_id, a.i, b.i AS j, sqrt(greatest(0, 32 * (1 - sum(a.z * b.z)))) AS d FROM zw a JOIN zw b ON a.entity_id = b.entity_id AND a.track_id = b.track_id AND a.o = b.o WHERE abs(a.i - b.i) > 4 GROUP BY ALL),
+kd AS (SELECT entity_id, i, j, row_number() OVER w AS k, avg(d) OVER (w ROWS UNBOUNDED PRECEDING) AS d FROM ds WINDOW w AS (PARTITION BY entity_id, i, j ORDER BY d))"""
+
+
+@query("p14_mstamp", sql_round(CHANNELS + " SELECT entity_id, k::INT AS k, i AS idx, min(d) AS dist, arg_min(j, d) AS nn FROM kd GROUP BY ALL", "dist", 5))
 def _(t):
     return rounded(P.mstamp(channels(t), 16), 5)
 

@@ -208,12 +208,17 @@ def _(t):
 
 # ---------------------------------------------------------------- spectra and decomposition
 
-@query("s01_spectrum")
+SPECTRUM = """, ft AS (SELECT signal_id, k.k AS k, sqrt(pow(sum(value * cos(2 * pi() * k.k * bin_idx / 720)), 2) + pow(sum(value * sin(2 * pi() * k.k * bin_idx / 720)), 2)) AS magnitude,
+ k.k / 720.0::DOUBLE / 3600 AS freq_hz, 720.0::DOUBLE / k.k * 3600 AS period_s FROM filled CROSS JOIN range(1, 361) k(k) GROUP BY ALL)"""
+
+
+@query("s01_spectrum", sql_round(FILLED + SPECTRUM + " SELECT * FROM ft", "magnitude freq_hz period_s", 4))
 def _(t):
     return rounded(P.spectrum(hourly(t), HOUR), 4)
 
 
-@query("s02_spectral_peaks")
+@query("s02_spectral_peaks", sql_round(FILLED + SPECTRUM + """, fp AS (SELECT *, lag(magnitude) OVER o AS l, lead(magnitude) OVER o AS r FROM ft WINDOW o AS (PARTITION BY signal_id ORDER BY k))
+SELECT * EXCLUDE (l, r), (row_number() OVER (PARTITION BY signal_id ORDER BY magnitude DESC, k))::INT AS rank FROM fp WHERE magnitude > coalesce(l, -1) AND magnitude >= coalesce(r, -1) AND magnitude > 0 QUALIFY rank <= 8""", "magnitude freq_hz period_s", 4))
 def _(t):
     return rounded(P.spectral_peaks(P.spectrum(hourly(t), HOUR)), 4)
 
@@ -231,11 +236,14 @@ def _(t):
     return rounded(P.detect_periods(hourly(t), 3))
 
 
-@query("s04_spectrogram")
+@query("s04_spectrogram", sql_round(FILLED + """, fr AS (SELECT signal_id, f.f AS frame, bin_idx - f.f * 32 AS i, value FROM filled JOIN range(21) f(f) ON bin_idx >= f.f * 32 AND bin_idx < f.f * 32 + 64)
+SELECT signal_id, frame, frame * 32 AS start_idx, TIMESTAMP '2024-01-01' + to_hours((frame * 32 + 32)::INT) AS center_ts, k.k AS k, k.k / 64.0::DOUBLE / 3600 AS freq_hz,
+ sqrt(pow(sum(value * cos(2 * pi() * k.k * i / 64)), 2) + pow(sum(value * sin(2 * pi() * k.k * i / 64)), 2)) AS magnitude FROM fr CROSS JOIN range(1, 33) k(k) GROUP BY ALL""", "magnitude freq_hz", 4))
 def _(t):
     return rounded(P.spectrogram(hourly(t), 64, 32, HOUR, START), 4)
 
 
+PARTS = "value trend seasonal baseline residual"
 DECOMP = """, fit AS (SELECT signal_id, regr_slope(value, bin_idx) AS s, regr_intercept(value, bin_idx) AS c FROM filled GROUP BY signal_id),
 tr AS (SELECT f.*, c + s * bin_idx AS trend, bin_idx % 24 AS ph FROM filled f JOIN fit USING (signal_id)),
 sm AS (SELECT signal_id, ph, avg(value - trend) AS raw FROM tr GROUP BY ALL),
@@ -244,15 +252,15 @@ dec AS (SELECT signal_id, bin_idx, ts, value, trend, raw - mid AS seasonal, tren
 SCORED = """, fq AS (SELECT signal_id, quantile_cont(residual, 0.1) AS qa, quantile_cont(residual, 0.9) AS qz FROM dec GROUP BY signal_id),
 sc AS (SELECT dec.*, CASE WHEN qz <= qa THEN 0 WHEN residual > qz THEN (residual - qz) / (qz - qa) WHEN residual < qa THEN (residual - qa) / (qz - qa) ELSE 0 END AS score FROM dec JOIN fq USING (signal_id)),
 fl AS (SELECT *, CASE WHEN score > 1.5 THEN 1 WHEN score < -1.5 THEN -1 ELSE 0 END AS flag FROM sc)"""
-PARTS = "value trend seasonal baseline residual"
-
-
 @query("s06_decompose", sql_round(FILLED + DECOMP + " SELECT * FROM dec", PARTS))
 def _(t):
     return rounded(P.decompose(hourly(t), 24))
 
 
-@query("s06_decompose_auto")
+@query("s06_decompose_auto", sql_round(FILLED + DETREND + """, pp AS (SELECT signal_id, period_bins AS p FROM pd WHERE rank = 1),
+tr AS (SELECT f.*, c + s * f.bin_idx AS trend, f.bin_idx % p AS ph FROM filled f JOIN lf USING (signal_id) JOIN pp USING (signal_id)),
+sm AS (SELECT signal_id, ph, avg(value - trend) AS raw FROM tr GROUP BY ALL)
+SELECT signal_id, bin_idx, ts, value, trend, raw - mid AS seasonal, trend + raw - mid AS baseline, value - (trend + raw - mid) AS residual FROM tr JOIN (SELECT *, avg(raw) OVER (PARTITION BY signal_id) AS mid FROM sm) USING (signal_id, ph)""", PARTS))
 def _(t):
     return rounded(P.decompose(hourly(t), -1))
 
