@@ -50,8 +50,10 @@ def chunks(grid: DataFrame, m: int, size: int, by: Sequence[str] = SIGNAL) -> Da
         *by, "c", (F.col("c") * size).alias("lo"), F.transform("_p", lambda p: p["value"]).alias("values"),
         F.exists("_p", lambda p: p["value"].isNull()).alias("_gap"),
     )
-    broken = grid.filter(F.col("value").isNull()).select(*by).distinct()
-    return out.drop("_gap").join(broken, by, "left_anti").filter(F.size("values") >= m)
+    # written once: the series is read for both sides of every cell and for the gap check
+    out = checkpointed(out.filter(F.size("values") >= m))
+    broken = out.filter("_gap").select(*by).distinct()
+    return out.drop("_gap").join(broken, by, "left_anti")
 
 
 def _unit(values, m: int) -> tuple[np.ndarray, np.ndarray]:
@@ -308,7 +310,7 @@ def motif_pruned(grid: DataFrame, m: int, minlag: int | None = None, segments: i
     """
     by, size = list(by), chunk_size(m, chunk)
     lag = exclusion(m) if minlag is None else int(minlag)
-    parts = checkpointed(chunks(grid, m, size, by))
+    parts = chunks(grid, m, size, by)
     cuts = [k * m // min(segments, m) for k in range(min(segments, m) + 1)]
 
     def search(za, fa, zb, fb, a, b, bound):
