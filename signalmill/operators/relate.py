@@ -279,7 +279,7 @@ def regression_fitted(grid: DataFrame, target: str, features: Sequence[str], com
 
 def sensitivity(grid: DataFrame, target: str, features: Sequence[str]) -> DataFrame:
     """Features ranked by R², then name."""
-    w = Window.orderBy(F.col("r2").desc_nulls_last(), "feature")
+    w = Window.orderBy(F.col("r2").desc_nulls_last(), "feature")  # one row per named feature
     fits = regression(grid, target, features).select("feature", "r2", "slope", "intercept")
     return fits.withColumn("rank", F.row_number().over(w))
 

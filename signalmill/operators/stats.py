@@ -97,13 +97,13 @@ def density(df: DataFrame, start: datetime, end: datetime, bin_us: int, factor:
 
 
 def ohlc(df: DataFrame, bin_us: int, start: datetime | None = None, end: datetime | None = None) -> DataFrame:
-    """Open, high, low, close and reading count per epoch-aligned bin."""
+    """Open, high, low, close and reading count per epoch-aligned bin (ties by value, so reruns agree)."""
     keyed = df.filter(between(start, end)).withColumn("_bin", floor_div(to_us("ts"), bin_us) * bin_us)
     bars = keyed.groupBy("signal_id", "_bin").agg(
-        F.min_by("value", "ts").alias("open"),
+        F.min_by("value", F.struct("ts", "value")).alias("open"),
         F.max("value").alias("high"),
         F.min("value").alias("low"),
-        F.max_by("value", "ts").alias("close"),
+        F.max_by("value", F.struct("ts", "value")).alias("close"),
         F.count(F.lit(1)).alias("volume"),
     )
     return bars.select("signal_id", from_us("_bin").alias("ts"), "open", "high", "low", "close", "volume")
