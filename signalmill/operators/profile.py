@@ -73,6 +73,16 @@ def _corr(za, fa, zb, fb, mass: bool) -> np.ndarray:
     return c
 
 
+TIE = 1e-12  # correlations this close count as equal: the lowest index wins
+
+
+def _first_best(c: np.ndarray, axis: int) -> tuple[np.ndarray, np.ndarray]:
+    """Index and value of the first entry that ties with the largest one."""
+    top = c.max(axis=axis, keepdims=True)
+    at = (c >= top - TIE).argmax(axis=axis)
+    return at, np.take_along_axis(c, np.expand_dims(at, axis), axis).squeeze(axis)
+
+
 def _distance(corr: Column, m: int | Column) -> Column:
     m = F.lit(float(m)) if isinstance(m, int) else m
     return F.when(corr >= -1.0, F.sqrt(F.greatest(2.0 * m * (1.0 - corr), F.lit(0.0))))
@@ -110,11 +120,10 @@ def _neighbours(grid: DataFrame, m: int, minlag: int, mass: bool, by: Sequence[s
             i = np.arange(a + s, a + min(s + step, len(za)))
             c = _corr(za[s : s + step], fa[s : s + step], zb, fb, mass)
             c[j[None, :] - i[:, None] <= minlag] = -np.inf  # only later windows: each pair once
-            at = c.argmax(axis=1)
-            row_best[s : s + step], row_arg[s : s + step] = c[np.arange(len(i)), at], j[at]
-            up = c.argmax(axis=0)
-            top = c[up, np.arange(len(zb))]
-            better = top > col_best
+            at, row_best[s : s + step] = _first_best(c, 1)
+            row_arg[s : s + step] = j[at]
+            up, top = _first_best(c, 0)
+            better = top > col_best + TIE
             col_best[better], col_arg[better] = top[better], i[up[better]]
         out = {k: left[k].iloc[0] for k in by}
         out["idx"] = np.concatenate([np.arange(a, a + len(za)), j])
@@ -130,8 +139,13 @@ def _neighbours(grid: DataFrame, m: int, minlag: int, mass: bool, by: Sequence[s
     return cells.applyInPandas(kernel, schema)
 
 
+def _ranked() -> Column:
+    """Order of candidate neighbours: correlation up to ties, then the lowest index."""
+    return F.struct(F.round("corr", 12).alias("r"), (-F.col("nn")).alias("n"), F.col("corr"))
+
+
 def _reduce(rows: DataFrame, keys: Sequence[str], m: int) -> DataFrame:
-    best = rows.groupBy(*keys).agg(F.max(F.struct(F.col("corr"), (-F.col("nn")).alias("n"))).alias("_b"))
+    best = rows.groupBy(*keys).agg(F.max(_ranked()).alias("_b"))
     none = F.col("_b.corr") < -1.0
     return best.select(
         *keys, _distance(F.col("_b.corr"), m).alias("dist"), F.when(~none, -F.col("_b.n")).alias("nn")
@@ -160,7 +174,7 @@ def lr_matrix_profile(
     """Nearest earlier (left) and later (right) neighbour of every window."""
     lag = exclusion(m) if minlag is None else int(minlag)
     rows = _neighbours(grid, m, lag, False, by, chunk)
-    pick = lambda side: F.max(F.when(F.col("side") == side, F.struct(F.col("corr"), (-F.col("nn")).alias("n"))))
+    pick = lambda side: F.max(F.when(F.col("side") == side, _ranked()))
     best = rows.groupBy(*by, "idx").agg(pick("left").alias("_l"), pick("right").alias("_r"))
     some = lambda s: F.col(f"{s}.corr") >= -1.0
     return best.select(

@@ -18,7 +18,7 @@ WINDOWS = f""", w0 AS (SELECT signal_id, bin_idx - o.o AS i, o.o AS o, value AS
 zw AS MATERIALIZED (SELECT signal_id, i, o, (v - avg(v) OVER p) / sqrt({M} * var_pop(v) OVER p) AS z FROM w0 WINDOW p AS (PARTITION BY signal_id, i))"""
 PROFILE = WINDOWS + f""", cr AS (SELECT a.signal_id, a.i, b.i AS j, sum(a.z * b.z) AS r FROM zw a JOIN zw b ON a.signal_id = b.signal_id AND a.o = b.o WHERE b.i - a.i > {LAG} GROUP BY ALL),
 al AS (SELECT signal_id, i, j, r, 'right' AS side FROM cr UNION ALL SELECT signal_id, j, i, r, 'left' FROM cr),
-mp AS (SELECT signal_id, i AS idx, sqrt(greatest(0, 2 * {M} * (1 - max(r)))) AS dist, arg_max(j, r) AS nn FROM al GROUP BY ALL)"""
+mp AS (SELECT signal_id, i AS idx, sqrt(greatest(0, 2 * {M} * (1 - max(r)))) AS dist, arg_max(j, (round(r, 12), -j)) AS nn FROM al GROUP BY ALL)"""
 
 
 def profile(t):
@@ -30,7 +30,7 @@ def _(t):
     return rounded(profile(t), 5)
 
 
-@query("p02_lr_profile", sql_round(FILLED + PROFILE + f""", sd AS (SELECT signal_id, i AS idx, side, sqrt(greatest(0, 2 * {M} * (1 - max(r)))) AS d, arg_max(j, r) AS n FROM al GROUP BY ALL)
+@query("p02_lr_profile", sql_round(FILLED + PROFILE + f""", sd AS (SELECT signal_id, i AS idx, side, sqrt(greatest(0, 2 * {M} * (1 - max(r)))) AS d, arg_max(j, (round(r, 12), -j)) AS n FROM al GROUP BY ALL)
 SELECT signal_id, idx, max(d) FILTER (side = 'left') AS left_dist, max(n) FILTER (side = 'left') AS left_nn, max(d) FILTER (side = 'right') AS right_dist, max(n) FILTER (side = 'right') AS right_nn FROM sd GROUP BY ALL""", "left_dist right_dist", 5))
 def _(t):
     return rounded(P.lr_matrix_profile(hourly(t), M), 5)
@@ -128,7 +128,7 @@ def _(t):
 
 
 AB = WINDOWS + f""", ab AS (SELECT a.i, b.i AS j, sum(a.z * b.z) AS r FROM zw a JOIN zw b ON a.o = b.o WHERE a.signal_id = 'click' AND b.signal_id = 'view' GROUP BY ALL),
-abp AS (SELECT 'a' AS series, i AS idx, sqrt(greatest(0, 2 * {M} * (1 - max(r)))) AS dist, arg_max(j, r) AS nn FROM ab GROUP BY i UNION ALL SELECT 'b', j, sqrt(greatest(0, 2 * {M} * (1 - max(r)))), arg_max(i, r) FROM ab GROUP BY j)"""
+abp AS (SELECT 'a' AS series, i AS idx, sqrt(greatest(0, 2 * {M} * (1 - max(r)))) AS dist, arg_max(j, (round(r, 12), -j)) AS nn FROM ab GROUP BY i UNION ALL SELECT 'b', j, sqrt(greatest(0, 2 * {M} * (1 - max(r)))), arg_max(i, (round(r, 12), -i)) FROM ab GROUP BY j)"""
 
 
 @query("p13_ab_profile", sql_round(FILLED + AB + " SELECT * FROM abp", "dist", 5))
@@ -193,7 +193,7 @@ def _(t):
 
 
 @query("p17_consensus_motif", sql_round(FILLED + WINDOWS + f""", cs AS (SELECT a.signal_id AS s, b.signal_id AS t, a.i, b.i AS j, sum(a.z * b.z) AS r FROM zw a JOIN zw b ON a.o = b.o AND a.signal_id <> b.signal_id GROUP BY ALL),
-nb AS (SELECT s, t, i, sqrt(greatest(0, 2 * {M} * (1 - max(r)))) AS d, arg_max(j, r) AS j FROM cs GROUP BY ALL),
+nb AS (SELECT s, t, i, sqrt(greatest(0, 2 * {M} * (1 - max(r)))) AS d, arg_max(j, (round(r, 12), -j)) AS j FROM cs GROUP BY ALL),
 rd AS (SELECT s, i, list_sort(list(d))[3] AS radius FROM nb GROUP BY ALL), bs AS (SELECT * FROM rd ORDER BY radius, s, i LIMIT 1)
 SELECT s AS central_series, i AS central_idx, radius, nb.t AS signal_id, nb.j AS idx, nb.d AS dist, false AS is_central FROM bs JOIN nb USING (s, i)
 UNION ALL SELECT s, i, radius, s, i, 0, true FROM bs""", "radius dist", 5))
