@@ -29,23 +29,37 @@ def build_session(app: str = "signalmill", master: str | None = None, **conf) ->
 def shared_folder(spark: SparkSession) -> str:
     """The folder the session names in ``spark.checkpoint.dir``.
 
-    Only when none is set (tests on one machine) is a scratch folder made.
+    All executors must share it, so on a cluster it has to be set. Only a session that runs
+    in one process on one machine (tests) gets a scratch folder instead.
     """
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if folder is None:
+        if context.master != "local" and not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="signalmill-")
         context.setCheckpointDir(folder)
     return folder
 
 
+def written(df: DataFrame) -> tuple[DataFrame, str]:
+    """``df`` as a table in the shared folder, and the table's path for ``discard``."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/signalmill-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a table of ``written`` that nothing reads any more."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage of ``df``: write it as a table in the shared folder and read that back.
 
     Used where several passes would otherwise repeat a scan of the raw readings. The
     table is columnar, so later passes still prune columns and know its size.
     """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/signalmill-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return written(df)[0]
