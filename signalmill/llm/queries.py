@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from signalmill.llm import exact, redirects, simhash, topk
+from signalmill.llm import chat, exact, packing, redirects, simhash, topk
 
 
 def _over(table: str, op: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -14,8 +14,10 @@ def _over(table: str, op: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSe
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_complement_packing": _over("documents", packing.op2),
     "op4_redirect_equivalence": _over("pages", redirects.op4),
     "op7_simhash_pigeonring": _over("documents", simhash.op7),
+    "op8_budgeted_windows": _over("conversations", chat.op8),
     "op9_polynomial_dedup": _over("documents", exact.exact_groups),
     "op10_histogram_topk": _over("embeddings", topk.op10),
 }
