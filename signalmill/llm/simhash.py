@@ -108,7 +108,7 @@ def _near(a: Column, b: Column, start: Column, limit: int) -> Column:
     return ok
 
 
-def link(fps: DataFrame, limit: int = 4, reach: int = 1) -> DataFrame:
+def link(fps: DataFrame, limit: int = 4, reach: int = 2) -> DataFrame:
     """(fp, root) for the distinct ``fps`` that lie within ``limit`` bits of another one.
 
     Fingerprints that share a chain mask's bits meet in a bucket. First each is compared with the
@@ -135,7 +135,7 @@ def link(fps: DataFrame, limit: int = 4, reach: int = 1) -> DataFrame:
     return connected(stars.unionByName(more)).select(F.col("node").alias("fp"), F.col("component").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, size: int = 4, limit: int = 4, reach: int = 1) -> DataFrame:
+def near_duplicates(docs: DataFrame, size: int = 4, limit: int = 4, reach: int = 2) -> DataFrame:
     """(doc_id, fp, component_id): every row's class under fingerprints within ``limit`` bits.
 
     ``component_id`` is the smallest doc_id reachable. Copies share a fingerprint and cost one row.
@@ -148,7 +148,7 @@ def near_duplicates(docs: DataFrame, size: int = 4, limit: int = 4, reach: int =
     return rows.join(roots.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, size: int = 4, limit: int = 4, reach: int = 1) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, size: int = 4, limit: int = 4, reach: int = 2) -> DataFrame:
     """``docs`` with one document of each class: the one with the smallest doc_id.
 
     Repeated rows of one doc_id are one document. Rows without a doc_id stay as they are.
