@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from signalmill.llm import chat, exact, lattice, lines, packing, redirects, simhash, topk, toxicity
+from signalmill.llm import chat, dropout, exact, lattice, lines, packing, redirects, simhash, topk, toxicity
 
 
 def _over(table: str, op: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -20,6 +20,7 @@ def _toxicity(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_subword_lattice": _over("documents", lattice.op1),
     "op2_complement_packing": _over("documents", packing.op2),
+    "op3_merge_dropout": _over("documents", dropout.op3),
     "op4_redirect_equivalence": _over("pages", redirects.op4),
     "op5_classifier_chain": _toxicity,
     "op6_site_spread": _over("documents", lines.op6),
