@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from signalmill.llm.names import unused
 from signalmill.plans.runtime import written
 
 SITES = 10  # a line on at least so many sites is boilerplate
@@ -51,10 +52,11 @@ def drop_widespread(docs: DataFrame, sites: int = SITES, site: str = "source") -
     found, _ = written(widespread(docs, sites, site))
     spots = docs.filter("text is not null").select(F.col("doc_id").cast("bigint").alias("_id"), F.explode(F.array_distinct(F.transform(_lines(F.col("text")), _key))).alias("h")).select("_id", "h.*")
     hits = spots.join(found, ["h1", "h2"]).select("_id", F.struct("h1", "h2", F.when(F.col("doc").eqNullSafe(F.col("_id")), F.col("pos")).otherwise(-1).alias("stay")).alias("hit"))
-    drops = hits.groupBy("_id").agg(F.collect_set("hit").alias("_drop"))
-    kept = F.filter(_lines(F.col("text")), lambda x, i: ~F.exists("_drop", lambda d: (d.h1 == _key(x).h1) & (d.h2 == _key(x).h2) & (d.stay != i)))
-    out = docs.join(drops, docs["doc_id"].eqNullSafe(drops["_id"]), "left").drop("_id")
-    out = out.withColumn("text", F.when(F.col("_drop").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))).drop("_drop")
+    one, many = unused(docs, "_id"), unused(docs, "_drop")
+    drops = hits.groupBy(F.col("_id").alias(one)).agg(F.collect_set("hit").alias(many))
+    kept = F.filter(_lines(F.col("text")), lambda x, i: ~F.exists(many, lambda d: (d.h1 == _key(x).h1) & (d.h2 == _key(x).h2) & (d.stay != i)))
+    out = docs.join(drops, docs["doc_id"].eqNullSafe(drops[one]), "left").drop(one)
+    out = out.withColumn("text", F.when(F.col(many).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))).drop(many)
     return out.withColumn("n_chars", F.coalesce(F.char_length("text").cast("bigint"), F.lit(0).cast("bigint"))) if "n_chars" in docs.columns else out
 
 

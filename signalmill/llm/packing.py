@@ -70,40 +70,75 @@ def _pair(left: np.ndarray, gap: int, even: bool) -> list[int] | None:
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, list[int]]]:
-    """(times, lengths): sequences to make, from the number of pieces of each length below ``capacity``.
-
-    The longest piece left opens a sequence. Combinations of up to three lengths that fill the gap
-    exactly are consumed; where none is left the best fit, the longest piece that goes in, is added
-    and the rest of the gap is tried again. A pattern is repeated as often as its lengths last, so
-    each step uses up a length, and steps do not grow with the number of documents. Of the plans
-    that prefer even and uneven pairs the shorter one is returned.
+    """(times, lengths): sequences to make, from the number of pieces of each length up to ``capacity``.
+
+    The longest piece left opens a sequence, and combinations of up to three lengths that fill its
+    gap exactly are consumed. Where none is left, the residuals are packed by best fit: either at
+    once, with the rest of the gap tried again after each piece, or at the end, longest first. A
+    pattern is repeated as often as its lengths last, so each step uses up a length, and steps do
+    not grow with the number of documents. Of the variants, which also prefer even, uneven or no
+    complements, the one with the fewest sequences is returned.
     """
-    return min((_plan(counts, capacity, even) for even in (False, True)), key=lambda p: sum(t for t, _ in p))
-
-
-def _plan(counts: dict[int, int], capacity: int, even: bool) -> list[tuple[int, list[int]]]:
     left = np.zeros(capacity + 1, np.int64)
     for length, count in counts.items():
         left[length] = count
-    total, out = left.copy(), []
+    plans = [_plan(left.copy(), capacity, even, again) for even in (False, True) for again in (False, True)]
+    best = min([*plans, _best_fit(left.copy(), capacity)], key=lambda p: sum(t for t, _ in p))
+    assert all(sum(t * p.count(n) for t, p in best) == c for n, c in counts.items())
+    return best
+
+
+def _plan(left: np.ndarray, capacity: int, even: bool, again: bool) -> list[tuple[int, list[int]]]:
+    out, waiting = [], np.zeros_like(left)
     while left.any():
         used, gap = [], capacity
-        while True:
+        while gap:
             more = complete(left, gap, even) if used else None
             if more is None:
                 fits = np.flatnonzero(left[: gap + 1])
-                if not len(fits):
+                if not len(fits) or used and not again:
                     break
                 more = [int(fits[-1])]
             for length in more:
                 left[length] -= 1
             used, gap = used + more, gap - sum(more)
+        if gap and not again:  # no exact complement: the opening length waits for best fit
+            waiting[used[0]] += 1 + left[used[0]]
+            left[used[0]] = 0
+            continue
         need = np.bincount(used, minlength=capacity + 1)
         times = 1 + int((left[need > 0] // need[need > 0]).min())
         left -= need * (times - 1)
         out.append((times, sorted(used, reverse=True)))
-    assert all(sum(t * p.count(n) for t, p in out) == total[n] for n in counts)
-    return out
+    return out + _best_fit(waiting, capacity)
+
+
+def _best_fit(left: np.ndarray, capacity: int) -> list[tuple[int, list[int]]]:
+    """Best-fit decreasing over counts: groups of equal sequences, by the gap that they have left."""
+    open_: list[list[tuple[int, list[int]]]] = [[] for _ in range(capacity + 1)]
+    free = np.zeros(capacity + 1, np.int64)
+    for length in np.flatnonzero(left)[::-1].tolist():
+        count = int(left[length])
+        while count:
+            fits = np.flatnonzero(free[length:])
+            gap = length + int(fits[0]) if len(fits) else capacity
+            times, used = open_[gap].pop() if len(fits) else (count, [])
+            each = min(count, times)
+            if len(fits):
+                free[gap] -= times
+                if times > each:
+                    open_[gap].append((times - each, used))
+                    free[gap] += times - each
+            elif gap >= 2 * length:  # equal pieces fill a new sequence before the next one opens
+                each = -(-count // (gap // length))
+                if count >= each * (gap // length):
+                    used, gap = [length] * (gap // length - 1), gap - length * (gap // length - 1)
+                else:
+                    each, used, gap = (each - 1, [length] * (gap // length - 1), gap - length * (gap // length - 1)) if each > 1 else (1, [length] * (count - 1), gap - length * (count - 1))
+            open_[gap - length].append((each, [*used, length]))
+            free[gap - length] += each
+            count -= each * (1 + (len(used) if not len(fits) else 0))
+    return [group for groups in open_ for group in groups]
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
@@ -114,7 +149,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     plus its place within the task. Pieces that fill a sequence alone need no plan. An empty input
     gives an empty result.
     """
-    table, _ = written(pieces)
+    others = [c for c in pieces.columns if c not in ("task", "nth", "length")]
+    table, _ = written(pieces.select("task", "nth", "length", F.struct(*others).alias("others")))
     spark = table.sparkSession
     short = table.filter(F.col("length") < capacity)
     sizes = short.groupBy("task", "length").agg(F.count("*").alias("size"))
@@ -137,8 +173,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     placed = placed.withColumn("sequence_id", F.col("number") + F.floor(place / F.col("each"))).withColumn("offset", F.col("at") + place % F.col("each") * F.col("length"))
     alone = table.filter(F.col("length") == capacity)
     alone = alone.withColumn("sequence_id", -1 - F.shiftleft("task", 36) - F.col("nth")).withColumn("offset", F.lit(0).cast("bigint"))
-    columns = [c for c in pieces.columns if c not in ("task", "nth")] + ["sequence_id", "offset"]
-    return placed.select(columns).unionByName(alone.select(columns))
+    columns = [F.col("length") if c == "length" else F.col("others")[c].alias(c) for c in pieces.columns if c not in ("task", "nth")]
+    return placed.select(*columns, "sequence_id", "offset").unionByName(alone.select(*columns, "sequence_id", "offset"))
 
 
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None) -> DataFrame:

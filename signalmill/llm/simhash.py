@@ -154,8 +154,8 @@ def drop_near_duplicates(docs: DataFrame, size: int = 4, limit: int = 4, reach:
     Repeated rows of one doc_id are one document. Rows without a doc_id stay as they are.
     """
     classes = near_duplicates(docs.filter("doc_id is not null"), size, limit, reach)
-    keep = classes.filter("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    stay = docs.join(keep, docs["doc_id"] == keep["_kept"], "left_semi").dropDuplicates(["doc_id"])
+    keep = classes.filter("doc_id = component_id").select(F.col("doc_id").alias("kept")).distinct()
+    stay = docs.join(keep, docs["doc_id"] == keep["kept"], "left_semi").dropDuplicates(["doc_id"])
     return stay.unionByName(docs.filter("doc_id is null"))
 
 

@@ -13,6 +13,7 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, functions as F
 
+from signalmill.llm.names import unused
 from signalmill.plans.runtime import written
 
 CATEGORIES = ("quality", "toxic")
@@ -125,8 +126,9 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, thresh
     A null or empty text has no words and stays unless the bare model says otherwise; all columns
     pass through unchanged; an empty table of labels rejects nothing.
     """
-    scored = docs.withColumn("_chain", scorer(*train(docs, labels, categories))("text"))
-    return scored.filter(F.element_at("_chain", -1) <= threshold).drop("_chain")
+    chain = unused(docs, "_chain")
+    scored = docs.withColumn(chain, scorer(*train(docs, labels, categories))("text"))
+    return scored.filter(F.element_at(chain, -1) <= threshold).drop(chain)
 
 
 def op5(docs: DataFrame, labels: DataFrame) -> DataFrame:
