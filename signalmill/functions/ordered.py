@@ -77,13 +77,13 @@ def running_sum(
     idx: str = IDX,
     block: int = BLOCK,
 ) -> DataFrame:
-    """Inclusive running totals along ``idx`` for each key."""
+    """Inclusive running totals along ``idx`` for each key; 0 before the first value."""
     keys = _keys(keys)
     full = (Window.unboundedPreceding, Window.currentRow)
     if fits_block(df, idx, block):
         w = Window.partitionBy(*keys).orderBy(idx).rowsBetween(*full)
         for name, expr in sums.items():
-            df = df.withColumn(name, F.sum(expr).over(w))
+            df = df.withColumn(name, F.coalesce(F.sum(expr).over(w), F.lit(0)))
         return df
     tagged = df.withColumn("_blk", floor_div(F.col(idx), block))
     w = Window.partitionBy(*keys, "_blk").orderBy(idx).rowsBetween(*full)

@@ -27,7 +27,6 @@ NUMBER_COLUMNS = [
     "recommended_confidence",
 ]
 SEARCHED = ("signal_name", "signal_id", "metric", "description")
-MAX_TAKE = 1000
 
 
 def catalog(hierarchy: DataFrame, metadata: DataFrame) -> DataFrame:
@@ -70,8 +69,7 @@ def filter_catalog(
 
 def page(cat: DataFrame, skip: int = 0, take: int = 100, order: Sequence[str] = ("signal_name", "signal_id")) -> DataFrame:
     """One ordered page with one extra row that tells the caller there is more."""
-    take = min(max(int(take), 1), MAX_TAKE)
-    return cat.orderBy(*order).offset(max(0, int(skip))).limit(take + 1)
+    return cat.orderBy(*order).offset(max(0, int(skip))).limit(max(int(take), 1) + 1)
 
 
 def count_tags(cat: DataFrame) -> DataFrame:

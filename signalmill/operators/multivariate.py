@@ -21,8 +21,6 @@ from signalmill.plans.runtime import checkpointed
 
 TRACK = ["entity_id", "track_id"]
 EVENT = ["entity_id", "bin_idx"]
-MAX_BINS = 1_048_576
-MAX_FREQUENCY_ROWS = 5_000_000
 
 
 @dataclass(frozen=True)
@@ -46,8 +44,8 @@ def prepare(
     max_gap_exceeded.
     """
     n = bin_count(start, end, bin_us)
-    if not (as_us(start) < as_us(end) and bin_us > 0 and 0 <= min_coverage <= 1 and max_gap >= 0 and n <= MAX_BINS):
-        raise ValueError("need start < end, a positive bin, coverage in [0, 1], a gap >= 0 and at most 1,048,576 bins")
+    if not (as_us(start) < as_us(end) and bin_us > 0 and 0 <= min_coverage <= 1 and max_gap >= 0):
+        raise ValueError("need start < end, a positive bin, coverage in [0, 1] and a gap >= 0")
     # the only pass over the readings; all later work starts from the binned tracks
     raw = checkpointed(make_series(src.filter(F.col("ts") < ntz(end)), start, end, bin_us, "avg", TRACK))
     facts = raw.groupBy(*TRACK).agg(
@@ -350,10 +348,10 @@ def residual_voting(
     trend: str = "linefit",
     outlier_kind: str = "ctukey",
     feature_threshold: float = 1.5,
-    rms_threshold: float = 1.5,
+    rms_threshold: float = 1.2,
     min_votes: int = 2,
-    min_fraction: float = 0.3,
-    extreme_threshold: float = 4.0,
+    min_fraction: float = 0.5,
+    extreme_threshold: float = 3.0,
     emit_all: bool = False,
 ) -> DataFrame:
     """Outlier score of each track's causal residual, pooled per event bin."""
@@ -383,12 +381,12 @@ def change_point(
     prep: Prepared,
     window_us: int,
     season: int = 0,
-    contrast: int = 12,
+    contrast: int = 8,
     track_threshold: float = 1.5,
-    rms_threshold: float = 1.5,
+    rms_threshold: float = 1.2,
     min_votes: int = 2,
-    min_fraction: float = 0.3,
-    extreme_threshold: float = 4.0,
+    min_fraction: float = 0.5,
+    extreme_threshold: float = 3.0,
     slopes: bool = True,
     emit_all: bool = False,
 ) -> DataFrame:
@@ -464,33 +462,33 @@ def random_projection(
     window_us: int,
     season: int = 0,
     trend: str = "linefit",
-    count: int = 32,
+    count: int = 16,
     density: float = 0.25,
     seed: str = "signalmill",
     projection_threshold: float = 1.5,
-    rms_threshold: float = 1.5,
-    min_votes: int = 4,
-    extreme_threshold: float = 4.0,
+    rms_threshold: float = 1.2,
+    min_votes: int = 2,
+    extreme_threshold: float = 3.0,
     floor: float = 1e-6,
-    max_work_rows: int = 5_000_000,
+    max_work_rows: int | None = None,
     emit_all: bool = False,
     block: int = 2048,
 ) -> DataFrame:
     """Outlier score of sparse random mixtures of the standardized residuals.
 
-    Entities whose included weights times points exceed ``max_work_rows`` get the
-    status ``work_limit_exceeded`` before any projection is made.
+    All entities are scored. Only a caller that gives ``max_work_rows`` has entities whose
+    included weights times points exceed it set aside with ``work_limit_exceeded``.
     """
     _check(
         season=season >= -1, count=2 <= count <= 512, density=0 < density <= 1, seed=bool(seed), min_votes=1 <= min_votes <= count,
-        thresholds=min(projection_threshold, rms_threshold, extreme_threshold, floor) > 0, max_work_rows=max_work_rows >= 1,
+        thresholds=min(projection_threshold, rms_threshold, extreme_threshold, floor) > 0, max_work_rows=max_work_rows is None or max_work_rows >= 1,
     )
     profiles = profile(prep.tracks, window_us, max(16, 2 * season if season > 0 else 16))
     ok = profiles.filter(F.col("status") == "ok").select("entity_id")
     weights = checkpointed(projection_weights(prep.tracks.join(ok, "entity_id", "left_semi"), count, density, seed))
     work = weights.groupBy("entity_id").agg(F.count(F.lit(1)).alias("_w"))
     guarded = profiles.join(work, "entity_id", "left").withColumn("_work", F.coalesce("_w", F.lit(0)) * F.col("point_count"))
-    over = (F.col("status") == "ok") & (F.col("_work") > max_work_rows)
+    over = F.lit(False) if max_work_rows is None else (F.col("status") == "ok") & (F.col("_work") > max_work_rows)
     guarded = (
         guarded.withColumn("detail", F.when(over, F.concat(F.lit("estimated rows "), F.col("_work").cast("string"))).otherwise(F.col("detail")))
         .withColumn("status", F.when(over, "work_limit_exceeded").otherwise(F.col("status")))
@@ -583,14 +581,14 @@ def frame_spectra(prep: Prepared, rows: DataFrame, width: int, windows: int, use
 def spectral(
     prep: Prepared,
     window_us: int,
-    baseline_windows: int = 16,
-    min_baseline: int = 4,
+    baseline_windows: int = 8,
+    min_baseline: int = 3,
     use_hann: bool = True,
-    track_threshold: float = 3.0,
-    rms_threshold: float = 3.0,
+    track_threshold: float = 2.0,
+    rms_threshold: float = 1.5,
     min_votes: int = 2,
-    min_fraction: float = 0.3,
-    extreme_threshold: float = 8.0,
+    min_fraction: float = 0.5,
+    extreme_threshold: float = 4.0,
     emit_all: bool = False,
 ) -> DataFrame:
     """Cosine distance of the latest spectrum to the mean of earlier ones, per track and pooled."""
@@ -602,11 +600,10 @@ def spectral(
     available = max(0, (prep.n - width) // width)
     windows = min(baseline_windows, available)
     base = profile(prep.tracks, window_us, 1)
-    ok, rows_est = F.col("status") == "ok", F.col("track_count") * (windows + 1) * (width // 2)
+    ok = F.col("status") == "ok"
     status = (
         F.when(~ok, F.col("status"))
         .when(F.lit(width < 32 or available < min_baseline), "insufficient_history")
-        .when(rows_est > MAX_FREQUENCY_ROWS, "work_limit_exceeded")
         .otherwise("ok")
     )
     profiles = base.withColumn("status", status)

@@ -19,7 +19,7 @@ from signalmill.functions.ordered import attach, framed, known_bins, mark_bins,
 from signalmill.functions.quantiles import quantiles
 from signalmill.functions.timeparts import floor_div
 from signalmill.operators.catalog import best_row
-from signalmill.operators.sequences import pick_nonoverlap
+from signalmill.operators.sequences import pick_all, pick_nonoverlap
 from signalmill.operators.stats import overview
 from signalmill.plans.runtime import checkpointed
 
@@ -388,7 +388,7 @@ def motif_pruned(grid: DataFrame, m: int, minlag: int | None = None, segments: i
     return best.select(*by, "b.idx_a", "b.idx_b", "b.dist")
 
 
-def _matches(profiles: DataFrame, motifs: DataFrame, keys: Sequence[str], m: int, factor: float, max_n: int) -> DataFrame:
+def _matches(profiles: DataFrame, motifs: DataFrame, keys: Sequence[str], m: int, factor: float, max_n: int | None) -> DataFrame:
     """Windows within the pair-relative threshold, spaced by half a window, the seed first."""
     keys = list(keys)
     pair = motifs.select(*keys, F.col("dist").alias("_pair"))
@@ -399,12 +399,19 @@ def _matches(profiles: DataFrame, motifs: DataFrame, keys: Sequence[str], m: int
     limit = F.when(F.col("_pair") > 0, F.col("_pair") * factor).otherwise(F.coalesce(F.col("_low") * factor, F.lit(float("inf"))))
     seed = F.col("idx") == F.col("seed")
     rows = rows.filter(seed | (F.col("dist") <= limit)).withColumn("_score", F.when(seed, -1.0).otherwise(F.col("dist")))
-    picks = pick_nonoverlap(rows.select(*keys, "idx", "dist", "_score"), max_n, max(1, math.ceil(m / 2)) - 1, "_score", keys, "idx", descending=False)
-    return picks.drop("_score", "pick")
+    picks = _spaced(rows.select(*keys, "idx", "dist", "_score"), max_n, max(1, math.ceil(m / 2)) - 1, keys)
+    return picks.drop("_score")
+
+
+def _spaced(rows: DataFrame, max_n: int | None, radius: int, keys: Sequence[str]) -> DataFrame:
+    """Best-first picks by ``_score``, more than ``radius`` apart: all of them, or the first ``max_n``."""
+    if max_n is None:
+        return pick_all(rows, radius, "_score", keys, "idx")
+    return pick_nonoverlap(rows, max_n, radius, "_score", keys, "idx", descending=False).drop("pick")
 
 
 def occurrences(
-    grid: DataFrame, motifs: DataFrame, m: int, factor: float = 1.5, max_n: int = 200, by: Sequence[str] = SIGNAL
+    grid: DataFrame, motifs: DataFrame, m: int, factor: float = 1.5, max_n: int | None = None, by: Sequence[str] = SIGNAL
 ) -> DataFrame:
     """All places that repeat each motif (``by, rank, idx_a, dist``)."""
     by = list(by)
@@ -416,11 +423,9 @@ def occurrences(
 
 
 def pan_lengths(low: int, high: int, step: int | None = None) -> list[int]:
-    """Window lengths of a scan: every ``step``, else about twelve spread evenly."""
+    """Window lengths of a scan: each one, or every ``step``-th."""
     low, high = max(4, int(low)), max(int(low) + 1, int(high))
-    if step:
-        return list(range(low, high + 1, int(step)))
-    return sorted({int(round(v)) for v in np.linspace(low, high, num=min(12, high - low + 1))})
+    return list(range(low, high + 1, int(step or 1)))
 
 
 def pan_motifs(grid: DataFrame, lengths: Sequence[int], k: int = 3, by: Sequence[str] = SIGNAL) -> DataFrame:
@@ -689,7 +694,7 @@ def mstamp_discords(profile: DataFrame, tracks: DataFrame, m: int, k: int, n_dim
 
 
 def multidim_occurrences(
-    tracks: DataFrame, motifs: DataFrame, m: int, factor: float = 1.5, max_n: int = 200
+    tracks: DataFrame, motifs: DataFrame, m: int, factor: float = 1.5, max_n: int | None = None
 ) -> DataFrame:
     """Repeats of a multi-channel motif by mean distance over its channels (``dims``)."""
     seeds = motifs.select("entity_id", F.explode("dims").alias("track_id"), F.col("rank").alias("query_id"), F.col("idx_a").alias("seed"))
@@ -763,7 +768,7 @@ def suggest_threshold(mp: DataFrame, seeds: DataFrame, factor: float = 1.5, by:
     return own.select(*by, "seed", limit.alias("threshold"))
 
 
-def propagate_label(mp: DataFrame, seeds: DataFrame, length: int, gap: int, max_n: int = 50, by: Sequence[str] = SIGNAL) -> DataFrame:
+def propagate_label(mp: DataFrame, seeds: DataFrame, length: int, gap: int, max_n: int | None = None, by: Sequence[str] = SIGNAL) -> DataFrame:
     """Windows reached from a seed over neighbour links (both ways) within its threshold.
 
     ``seeds`` has ``by, seed, threshold``. Overlapping windows give way to closer ones.
@@ -784,7 +789,7 @@ def propagate_label(mp: DataFrame, seeds: DataFrame, length: int, gap: int, max_
         found = checkpointed(found.unionByName(front))
     score = F.when(F.col("idx") == F.col("seed"), -1.0).otherwise(F.coalesce("dist", F.lit(float("inf"))))
     rows = found.join(nodes, [*by, "idx"]).select(*by, "idx", "dist", score.alias("_score"))
-    picks = pick_nonoverlap(rows, max_n, length + gap - 1, "_score", by, "idx", descending=False)
+    picks = _spaced(rows, max_n, length + gap - 1, by)
     return picks.select(*by, F.col("idx").alias("start_index"), F.lit(length).alias("length"), "dist")
 
 

@@ -413,12 +413,13 @@ def causal_edges(matrix: DataFrame, threshold: float = 0.1) -> DataFrame:
 
 
 def diagnose_anomalies(
-    scored: DataFrame, target: str, candidates: Sequence[str], max_terms: int = 3, top: int = 12
+    scored: DataFrame, target: str, candidates: Sequence[str], max_terms: int | None = None, top: int | None = None
 ) -> DataFrame:
     """Candidate regimes over-represented in the target's anomalous bins.
 
     ``scored`` is a grid with a ``flag`` column for the target rows. Candidates are
-    low / normal / high around mean ± half a sample deviation.
+    low / normal / high around mean ± half a sample deviation. ``max_terms`` limits the
+    candidates of a combination, ``top`` the rows.
     """
     cands = list(candidates)
     names = [f"cand{i}" for i in range(len(cands))]
@@ -433,18 +434,21 @@ def diagnose_anomalies(
         *[F.max(F.when(F.col("signal_id") == c, F.col("_state"))).alias(n) for c, n in zip(cands, names)],
     )
     total = wide.agg(F.sum("_a").alias("_ta"), F.sum(1 - F.col("_a")).alias("_tn"))
-    sets = [[F.col(n) for n in s] for size in range(1, min(max_terms, len(names)) + 1) for s in combinations(names, size)]
+    sets = [[F.col(n) for n in s] for size in range(1, min(max_terms or len(names), len(names)) + 1) for s in combinations(names, size)]
     counts = wide.groupingSets(sets, *names).agg(F.sum("_a").alias("count_anomalous"), F.sum(1 - F.col("_a")).alias("count_normal"))
     rows = with_row(counts, total)
     pct = lambda c, t: F.when(F.col(t) > 0, F.col(c) * 100.0 / F.col(t)).otherwise(0.0)
     rows = rows.withColumn("pct_anomalous", pct("count_anomalous", "_ta")).withColumn("pct_normal", pct("count_normal", "_tn"))
     rows = rows.withColumn("contribution", F.col("pct_anomalous") - F.col("pct_normal")).drop("_ta", "_tn")
-    return rows.orderBy(F.col("contribution").desc(), *[F.col(n).asc_nulls_first() for n in names]).limit(top)
+    rows = rows.orderBy(F.col("contribution").desc(), *[F.col(n).asc_nulls_first() for n in names])
+    return rows if top is None else rows.limit(top)
 
 
-def scatter_pairs(grid: DataFrame, x: str, y: str, max_points: int = 3000) -> DataFrame:
-    """Shared bins of two signals, every step-th one when there are too many."""
+def scatter_pairs(grid: DataFrame, x: str, y: str, max_points: int | None = None) -> DataFrame:
+    """Shared bins of two signals; with ``max_points`` every step-th one when there are more."""
     wide = pivot_signals(grid, {"x": x, "y": y}).filter(F.col("x").isNotNull() & F.col("y").isNotNull())
+    if max_points is None:
+        return wide.select("bin_idx", "ts", "x", "y")
     wide = wide.withColumn("_all", F.lit(1))
     rows = ordinal(wide, "_all", ["bin_idx"], floor_div(F.col("bin_idx"), BLOCK), name="_at")
     total = wide.agg(F.count(F.lit(1)).alias("_n"))

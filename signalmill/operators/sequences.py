@@ -7,9 +7,10 @@ from collections.abc import Iterator, Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from signalmill.functions.ordered import attach, fits_block, framed, ordinal, runs
+from signalmill.functions.ordered import BLOCK, attach, fits_block, framed, ordinal, runs
 from signalmill.functions.quantiles import quantiles
 from signalmill.functions.timeparts import to_us
+from signalmill.plans.runtime import discard, written
 
 SIGNAL = ("signal_id",)
 
@@ -166,3 +167,26 @@ def pick_nonoverlap(
     schema = T.StructType([*head.schema.fields, T.StructField("pick", T.LongType())])
     picks = head.groupBy(*by).applyInPandas(lambda pdf: _greedy(pdf, k, radius, idx), schema)
     return picks.drop("_order")
+
+
+def pick_all(scored: DataFrame, radius: int, score: str, by: Sequence[str] = SIGNAL, idx: str = "bin_idx", block: int = BLOCK) -> DataFrame:
+    """All best-first picks per key (lowest score, then lowest index) more than ``radius`` apart.
+
+    In each round every row that is the best within ``radius`` is picked and its neighbours go:
+    the picks that taking one row at a time would make. Rows are compared within index blocks.
+    """
+    by = list(by)
+    left, path = written(scored.filter(F.col(score).isNotNull()).withMetadata(idx, {}))
+    spark, out = left.sparkSession, None
+    near = lambda w: w.rangeBetween(-radius, radius)
+    while True:
+        rows = framed(left, by, {"_best": lambda w: F.min(F.struct(score, idx)).over(near(w))}, radius, radius, idx, block)
+        rows = framed(rows.withColumn("_top", F.col("_best")[idx] == F.col(idx)), by, {"_gone": lambda w: F.max("_top").over(near(w))}, radius, radius, idx, block)
+        rows, _ = written(rows.drop("_best"))
+        if path:
+            discard(spark, path)
+        picks = rows.filter("_top").drop("_top", "_gone")
+        out = picks if out is None else out.unionByName(picks)
+        left, path = rows.filter("not _gone").drop("_top", "_gone"), None
+        if left.isEmpty():
+            return out

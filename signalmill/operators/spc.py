@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from signalmill.functions.normal import normal_cdf
-from signalmill.functions.ordered import attach, framed, ordinal
+from signalmill.functions.ordered import BLOCK, attach, framed, ordinal
 from signalmill.functions.timeparts import DAY, floor_div, to_us
 from signalmill.operators.catalog import best_row
 from signalmill.plans.runtime import checkpointed
@@ -146,17 +146,19 @@ def _zone(v: Column) -> Column:
 
 
 def run_rules(
-    points: DataFrame, profile: str = "nelson", by: Sequence[str] = SIGNAL, idx: str = "subgroup", runs: dict | None = None
+    points: DataFrame, profile: str = "nelson", by: Sequence[str] = SIGNAL, idx: str = "subgroup", runs: dict | None = None, block: int = BLOCK
 ) -> DataFrame:
     """Special-cause violations: one row per flagged point and rule.
 
-    ``points`` has consecutive ``idx``, ``value`` and the limits (see ``control_chart``).
+    ``points`` has ``idx``, ``value`` and the limits (see ``control_chart``). Points without
+    a value are passed over: the others count as consecutive.
     """
     by = list(by)
     rules, changed = PROFILES[profile]
     run = {**RUNS, **changed, **(runs or {})}
     z, v = F.col("_z"), F.col("value")
     rows = points.filter(v.isNotNull()).withColumn("_z", _zone(v))
+    rows = ordinal(rows, by, [idx], floor_div(F.col(idx), BLOCK), name="_nth")
     rows = rows.withColumn("_side", F.signum(v - F.col("center")))
     trailing = lambda w, n: w.rowsBetween(-(n - 1), 0)
     hits = lambda cond, w, n: F.sum(F.when(cond, 1).otherwise(0)).over(trailing(w, n))
@@ -177,7 +179,7 @@ def run_rules(
         "_in1": lambda w: hits(F.abs("_z") < 1, w, run["within_1"]),
         "_out1": lambda w: hits(F.abs("_z") > 1, w, run["beyond_1"]),
     }
-    rows = framed(rows, by, cols, before=max(run.values()) + 2, idx=idx)
+    rows = framed(rows, by, cols, before=max(run.values()) + 2, idx="_nth", block=block)
     c = F.col
     found = {
         1: F.when(v > c("ucl"), "above").when(v < c("lcl"), "below"),

@@ -43,32 +43,52 @@ def _fft_rows(df: DataFrame, keys: Sequence[str], at: str, size: int, out: str,
     return df.groupBy(*keys).applyInPandas(kernel, schema)
 
 
-def _split(n: int, block: int) -> tuple[int, int]:
-    """Two factors of ``n``, both at most ``block``, as even as possible."""
+def _split(n: int, block: int) -> tuple[int, int] | None:
+    """Two factors of ``n``, both at most ``block``, as even as possible; None if there are none."""
     a = int(n**0.5)
     while a > 1 and n % a:
         a -= 1
-    if n // a > block:
-        raise ValueError(f"a transform of {n} points has no two factors below {block}; choose another bin width")
-    return n // a, a
+    return (n // a, a) if n // a <= block else None
 
 
 def dft(rows: DataFrame, keys: Sequence[str], n: int, block: int = BLOCK) -> DataFrame:
     """Unnormalised DFT of ``keys, i, re, im`` rows (absent rows are zero).
 
     Up to ``block`` points one task transforms one series. Longer series use the
-    four-step scheme: columns, twiddle factors, rows, each group near sqrt(n).
+    four-step scheme: columns, twiddle factors, rows, each group near sqrt(n). A length
+    without two such factors goes through a longer one of a power of two.
     """
     keys = list(keys)
     if n <= block:
         return _fft_rows(rows, keys, "i", n, "k")
-    n1, n2 = _split(n, block)
+    parts = _split(n, block)
+    if parts is None:
+        return _chirp(rows, keys, n, block)
+    n1, n2 = parts
     grid = rows.withColumn("_a", floor_div(F.col("i"), n2)).withColumn("_b", F.pmod("i", F.lit(n2)))
     first = _fft_rows(grid, [*keys, "_b"], "_a", n1, "_k1", ("_b", 1.0 / n))
     second = _fft_rows(first, [*keys, "_k1"], "_b", n2, "_k2")
     return second.select(*keys, (F.col("_k1") + F.col("_k2") * n1).alias("k"), "re", "im")
 
 
+def _chirp(rows: DataFrame, keys: list[str], n: int, block: int) -> DataFrame:
+    """DFT of any length as a convolution with a chirp, over a power of two."""
+    size = 1 << (2 * n - 1).bit_length()
+    i = F.col("i")
+    turn = lambda j: F.lit(np.pi / n) * F.pmod(j * j, F.lit(2 * n))  # pi j^2 / n, kept small
+    spin = lambda re, im, c, s: ((re * c - im * s).alias("re"), (re * s + im * c).alias("im"))
+    one, half = rows.withColumn("_t", turn(i)), F.col("_t")
+    one = one.select(*keys, "i", *spin(F.col("re"), F.col("im"), F.cos(half), -F.sin(half)))
+    span = rows.sparkSession.range(-(n - 1), n).select(F.pmod("id", F.lit(size)).alias("i"), turn(F.col("id")).alias("_t"))
+    chirp = dft(span.select(F.lit(0).alias("_key"), "i", F.cos("_t").alias("re"), F.sin("_t").alias("im")), ["_key"], size, block)
+    chirp = chirp.select("k", F.col("re").alias("_c"), F.col("im").alias("_s"))
+    both = dft(one, keys, size, block).join(chirp, "k")
+    both = both.select(*keys, F.col("k").alias("i"), *spin(F.col("re"), F.col("im"), F.col("_c"), F.col("_s")))
+    back = dft(both.withColumn("im", -F.col("im")), keys, size, block).filter(F.col("k") < n).withColumn("_t", turn(F.col("k")))
+    return back.select(*keys, "k", *spin(F.col("re") / size, -F.col("im") / size, F.cos("_t"), -F.sin("_t")))
+
+
+
 def spectrum(grid: DataFrame, bin_us: int, by: Sequence[str] = SIGNAL, block: int = BLOCK) -> DataFrame:
     """Magnitude, frequency (Hz) and period (s) of DFT bins 1 … n/2 of a filled grid."""
     n = series_length(grid)

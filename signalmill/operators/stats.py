@@ -207,8 +207,11 @@ def box_outliers(grid: DataFrame, by: Sequence[str] = SIGNAL) -> DataFrame:
     return rows.filter(~F.col("value").between(F.col("q1") - reach, F.col("q3") + reach)).drop("q1", "q3")
 
 
-def duration_curve(grid: DataFrame, max_points: int = 500) -> DataFrame:
-    """Values in descending order against the percent of time at or above them."""
+def duration_curve(grid: DataFrame, max_points: int | None = None) -> DataFrame:
+    """Values in descending order against the percent of time at or above them.
+
+    With ``max_points`` a longer curve is thinned to every n-th value and its last one.
+    """
     counts = grid.filter(F.col("value").isNotNull()).groupBy("signal_id", "value").agg(F.count(F.lit(1)).alias("_c"))
     total = counts.groupBy("signal_id").agg(
         F.sum("_c").alias("n"), F.min("value").alias("_min"), F.percentile_approx("value", [i / 64 for i in range(1, 64)], 1000).alias("_cuts")
@@ -216,11 +219,11 @@ def duration_curve(grid: DataFrame, max_points: int = 500) -> DataFrame:
     rows = attach(counts, total, "signal_id", salt="value")
     slot = F.size(F.filter("_cuts", lambda c: c > F.col("value")))
     rows = ordinal(rows, "signal_id", [F.col("value").desc()], slot, name="_first", weight=F.col("_c"))
-    step = F.when(F.col("n") > max_points, F.ceil(F.col("n") / max_points)).otherwise(1)
+    step = F.lit(1) if max_points is None else F.when(F.col("n") > max_points, F.ceil(F.col("n") / max_points)).otherwise(1)
     low, high = F.ceil(F.col("_first") / step), F.floor((F.col("_first") + F.col("_c") - 1) / step)
     hits = rows.withColumn("_step", step).filter(low <= high).withColumn("_k", F.explode(F.sequence(low, high)))
     points = hits.select("signal_id", ((F.col("_k") * F.col("_step") + 1) / F.col("n") * 100).alias("percent"), "value")
-    last = total.filter(F.pmod(F.col("n") - 1, F.when(F.col("n") > max_points, F.ceil(F.col("n") / max_points)).otherwise(1)) != 0)
+    last = total.filter(F.pmod(F.col("n") - 1, step) != 0)
     return points.unionByName(last.select("signal_id", F.lit(100.0).alias("percent"), F.col("_min").alias("value")))
 
 
@@ -330,7 +333,7 @@ def risk_flags(
 
 
 def overview(
-    grid: DataFrame, base: int = 8, factor: int = 4, min_buckets: int = 16, max_levels: int = 12, by: Sequence[str] = SIGNAL
+    grid: DataFrame, base: int = 8, factor: int = 4, min_buckets: int = 16, by: Sequence[str] = SIGNAL
 ) -> DataFrame:
     """Min/max/mean envelopes at coarsening zoom levels, each built from the finer one."""
     n = known_bins(grid)
@@ -341,8 +344,8 @@ def overview(
     level = grid.withColumn("bucket", floor_div(F.col("bin_idx"), base)).groupBy(*by, "bucket").agg(
         F.min("value").alias("lo"), F.max("value").alias("hi"), F.sum("value").alias("s"), F.count("value").alias("c")
     )
-    for k in range(max_levels):
-        levels.append(level.withColumn("level", F.lit(k)).withColumn("start_idx", F.col("bucket") * size))
+    while True:
+        levels.append(level.withColumn("level", F.lit(len(levels))).withColumn("start_idx", F.col("bucket") * size))
         if -(-n // size) <= min_buckets:
             break
         size *= factor

@@ -268,7 +268,7 @@ def _(t):
 s AS (SELECT *, CASE WHEN n > 500 THEN ceil(n / 500)::BIGINT ELSE 1 END AS step FROM r)
 SELECT signal_id, CASE WHEN i % step = 0 THEN (i + 1)::DOUBLE / n * 100 ELSE 100.0 END AS percent, value FROM s WHERE i % step = 0 OR i = n - 1""", "percent"))
 def _(t):
-    return rounded(S.duration_curve(signals(t)))
+    return rounded(S.duration_curve(signals(t), 500))
 
 
 @query("g15_attr_heatmap", sql_round(GRID + " SELECT signal_id, hour(ts)::INT AS x, (isodow(ts) - 1)::INT AS y, avg(value) AS value FROM grid WHERE value IS NOT NULL GROUP BY ALL", "value"))

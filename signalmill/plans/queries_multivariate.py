@@ -127,7 +127,7 @@ ev AS (SELECT {SPLIT}, bin_idx, sqrt((ls * ls + ss * ss) / 2) AS f FROM cs)""" +
 
 @query("d03_change_point", sql_round(TRACK_FILLED + CONTRAST + _vote_sql("ev", "f", 0.3, 0.25, "2", 0.8, "5", "change_point", "bin_idx - 11", "is_anomaly"), NUMBERS))
 def _(t):
-    out = M.change_point(prep(t), DAY, 8, contrast=6, track_threshold=0.3, rms_threshold=0.25, min_votes=2, extreme_threshold=0.8)
+    out = M.change_point(prep(t), DAY, 8, contrast=6, track_threshold=0.3, rms_threshold=0.25, min_votes=2, min_fraction=0.3, extreme_threshold=0.8)
     return rounded(flat(out))
 
 

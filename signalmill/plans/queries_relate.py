@@ -467,7 +467,7 @@ SELECT cand0, cand1, sum(a)::BIGINT AS count_anomalous, sum(1 - a)::BIGINT AS co
  sum(a) * 100.0::DOUBLE / (SELECT sum(a) FROM wd) - sum(1 - a) * 100.0::DOUBLE / (SELECT sum(1 - a) FROM wd) AS contribution
 FROM wd GROUP BY GROUPING SETS ((cand0), (cand1), (cand0, cand1)) ORDER BY contribution DESC, cand0 NULLS FIRST, cand1 NULLS FIRST LIMIT 12""", "pct_anomalous pct_normal contribution"))
 def _(t):
-    return rounded(R.diagnose_anomalies(N.decompose_anomalies(hourly(t), 1.5, 24), "click", ["error", "view"]))
+    return rounded(R.diagnose_anomalies(N.decompose_anomalies(hourly(t), 1.5, 24), "click", ["error", "view"], 3, 12))
 
 
 @query("r13_scatter_pairs", sql_round(GRID + """, w AS (SELECT bin_idx, ts, max(value) FILTER (signal_id = 'click') AS x, max(value) FILTER (signal_id = 'view') AS y FROM grid GROUP BY ALL),

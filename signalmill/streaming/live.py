@@ -12,16 +12,16 @@ from datetime import datetime, timedelta
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from signalmill.functions.normal import normal_quantile
 from signalmill.functions.ordered import attach, ordinal
 from signalmill.functions.timeparts import DAY, as_us, floor_div, from_us, to_us
 from signalmill.operators import multivariate, similarity
-from signalmill.operators.anomaly import z_for
 from signalmill.operators.grid import search_space
 from signalmill.operators.joins import join_dim
 
 # Smallest history of a discord watch, as multiple and floor.
 DISCORD_HISTORY = (4, 200)
-SAFETY_BINS = 8
+SAFETY_BINS = 4
 
 
 def stream_bins(sdf: DataFrame, bin_width: str, watermark: str, agg: str = "avg") -> DataFrame:
@@ -92,7 +92,8 @@ def evaluate_rules(rows: DataFrame, rules: DataFrame) -> DataFrame:
 
     ``rules``: ``rule_id, signal_id, condition_type, threshold, confidence,
     rate_per_minute, severity``. ``deviation_band`` reads ``baseline`` and ``sigma``
-    columns, ``rate_of_change`` a ``rate_per_minute_now`` column, where present.
+    columns, ``rate_of_change`` a ``rate_per_minute_now`` column, where present. A
+    confidence is a fraction or, above 1, in percent; without one nothing fires.
     """
     have = set(rows.columns)
     named = rules.withColumnRenamed("rate_per_minute", "_limit")
@@ -100,10 +101,8 @@ def evaluate_rules(rows: DataFrame, rules: DataFrame) -> DataFrame:
     kind, v = F.col("condition_type"), F.col("value")
     fired = F.when(kind == "threshold_above", v > F.col("threshold")).when(kind == "threshold_below", v < F.col("threshold"))
     if {"baseline", "sigma"} <= have:
-        levels = [0.8, 0.9, 0.95, 0.975, 0.99, 0.995, 0.999]
-        z = F.lit(z_for(levels[-1]))
-        for c in reversed(levels[:-1]):
-            z = F.when(F.col("confidence") <= c, z_for(c)).otherwise(z)
+        share = F.when(F.col("confidence") > 1, F.col("confidence") / 100).otherwise(F.col("confidence"))
+        z = normal_quantile(0.5 + share / 2)
         fired = fired.when(kind == "deviation_band", F.abs(v - F.col("baseline")) > z * F.col("sigma"))
     if "rate_per_minute_now" in have:
         fired = fired.when(kind == "rate_of_change", F.abs("rate_per_minute_now") > F.col("_limit"))
@@ -216,18 +215,18 @@ def watch_similarity(
 
 
 def watch_multidim(
-    readings: DataFrame, queries: dict[str, Sequence[float]], now: datetime, frequency_us: int, bin_us: int, min_rank: float = 0.0, **params
+    readings: DataFrame, queries: dict[str, Sequence[float]], now: datetime, frequency_us: int, bin_us: int, min_similarity: float = 0.0, **params
 ) -> DataFrame:
     """One run of a multi-signal pattern watch (``entity_id, track_id, ts, value``)."""
     longest = max(len(q) for q in queries.values())
     start = now - timedelta(microseconds=lookback_us(frequency_us, longest, bin_us))
     tracks = search_space(readings, start, now, bin_us, by=similarity.TRACK)
-    hits = similarity.similarity_multidim(queries, tracks, **params).filter(F.col("rank_score") >= min_rank)
+    hits = similarity.similarity_multidim(queries, tracks, **params).filter(F.col("exact_score") >= min_similarity)
     at = lambda i: from_us(i * bin_us + as_us(start))
     return hits.withColumn("match_start", at(F.col("start_index"))).withColumn("match_end", at(F.col("end_index") + 1))
 
 
-def history_bins(detector: str, detection: int, season: int = 0, contrast: int = 12, baseline_windows: int = 16) -> int:
+def history_bins(detector: str, detection: int, season: int = 0, contrast: int = 8, baseline_windows: int = 8) -> int:
     """Bins a scheduled detector run has to read."""
     if detector == "spectral_aggregation":
         return detection * (baseline_windows + 1) + SAFETY_BINS
@@ -249,7 +248,7 @@ def watch_mvad(
     **params,
 ) -> DataFrame:
     """One run of a multivariate watch; emits only events of the newest slice."""
-    shape = {"contrast": params.get("contrast", 12), "season": params.get("season", 0), "baseline_windows": params.get("baseline_windows", 16)}
+    shape = {"contrast": params.get("contrast", 8), "season": params.get("season", 0), "baseline_windows": params.get("baseline_windows", 8)}
     bins = history_bins(detector, detection, **shape)
     end_us = as_us(now) // bin_us * bin_us
     end = datetime(1970, 1, 1) + timedelta(microseconds=end_us)
@@ -268,8 +267,8 @@ def watch_discords(
     start = now - timedelta(microseconds=bins * bin_us)
     found = similarity.sax_discords(search_space(readings, start, now, bin_us), window, detection_bins=detection, **params)
     at = lambda i: from_us(i * bin_us + as_us(start))
-    found = found.filter(F.col("nn_distance") >= min_distance).withColumn("match_end", at(F.col("end_index") + 1))
-    return found.filter(to_us("match_end") > as_us(now) - (frequency_us + bin_us))
+    found = found.filter((F.col("nn_distance") >= min_distance) & (to_us(at(F.col("end_index"))) > as_us(now) - (frequency_us + bin_us)))
+    return found.withColumn("match_end", at(F.col("end_index") + 1))
 
 
 def run_watch(

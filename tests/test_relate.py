@@ -89,8 +89,15 @@ def test_four_step_transform(grid_of, block):
     assert len(got) == 180
     for k, v in got.items():
         assert v == pytest.approx(want[k], rel=1e-9, abs=1e-7)
-    with pytest.raises(ValueError):
-        S._split(2 * 10_007, 100)
+
+
+@pytest.mark.parametrize("n, block", [(101, 40), (2 * 151, 60), (257, 100)])
+def test_transform_of_lengths_without_two_factors(grid_of, n, block):
+    assert S._split(n, block) is None
+    x = walk(n, n)
+    got = {r["k"]: r["magnitude"] for r in S.spectrum(grid_of({"x": x, "y": x[::-1]}), HOUR, block=block).filter("signal_id = 'x'").collect()}
+    want = np.abs(np.fft.fft(x))
+    assert got and all(v == pytest.approx(want[k], rel=1e-9, abs=1e-7) for k, v in got.items())
 
 
 def test_periods_and_spectrogram(grid_of):
