@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from signalmill.functions.frames import empty_frame
-from signalmill.functions.ordered import attach, framed, known_bins, mark_bins, with_row
+from signalmill.functions.ordered import SALTS, attach, framed, known_bins, mark_bins, with_row
 from signalmill.functions.quantiles import quantiles
 from signalmill.functions.symbols import (
     ROUNDED_BREAKPOINTS, fitted_breakpoints, gaussian_breakpoints, literal_array, mindist, similarity, symbol_index, symbolize,
@@ -23,6 +23,7 @@ from signalmill.operators.joins import join_dim, map_tracks, top_k_per_group
 from signalmill.operators.sequences import pick_nonoverlap
 from signalmill.operators.spectral import series_length
 from signalmill.operators.windows import SIGNAL, sax_windows, segment_bounds, window_means
+from signalmill.plans.runtime import checkpointed
 
 TRACK = ("entity_id", "track_id")
 
@@ -418,90 +419,122 @@ def cycle_words(cycles: DataFrame, segments: int, alpha: int, threshold: float =
     return series_word(paa_integer(z, segments, "z", CYCLE), [-1e308, *ROUNDED_BREAKPOINTS[alpha]], CYCLE)
 
 
-MAX_CYCLES = 500
-
-
-def _checked(words: DataFrame) -> DataFrame:
-    """Refuse signals whose full cycle matrix would be unbounded."""
-    many = words.groupBy("signal_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > MAX_CYCLES)
-    if many.limit(1).count():
-        raise ValueError(f"a signal has more than {MAX_CYCLES} cycles; use longer cycles or a shorter window")
-    return words
-
-
 def cycle_distances(words: DataFrame, alpha: int, length: int) -> DataFrame:
-    """Word distance of every pair of cycles of a signal (at most 500 cycles each)."""
-    words = _checked(words)
+    """Word distance of every pair of cycles of a signal: the full matrix, for few cycles.
+
+    ``nearest_cycles`` gives a bounded answer for many.
+    """
     a = words.select("signal_id", F.col("cycle").alias("cycle_a"), F.col("word").alias("_wa"))
     b = words.select("signal_id", F.col("cycle").alias("cycle_b"), F.col("word").alias("_wb"))
     pairs = a.join(b, "signal_id").filter(F.col("cycle_a") < F.col("cycle_b"))
     return pairs.select("signal_id", "cycle_a", "cycle_b", mindist(F.col("_wa"), F.col("_wb"), alpha, length).alias("distance"))
 
 
-def _word_matrix(words: Sequence[str], alpha: int, length: int) -> np.ndarray:
-    cuts = np.asarray(ROUNDED_BREAKPOINTS[alpha], dtype=float)
-    letters = np.frombuffer("".join(words).encode(), dtype=np.uint8).reshape(len(words), -1).astype(int) - 97
-    table = np.zeros((alpha, alpha))
-    for r in range(alpha):
-        for c in range(r - 1):
-            table[r, c] = table[c, r] = cuts[r - 1] - cuts[c]
-    gaps = table[letters[:, None, :], letters[None, :, :]]
-    return np.sqrt(length / letters.shape[1]) * np.sqrt((gaps**2).sum(axis=2))
+def _distinct_words(words: DataFrame) -> DataFrame:
+    """Each signal's words with their first cycle and number of cycles; the alphabet bounds their number."""
+    return words.groupBy("signal_id", "word").agg(F.min("cycle").alias("first"), F.count(F.lit(1)).alias("n"))
+
+
+def _word_pairs(bag: DataFrame, alpha: int, length: int) -> DataFrame:
+    """Distances of all ordered pairs of a signal's distinct words; a signal is spread over its words."""
+    a = bag.select("signal_id", F.col("first").alias("a"), F.col("n").alias("na"), F.col("word").alias("_wa"))
+    b = bag.select("signal_id", F.col("first").alias("b"), F.col("n").alias("nb"), F.col("word").alias("_wb"))
+    pairs = _with_all(a, b)
+    return pairs.select("signal_id", "a", "b", "na", "nb", mindist(F.col("_wa"), F.col("_wb"), alpha, length).alias("distance"))
+
+
+def _with_all(left: DataFrame, right: DataFrame) -> DataFrame:
+    """All rows of two tables that share a signal, one signal spread over salted copies of ``right``."""
+    spread = left.withColumn("_salt", F.pmod(F.hash("a"), F.lit(SALTS)))
+    copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return spread.join(copies, ["signal_id", "_salt"]).drop("_salt")
+
+
+def nearest_cycles(words: DataFrame, alpha: int, length: int, k: int = 5) -> DataFrame:
+    """The ``k`` other cycles of the same signal with the nearest words; ties to the earlier cycle.
+
+    Distances are taken between distinct words. Of each word only its first ``k + 1`` cycles can be
+    among a cycle's nearest, so the work grows with the cycles, not with their pairs.
+    """
+    bag = checkpointed(_distinct_words(words))
+    pairs = _word_pairs(bag, alpha, length)
+    heads = top_k_per_group(words.select("signal_id", "word", "cycle"), k + 1, ["signal_id", "word"], [F.col("cycle")])
+    heads = heads.join(bag.select("signal_id", "word", F.col("first").alias("b")), ["signal_id", "word"]).select("signal_id", "b", F.col("cycle").alias("neighbour"))
+    # the nearest words whose heads hold k + 1 cycles: one is the cycle itself
+    w = Window.partitionBy("signal_id", "a").orderBy("distance", "b").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum(F.least("nb", F.lit(k + 1))).over(w), F.lit(0))
+    pairs = pairs.withColumn("_sum", before)
+    pairs = pairs.withColumn("_least", F.min("_sum").over(Window.partitionBy("signal_id", "a", "distance"))).filter(F.col("_least") <= k)
+    near = pairs.join(heads, ["signal_id", "b"])
+    lists = top_k_per_group(near, k + 1, ["signal_id", "a"], [F.col("distance"), F.col("neighbour")])
+    mine = words.join(bag.select("signal_id", "word", F.col("first").alias("a")), ["signal_id", "word"]).select("signal_id", "a", "cycle")
+    packed = lists.groupBy("signal_id", "a").agg(F.sort_array(F.collect_list(F.struct("distance", "neighbour"))).alias("_l"))
+    own = attach(mine, packed, ["signal_id", "a"], salt="cycle")
+    picked = F.slice(F.filter("_l", lambda e: e["neighbour"] != F.col("cycle")), 1, k)
+    return own.select("signal_id", "cycle", F.posexplode(picked).alias("_p", "_e")).select("signal_id", "cycle", (F.col("_p") + 1).alias("rank"), "_e.neighbour", "_e.distance")
 
 
 def cluster_cycles(words: DataFrame, k: int, alpha: int, length: int, rounds: int = 20) -> DataFrame:
-    """K-medoids of each signal's cycles by word distance, seeded farthest-first from the first cycle."""
-
-    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("cycle")
-        n, ids = len(pdf), pdf["cycle"].to_numpy()
-        d = _word_matrix(pdf["word"].tolist(), alpha, length)
-        if k >= n:
-            seats = list(range(n))
-        else:
-            seats = [0]
-            while len(seats) < k:
-                spread = d[:, seats].min(axis=1)
-                spread[seats] = -1.0
-                seats.append(int(np.argmax(spread)))
-        owner = np.argmin(d[:, seats], axis=1) if k < n else np.arange(n)
-        for _ in range(rounds if k < n else 0):
-            fresh = []
-            for c in range(k):
-                mine = np.flatnonzero(owner == c)
-                fresh.append(seats[c] if not len(mine) else int(mine[np.argmin(d[np.ix_(mine, mine)].sum(axis=1))]))
-            seats = fresh
-            after = np.argmin(d[:, seats], axis=1)
-            if (after == owner).all():
-                break
-            owner = after
-        return pd.DataFrame({"signal_id": pdf["signal_id"].iloc[0], "cycle": ids, "cluster": owner, "medoid": ids[np.asarray(seats)[owner]]})
-
-    rows = _checked(words).select("signal_id", "cycle", "word")
-    return rows.groupBy("signal_id").applyInPandas(kernel, "signal_id string, cycle long, cluster int, medoid long")
+    """K-medoids of each signal's cycles by word distance, seeded farthest-first from the first cycle.
+
+    Works on distinct words weighted by their cycles, so equal words share a cluster and a signal
+    with at most ``k`` of them gets one cluster each. Assignment and the choice of medoids are
+    joins and sums over word pairs; ties go to the earlier cycle.
+    """
+    bag = checkpointed(_distinct_words(words))
+    pairs = checkpointed(_word_pairs(bag, alpha, length))
+    seats = bag.groupBy("signal_id").agg(F.min("first").alias("medoid")).withColumn("cluster", F.lit(0))
+    seats = checkpointed(seats)
+    to_seats = lambda seats: pairs.join(seats.withColumnRenamed("medoid", "b"), ["signal_id", "b"])
+    for c in range(1, k):
+        spread = to_seats(seats).groupBy("signal_id", "a").agg(F.min("distance").alias("d"))
+        spread = spread.join(seats.withColumnRenamed("medoid", "a"), ["signal_id", "a"], "left_anti")
+        far = spread.groupBy("signal_id").agg(F.max_by("a", F.struct("d", -F.col("a"))).alias("medoid")).withColumn("cluster", F.lit(c))
+        seats = checkpointed(seats.unionByName(far))
+    owners = lambda seats: to_seats(seats).groupBy("signal_id", "a").agg(F.min_by("cluster", F.struct("distance", "cluster")).alias("cluster"))
+    owner = checkpointed(owners(seats))
+    for _ in range(rounds):
+        mates = owner.select("signal_id", F.col("a").alias("b"), F.col("cluster").alias("_with"))
+        cost = pairs.join(owner, ["signal_id", "a"]).join(mates, ["signal_id", "b"]).filter(F.col("cluster") == F.col("_with"))
+        cost = cost.groupBy("signal_id", "cluster", "a").agg(F.sum(F.col("distance") * F.col("nb")).alias("d"))
+        moved = cost.groupBy("signal_id", "cluster").agg(F.min_by("a", F.struct(F.round("d", 9), "a")).alias("_to"))
+        fresh = seats.join(moved, ["signal_id", "cluster"], "left")
+        seats = checkpointed(fresh.select("signal_id", F.coalesce("_to", "medoid").alias("medoid"), "cluster"))
+        after = checkpointed(owners(seats))
+        same = after.join(owner, ["signal_id", "a", "cluster"], "left_anti").isEmpty()
+        owner = after
+        if same:
+            break
+    named = owner.join(seats, ["signal_id", "cluster"]).join(bag.select("signal_id", "word", F.col("first").alias("a")), ["signal_id", "a"])
+    return words.select("signal_id", "cycle", "word").join(named, ["signal_id", "word"]).select("signal_id", "cycle", "cluster", "medoid")
 
 
 def linkage(words: DataFrame, alpha: int, length: int) -> DataFrame:
-    """Average-linkage merges per signal: positions in the current cluster list and their distance."""
-
-    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("cycle")
-        d = _word_matrix(pdf["word"].tolist(), alpha, length)
-        size = np.ones(len(d))
-        merges: list[tuple[int, int, float]] = []
-        while len(d) > 1:
-            upper = np.where(np.triu(np.ones_like(d), 1) > 0, d, np.inf)
-            i, j = np.unravel_index(int(np.argmin(upper)), d.shape)
-            merges.append((int(i), int(j), float(d[i, j])))
-            mean = (size[i] * d[i] + size[j] * d[j]) / (size[i] + size[j])
-            d[i], d[:, i] = mean, mean
-            size[i] += size[j]
-            d = np.delete(np.delete(d, j, axis=0), j, axis=1)
-            size = np.delete(size, j)
-        out = pd.DataFrame(merges, columns=["left", "right", "distance"])
-        out.insert(0, "step", range(len(out)))
-        out.insert(0, "signal_id", pdf["signal_id"].iloc[0])
-        return out
-
-    rows = _checked(words).select("signal_id", "cycle", "word")
-    return rows.groupBy("signal_id").applyInPandas(kernel, "signal_id string, step long, left long, right long, distance double")
+    """Average-linkage merges per signal over its distinct words, each weighted by its cycles.
+
+    A cluster is named by its first cycle. In each round all pairs of clusters that are each
+    other's nearest merge: with mean distances that gives the merges of the one-by-one method, in
+    about log(words) rounds of joins and sums. ``step`` numbers a signal's merges by distance.
+    """
+    bag = _distinct_words(words)
+    pairs = _word_pairs(bag, alpha, length).filter("a <> b")
+    weight = F.col("na") * F.col("nb")
+    pairs = checkpointed(pairs.select("signal_id", "a", "b", (F.col("distance") * weight).alias("s"), weight.alias("n")))
+    merges = None
+    while not pairs.isEmpty():
+        mean = F.round(F.col("s") / F.col("n"), 9)
+        # ties by the pair's names, the same seen from both sides, so some pair is always mutual
+        order = F.struct(mean, F.least("a", "b"), F.greatest("a", "b"))
+        near = pairs.groupBy("signal_id", "a").agg(F.min_by(F.struct("b", (F.col("s") / F.col("n")).alias("d")), order).alias("m"))
+        near = near.select("signal_id", "a", "m.b", "m.d")
+        back = near.select("signal_id", F.col("b").alias("a"), F.col("a").alias("b"))
+        found = checkpointed(near.join(back, ["signal_id", "a", "b"]).filter("a < b").select("signal_id", F.col("a").alias("left"), F.col("b").alias("right"), F.col("d").alias("distance")))
+        merges = found if merges is None else merges.unionByName(found)
+        into = lambda side: found.select("signal_id", F.col("right").alias(side), F.col("left").alias(f"_{side}"))
+        named = pairs.join(into("a"), ["signal_id", "a"], "left").join(into("b"), ["signal_id", "b"], "left")
+        named = named.select("signal_id", F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b"), "s", "n").filter("a <> b")
+        pairs = checkpointed(named.groupBy("signal_id", "a", "b").agg(F.sum("s").alias("s"), F.sum("n").alias("n")))
+    if merges is None:
+        merges = pairs.select("signal_id", F.col("a").alias("left"), F.col("b").alias("right"), F.col("s").alias("distance"))
+    step = F.row_number().over(Window.partitionBy("signal_id").orderBy(F.round("distance", 9), "left", "right")) - 1
+    return merges.withColumn("step", step.cast("bigint")).select("signal_id", "step", "left", "right", "distance")

@@ -413,6 +413,13 @@ def _(t):
     return rounded(X.cycle_distances(X.cycle_words(cycles(t), 4, 4), 4, 8))
 
 
+@query("x19_nearest_cycles", sql_round(CYCLE_FILLED + CYCLE_WORDS + """, gp AS (SELECT a.signal_id, a.cycle AS cycle_a, b.cycle AS cycle_b, ascii(substr(a.word, p.p::INT, 1)) - 97 AS ca, ascii(substr(b.word, p.p::INT, 1)) - 97 AS cb FROM cw a JOIN cw b ON
+ a.signal_id = b.signal_id AND a.cycle <> b.cycle CROSS JOIN range(1, 5) p(p)), md AS (""" + _mindist_sql("gp", "signal_id, cycle_a, cycle_b", 4, 8) + """),
+rk AS (SELECT signal_id, cycle_a AS cycle, row_number() OVER (PARTITION BY signal_id, cycle_a ORDER BY round(distance, 9), cycle_b)::INT AS rank, cycle_b AS neighbour, distance FROM md) SELECT * FROM rk WHERE rank <= 3""", "distance"))
+def _(t):
+    return rounded(X.nearest_cycles(X.cycle_words(cycles(t), 4, 4), 4, 8, 3))
+
+
 @query("x20_cluster_cycles")
 def _(t):
     return X.cluster_cycles(X.cycle_words(cycles(t), 4, 4), 3, 4, 8)

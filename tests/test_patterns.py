@@ -119,21 +119,82 @@ def test_word_functions(spark):
     assert len(Y.gaussian_breakpoints(20)) == 20 and Y.gaussian_breakpoints(3)[1] == pytest.approx(-0.430727299, abs=1e-8)
 
 
-def test_clusters_and_linkage(spark):
-    words = ["aaaa", "aaab", "dddd", "dddc", "adad", "aaaa"]
-    df = spark.createDataFrame([("s", i, w) for i, w in enumerate(words)], "signal_id string, cycle long, word string")
-    got = {r["cycle"]: r["cluster"] for r in X.cluster_cycles(df, 3, 4, 8).collect()}
-    assert got[0] == got[1] == got[5] and got[2] == got[3] and len(set(got.values())) == 3
-    steps = X.linkage(df, 4, 8).orderBy("step").collect()
-    d = X._word_matrix(words, 4, 8)
-    groups, want = [[i] for i in range(6)], []
+def word_matrix(words, alpha, length):
+    """Lower-bound distance of every pair of words, from the rounded breakpoints."""
+    cuts = np.asarray(Y.ROUNDED_BREAKPOINTS[alpha], dtype=float)
+    gap = lambda p, q: 0.0 if abs(p - q) < 2 else cuts[max(p, q) - 1] - cuts[min(p, q)]
+    each = [[np.sqrt(length / len(a)) * np.sqrt(sum(gap(ord(x) - 97, ord(y) - 97) ** 2 for x, y in zip(a, b))) for b in words] for a in words]
+    return np.array(each)
+
+
+def some_words(n, seed):
+    rng = np.random.default_rng(seed)
+    return ["".join(rng.choice(list("abcd"), 4)) for _ in range(n)]
+
+
+def cycle_rows(spark, *lists):
+    rows = [(f"s{k}", i, w) for k, words in enumerate(lists) for i, w in enumerate(words)]
+    return spark.createDataFrame(rows, "signal_id string, cycle long, word string").repartition(5)
+
+
+def test_linkage_merges(spark):
+    words = ["aaaa", "aaab", "dddd", "dddc", "adad", "aaaa", "cbda", "dddd", "bdac"]
+    got = X.linkage(cycle_rows(spark, words, ["abab"], ["abab", "dcdc", "abab"]), 4, 8).orderBy("signal_id", "step").collect()
+    d = word_matrix(words, 4, 8)
+    groups, want = {}, []
+    for i, w in enumerate(words):
+        groups.setdefault(words.index(w), []).append(i)
     while len(groups) > 1:
-        cells = [(np.mean([d[p, q] for p in groups[i] for q in groups[j]]), i, j) for i in range(len(groups)) for j in range(i + 1, len(groups))]
-        dist, i, j = min(cells)
+        dist, i, j = min((round(np.mean([d[p, q] for p in groups[i] for q in groups[j]]), 9), i, j) for i in groups for j in groups if i < j)
         want.append((i, j, dist))
         groups[i] += groups.pop(j)
-    assert [(r["left"], r["right"]) for r in steps] == [w[:2] for w in want]
-    assert [r["distance"] for r in steps] == pytest.approx([w[2] for w in want])
+    mine = [r for r in got if r["signal_id"] == "s0"]
+    assert [(r["left"], r["right"]) for r in mine] == [w[:2] for w in want]
+    assert [r["distance"] for r in mine] == pytest.approx([w[2] for w in want])
+    assert [(r["left"], r["right"]) for r in got if r["signal_id"] == "s2"] == [(0, 1)] and not [r for r in got if r["signal_id"] == "s1"]
+
+
+@pytest.mark.parametrize("k", [1, 3, 6])
+def test_clusters_of_cycles(spark, k):
+    """Farthest-first seeds and weighted medoids, against the same rules in loops."""
+    lists = [some_words(60, k), ["aaaa", "dddd", "aaaa"]]
+    got = {(r["signal_id"], r["cycle"]): r["medoid"] for r in X.cluster_cycles(cycle_rows(spark, *lists), k, 4, 8).collect()}
+    for name, words in zip(("s0", "s1"), lists):
+        d = word_matrix(words, 4, 8)
+        firsts = sorted({words.index(w) for w in words})
+        count = {f: words.count(words[f]) for f in firsts}
+        seats = [0]
+        while len(seats) < min(k, len(firsts)):
+            seats.append(max((f for f in firsts if f not in seats), key=lambda f: (min(d[f, s] for s in seats), -f)))
+        owner = {f: min(range(len(seats)), key=lambda c: (d[f, seats[c]], c)) for f in firsts}
+        for _ in range(20):
+            for c in range(len(seats)):
+                mine = [f for f in firsts if owner[f] == c]
+                if mine:
+                    seats[c] = min(mine, key=lambda f: (round(sum(d[f, g] * count[g] for g in mine), 9), f))
+            after = {f: min(range(len(seats)), key=lambda c: (d[f, seats[c]], c)) for f in firsts}
+            if after == owner:
+                break
+            owner = after
+        assert {i: got[name, i] for i in range(len(words))} == {i: seats[owner[words.index(w)]] for i, w in enumerate(words)}
+
+
+@pytest.mark.parametrize("k", [1, 4])
+def test_nearest_cycles(spark, k):
+    lists = [some_words(40, 9), ["aaaa"] * 7, ["abcd"]]
+    got = X.nearest_cycles(cycle_rows(spark, *lists), 4, 8, k).collect()
+    for name, words in zip(("s0", "s1", "s2"), lists):
+        d = word_matrix(words, 4, 8)
+        want = {(i, n): j for i in range(len(words)) for n, j in enumerate(sorted((j for j in range(len(words)) if j != i), key=lambda j: (d[i, j], j))[:k], 1)}
+        assert {(r["cycle"], r["rank"]): r["neighbour"] for r in got if r["signal_id"] == name} == want
+
+
+def test_many_cycles_of_one_signal(spark):
+    """No cap and no group of all cycles: 100,000 cycles with a few words."""
+    words = spark.range(100_000).select(F.lit("s").alias("signal_id"), F.col("id").alias("cycle"), F.concat(F.when(F.col("id") % 2 == 0, "aa").otherwise("dd"), F.when(F.col("id") % 3 == 0, "ab").otherwise("dc")).alias("word"))
+    assert X.cluster_cycles(words, 2, 4, 8).count() == 100_000
+    assert X.nearest_cycles(words, 4, 8, 2).count() == 200_000
+    assert X.linkage(words, 4, 8).count() == 3
 
 
 def test_training_spans_fill_each_window(spark):
