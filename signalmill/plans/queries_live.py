@@ -124,6 +124,45 @@ def _(t):
     return rounded(ntz(newest(out, "dedup_key", "opened_at"), "opened_at", "last_at"))
 
 
+def actions(t):
+    """Every alert of the test: acknowledged, assigned, suppressed for three days, later closed."""
+    at = lambda day, hour=0: datetime(2024, 1, day, hour)
+    what = [("ACK", at(5), None, None), ("ASSIGN", at(6), "shift-2", None), ("SUPPRESS", at(10), None, at(13)), ("CLOSE", at(20, 12), None, None), ("REOPEN", at(29), None, None)]
+    keys = fired(t).select("dedup_key").distinct()
+    return keys.withColumn("_a", F.explode(F.array(*[F.struct(F.lit(a).alias("action"), F.lit(str(x)).cast("timestamp_ntz").alias("ts"), F.lit(u).cast("string").alias("assignee"), F.lit(None if v is None else str(v)).cast("timestamp_ntz").alias("until")) for a, x, u, v in what]))).select("dedup_key", "_a.*")
+
+
+LIFE = FIRED + """, o AS (SELECT *, min(ts) OVER (PARTITION BY dedup_key) AS first_ts FROM fi),
+s0 AS (SELECT *, CASE WHEN ts >= TIMESTAMP '2024-01-20 12:00:00' THEN 3 WHEN first_ts < TIMESTAMP '2024-01-10' AND ts >= TIMESTAMP '2024-01-13' THEN 2 ELSE 1 END AS part FROM o),
+s1 AS (SELECT *, bool_or(part = 3 AND ts < TIMESTAMP '2024-01-29') OVER k AS fresh, max(part) FILTER (part < 3) OVER k AS before FROM s0 WINDOW k AS (PARTITION BY dedup_key)),
+sg AS (SELECT *, CASE WHEN part = 3 AND NOT fresh THEN coalesce(before, 3) ELSE part END AS seg FROM s1),
+ag AS (SELECT dedup_key, seg, min(ts) AS opened_at, max(ts) AS last_at, count(*) AS occurrence_count, arg_max(value, (ts, value)) AS last_value, bool_or(first_ts < TIMESTAMP '2024-01-10') AS was FROM sg GROUP BY ALL),
+nm AS (SELECT *, row_number() OVER w AS alert, lead(seg) OVER w AS later FROM ag WINDOW w AS (PARTITION BY dedup_key ORDER BY seg)),
+li AS (SELECT dedup_key, alert::INT AS alert,
+  CASE WHEN later IS NULL AND opened_at < TIMESTAMP '2024-01-29' THEN 'OPEN' WHEN seg = 3 THEN 'OPEN' WHEN seg = 2 OR NOT was OR later IS NULL OR later = 3 THEN 'CLOSED' ELSE 'SUPPRESSED' END AS status,
+  opened_at, last_at, occurrence_count, last_value,
+  CASE WHEN opened_at < TIMESTAMP '2024-01-06' THEN 'shift-2' END AS assignee,
+  CASE WHEN seg = 1 AND was AND later IS NOT NULL THEN TIMESTAMP '2024-01-13' END AS suppressed_until,
+  CASE WHEN later IS NOT NULL AND (seg = 2 OR NOT was OR later = 3) THEN TIMESTAMP '2024-01-20 12:00:00' END AS closed_at,
+  1 + (opened_at < TIMESTAMP '2024-01-05')::INT + (opened_at < TIMESTAMP '2024-01-06')::INT + (seg = 1 AND was)::INT
+   + ((later IS NULL OR later = 3) AND opened_at < TIMESTAMP '2024-01-20 12:00:00')::INT + (later IS NULL AND opened_at < TIMESTAMP '2024-01-29')::INT AS steps FROM nm)"""
+
+
+def lifecycle(t):
+    out = L.alert_lifecycle(fired(t), actions(t))
+    return rounded(out.withColumn("steps", F.size("audit")).drop("audit"))
+
+
+@query("l05_alert_lifecycle", sql_round(LIFE + " SELECT * FROM li", "last_value"))
+def _(t):
+    return lifecycle(t)
+
+
+@query("l06_alert_queue", sql_round(LIFE + " SELECT * FROM li WHERE status <> 'CLOSED' AND NOT (status = 'SUPPRESSED' AND coalesce(suppressed_until > TIMESTAMP '2024-01-12', false))", "last_value"))
+def _(t):
+    return L.active_alerts(lifecycle(t), datetime(2024, 1, 12))
+
+
 @query("l06_active_alerts", sql_round(ALERTS + " SELECT * EXCLUDE (a) FROM al WHERE status <> 'CLOSED'", "last_value"))
 def _(t):
     return rounded(L.active_alerts(L.collapse_alerts_batch(fired(t), timedelta(hours=12)), NOW))

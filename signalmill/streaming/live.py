@@ -188,6 +188,63 @@ def collapse_alerts_batch(fired: DataFrame, quiet: timedelta) -> DataFrame:
     return out.withColumn("status", F.when(F.col("alert") == newest, "OPEN").otherwise("CLOSED")).drop("alert")
 
 
+LIFECYCLE = (
+    "dedup_key string, alert int, status string, opened_at timestamp_ntz, last_at timestamp_ntz, occurrence_count long, last_value double, "
+    "assignee string, suppressed_until timestamp_ntz, closed_at timestamp_ntz, audit array<struct<action:string,at:timestamp_ntz,by:string,note:string>>"
+)
+ACTIONS = ("ACK", "ASSIGN", "SUPPRESS", "CLOSE", "REOPEN")
+
+
+def alert_lifecycle(fired: DataFrame, actions: DataFrame) -> DataFrame:
+    """Alerts of ``fired`` (dedup_key, ts, value) under the operators' ``actions``.
+
+    ``actions``: dedup_key, ts, action (see ``ACTIONS``), and where they apply assignee, until, by,
+    note. A firing counts into the key's open or acknowledged alert, or into a suppressed one
+    until its suppression ends; else it opens a new alert. An action applies to the key's newest
+    alert and comes before a firing of the same time; without an alert it does nothing. The audit
+    trail starts with OPENED. Firings are summed between a key's actions first, so however many a
+    key has, only as many rows as it has actions are folded in order.
+    """
+    have = set(actions.columns)
+    col = lambda name, kind: (F.col(name) if name in have else F.lit(None)).cast(kind).alias(name)
+    acts = actions.select("dedup_key", F.col("ts").cast("timestamp_ntz").alias("ts"), "action", col("assignee", "string"), col("until", "timestamp_ntz"), col("by", "string"), col("note", "string"))
+    acts = acts.filter(F.col("action").isin(*ACTIONS))
+    edges = acts.select("dedup_key", F.explode(F.array("ts", F.when(F.col("action") == "SUPPRESS", F.col("until")))).alias("at")).filter("at is not null")
+    edges = edges.groupBy("dedup_key").agg(F.array_sort(F.collect_set("at")).alias("_edges"))
+    rows = fired.select("dedup_key", F.col("ts").cast("timestamp_ntz").alias("ts"), F.col("value").cast("double").alias("value"))
+    rows = attach(rows, edges, "dedup_key", "left", salt="ts").withColumn("_part", F.coalesce(F.size(F.filter("_edges", lambda e: e <= F.col("ts"))), F.lit(0)))
+    sums = rows.groupBy("dedup_key", "_part").agg(F.min("ts").alias("ts"), F.max("ts").alias("last_at"), F.count(F.lit(1)).alias("n"), F.max_by("value", F.struct("ts", "value")).alias("value"))
+    both = sums.select("dedup_key", "ts", F.lit(1).alias("kind"), "last_at", "n", "value", *[F.lit(None).cast(k).alias(c) for c, k in (("action", "string"), ("assignee", "string"), ("until", "timestamp_ntz"), ("by", "string"), ("note", "string"))])
+    done = acts.select("dedup_key", "ts", F.lit(0).alias("kind"), *[F.lit(None).cast(k).alias(c) for c, k in (("last_at", "timestamp_ntz"), ("n", "long"), ("value", "double"))], "action", "assignee", "until", "by", "note")
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        plain = lambda v: None if pd.isna(v) else v
+        alerts: list[dict] = []
+        for row in pdf.sort_values(["ts", "kind", "action"], kind="stable").itertuples():
+            now = alerts[-1] if alerts else None
+            if row.kind:
+                muted = now and now["status"] == "SUPPRESSED" and now["suppressed_until"] is not None and now["suppressed_until"] > row.ts
+                if not now or now["status"] not in ("OPEN", "ACK") and not muted:
+                    opened = {"action": "OPENED", "at": row.ts, "by": None, "note": None}
+                    now = {"dedup_key": row.dedup_key, "alert": len(alerts) + 1, "status": "OPEN", "opened_at": row.ts, "occurrence_count": 0, "assignee": None, "suppressed_until": None, "closed_at": None, "audit": [opened]}
+                    alerts.append(now)
+                now |= {"last_at": row.last_at, "last_value": row.value, "occurrence_count": now["occurrence_count"] + int(row.n)}
+            elif now:
+                change = {
+                    "ACK": {"status": "ACK"}, "ASSIGN": {"assignee": plain(row.assignee)}, "SUPPRESS": {"status": "SUPPRESSED", "suppressed_until": plain(row.until)},
+                    "CLOSE": {"status": "CLOSED", "closed_at": row.ts}, "REOPEN": {"status": "OPEN", "suppressed_until": None, "closed_at": None},
+                }
+                now |= change[row.action]
+                now["audit"].append({"action": row.action, "at": row.ts, "by": plain(row.by), "note": plain(row.note)})
+        names = [f.split()[0] for f in LIFECYCLE.split(", ")]
+        out = pd.DataFrame(alerts, columns=names)
+        for name in ("suppressed_until", "closed_at"):
+            out[name] = pd.to_datetime(out[name])
+        return out
+
+    return both.unionByName(done).groupBy("dedup_key").applyInPandas(fold, LIFECYCLE)
+
+
 def active_alerts(alerts: DataFrame, now: datetime) -> DataFrame:
     """Alerts in the queue: not closed, and not within a suppression."""
     until = F.col("suppressed_until") if "suppressed_until" in alerts.columns else F.lit(None).cast("timestamp_ntz")
