@@ -10,6 +10,8 @@ those within every budget get the full comparison, which is the last chain.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
@@ -19,6 +21,8 @@ from signalmill.plans.runtime import written
 
 BITS = 64
 BLOCK = 1 << 14
+FULL = (1 << 64) - 1
+SALT = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9)
 
 
 def fingerprint(words: list[bytes], size: int, seed: int = 42) -> int:
@@ -148,6 +152,87 @@ def near_duplicates(docs: DataFrame, size: int = 4, limit: int = 4, reach: int =
     return rows.join(roots.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
+def _views(values: np.ndarray, bits: int) -> list[int]:
+    """SimHash of ``bits`` bits over 64-bit hashes, as signed 64-bit numbers; each 64 bits mix the hashes anew."""
+    out = []
+    for view in range(bits // BITS):
+        mixed = (values ^ np.uint64(SALT[0] * (view + 1) & FULL)) * np.uint64(SALT[1])
+        mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(SALT[0])
+        mixed ^= mixed >> np.uint64(32)
+        votes = np.zeros(BITS, np.int64)
+        for at in range(0, len(mixed), BLOCK):
+            votes += np.unpackbits(mixed[at : at + BLOCK].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+        out.append(int(np.packbits(2 * votes > len(mixed)).view(">u8").astype(np.uint64).view(np.int64)[0]))
+    return out
+
+
+def signatures(docs: DataFrame, size: int = 5, bits: int = 256) -> DataFrame:
+    """(doc_id, f, g): SimHashes of a text's distinct words and of its distinct ``size``-word shingles, 64 bits an entry."""
+    fields = "doc_id bigint, f array<bigint>, g array<bigint>"
+
+    def kernel(batches):
+        import xxhash
+
+        digest, none = xxhash.xxh64_intdigest, [0] * (bits // BITS)
+        hashed = lambda parts: np.fromiter((digest(x, 42) for x in parts), np.uint64, len(parts))
+        for batch in batches:
+            rows = []
+            for text in batch.column(1).to_pylist():
+                words = text.encode().lower().split() if text else []
+                grams = {b" ".join(words[i : i + size]) for i in range(max(1, len(words) - size + 1))}
+                rows.append((_views(hashed(set(words)), bits), _views(hashed(grams), bits)) if words else (none, none))
+            kind = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r[0] for r in rows], kind), pa.array([r[1] for r in rows], kind)], ["doc_id", "f", "g"])
+
+    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(kernel, fields)
+
+
+def link_similar(nodes: DataFrame, similarity: float, bits: int, limit: int = 4, reach: int = 2) -> DataFrame:
+    """(id, root) for ``nodes`` (id, f, g) with a similar other: some entry of f within ``limit`` bits, and g as near as ``similarity`` asks.
+
+    Every entry of f is a fingerprint of its own whose chains propose pairs, as in ``link``; the
+    shingles' SimHash decides. A Jaccard similarity s of sets of one size is a cosine of
+    2s / (1 + s), which sets the expected share of differing bits.
+    """
+    most = int(bits * math.acos(2 * similarity / (1 + similarity)) / math.pi)
+    views, masks = bits // BITS, chain_masks(limit, reach)
+    keys = [F.struct(F.lit(w * len(masks) + i).alias("k"), F.col("f")[w].bitwiseAND(F.lit(_signed(m)).cast("bigint")).alias("v")) for w in range(views) for i, (_, m) in enumerate(masks)]
+    keyed = nodes.select("id", F.inline(F.array(*keys)))
+    poles = keyed.groupBy("k", "v").agg(F.min("id").alias("p"), F.max("id").alias("q")).filter("p < q")
+    met, _ = written(keyed.join(poles, ["k", "v"]))
+    apart = lambda a, b: sum((F.bit_count(F.col(a)[w].bitwiseXOR(F.col(b)[w])) for w in range(views)), F.lit(0))
+    close = lambda a, b: F.least(*[F.bit_count(F.col(a)[w].bitwiseXOR(F.col(b)[w])) for w in range(views)]) <= limit
+    stars = met.select("id", F.explode(F.array("p", "q")).alias("pole")).filter("id <> pole").distinct()
+    pole = nodes.select(F.col("id").alias("pole"), F.col("f").alias("fp"), F.col("g").alias("gp"))
+    stars = stars.join(nodes, "id").join(pole, "pole").filter(close("f", "fp")).filter(apart("g", "gp") <= most)
+    stars, _ = written(stars.select(F.col("id").alias("a"), F.col("pole").alias("b")).distinct())
+    first = connected(stars).select(F.col("node").alias("id"), F.col("component").alias("c"))
+    sides, _ = written(met.select("k", "v", "id").join(first, "id", "left").withColumn("c", F.coalesce("c", "id")))
+    common = sides.groupBy("k", "v", "c").agg(F.count("*").alias("n")).groupBy("k", "v").agg(F.max_by("c", F.struct("n", "c")).alias("most"), F.count("*").alias("kinds"))
+    open_ = sides.join(common.filter("kinds > 1").drop("kinds"), ["k", "v"]).join(nodes, "id")
+    open_ = open_.select("k", "v", "id", "c", "most", F.col("f")[F.floor(F.col("k") / len(masks)).cast("int")].alias("w"), "g")
+    rare = open_.filter("c <> most").select("k", "v", F.col("id").alias("x"), F.col("c").alias("cx"), F.col("w").alias("wx"), F.col("g").alias("gx"))
+    start = F.element_at(F.array(*[F.lit(s) for s, _ in masks]), F.pmod("k", F.lit(len(masks))) + 1)
+    pairs = open_.join(rare, ["k", "v"]).filter("c <> cx and (c = most or id < x)").filter(_near(F.col("w"), F.col("wx"), start, limit)).filter(apart("g", "gx") <= most)
+    more = pairs.select(F.col("c").alias("a"), F.col("cx").alias("b")).distinct()
+    return connected(stars.unionByName(more)).select(F.col("node").alias("id"), F.col("component").alias("root"))
+
+
+def drop_similar(docs: DataFrame, size: int = 5, similarity: float = 0.8, bits: int = 256) -> DataFrame:
+    """``docs`` with one document, the smallest doc_id, of each class linked by shingle similarity.
+
+    The similarity of ``size``-word shingles is judged by a SimHash of ``bits`` bits, so pairs at
+    the very threshold fall on either side. Repeated rows of one doc_id are one document, texts
+    without words are alike, rows without a doc_id stay as they are.
+    """
+    named = docs.filter("doc_id is not null")
+    rows, _ = written(signatures(named, size, bits))
+    nodes, _ = written(rows.groupBy("f", "g").agg(F.min("doc_id").alias("id")).select("id", "f", "g"))
+    keep = nodes.select("id").join(link_similar(nodes, similarity, bits), "id", "left").filter("root is null or root = id").select(F.col("id").alias("kept"))
+    stay = named.join(keep, named["doc_id"] == keep["kept"], "left_semi").dropDuplicates(["doc_id"])
+    return stay.unionByName(docs.filter("doc_id is null"))
+
+
 def drop_near_duplicates(docs: DataFrame, size: int = 4, limit: int = 4, reach: int = 2) -> DataFrame:
     """``docs`` with one document of each class: the one with the smallest doc_id.
 

@@ -81,6 +81,49 @@ def test_dense_and_chained_prints(spark, reach):
     assert len({(a, b) for a, b in zip(got, want)}) == len(set(got)) == len(set(want))
 
 
+def shingles(text, size=5):
+    words = (text or "").encode().lower().split()
+    return {b" ".join(words[i : i + size]) for i in range(max(1, len(words) - size + 1))} if words else set()
+
+
+def test_similar_documents(spark):
+    """Edited copies: none of a pair far above 0.8 stays double, nothing far below goes."""
+    rng = random.Random(8)
+    make = lambda n: [rng.choice("abcdefgh") * rng.randint(1, 3) + rng.choice("xyzuvw") * rng.randint(1, 4) + str(rng.randint(0, 40)) for _ in range(n)]
+    rows = []
+    for family in range(40):
+        words = make(rng.randint(120, 500))
+        rows.append((len(rows), " ".join(words)))
+        for edits in (0, 1, 1, 2, 3, 5, 8, 40):
+            copy = list(words)
+            for _ in range(edits):
+                copy[rng.randrange(len(copy))] = make(1)[0]
+            rows.append((len(rows), "  ".join(copy) if edits == 0 else " ".join(copy)))
+    rows += [(10_000 + i, " ".join(make(80))) for i in range(60)] + [(20_000, None), (20_001, ""), (20_002, " \n"), (None, rows[0][1]), (0, rows[0][1])]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(6)
+    out = S.drop_similar(df).collect()
+    kept = [r["doc_id"] for r in out if r["doc_id"] is not None]
+    assert len(kept) == len(set(kept)) and sum(r["doc_id"] is None for r in out) == 1
+    sets = {d: shingles(t) for d, t in rows if d is not None and d < 20_000}
+    alike = lambda a, b: len(sets[a] & sets[b]) / max(1, len(sets[a] | sets[b]))
+    families = [range(9 * f, 9 * f + 9) for f in range(40)]
+    high = [(a, b) for f in families for a in f for b in f if a < b and alike(a, b) >= 0.87]
+    double = [alike(*p) for p in high if p[0] in kept and p[1] in kept]
+    assert len(high) > 200 and len(double) <= len(high) // 100 and max(double, default=0) < 0.93
+    for f in families:
+        for d in f:
+            if max(alike(d, e) for e in f if e != d) < 0.7:
+                assert d in kept
+    assert {10_000 + i for i in range(60)} <= set(kept) and [d for d in kept if d >= 20_000] == [20_000]
+
+
+def test_similar_odd_rows(odd, clashing, none):
+    kept = sorted(r["doc_id"] for r in S.drop_similar(odd).collect() if r["doc_id"] is not None)
+    assert kept == sorted(r["doc_id"] for r in S.drop_similar(clashing).collect() if r["doc_id"] is not None)
+    assert 3 in kept and not {100, 105, 120, 123, 201, 212} & set(kept) and kept.count(210) == 1
+    assert S.drop_similar(none).collect() == [] and set(S.drop_similar(clashing).columns) == set(clashing.columns)
+
+
 def test_dropping_keeps_one_of_a_class(odd, odd_rows):
     kept = S.drop_near_duplicates(odd).collect()
     prints = [(r[0], brute_print(r[1])) for r in odd_rows if r[0] is not None]
