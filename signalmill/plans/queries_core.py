@@ -77,12 +77,26 @@ def _(t):
     return A.read_dimension(t.spark, f"{t.folder}/nation.parquet")
 
 
-@query("a10_validate_wide")
+CHECKED = """SELECT * FROM (VALUES {rows}) v("check", ok, message) UNION ALL SELECT 'nulls:' || name, n = 0, n::VARCHAR FROM (
+ SELECT * FROM (SELECT {nulls} FROM {table}) UNPIVOT (n FOR name IN ({names}))) UNION ALL SELECT 'rows', count(*) > 0, count(*)::VARCHAR FROM {table}"""
+
+
+def checked(table: str, required: dict[str, str], rows: list[tuple]) -> str:
+    """The report that ``validate_source`` should give: fixed rows, then counts of NULLs and rows."""
+    text = ", ".join(f"('{a}', {str(b).lower()}, '{c}')" for a, b, c in [*((f"column:{n}", True, "present") for n in required), *rows])
+    nulls = ", ".join(f"count(*) FILTER ({e} IS NULL) AS {n}" for n, e in required.items())
+    return CHECKED.format(rows=text, nulls=nulls, names=", ".join(required), table=table)
+
+
+WIDE_ROWS = [("time:l_shipdate", True, "timestamp_ntz"), *((f"numeric:{m}", True, "double") for m in MEASURES), ("measures", True, f"{len(MEASURES)} measures"), *((f"delimiter:{m}", True, "clear") for m in MEASURES)]
+
+
+@query("a10_validate_wide", checked("lineitem", {n: n for n in ("l_returnflag", "l_shipdate")}, WIDE_ROWS))
 def _(t):
     return A.validate_source(t.lineitem, "wide", "l_returnflag", "l_shipdate", measures=MEASURES)
 
 
-@query("a10_validate_narrow")
+@query("a10_validate_narrow", checked("events", {"signal_id": "event_type", "ts": "ts", "value": "value"}, [("time:ts", True, "timestamp_ntz"), ("numeric:value", True, "double")]))
 def _(t):
     return A.validate_source(signals(t))
 

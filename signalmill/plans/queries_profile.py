@@ -10,7 +10,7 @@ from signalmill.operators.grid import search_space
 from signalmill.operators.stats import overview
 from signalmill.plans.registry import query
 from signalmill.plans.runtime import checkpointed
-from signalmill.plans.samples import END, FILLED, START, TRACK_FILLED, hourly, rounded, sql_round, tracks
+from signalmill.plans.samples import END, FILLED, START, TRACK_FILLED, hourly, recursive, rounded, sql_greedy, sql_round, tracks
 
 M, N = 24, 697
 LAG = P.exclusion(M)
@@ -51,7 +51,16 @@ def _(t):
     return rounded(P.nn_scan(grid, M, idxs), 5)
 
 
-@query("p05_motif_pairs")
+MATERIAL = PROFILE.replace("mp AS (", "mp AS MATERIALIZED (")
+PAIRS = MATERIAL + f""", pr AS MATERIALIZED (SELECT DISTINCT signal_id, least(idx, nn) AS a, greatest(idx, nn) AS b, round(dist, 9) AS d FROM mp WHERE nn IS NOT NULL),
+pk AS (SELECT signal_id, 0 AS n, []::BIGINT[] AS taken FROM pr GROUP BY signal_id UNION ALL
+ SELECT pk.signal_id, n + 1, list_concat(taken, (SELECT [a, b] FROM pr f WHERE f.signal_id = pk.signal_id AND len(list_filter(taken, lambda x: abs(x - a) < {LAG} OR abs(x - b) < {LAG})) = 0
+  ORDER BY d, a, b LIMIT 1)) FROM pk WHERE n < 3)
+SELECT pk.signal_id, r.r::INT AS rank, taken[2 * r.r - 1] AS idx_a, taken[2 * r.r] AS idx_b, d AS dist FROM pk CROSS JOIN range(1, 4) r(r)
+ JOIN pr ON pr.signal_id = pk.signal_id AND pr.a = taken[2 * r.r - 1] AND pr.b = taken[2 * r.r] WHERE n = 3"""
+
+
+@query("p05_motif_pairs", sql_round(recursive(FILLED + PAIRS), "dist", 5))
 def _(t):
     return rounded(P.motif_pairs(profile(t), 3, LAG), 5)
 
@@ -69,7 +78,7 @@ def _(t):
     return rounded(P.motif_pruned(hourly(t), M, segments=8), 5)
 
 
-@query("p07_discords")
+@query("p07_discords", sql_round(recursive(FILLED + MATERIAL + sql_greedy("mp", "round(dist, 9) DESC, idx", LAG, 3, rank="rank")), "dist", 5))
 def _(t):
     return rounded(P.discords(profile(t), 3, LAG), 5)
 
@@ -111,7 +120,7 @@ def _(t):
     return rounded(P.regimes(profile(t), 1, M).drop("rank"))
 
 
-@query("p11_regimes")
+@query("p11_regimes", sql_round(recursive(FILLED + ARCS + ", dips AS MATERIALIZED (SELECT signal_id, idx, cac FROM cv WHERE cac < 1)" + sql_greedy("dips", "cac, idx", M, 3, rank="rank")), "cac"))
 def _(t):
     return rounded(P.regimes(profile(t), 3, M))
 
@@ -232,7 +241,7 @@ def _(t):
     return rounded(P.propagate_label(mp, P.suggest_threshold(mp, seeds), M, LAG), 5)
 
 
-@query("a08_write_results")
+@query("a08_write_results", sql_round(FILLED + PROFILE + " SELECT *, 'job-1' AS job_id FROM mp", "dist", 5))
 def _(t):
     from signalmill.plans.runtime import shared_folder
     from signalmill.sources.telemetry import write_results

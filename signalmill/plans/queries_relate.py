@@ -11,7 +11,7 @@ from signalmill.operators import anomaly as N, catalog as C, grid as G, joins as
 from signalmill.plans.queries_core import hierarchy, metadata
 from signalmill.plans.registry import query
 from signalmill.plans.samples import (
-    END, FILLED, GRID, SIGNALS, START, USER_FILLED, USER_GRID, hourly, rounded, signals, sql_grid, sql_round, user_daily, user_signals,
+    END, FILLED, GRID, SIGNALS, START, USER_FILLED, USER_GRID, hourly, recursive, rounded, signals, sql_greedy, sql_grid, sql_round, user_daily, user_signals,
 )
 
 TYPES = ["click", "error", "purchase", "signup", "view"]
@@ -201,7 +201,7 @@ def _(t):
     return C.best_row(t.events.select("event_id", "user_id", "value"), ["user_id"], [F.col("value").desc(), F.col("event_id")])
 
 
-@query("w08_pick_nonoverlap")
+@query("w08_pick_nonoverlap", recursive(FILLED + ", ok AS MATERIALIZED (SELECT * FROM filled WHERE value IS NOT NULL)" + sql_greedy("ok", "value DESC, bin_idx", 12, 5, "bin_idx")))
 def _(t):
     return W.pick_nonoverlap(hourly(t), 5, 12, "value")
 

@@ -60,6 +60,19 @@ def sql_round(body: str, doubles: str, digits: int = 6) -> str:
     return f"SELECT * REPLACE ({cols}) FROM ({body})"
 
 
+def sql_greedy(source: str, order: str, reach: int, k: int, idx: str = "idx", rank: str = "pick") -> str:
+    """CTE ``pk`` and a final SELECT: best-first picks of ``source`` per signal, more than ``reach`` apart."""
+    free = f"len(list_filter(taken, lambda x: abs(x - f.{idx}) <= {reach})) = 0"
+    return f""", pk AS (SELECT signal_id, 0 AS n, []::BIGINT[] AS taken FROM {source} GROUP BY signal_id UNION ALL
+ SELECT pk.signal_id, n + 1, list_append(taken, (SELECT {idx} FROM {source} f WHERE f.signal_id = pk.signal_id AND {free} ORDER BY {order} LIMIT 1)) FROM pk WHERE n < {k})
+SELECT f.*, list_position(taken, f.{idx})::BIGINT AS {rank} FROM pk JOIN {source} f USING (signal_id) WHERE n = {k} AND list_contains(taken, f.{idx})"""
+
+
+def recursive(body: str) -> str:
+    """``body`` with its common tables allowed to refer to themselves."""
+    return body.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
 SIGNALS = "raw AS (SELECT event_type AS signal_id, ts, value FROM events)"
 USERS = "raw AS (SELECT 'u' || user_id AS signal_id, ts, value FROM events)"
 
