@@ -65,7 +65,7 @@ def _(t):
 def _(t):
     bins = hourly(t).select("signal_id", F.col("ts").cast("timestamp").alias("ts"), "value")
     base = f"{shared_folder(t.spark)}/bins-{uuid.uuid4().hex}"
-    bins.repartition(1).write.parquet(base)
+    bins.write.parquet(base)
     live = t.spark.readStream.schema(bins.schema).parquet(base)
     out = drained(t, L.stream_episodes(live, [30.0, 80.0], ["low", "normal", "high"]))
     return ntz(out, "start_ts", "end_ts").drop("epoch")
@@ -118,7 +118,7 @@ def _(t):
 @query("l05_collapse_stream", sql_round(ALERTS + " SELECT * EXCLUDE (a) FROM al", "last_value"))
 def _(t):
     base = f"{shared_folder(t.spark)}/fired-{uuid.uuid4().hex}"
-    fired(t).select("dedup_key", F.col("ts").cast("timestamp").alias("ts"), "value").repartition(1).write.parquet(base)
+    fired(t).select("dedup_key", F.col("ts").cast("timestamp").alias("ts"), "value").write.parquet(base)
     live = t.spark.readStream.schema("dedup_key string, ts timestamp, value double").parquet(base)
     out = drained(t, L.collapse_alerts(live, timedelta(hours=12)), "update")
     return rounded(ntz(newest(out, "dedup_key", "opened_at"), "opened_at", "last_at"))

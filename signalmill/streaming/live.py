@@ -52,21 +52,47 @@ def sessions(sdf: DataFrame, gap: str, watermark: str) -> DataFrame:
 EPISODE = "signal_id string, seg_id long, state string, start_ts timestamp, end_ts timestamp, bins long"
 
 
-def stream_episodes(bins: DataFrame, thresholds: Sequence[float], labels: Sequence[str]) -> DataFrame:
+def _timed(rows: DataFrame, idle: timedelta | None, delay: timedelta) -> tuple[DataFrame, str, int | None]:
+    """The stream with its watermark, the kind of timeout, and the idle time in milliseconds."""
+    if idle is None:
+        return rows, "NoTimeout", None
+    return rows.withWatermark("ts", f"{int(delay.total_seconds() * 1000)} milliseconds"), "EventTimeTimeout", int(idle.total_seconds() * 1000)
+
+
+def _expire(state, last_us: int, idle_ms: int | None) -> None:
+    """Let the key go ``idle_ms`` after its last row, once the watermark passes that time."""
+    if idle_ms is not None:
+        state.setTimeoutTimestamp(max(last_us // 1000 + idle_ms, state.getCurrentWatermarkMs() + 1))
+
+
+def stream_episodes(
+    bins: DataFrame, thresholds: Sequence[float], labels: Sequence[str], idle: timedelta | None = None, delay: timedelta = timedelta(0)
+) -> DataFrame:
     """Closed state episodes of a stream of final bins (see ``stream_bins``).
 
-    One row per bin reaches the state, so even a busy signal is a short input. An
-    episode is emitted when the next state begins; bins must arrive in time order.
+    One row per bin reaches the state, so even a busy signal is a short input. An episode is
+    emitted when the next state begins. Bins of one micro-batch may come in any order; a bin
+    older than the last one seen of its signal is left to ``split_late_stream``. With ``idle`` the
+    last episode of a signal without bins for so long, by the watermark (``delay`` behind the
+    newest time), is emitted as well and its state is dropped.
     """
     if len(labels) != len(thresholds) + 1:
         raise ValueError("give one more label than thresholds")
     cuts, names = list(thresholds), list(labels)
+    rows, timeout, idle_ms = _timed(bins.select("signal_id", "ts", "value"), idle, delay)
 
     def step(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            seg, label, first, last, bins_seen = state.get
+            state.remove()
+            yield pd.DataFrame([(key[0], seg, label, pd.Timestamp(first, unit="us"), pd.Timestamp(last, unit="us"), bins_seen)], columns=["signal_id", "seg_id", "state", "start_ts", "end_ts", "bins"])
+            return
         rows = pd.concat(list(batches)).dropna(subset=["value"]).sort_values("ts")
         seg, label, first, last, bins_seen = state.get if state.exists else (0, None, None, None, 0)
         closed = []
         for at, value in zip(rows["ts"], rows["value"]):
+            if last is not None and at.value // 1000 < last:
+                continue
             now = names[sum(value >= c for c in cuts)]
             if label is not None and now != label:
                 closed.append((key[0], seg, label, pd.Timestamp(first, unit="us"), pd.Timestamp(last, unit="us"), bins_seen))
@@ -75,10 +101,11 @@ def stream_episodes(bins: DataFrame, thresholds: Sequence[float], labels: Sequen
             first, bins_seen = last if first is None else first, bins_seen + 1
         if label is not None:
             state.update((seg, label, first, last, bins_seen))
+            _expire(state, last, idle_ms)
         yield pd.DataFrame(closed, columns=["signal_id", "seg_id", "state", "start_ts", "end_ts", "bins"])
 
-    return bins.select("signal_id", "ts", "value").groupBy("signal_id").applyInPandasWithState(
-        step, EPISODE, "seg long, label string, first long, last long, bins long", "append", "NoTimeout"
+    return rows.groupBy("signal_id").applyInPandasWithState(
+        step, EPISODE, "seg long, label string, first long, last long, bins long", "append", timeout
     )
 
 
@@ -128,19 +155,29 @@ def _fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield folded.reset_index()[["dedup_key", "first_ts", "last_ts", "n", "value"]]
 
 
-def collapse_alerts(fired: DataFrame, quiet: timedelta) -> DataFrame:
+def collapse_alerts(fired: DataFrame, quiet: timedelta, delay: timedelta | None = None) -> DataFrame:
     """One alert per dedup key: firings count into the open one until ``quiet`` time passes.
 
     Update-mode stream of ``dedup_key, ts, value``. Firings are folded per key and minute
-    where they are read, so a storm on one key reaches its state as a few rows.
+    where they are read, so a storm on one key reaches its state as a few rows. A late firing
+    counts into the open alert if it lies within ``quiet`` of it and may move its opening back;
+    one before that is left to ``split_late_stream``. With ``delay`` an alert whose quiet time the
+    watermark (``delay`` behind the newest time) has passed is closed and its state is dropped.
     """
     gap = int(quiet.total_seconds() * 1_000_000)
     if gap < 60_000_000:
         raise ValueError("quiet time is at least a minute")
     rows = fired.select("dedup_key", F.col("ts").cast("timestamp").alias("ts"), F.col("value").cast("double").alias("value"))
     rows = rows.mapInPandas(_fold, "dedup_key string, first_ts timestamp, last_ts timestamp, n long, value double")
+    timed, timeout, idle_ms = _timed(rows.withColumnRenamed("first_ts", "ts"), None if delay is None else quiet, delay or timedelta(0))
+    rows = timed.withColumnRenamed("ts", "first_ts")
 
     def step(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            opened, last, count, value = state.get
+            state.remove()
+            yield pd.DataFrame([(key[0], pd.Timestamp(opened, unit="us"), pd.Timestamp(last, unit="us"), count, "CLOSED", value)], columns=["dedup_key", "opened_at", "last_at", "occurrence_count", "status", "last_value"])
+            return
         part = pd.concat(list(batches)).sort_values("first_ts")
         opened, last, count, value = state.get if state.exists else (None, None, 0, None)
         out = []
@@ -150,16 +187,19 @@ def collapse_alerts(fired: DataFrame, quiet: timedelta) -> DataFrame:
             if last is not None and first_us - last > gap:
                 out.append((key[0], at(opened), at(last), count, "CLOSED", value))
                 opened, count = None, 0
-            opened = first_us if opened is None else opened
+            if opened is not None and end_us < opened - gap:
+                continue
+            opened = first_us if opened is None else min(opened, first_us)
             if last is None or end_us >= last:
                 last, value = end_us, float(v)
             count += int(n)
         state.update((opened, last, count, value))
+        _expire(state, last, idle_ms)
         out.append((key[0], at(opened), at(last), count, "OPEN", value))
         yield pd.DataFrame(out, columns=["dedup_key", "opened_at", "last_at", "occurrence_count", "status", "last_value"])
 
     return rows.groupBy("dedup_key").applyInPandasWithState(
-        step, ALERT, "opened long, last long, count long, value double", "update", "NoTimeout"
+        step, ALERT, "opened long, last long, count long, value double", "update", timeout
     )
 
 
@@ -355,6 +395,29 @@ def split_late(batch: DataFrame, newest: Column, delay: timedelta) -> tuple[Data
     return batch.filter(~late), batch.filter(late)
 
 
+def split_late_stream(sdf: DataFrame, delay: timedelta, folder: str, fresh: Callable[[DataFrame, int], None], late: Callable[[DataFrame, int], None], **options):
+    """Streaming query that hands each micro-batch's rows on, and the late ones to a side table.
+
+    A row is late if it lies more than ``delay`` behind the newest time of the batches before: the
+    watermark that stateful steps drop it by. The newest time of each batch is kept in ``folder``,
+    which executors and driver share, so a restarted query splits as before.
+    """
+    limit = int(delay.total_seconds() * 1_000_000)
+    spark = sdf.sparkSession
+    schema = "epoch long, newest long"
+
+    def on_batch(batch: DataFrame, epoch: int) -> None:
+        batch = batch.withColumn("_us", to_us(F.col("ts").cast("timestamp_ntz")))
+        spark.createDataFrame([], schema).write.mode("append").parquet(folder)
+        seen = spark.read.schema(schema).parquet(folder).filter(F.col("epoch") < epoch).agg(F.max("newest").alias("m")).first()["m"]
+        batch.agg(F.max("_us").alias("newest")).select(F.lit(epoch).cast("long").alias("epoch"), "newest").write.mode("append").parquet(folder)
+        old = F.lit(False) if seen is None else F.coalesce(F.col("_us") < seen - limit, F.lit(False))
+        fresh(batch.filter(~old).drop("_us"), epoch)
+        late(batch.filter(old).drop("_us"), epoch)
+
+    return sdf.writeStream.foreachBatch(on_batch).options(**options).trigger(availableNow=True).start()
+
+
 def progress_rows(df: DataFrame, job_id: str, stage: str, done: int, steps: int, best: Column | None = None) -> DataFrame:
     """One progress row of a job stage, aggregated from its output table."""
     best = F.lit(None).cast("double") if best is None else best
