@@ -7,6 +7,8 @@ import os
 import sys
 import time
 
+os.environ.setdefault("OMP_NUM_THREADS", "1")  # a task is one core
+
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 HEADLINE = [
@@ -45,12 +47,16 @@ def main() -> None:
     from signalmill.plans.all_queries import QUERIES, run
     from signalmill.plans.runtime import build_session
 
-    spark = build_session(
-        "bench",
-        f"local[{cpus}]",
-        **{"spark.sql.shuffle.partitions": cpus, "spark.driver.memory": "16g", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false"},
-    )
-    spark.sparkContext.setLogLevel("ERROR")
+    def session(count: str):
+        spark = build_session(
+            "bench",
+            f"local[{count}]",
+            **{"spark.sql.shuffle.partitions": count, "spark.driver.memory": "16g", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false"},
+        )
+        spark.sparkContext.setLogLevel("ERROR")
+        return spark
+
+    spark = session(cpus)
     names = sys.argv[1:] or HEADLINE
     names = sorted(QUERIES) if names == ["all"] else names
     run("g01_make_series", spark, folder).write.format("noop").mode("overwrite").save()  # start the workers
@@ -60,15 +66,24 @@ def main() -> None:
         begin = time.perf_counter()
         run(name, spark, folder).write.format("noop").mode("overwrite").save()
         times[name] = round(time.perf_counter() - begin, 3)
+    cores: dict[str, dict[str, float]] = {}
     if not sys.argv[1:]:
-        for n in PROFILE_SIZES:
-            grid = profile_input(spark, n)
-            begin = time.perf_counter()
-            matrix_profile(grid, 200, chunk=1024).write.format("noop").mode("overwrite").save()
-            times[f"mp_n{n}_m200"] = round(time.perf_counter() - begin, 3)
-    spark.stop()
+        for count in (cpus, *(c for c in ("1", "2", "4", "8") if c != cpus)):
+            spark = session(count)
+            profile_input(spark, 2000).count()  # start the workers
+            matrix_profile(profile_input(spark, 2000), 200).write.format("noop").mode("overwrite").save()
+            cores[count] = {}
+            for n in PROFILE_SIZES:
+                grid = profile_input(spark, n)
+                begin = time.perf_counter()
+                matrix_profile(grid, 200).write.format("noop").mode("overwrite").save()
+                cores[count][f"mp_n{n}_m200"] = round(time.perf_counter() - begin, 3)
+            spark.stop()
+        times |= cores[cpus]
+    else:
+        spark.stop()
     scale = os.path.basename(folder.rstrip("/")).removeprefix("sf")
-    print(json.dumps({"metric": "headline_total", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times, "sf": scale}))
+    print(json.dumps({"metric": "headline_total", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times, "sf": scale, "profile_by_cores": cores}))
 
 
 if __name__ == "__main__":

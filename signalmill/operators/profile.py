@@ -24,7 +24,7 @@ from signalmill.operators.stats import overview
 from signalmill.plans.runtime import checkpointed
 
 SIGNAL = ("signal_id",)
-CHUNK = 8192
+CHUNK = 1024  # windows: small enough that a series of some thousand points fills all cores
 CELL_BYTES = 64 << 20
 
 
@@ -212,37 +212,29 @@ def query_profiles(
     parts = chunks(grid, m, size, by)
     tops = parts.groupBy(*by).agg(F.max("c").alias("_top"))
     limit = F.col("limit") if "limit" in queries.columns else F.lit(None).cast("double")
-    asked = queries.withColumn("limit", limit).join(tops, by)
-    asked = asked.select(*by, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_top"))).alias("c"), "query_id", "seed", "query", "limit")
-    right = parts.select(*[F.col(k).alias(f"_{k}") for k in by], F.col("c").alias("_c"), "lo", "values")
-    cells = asked.groupBy(*by, "c").cogroup(right.groupBy(*[f"_{k}" for k in by], "_c"))
+    asked = queries.withColumn("limit", limit).withColumn("_pack", floor_div(F.col("seed"), size)).join(tops, by)
+    packs = asked.select(*by, "_pack").distinct()
+    asked = asked.select(*by, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_top"))).alias("c"), "_pack", "query_id", "seed", "query", "limit")
+    right = parts.join(packs, by).select(*[F.col(k).alias(f"_{k}") for k in by], F.col("c").alias("_c"), F.col("_pack").alias("_p"), "lo", "values")
+    cells = asked.groupBy(*by, "c", "_pack").cogroup(right.groupBy(*[f"_{k}" for k in by], "_c", "_p"))
 
     def kernel(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        names = [*by, "query_id", "seed", "idx", "dist"]
         if left.empty or right.empty:
-            return empty_frame(by, ["query_id", "seed", "idx"], ["dist"])
+            return empty_frame(by, ["query_id", "seed", "idx"], ["dist"])[[*by, "query_id", "seed", "idx", "dist"]]
         z, flat = _unit(right["values"].iloc[0], m)
-        idx = np.arange(len(z)) + int(right["lo"].iloc[0])
-        out = []
-        for row in left.itertuples(index=False):
-            q, fq = _unit(row.query, m)
-            d = np.sqrt(np.maximum(2.0 * m * (1.0 - _corr(q, fq, z, flat, True)[0]), 0.0))
-            keep = np.ones(len(d), dtype=bool)
-            if not pd.isna(row.limit):
-                keep &= d <= row.limit
-            if nearest_only:
-                keep &= np.abs(idx - row.seed) > minlag
-                if keep.any():
-                    best = int(np.argmin(np.where(keep, d, np.inf)))
-                    keep = idx == idx[best]
-            out.append((row, idx[keep], d[keep]))
-        sizes = [len(i) for _, i, _ in out]
-        spread = lambda pick: [pick(row) for (row, _, _), n in zip(out, sizes) for _ in range(n)]
-        frame = {k: [left[k].iloc[0]] * sum(sizes) for k in by}
-        frame["query_id"], frame["seed"] = spread(lambda r: r.query_id), spread(lambda r: r.seed)
-        frame["idx"] = np.concatenate([i for _, i, _ in out])
-        frame["dist"] = np.concatenate([x for _, _, x in out])
-        return pd.DataFrame(frame)[names]
+        asked = [_unit(q, m) for q in left["query"]]
+        q, fq = np.concatenate([u for u, _ in asked]), np.concatenate([f for _, f in asked])
+        idx, seeds = np.arange(len(z)) + int(right["lo"].iloc[0]), left["seed"].to_numpy()
+        d = np.sqrt(np.maximum(2.0 * m * (1.0 - _corr(q, fq, z, flat, True)), 0.0))
+        keep = ~(d > left["limit"].to_numpy(dtype=float)[:, None])  # no limit is NaN and cuts nothing
+        if nearest_only:
+            keep &= np.abs(idx[None, :] - seeds[:, None]) > minlag
+            best = np.where(keep, d, np.inf).argmin(axis=1)
+            keep &= np.arange(len(idx))[None, :] == best[:, None]
+        i, j = np.nonzero(keep)
+        frame = {k: [left[k].iloc[0]] * len(i) for k in by}
+        frame |= {"query_id": left["query_id"].to_numpy()[i], "seed": seeds[i], "idx": idx[j], "dist": d[i, j]}
+        return pd.DataFrame(frame)
 
     schema = T.StructType(
         [grid.schema[k] for k in by]
@@ -422,6 +414,17 @@ def occurrences(
     return _matches(found, motifs, [*by, "rank"], m, factor, max_n)
 
 
+def pan_occurrences(grid: DataFrame, motifs: DataFrame, factor: float = 1.5, max_n: int | None = None, by: Sequence[str] = SIGNAL) -> DataFrame:
+    """Repeats of each motif of a scan over lengths, at the motif's own length (``m``)."""
+    out = None
+    for m in sorted(r["m"] for r in motifs.select("m").distinct().collect()):  # no more than the scanned lengths
+        part = occurrences(grid, motifs.filter(F.col("m") == m).drop("m"), m, factor, max_n, by).withColumn("m", F.lit(m))
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        return motifs.select(*by, "rank", F.col("idx_a").alias("idx"), "dist", "m")
+    return out
+
+
 def pan_lengths(low: int, high: int, step: int | None = None) -> list[int]:
     """Window lengths of a scan: each one, or every ``step``-th."""
     low, high = max(4, int(low)), max(int(low) + 1, int(high))
@@ -580,6 +583,20 @@ def ab_motifs(profile: DataFrame, k: int, gap: int) -> DataFrame:
     return greedy_pairs(pairs, k, gap, ["pair"], one_axis=False).drop("pair")
 
 
+def ab_occurrences(grid: DataFrame, a: str, b: str, motifs: DataFrame, m: int, factor: float = 1.5, max_n: int | None = None) -> DataFrame:
+    """Repeats in both series of the shape that each cross pair has in ``a``: ``series`` (a or b), rank, idx, dist."""
+    seeds = motifs.select(F.lit(a).alias("signal_id"), F.col("rank").alias("query_id"), F.col("idx_a").alias("seed"))
+    shapes = window_values(grid, seeds, m).drop("signal_id", "seed")
+    ends = F.array(*[F.struct(F.lit(s).alias("signal_id"), F.col(f"idx_{n}").alias("seed")) for s, n in ((a, "a"), (b, "b"))])
+    limit = F.when(F.col("dist") > 0, F.col("dist") * factor)
+    sides = motifs.select(F.col("rank").alias("query_id"), limit.alias("limit"), F.col("dist"), F.inline(ends))
+    asked = sides.join(shapes, "query_id").select("signal_id", "query_id", "seed", "query", "limit")
+    found = query_profiles(asked, grid.filter(F.col("signal_id").isin([a, b])), m).withColumnRenamed("query_id", "rank")
+    pairs = sides.select("signal_id", F.col("query_id").alias("rank"), "dist")
+    side = F.when(F.col("signal_id") == a, "a").otherwise("b")
+    return _matches(found, pairs, ["signal_id", "rank"], m, factor, max_n).select(side.alias("series"), "rank", "idx", "dist")
+
+
 def ab_discords(profile: DataFrame, k: int, gap: int, target: str = "b") -> DataFrame:
     """Windows of one series without a close analogue in the other."""
     return discords(profile.filter(F.col("series") == target), k, gap, ["series"])
@@ -799,6 +816,17 @@ KINDS = (
 )
 
 
+HEADLINE = ("motif_pairs", "discords", "segments", "chain_links", "consensus_members", "mp_result")
+
+
+def summary(kind: str, m: int | None, tables: dict[str, DataFrame]) -> DataFrame:
+    """One row per analysis: its kind, window length, and rows and best distance of its leading table."""
+    name = next(n for n in HEADLINE if n in tables)
+    best = (F.max if name == "discords" else F.min)("dist") if "dist" in tables[name].columns else F.lit(None)
+    facts = tables[name].agg(F.count(F.lit(1)).alias("rows"), best.cast("double").alias("best"))
+    return facts.select(F.lit(kind).alias("type"), F.lit(m).cast("int").alias("m"), F.lit(name).alias("leading"), "rows", "best")
+
+
 def analyze(kind: str, df: DataFrame, job_id: str, m: int | None = None, k: int = 3, **params) -> dict[str, DataFrame]:
     """Result tables of one analysis, each tagged with the job.
 
@@ -814,12 +842,14 @@ def analyze(kind: str, df: DataFrame, job_id: str, m: int | None = None, k: int
     by = ("entity_id",) if multi else SIGNAL
     out: dict[str, DataFrame] = {}
     if kind == "pan":
-        out["motif_pairs"] = pan_motifs(df, params["lengths"], k)
+        pairs = checkpointed(pan_motifs(df, params["lengths"], k))
+        out["motif_pairs"], out["motif_occurrences"] = pairs, pan_occurrences(df, pairs)
     elif kind.startswith("ab"):
         profile = checkpointed(ab_profile(df, params["a"], params["b"], m))
         out["mp_result"] = profile
         if kind == "ab_motif":
-            out["motif_pairs"] = ab_motifs(profile, k, exclusion(m))
+            pairs = checkpointed(ab_motifs(profile, k, exclusion(m)))
+            out["motif_pairs"], out["motif_occurrences"] = pairs, ab_occurrences(df, params["a"], params["b"], pairs, m)
         else:
             out["discords"] = result_rows(ab_discords(profile, k, exclusion(m)), job_id, ["series"])
     elif kind == "consensus":
@@ -850,4 +880,5 @@ def analyze(kind: str, df: DataFrame, job_id: str, m: int | None = None, k: int
         if kind == "segmentation":
             out["segments"], out["arc_curve"] = regimes(profile, k, m), arc_curve(profile, m)
     out["overview"] = overview(df, by=("entity_id", "track_id") if multi else SIGNAL)
+    out["summary"] = summary(kind, m, out)
     return {name: t if "job_id" in t.columns else t.withColumn("job_id", F.lit(job_id)) for name, t in out.items()}

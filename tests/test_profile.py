@@ -185,8 +185,24 @@ def test_label_propagation_matches_breadth_first(grid_of):
 
 def test_analyze_returns_tagged_tables(grid_of):
     out = P.analyze("full_mp", grid_of({"x": walk(150, 1)}), "j", M, 2)
-    assert {"mp_result", "motif_pairs", "motif_occurrences", "discords", "overview"} == set(out)
+    assert {"mp_result", "motif_pairs", "motif_occurrences", "discords", "overview", "summary"} == set(out)
     for t in out.values():
         assert {r["job_id"] for r in t.select("job_id").distinct().collect()} == {"j"}
     with pytest.raises(ValueError):
         P.analyze("nothing", grid_of({"x": [1.0]}), "j", M)
+
+
+def test_ab_and_pan_occurrences(grid_of):
+    a, b = planted(500, M, (40, 260), 11), planted(500, M, (120, 360), 12)
+    grid = grid_of({"a": a, "b": b})
+    out = P.analyze("ab_motif", grid, "j", M, 1, a="a", b="b")
+    found = {(r["series"], r["idx"]) for r in out["motif_occurrences"].collect()}
+    pair = out["motif_pairs"].collect()[0]
+    assert {("a", pair["idx_a"]), ("b", pair["idx_b"])} <= found and {s for s, _ in found} == {"a", "b"}
+    row = out["summary"].collect()[0]
+    assert (row["type"], row["leading"], row["rows"], row["job_id"]) == ("ab_motif", "motif_pairs", 1, "j") and row["best"] == pytest.approx(pair["dist"])
+    pan = P.analyze("pan", grid_of({"a": a}), "j", lengths=[M - 4, M], k=2)
+    pairs = {r["rank"]: (r["m"], r["idx_a"]) for r in pan["motif_pairs"].collect()}
+    hits = pan["motif_occurrences"].collect()
+    assert {(r["rank"], r["m"]) for r in hits} == {(k, m) for k, (m, _) in pairs.items()}
+    assert all(i in {r["idx"] for r in hits if r["rank"] == k} for k, (_, i) in pairs.items())
