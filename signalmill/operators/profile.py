@@ -225,11 +225,12 @@ def query_profiles(
         asked = [_unit(q, m) for q in left["query"]]
         q, fq = np.concatenate([u for u, _ in asked]), np.concatenate([f for _, f in asked])
         idx, seeds = np.arange(len(z)) + int(right["lo"].iloc[0]), left["seed"].to_numpy()
-        d = np.sqrt(np.maximum(2.0 * m * (1.0 - _corr(q, fq, z, flat, True)), 0.0))
+        c = _corr(q, fq, z, flat, True)
+        d = np.sqrt(np.maximum(2.0 * m * (1.0 - c), 0.0))
         keep = ~(d > left["limit"].to_numpy(dtype=float)[:, None])  # no limit is NaN and cuts nothing
         if nearest_only:
             keep &= np.abs(idx[None, :] - seeds[:, None]) > minlag
-            best = np.where(keep, d, np.inf).argmin(axis=1)
+            best, _ = _first_best(np.where(keep, c, -np.inf), 1)
             keep &= np.arange(len(idx))[None, :] == best[:, None]
         i, j = np.nonzero(keep)
         frame = {k: [left[k].iloc[0]] * len(i) for k in by}
@@ -257,7 +258,7 @@ def nn_scan(grid: DataFrame, m: int, idxs: DataFrame, minlag: int | None = None,
     lag = exclusion(m) if minlag is None else int(minlag)
     seeds = idxs.select(*by, F.col("idx").alias("query_id"), F.col("idx").alias("seed"))
     near = query_profiles(window_values(grid, seeds, m, by), grid, m, by, nearest_only=True, minlag=lag)
-    best = near.groupBy(*by, "seed").agg(F.min(F.struct("dist", F.col("idx").alias("nn"))).alias("b"))
+    best = near.groupBy(*by, "seed").agg(F.min(F.struct(F.round("dist", 9).alias("r"), F.col("idx").alias("nn"), "dist")).alias("b"))
     return best.select(*by, F.col("seed").alias("idx"), "b.dist", "b.nn")
 
 
