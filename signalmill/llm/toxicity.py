@@ -7,6 +7,8 @@ ones. In training these are out-of-fold predictions, so a later model sees what
 
 from __future__ import annotations
 
+import string
+
 import numpy as np
 import pandas as pd
 from pyspark.ml.classification import LogisticRegression
@@ -56,8 +58,9 @@ def _sample(labels: DataFrame, categories, bound: int) -> DataFrame:
 
 def _choose(sample: DataFrame, categories, count: int) -> list[str]:
     """The words whose presence goes most with a category, by chi-square."""
-    words = F.udf(lambda text: sorted({w.decode("utf-8", "replace") for w in tokens(text)}), "array<string>", useArrow=True)
-    seen = sample.select(words("text").alias("w"), *[f"y{i}" for i in range(len(categories))])
+    plain = F.translate("text", string.ascii_uppercase, string.ascii_lowercase)
+    words = F.array_distinct(F.transform(F.split(plain, r"[\x20\x09-\x0D]+"), lambda w: F.btrim(w, F.lit(EDGES.decode()))))
+    seen = sample.select(F.filter(words, lambda w: w != "").alias("w"), *[f"y{i}" for i in range(len(categories))])
     n, *positive = seen.agg(F.count("*"), *[F.sum(f"y{i}") for i in range(len(categories))]).first()
     by_word = seen.select(F.explode("w").alias("word"), *[f"y{i}" for i in range(len(categories))]).groupBy("word").agg(F.count("*").alias("n"), *[F.sum(f"y{i}").alias(f"y{i}") for i in range(len(categories))])
     score = F.lit(0.0)
@@ -83,6 +86,13 @@ def _probability(x: np.ndarray, model: tuple[np.ndarray, float]) -> float:
     return float(1 / (1 + np.exp(-np.clip(x @ model[0] + model[1], -30, 30))))
 
 
+def _held_out(x: str, model: tuple[np.ndarray, float]):
+    """``_probability`` as a column over an array of features."""
+    terms = F.zip_with(x, F.array(*[F.lit(float(w)) for w in model[0]]), lambda a, b: a * b)
+    score = F.aggregate(terms, F.lit(0.0), lambda s, t: s + t) + F.lit(model[1])
+    return 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), score))))
+
+
 def train(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, bound: int = SAMPLE, count: int = WORDS) -> tuple[dict[bytes, int], list]:
     """(word places, one model per category) learned from at most ``bound`` labelled documents.
 
@@ -90,17 +100,18 @@ def train(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, bound: int
     """
     few = F.broadcast(_sample(labels, categories, bound))  # bounded by ``bound`` rows of a few numbers
     sample, _ = written(docs.select(F.col("doc_id").cast("bigint").alias("_id"), "text").join(few, "_id"))
+    spread = -(-bound // 256)  # small parts keep the batches of feature rows small
     places = {w.encode(): i for i, w in enumerate(_choose(sample, categories, count))}
     vector = F.udf(lambda text: features(text, places).tolist(), "array<double>", useArrow=True)
-    rows, _ = written(sample.select("fold", *[f"y{i}" for i in range(len(categories))], vector("text").alias("x")))
+    rows, _ = written(sample.repartition(spread, "_id").select("fold", *[f"y{i}" for i in range(len(categories))], vector("text").alias("x")))
     models = []
     for i in range(len(categories)):
         width, ready = len(places) + 2 + i, rows.withColumn("features", array_to_vector("x"))
         models.append(_fit(ready, f"y{i}", width))
         if i + 1 < len(categories):
             folds = [_fit(ready.filter(F.col("fold") != f), f"y{i}", width) for f in range(FOLDS)]
-            held = F.udf(lambda fold, x: [*x, _probability(np.asarray(x), folds[fold])], "array<double>", useArrow=True)
-            rows, _ = written(rows.withColumn("x", held("fold", "x")))
+            held = F.element_at(F.array(*[_held_out("x", model) for model in folds]), F.col("fold").cast("int") + 1)
+            rows, _ = written(rows.withColumn("x", F.concat("x", F.array(held))))
     return places, models
 
 
