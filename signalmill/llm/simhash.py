@@ -21,6 +21,7 @@ from signalmill.plans.runtime import written
 
 BITS = 64
 BLOCK = 1 << 14
+SLICE = 512  # texts that a task holds as strings at a time
 FULL = (1 << 64) - 1
 SALT = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9)
 
@@ -175,7 +176,7 @@ def signatures(docs: DataFrame, size: int = 5, bits: int = 256) -> DataFrame:
 
         digest, none = xxhash.xxh64_intdigest, [0] * (bits // BITS)
         hashed = lambda parts: np.fromiter((digest(x, 42) for x in parts), np.uint64, len(parts))
-        for batch in batches:
+        for batch in (whole.slice(at, SLICE) for whole in batches for at in range(0, whole.num_rows, SLICE)):
             rows = []
             for text in batch.column(1).to_pylist():
                 words = text.encode().lower().split() if text else []
