@@ -9,9 +9,10 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
+from itertools import accumulate
+from typing import NamedTuple
 
-import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -87,45 +88,70 @@ def _placed(turns: DataFrame) -> DataFrame:
     return placed.select(*key, "conv_id", (F.col("idx") + F.col("n0")).alias("idx"), (F.col("before") + F.col("t0")).alias("before"), "role", "target", "shown", "tokens")
 
 
-def _windows(budget: int, history: int):
+class Turn(NamedTuple):
+    conv_id: int | None
+    kind: int  # 0: system turn of an earlier region, 1: last turns of the region before, 2: own
+    idx: int
+    role: str | None
+    target: bool
+    shown: str
+    tokens: int
+
+
+def _windows(turns: list[Turn], budget: int, history: int):
     """Greedy windows of one region: system turn, masked history, then new turns while they fit."""
+    head, run = [t for t in turns if t.kind == 0], [t for t in turns if t.kind > 0]
+    sums = [0, *accumulate(t.tokens for t in run)]  # turn i holds sums[i] .. sums[i + 1]
+    first = sum(t.kind == 1 for t in run)
+    system, low = (head[0] if head else None), 0
+    if first < len(run) and run[first].idx == 0:
+        system, low = (run[first], first + 1) if run[first].role == "system" else (None, first)
+    elif first and run[0].idx == 0 and system:
+        low = 1  # the system turn is no history, it comes first anyway
+    at = first
+    while at < len(run):
+        keep = [system] if system and run[at].idx > 0 else []
+        spent = sum(t.tokens for t in keep)
+        room = min(history, max(0, budget - spent - run[at].tokens))
+        back = min(at, max(low, bisect_left(sums, sums[at] - room)))
+        spent += sums[at] - sums[back]
+        stop = max(at + 1, bisect_right(sums, sums[at] + budget - spent) - 1)
+        parts = [*keep, *run[back:stop]]
+        repeats = len(parts) - (stop - at)
+        place, spans = sum(len(t.shown) for t in parts[:repeats]), []
+        for turn in run[at:stop]:
+            if turn.target:
+                spans.append({"start": place + len(header(turn.role)), "end": place + len(turn.shown) - len(CLOSE) - 1})
+            place += len(turn.shown)
+        used = spent + sums[stop] - sums[at]
+        yield run[at].conv_id, run[at].idx, "".join(t.shown for t in parts), spans, repeats, used, used > budget
+        at = stop
+
+
+def _formatted(budget: int, history: int):
+    """Kernel over rows sorted by region: one region is held at a time."""
+    names = ["conv_id", "first_turn", "text", "loss", "repeats", "tokens", "over_budget"]
+    spans = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+    kinds = [pa.int64(), pa.int64(), pa.string(), spans, pa.int32(), pa.int64(), pa.bool_()]
+    table = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
-    def work(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["kind", "idx"], kind="stable").reset_index(drop=True)
-        head = rows[rows.kind == 0]
-        run = rows[rows.kind > 0].reset_index(drop=True)
-        tokens, shown, target, roles = run.tokens.to_numpy(), run.shown.tolist(), run.target.to_numpy(), run.role.tolist()
-        sums = np.concatenate(([0], np.cumsum(tokens)))  # turn i holds sums[i] .. sums[i + 1]
-        first = low = int((run.kind == 1).sum())
-        system = (head.shown.iloc[0], int(head.tokens.iloc[0])) if len(head) else None
-        if first < len(run) and run.idx[first] == 0:
-            system, low = ((shown[first], int(tokens[first])), first + 1) if roles[first] == "system" else (None, first)
-        elif first:
-            low = 1 if run.idx[0] == 0 and system else 0  # the system turn is no history, it comes first anyway
-        else:
-            low = 0
-        out, at = [], first
-        while at < len(run):
-            keep, spent = system if system and run.idx[at] > 0 else (None, 0)
-            room = min(history, max(0, budget - spent - int(tokens[at])))
-            back = min(at, max(low, int(np.searchsorted(sums, sums[at] - room))))
-            spent += int(sums[at] - sums[back])
-            stop = max(at + 1, int(np.searchsorted(sums, sums[at] + budget - spent, side="right")) - 1)
-            parts = ([keep] if keep is not None else []) + shown[back:stop]
-            repeats = len(parts) - (stop - at)
-            place, spans = sum(map(len, parts[:repeats])), []
-            for i in range(at, stop):
-                if target[i]:
-                    spans.append({"start": place + len(header(roles[i])), "end": place + len(shown[i]) - len(CLOSE) - 1})
-                place += len(shown[i])
-            used = spent + int(sums[stop] - sums[at])
-            out.append((int(run.idx[at]), "".join(parts), spans, repeats, used, used > budget))
-            at = stop
-        frame = pd.DataFrame(out, columns=["first_turn", "text", "loss", "repeats", "tokens", "over_budget"])
-        frame.insert(0, "conv_id", rows.conv_id.iloc[0] if rows.conv_id.notna().iloc[0] else None)
-        return frame
-
-    return work
+    def kernel(batches):
+        now, held, out = None, [], []
+        for batch in batches:
+            regions = zip(*(batch.column(i).to_pylist() for i in range(3)))
+            for region, turn in zip(regions, zip(*(batch.column(i).to_pylist() for i in range(3, 10)))):
+                if region != now:
+                    out += _windows(held, budget, history)
+                    now, held = region, []
+                held.append(Turn(*turn))
+            if out:
+                yield table(out)
+                out = []
+        out += _windows(held, budget, history)
+        if out:
+            yield table(out)
+
+    return kernel
 
 
 def format_windows(rows: DataFrame, budget: int = BUDGET, history: int = HISTORY, path: str | None = None) -> DataFrame:
@@ -153,7 +179,8 @@ def format_windows(rows: DataFrame, budget: int = BUDGET, history: int = HISTORY
     tail = tail.join(regions, [*key, "region"], "left_semi").select(fields)
     spans = "array<struct<start:bigint,end:bigint>>"
     schema = f"conv_id bigint, first_turn bigint, text string, loss {spans}, repeats int, tokens bigint, over_budget boolean"
-    return own.unionByName(tail).unionByName(heads).groupBy(*key, "region").applyInPandas(_windows(budget, history), schema)
+    rows = own.unionByName(tail).unionByName(heads).repartition(*key, "region").sortWithinPartitions(*key, "region", "kind", "idx")
+    return rows.mapInArrow(_formatted(budget, history), schema)
 
 
 def read_back(windows: DataFrame) -> DataFrame:
