@@ -14,7 +14,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from signalmill.llm.components import connected
 from signalmill.plans.runtime import written
@@ -23,7 +23,8 @@ BITS = 64
 BLOCK = 1 << 14
 SLICE = 512  # texts that a task holds as strings at a time
 FULL = (1 << 64) - 1
-SALT = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9)
+SAMPLED = 16  # one document of so many shows which shingles are common
+COMMON = 200_000  # common shingles that go to the tasks
 
 
 def fingerprint(words: list[bytes], size: int, seed: int = 42) -> int:
@@ -153,83 +154,138 @@ def near_duplicates(docs: DataFrame, size: int = 4, limit: int = 4, reach: int =
     return rows.join(roots.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
-def _views(values: np.ndarray, bits: int) -> list[int]:
-    """SimHash of ``bits`` bits over 64-bit hashes, as signed 64-bit numbers; each 64 bits mix the hashes anew."""
-    out = []
-    for view in range(bits // BITS):
-        mixed = (values ^ np.uint64(SALT[0] * (view + 1) & FULL)) * np.uint64(SALT[1])
-        mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(SALT[0])
-        mixed ^= mixed >> np.uint64(32)
-        votes = np.zeros(BITS, np.int64)
-        for at in range(0, len(mixed), BLOCK):
-            votes += np.unpackbits(mixed[at : at + BLOCK].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-        out.append(int(np.packbits(2 * votes > len(mixed)).view(">u8").astype(np.uint64).view(np.int64)[0]))
-    return out
+def shingle_set(text: str | None, size: int) -> np.ndarray:
+    """Sorted XXH64 values of a text's distinct ``size``-word shingles; a shorter text is one shingle."""
+    import xxhash
+
+    words = text.encode().lower().split() if text else []
+    if not words:
+        return np.zeros(0, np.int64)
+    digest, joined = xxhash.xxh64_intdigest, b" ".join(words)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    n = max(1, len(words) - size + 1)
+    starts, ends = starts[:n].tolist(), (ends[size - 1 :] if len(words) > size else ends[-1:]).tolist()
+    return np.unique(np.fromiter((digest(joined[x:y], 42) for x, y in zip(starts, ends)), np.uint64, n).view(np.int64))
 
 
-def signatures(docs: DataFrame, size: int = 5, bits: int = 256) -> DataFrame:
-    """(doc_id, f, g): SimHashes of a text's distinct words and of its distinct ``size``-word shingles, 64 bits an entry."""
-    fields = "doc_id bigint, f array<bigint>, g array<bigint>"
+def _slices(batches):
+    return (whole.slice(at, SLICE) for whole in batches for at in range(0, whole.num_rows, SLICE))
+
+
+def _lists(rows: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, rows)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int64)))
+
+
+def shingle_sets(docs: DataFrame, size: int = 5) -> DataFrame:
+    """(id, s): the shingle set of each text that has words."""
+
+    def kernel(batches):
+        for batch in _slices(batches):
+            sets = [shingle_set(t, size) for t in batch.column(1).to_pylist()]
+            out = pa.RecordBatch.from_arrays([batch.column(0), _lists(sets)], ["id", "s"])
+            yield out.filter(pa.array([len(x) > 0 for x in sets]))
+
+    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(kernel, "id bigint, s array<bigint>")
+
+
+def common_shingles(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of shingles that are frequent in one document of ``SAMPLED``, and their counts there.
+
+    They only order the shingles of a prefix. Any order gives the same pairs, this one fewer candidates.
+    """
+    some = docs.filter(F.pmod(F.xxhash64(F.col("doc_id").cast("bigint")), F.lit(SAMPLED)) == 0)
+    counts = shingle_sets(some, size).select(F.explode("s").alias("h")).groupBy("h").count().filter("count > 2")
+    rows = counts.orderBy(F.desc("count"), "h").limit(COMMON).collect()
+    hashes, times = (np.array([r[i] for r in rows], np.int64) for i in (0, 1))
+    order = np.argsort(hashes)
+    return hashes[order], times[order]
+
+
+def prefixes(docs: DataFrame, size: int, similarity: float) -> DataFrame:
+    """(doc_id, n, digest, prefix): size and digest of a text's shingle set, and the shingles by which it is found.
+
+    Two sets of a Jaccard similarity of at least ``similarity`` share at least ceil(similarity * n) of
+    the n shingles of either one. Under one order of all shingles the first n - ceil(similarity * n) + 1
+    of both therefore have one in common. Rare ones come first.
+    """
+    hot = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, size))
 
     def kernel(batches):
         import xxhash
 
-        digest, none = xxhash.xxh64_intdigest, [0] * (bits // BITS)
-        hashed = lambda parts: np.fromiter((digest(x, 42) for x in parts), np.uint64, len(parts))
-        for batch in (whole.slice(at, SLICE) for whole in batches for at in range(0, whole.num_rows, SLICE)):
-            rows = []
-            for text in batch.column(1).to_pylist():
-                words = text.encode().lower().split() if text else []
-                grams = {b" ".join(words[i : i + size]) for i in range(max(1, len(words) - size + 1))}
-                rows.append((_views(hashed(set(words)), bits), _views(hashed(grams), bits)) if words else (none, none))
-            kind = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r[0] for r in rows], kind), pa.array([r[1] for r in rows], kind)], ["doc_id", "f", "g"])
+        hashes, times = hot.value
+        for batch in _slices(batches):
+            sets = [shingle_set(t, size) for t in batch.column(1).to_pylist()]
+            first = []
+            for values in sets:
+                if len(hashes) and len(values):
+                    at = np.minimum(np.searchsorted(hashes, values), len(hashes) - 1)
+                    ordered = values[np.argsort(np.where(hashes[at] == values, times[at], 0), kind="stable")]
+                else:
+                    ordered = values
+                first.append(ordered[: len(values) - math.ceil(similarity * len(values) - 1e-9) + 1])
+            digests = pa.array([xxhash.xxh128_digest(x.tobytes()) for x in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(map(len, sets)), pa.int64()), digests, _lists(first)], ["doc_id", "n", "digest", "prefix"])
+
+    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(kernel, "doc_id bigint, n bigint, digest binary, prefix array<bigint>")
+
+
+def _enough(shared: Column, n: Column, m: Column, similarity: float) -> Column:
+    """Whether sets of ``n`` and ``m`` entries with ``shared`` ones in common are ``similarity`` alike."""
+    return shared * (1 + similarity) >= (n + m) * similarity - 1e-6
 
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(kernel, fields)
 
+def alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The ``pairs`` (a, b) whose shingle ``sets`` (id, s) have a Jaccard similarity of at least ``similarity``."""
+    left, right = (sets.select(F.col("id").alias(x), F.col("s").alias(f"s{x}")) for x in "ab")
+    both = pairs.join(left, "a").join(right, "b")
+    return both.filter(_enough(F.size(F.array_intersect("sa", "sb")), F.size("sa"), F.size("sb"), similarity)).select("a", "b").distinct()
 
-def link_similar(nodes: DataFrame, similarity: float, bits: int, limit: int = 4, reach: int = 2) -> DataFrame:
-    """(id, root) for ``nodes`` (id, f, g) with a similar other: some entry of f within ``limit`` bits, and g as near as ``similarity`` asks.
 
-    Every entry of f is a fingerprint of its own whose chains propose pairs, as in ``link``; the
-    shingles' SimHash decides. A Jaccard similarity s of sets of one size is a cosine of
-    2s / (1 + s), which sets the expected share of differing bits.
+def link_similar(nodes: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
+    """(id, root) for ``nodes`` (id, n, prefix) whose shingle set is ``similarity`` alike another one's.
+
+    Every such pair shares a shingle of its prefixes. A shingle's place in both bounds what two sets
+    can share, which drops most pairs; the others are compared by their whole sets. As in ``link``,
+    each is first compared with the smallest and largest of its bucket, then only pairs of different
+    components with a member outside the bucket's commonest one.
     """
-    most = int(bits * math.acos(2 * similarity / (1 + similarity)) / math.pi)
-    views, masks = bits // BITS, chain_masks(limit, reach)
-    keys = [F.struct(F.lit(w * len(masks) + i).alias("k"), F.col("f")[w].bitwiseAND(F.lit(_signed(m)).cast("bigint")).alias("v")) for w in range(views) for i, (_, m) in enumerate(masks)]
-    keyed = nodes.select("id", F.inline(F.array(*keys)))
-    poles = keyed.groupBy("k", "v").agg(F.min("id").alias("p"), F.max("id").alias("q")).filter("p < q")
-    met, _ = written(keyed.join(poles, ["k", "v"]))
-    apart = lambda a, b: sum((F.bit_count(F.col(a)[w].bitwiseXOR(F.col(b)[w])) for w in range(views)), F.lit(0))
-    close = lambda a, b: F.least(*[F.bit_count(F.col(a)[w].bitwiseXOR(F.col(b)[w])) for w in range(views)]) <= limit
-    stars = met.select("id", F.explode(F.array("p", "q")).alias("pole")).filter("id <> pole").distinct()
-    pole = nodes.select(F.col("id").alias("pole"), F.col("f").alias("fp"), F.col("g").alias("gp"))
-    stars = stars.join(nodes, "id").join(pole, "pole").filter(close("f", "fp")).filter(apart("g", "gp") <= most)
-    stars, _ = written(stars.select(F.col("id").alias("a"), F.col("pole").alias("b")).distinct())
+    keyed = nodes.select("id", "n", F.posexplode("prefix").alias("at", "h"))
+    me, bucket = F.struct("id", "n", "at"), Window.partitionBy("h")
+    met = keyed.select("h", "id", "n", "at", F.min(me).over(bucket).alias("p"), F.max(me).over(bucket).alias("q"))
+    met, _ = written(met.filter("p.id < q.id"))
+    sets, _ = written(shingle_sets(texts.join(met.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi"), size))
+
+    def reach(n, at, m, other):
+        return _enough(F.least(at, other) + 1 + F.least(n - at - 1, m - other - 1), n, m, similarity)
+
+    stars = met.select("id", "n", "at", F.explode(F.array("p", "q")).alias("o")).filter("id <> o.id").filter(reach(F.col("n"), F.col("at"), F.col("o.n"), F.col("o.at")))
+    tried, _ = written(stars.select(F.least("id", "o.id").alias("a"), F.greatest("id", "o.id").alias("b")).distinct())
+    stars, _ = written(alike(tried, sets, similarity))
     first = connected(stars).select(F.col("node").alias("id"), F.col("component").alias("c"))
-    sides, _ = written(met.select("k", "v", "id").join(first, "id", "left").withColumn("c", F.coalesce("c", "id")))
-    common = sides.groupBy("k", "v", "c").agg(F.count("*").alias("n")).groupBy("k", "v").agg(F.max_by("c", F.struct("n", "c")).alias("most"), F.count("*").alias("kinds"))
-    open_ = sides.join(common.filter("kinds > 1").drop("kinds"), ["k", "v"]).join(nodes, "id")
-    open_ = open_.select("k", "v", "id", "c", "most", F.col("f")[F.floor(F.col("k") / len(masks)).cast("int")].alias("w"), "g")
-    rare = open_.filter("c <> most").select("k", "v", F.col("id").alias("x"), F.col("c").alias("cx"), F.col("w").alias("wx"), F.col("g").alias("gx"))
-    start = F.element_at(F.array(*[F.lit(s) for s, _ in masks]), F.pmod("k", F.lit(len(masks))) + 1)
-    pairs = open_.join(rare, ["k", "v"]).filter("c <> cx and (c = most or id < x)").filter(_near(F.col("w"), F.col("wx"), start, limit)).filter(apart("g", "gx") <= most)
-    more = pairs.select(F.col("c").alias("a"), F.col("cx").alias("b")).distinct()
-    return connected(stars.unionByName(more)).select(F.col("node").alias("id"), F.col("component").alias("root"))
+    sides, _ = written(met.select("h", "id", "n", "at").join(first, "id", "left").withColumn("c", F.coalesce("c", "id")))
+    common = sides.groupBy("h", "c").agg(F.count("*").alias("k")).groupBy("h").agg(F.max_by("c", F.struct("k", "c")).alias("most"), F.count("*").alias("kinds"))
+    open_ = sides.join(common.filter("kinds > 1").drop("kinds"), "h")
+    rare = open_.filter("c <> most").select("h", F.col("id").alias("x"), F.col("c").alias("cx"), F.col("n").alias("m"), F.col("at").alias("ax"))
+    pairs = open_.join(rare, "h").filter("c <> cx and (c = most or id < x)").filter(reach(F.col("n"), F.col("at"), F.col("m"), F.col("ax")))
+    pairs = pairs.select(F.least("id", "x").alias("a"), F.greatest("id", "x").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+    return connected(stars.unionByName(alike(pairs, sets, similarity))).select(F.col("node").alias("id"), F.col("component").alias("root"))
 
 
-def drop_similar(docs: DataFrame, size: int = 5, similarity: float = 0.8, bits: int = 256) -> DataFrame:
+def drop_similar(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
     """``docs`` with one document, the smallest doc_id, of each class linked by shingle similarity.
 
-    The similarity of ``size``-word shingles is judged by a SimHash of ``bits`` bits, so pairs at
-    the very threshold fall on either side. Repeated rows of one doc_id are one document, texts
-    without words are alike, rows without a doc_id stay as they are.
+    Texts are linked if the Jaccard similarity of their sets of hashed ``size``-word shingles is at
+    least ``similarity``. Repeated rows of one doc_id are one document, texts without words are
+    alike, rows without a doc_id stay as they are.
     """
     named = docs.filter("doc_id is not null")
-    rows, _ = written(signatures(named, size, bits))
-    nodes, _ = written(rows.groupBy("f", "g").agg(F.min("doc_id").alias("id")).select("id", "f", "g"))
-    keep = nodes.select("id").join(link_similar(nodes, similarity, bits), "id", "left").filter("root is null or root = id").select(F.col("id").alias("kept"))
+    rows, _ = written(prefixes(named, size, similarity))
+    firsts = rows.groupBy("digest").agg(F.min("doc_id").alias("doc_id"))
+    nodes, _ = written(rows.join(firsts, ["digest", "doc_id"]).select(F.col("doc_id").alias("id"), "n", "prefix"))
+    keep = nodes.select("id").distinct().join(link_similar(nodes, named, size, similarity), "id", "left").filter("root is null or root = id").select(F.col("id").alias("kept"))
     stay = named.join(keep, named["doc_id"] == keep["kept"], "left_semi").dropDuplicates(["doc_id"])
     return stay.unionByName(docs.filter("doc_id is null"))
 

@@ -117,6 +117,86 @@ def test_similar_documents(spark):
     assert {10_000 + i for i in range(60)} <= set(kept) and [d for d in kept if d >= 20_000] == [20_000]
 
 
+def planted(rng, make):
+    """Texts with added, removed, moved and scattered edits, around and on a similarity of 0.8."""
+    rows = []
+    for family in range(60):
+        words = make(rng.randint(60, 300))
+        rows.append(words)
+        n = len(words)
+        for share in (0.05, 0.1, 0.15, 0.18, 0.2, 0.22, 0.25, 0.3):
+            k, at = max(1, int(share * n)), rng.randrange(n // 2)
+            rows.append(words[:at] + make(k) + words[at:])
+            rows.append(words[:at] + words[at + k :])
+            rows.append(words[k:] + words[:k])
+        for edits in (1, 2, n // 60, n // 40, n // 25):
+            copy = list(words)
+            for _ in range(edits):
+                copy[rng.randrange(n)] = make(1)[0]
+            rows.append(copy)
+    for n in (1, 3, 5, 6, 8, 9, 12, 14, 40):  # n + 4 words have n shingles; of 5k shingles 4k are exactly 0.8
+        words = make(n + 4)
+        rows += [words, words + make(1), words + make(2), words[: -max(1, n // 5)], words + make(max(1, n // 4))]
+    return [(i, " ".join(w)) for i, w in enumerate(rows)]
+
+
+def brute_classes(rows, similarity=0.8):
+    """doc_id -> smallest doc_id reachable over pairs of exactly compared shingle sets."""
+    sets, root = [shingles(t) for _, t in rows], list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if 10 * len(sets[i] & sets[j]) >= round(10 * similarity) * len(sets[i] | sets[j]):
+                hi, lo = max(find(i), find(j)), min(find(i), find(j))
+                root[hi] = lo
+    return {rows[i][0]: rows[find(i)][0] for i in range(len(rows))}
+
+
+def test_blocks_and_threshold_as_brute_force(spark):
+    """Every pair at 0.8 or more is linked, block inserts and deletions too, and no pair below."""
+    rng = random.Random(21)
+    make = lambda n: ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 7))) for _ in range(n)]
+    rows = planted(rng, make)
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    want = brute_classes(rows)
+    kept = {r["doc_id"] for r in S.drop_similar(df).collect()}
+    assert kept == {d for d, root in want.items() if d == root}
+
+
+def test_the_very_threshold(spark):
+    """Pairs of texts with so many common shingles of so many in all, at, just above and just below 0.8."""
+    rows, linked = [], set()
+    for k, (shared, total) in enumerate([(8, 10), (79, 100), (80, 100), (81, 100), (399, 500), (400, 500), (799, 1000), (801, 1000)]):
+        own, words = total - shared, [f"w{k}_{i}" for i in range(shared + 4)]
+        a, b = words + [f"a{k}_{i}" for i in range(own // 2)], words + [f"b{k}_{i}" for i in range(own - own // 2)]
+        x, y = shingles(" ".join(a)), shingles(" ".join(b))
+        assert (len(x & y), len(x | y)) == (shared, total)
+        rows += [(2 * k, " ".join(a)), (2 * k + 1, " ".join(b))]
+        linked |= {2 * k + 1} if 5 * shared >= 4 * total else set()
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert {r["doc_id"] for r in S.drop_similar(df).collect()} == {d for d, _ in rows} - linked
+
+
+def test_a_passage_of_many_documents(spark, monkeypatch):
+    """Common shingles change the order of the prefixes, not the result."""
+    rng = random.Random(4)
+    make = lambda n: [f"{rng.randrange(10**6)}" for _ in range(n)]
+    passage, rows = make(60), []
+    for i in range(120):
+        words = make(rng.randint(5, 60))
+        rows += [(3 * i, " ".join(words[:5] + passage + words[5:])), (3 * i + 1, " ".join(words[:5] + passage + words[5:] + make(rng.randint(1, 30)))), (3 * i + 2, " ".join(words))]
+    monkeypatch.setattr(S, "SAMPLED", 2)
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    want = brute_classes(rows)
+    assert len(S.common_shingles(df, 5)[0]) >= 50
+    assert {r["doc_id"] for r in S.drop_similar(df).collect()} == {d for d, root in want.items() if d == root}
+
+
 def test_similar_odd_rows(odd, clashing, none):
     kept = sorted(r["doc_id"] for r in S.drop_similar(odd).collect() if r["doc_id"] is not None)
     assert kept == sorted(r["doc_id"] for r in S.drop_similar(clashing).collect() if r["doc_id"] is not None)
