@@ -19,7 +19,6 @@ from pyspark.sql import DataFrame, functions as F
 from signalmill.llm.vocab import default_path, kept
 
 RATE = 0.1
-VARIANTS = 4
 CACHE = 700_000
 SLICE = 1024  # documents that are handled together
 SHORT = 48  # characters of words that are merged in batches
@@ -201,11 +200,64 @@ def _merge_block(words, seeds, rows, width, rate, vocab, out) -> None:
         out[i] = symbols
 
 
+def occurrence_seed(seed: int, nth: int) -> int:
+    """The seed of the ``nth`` word of a document."""
+    return (seed + (nth + 1) * STEPS[2]) & MASK
+
+
 class Encoder:
     """Texts to ids under one rate; words repeat, so their segmentations are kept, up to a bound."""
 
     def __init__(self, vocab: Vocabulary, rate: float):
         self.vocab, self.rate, self.kept, self.split = vocab, rate, {}, re.compile(r" *[^ ]+| +")
+        self.spans, self.drops = {}, {}
+
+    def _spans(self, word: str) -> tuple[list[int], list[int]]:
+        """Places and pieces of all merges that any order of merging could make; none are kept of long words."""
+        found = [(i, self.vocab.ids.get(word[i:j])) for i in range(len(word)) for j in range(i + 2, len(word) + 1)] if len(word) <= SHORT else []
+        found = [(i, p) for i, p in found if p is not None]
+        return [i for i, _ in found], [p for _, p in found]
+
+    def encode_each(self, texts: list[str], seeds: list[int]) -> list[list[int]]:
+        """As ``encode``, with a seed of its own for every word of a text.
+
+        What a word becomes depends only on which of its merges are skipped, so segmentations are
+        kept by word and skipped merges; the skips are drawn anew for every occurrence.
+        """
+        words = [self.split.findall(" " + t) if t else [] for t in texts]
+        flat = [w for ws in words for w in ws]
+        own = [occurrence_seed(seed, n) for ws, seed in zip(words, seeds) for n in range(len(ws))]
+        for w in set(flat) - self.spans.keys():
+            self.spans[w] = self._spans(w)
+        mine = [self.spans[w] for w in flat]
+        size = np.fromiter((len(x[0]) for x in mine), np.int64, len(flat))
+        marks = np.zeros(len(flat), np.uint64)
+        keys = np.fromiter(map(word_key, flat, own), np.uint64, len(flat))
+        for at in range(0, len(flat), 1 << 16):
+            part, n = slice(at, at + (1 << 16)), size[at : at + (1 << 16)]
+            place = np.array([i for x in mine[part] for i in x[0]], np.int64)
+            piece = np.array([p for x in mine[part] for p in x[1]], np.int64)
+            bit = np.arange(len(place)) - np.repeat(np.cumsum(n) - n, n)
+            out = _skipped_all(np.repeat(keys[part], n), place, piece, self.rate) & (bit < 64)
+            np.bitwise_or.at(marks, at + np.repeat(np.arange(len(n)), n)[out], np.uint64(1) << bit[out].astype(np.uint64))
+        fixed = [len(w) <= SHORT and k <= 64 for w, k in zip(flat, size.tolist())]
+        names = [(w, m) if f else (w, m, s) for w, m, s, f in zip(flat, marks.tolist(), own, fixed)]
+        new = {name: i for i, name in enumerate(names) if name not in self.drops}
+        for name, ids in zip(new, merge_many([flat[i] for i in new.values()], [own[i] for i in new.values()], self.rate, self.vocab)):
+            self.drops[name] = ids
+        out, at = [], 0
+        for ws in words:
+            ids = []
+            for name in names[at : at + len(ws)]:
+                ids += self.drops[name]
+            out.append(ids)
+            at += len(ws)
+        for name in [x for x in new if len(x) == 3]:  # of one occurrence only
+            del self.drops[name]
+        if len(self.drops) + len(self.spans) > CACHE:
+            self.drops.clear()
+            self.spans.clear()
+        return out
 
     def encode(self, texts: list[str], seeds: list[int]) -> list[list[int]]:
         """Merges never cross from a letter to a space, so words with the spaces before them stand alone."""
@@ -233,11 +285,11 @@ class Encoder:
         return b"".join([table[i] for i in ids]).decode()[1:]
 
 
-def encode_dropout(docs: DataFrame, rate: float = RATE, seed: int = 7, variants: int = VARIANTS, path: str | None = None) -> DataFrame:
+def encode_dropout(docs: DataFrame, rate: float = RATE, seed: int = 7, path: str | None = None) -> DataFrame:
     """(doc_id, ids, n_ids, lossless): each text's pieces under merge-dropout, decoded again to compare.
 
-    A document's seed is one of ``variants`` seeds picked by a hash of its id, so a word has up to
-    that many segmentations in the corpus, the same on every run. A null or empty text has no
+    Merges are skipped by a hash of the document's id, the word and its place among the document's
+    words, so every occurrence is cut on its own, the same way on every run. A null or empty text has no
     pieces; a rate of 0 is the vocabulary's plain segmentation; other columns are not read.
     """
 
@@ -249,8 +301,8 @@ def encode_dropout(docs: DataFrame, rate: float = RATE, seed: int = 7, variants:
             for at in range(0, batch.num_rows, SLICE):
                 part = batch.slice(at, SLICE)
                 texts = [t or "" for t in part.column(1).to_pylist()]
-                seeds = [seed * 1_000_003 + xxhash.xxh64_intdigest(str(i).encode(), seed) % variants for i in part.column(0).to_pylist()]
-                ids = coder.encode(texts, seeds)
+                seeds = [seed * 1_000_003 + xxhash.xxh64_intdigest(str(i).encode(), seed & MASK) for i in part.column(0).to_pylist()]
+                ids = coder.encode_each(texts, seeds)
                 same = [coder.decode(i) == t for i, t in zip(ids, texts)]
                 cols = [part.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(list(map(len, ids)), pa.int64()), pa.array(same)]
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "ids", "n_ids", "lossless"])

@@ -49,3 +49,22 @@ def test_seeds_and_rates_vary(odd):
 def test_dropped_share():
     n = sum(D.skipped(D.word_key(f"w{i}", 3), i % 9, i, 0.25) for i in range(20000))
     assert abs(n / 20000 - 0.25) < 0.02
+
+
+def test_every_occurrence_is_cut_on_its_own(spark):
+    """One word often, in one document and in many: as the agenda, and with far more than a few segmentations."""
+    vocab = D.vocabulary(PATH)
+    word = "internationalisation"
+    texts = [" ".join([word] * 200), "x" * 60 + " " + word, "", "Ünï çode ▁  日本 😀 " * 3] + [word] * 100
+    coder = D.Encoder(vocab, 0.1)
+    got = coder.encode_each(texts, list(range(len(texts))))
+    for seed, (text, ids) in enumerate(zip(texts, got)):
+        words = coder.split.findall(" " + text) if text else []
+        assert ids == [i for n, w in enumerate(words) for i in D.merge_one(w, D.occurrence_seed(seed, n), 0.1, vocab)]
+        assert coder.decode(ids) == text
+    rows = [(i, word) for i in range(300)] + [(1000, " ".join([word] * 300))]
+    out = {r["doc_id"]: r for r in D.encode_dropout(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert all(r["lossless"] for r in out.values())
+    assert len({tuple(out[i]["ids"]) for i in range(300)}) > 8
+    one = [tuple(D.merge_one(w, D.occurrence_seed(5, n), 0.1, vocab)) for n, w in enumerate([" " + word] * 300)]
+    assert len(set(one)) > 8
