@@ -10,6 +10,7 @@ those within every budget get the full comparison, which is the last chain.
 
 from __future__ import annotations
 
+import gc
 import math
 
 import numpy as np
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from signalmill.llm.components import connected
-from signalmill.plans.runtime import written
+from signalmill.plans.runtime import discard, written
 
 BITS = 64
 BLOCK = 1 << 14
@@ -237,11 +238,28 @@ def _enough(shared: Column, n: Column, m: Column, similarity: float) -> Column:
     return shared * (1 + similarity) >= (n + m) * similarity - 1e-6
 
 
-def alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The ``pairs`` (a, b) whose shingle ``sets`` (id, s) have a Jaccard similarity of at least ``similarity``."""
+def alike(pairs: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
+    """The written ``pairs`` (a, b) whose shingle sets have a Jaccard similarity of at least ``similarity``.
+
+    Sets are large, so they are made for the texts of the pairs only and deleted afterwards.
+    """
+    spark = pairs.sparkSession
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    sets, path = written(shingle_sets(texts.join(ids, "doc_id", "left_semi"), size))
+    release(spark)
     left, right = (sets.select(F.col("id").alias(x), F.col("s").alias(f"s{x}")) for x in "ab")
     both = pairs.join(left, "a").join(right, "b")
-    return both.filter(_enough(F.size(F.array_intersect("sa", "sb")), F.size("sa"), F.size("sb"), similarity)).select("a", "b").distinct()
+    out, _ = written(both.filter(_enough(F.size(F.array_intersect("sa", "sb")), F.size("sa"), F.size("sb"), similarity)).select("a", "b").distinct())
+    discard(spark, path)
+    del both, left, right, sets
+    release(spark)
+    return out
+
+
+def release(spark) -> None:
+    """Let Spark delete the exchanges of finished queries now instead of at the driver's next collection."""
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def link_similar(nodes: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
@@ -256,14 +274,15 @@ def link_similar(nodes: DataFrame, texts: DataFrame, size: int, similarity: floa
     me, bucket = F.struct("id", "n", "at"), Window.partitionBy("h")
     met = keyed.select("h", "id", "n", "at", F.min(me).over(bucket).alias("p"), F.max(me).over(bucket).alias("q"))
     met, _ = written(met.filter("p.id < q.id"))
-    sets, _ = written(shingle_sets(texts.join(met.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi"), size))
+    del keyed
+    release(nodes.sparkSession)
 
     def reach(n, at, m, other):
         return _enough(F.least(at, other) + 1 + F.least(n - at - 1, m - other - 1), n, m, similarity)
 
     stars = met.select("id", "n", "at", F.explode(F.array("p", "q")).alias("o")).filter("id <> o.id").filter(reach(F.col("n"), F.col("at"), F.col("o.n"), F.col("o.at")))
     tried, _ = written(stars.select(F.least("id", "o.id").alias("a"), F.greatest("id", "o.id").alias("b")).distinct())
-    stars, _ = written(alike(tried, sets, similarity))
+    stars = alike(tried, texts, size, similarity)
     first = connected(stars).select(F.col("node").alias("id"), F.col("component").alias("c"))
     sides, _ = written(met.select("h", "id", "n", "at").join(first, "id", "left").withColumn("c", F.coalesce("c", "id")))
     common = sides.groupBy("h", "c").agg(F.count("*").alias("k")).groupBy("h").agg(F.max_by("c", F.struct("k", "c")).alias("most"), F.count("*").alias("kinds"))
@@ -271,7 +290,8 @@ def link_similar(nodes: DataFrame, texts: DataFrame, size: int, similarity: floa
     rare = open_.filter("c <> most").select("h", F.col("id").alias("x"), F.col("c").alias("cx"), F.col("n").alias("m"), F.col("at").alias("ax"))
     pairs = open_.join(rare, "h").filter("c <> cx and (c = most or id < x)").filter(reach(F.col("n"), F.col("at"), F.col("m"), F.col("ax")))
     pairs = pairs.select(F.least("id", "x").alias("a"), F.greatest("id", "x").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    return connected(stars.unionByName(alike(pairs, sets, similarity))).select(F.col("node").alias("id"), F.col("component").alias("root"))
+    pairs, _ = written(pairs)
+    return connected(stars.unionByName(alike(pairs, texts, size, similarity))).select(F.col("node").alias("id"), F.col("component").alias("root"))
 
 
 def drop_similar(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -283,9 +303,9 @@ def drop_similar(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> Dat
     """
     named = docs.filter("doc_id is not null")
     rows, _ = written(prefixes(named, size, similarity))
-    firsts = rows.groupBy("digest").agg(F.min("doc_id").alias("doc_id"))
-    nodes, _ = written(rows.join(firsts, ["digest", "doc_id"]).select(F.col("doc_id").alias("id"), "n", "prefix"))
-    keep = nodes.select("id").distinct().join(link_similar(nodes, named, size, similarity), "id", "left").filter("root is null or root = id").select(F.col("id").alias("kept"))
+    firsts, _ = written(rows.groupBy("digest").agg(F.min("doc_id").alias("doc_id")))
+    nodes = rows.join(firsts, ["digest", "doc_id"]).select(F.col("doc_id").alias("id"), "n", "prefix")
+    keep = firsts.select(F.col("doc_id").alias("id")).distinct().join(link_similar(nodes, named, size, similarity), "id", "left").filter("root is null or root = id").select(F.col("id").alias("kept"))
     stay = named.join(keep, named["doc_id"] == keep["kept"], "left_semi").dropDuplicates(["doc_id"])
     return stay.unionByName(docs.filter("doc_id is null"))
 
