@@ -341,8 +341,8 @@ s AS (
   FROM c JOIN f x ON x.lang = c.lang AND x.g = list_slice(c.g, 1, c.cut) JOIN f y ON y.lang = c.lang AND y.g = list_slice(c.g, c.cut + 1, c.k)),
 b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, cut) = 1),
 i AS (
-  SELECT lang, list_slice(g, at, at + size - 1) AS g, max(f) AS above
-  FROM (SELECT lang, g, f, size, unnest(range(1, k - size + 2)) AS at FROM (SELECT lang, g, k, f, unnest(range(2, k)) AS size FROM f WHERE k > 2))
+  SELECT lang, list_slice(g, spot, spot + size - 1) AS g, max(f) AS above
+  FROM (SELECT lang, g, f, size, unnest(range(1, k - size + 2)) AS spot FROM (SELECT lang, g, k, f, unnest(range(2, k)) AS size FROM f WHERE k > 2))
   GROUP BY ALL),
 o AS (
   SELECT b.lang, array_to_string(b.g, ' ') AS phrase, a, l, r, n, score FROM b JOIN t USING (lang) LEFT JOIN i ON i.lang = b.lang AND i.g = b.g
