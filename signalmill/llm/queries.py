@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from signalmill.llm import chat, collocations, dropout, exact, lattice, lines, packing, redirects, simhash, topk, toxicity
+from signalmill.llm import chat, collocations, dropout, exact, fertility, lattice, lines, packing, redirects, simhash, topk, toxicity, whitening
 
 
 def _over(table: str, op: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -28,6 +28,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_budgeted_windows": _over("conversations", chat.op8),
     "op9_polynomial_dedup": _over("documents", exact.exact_groups),
     "op10_histogram_topk": _over("embeddings", topk.op10),
+    "op13_bidiagonal_whitening": _over("embeddings", whitening.op13),
+    "op11_token_fertility": _over("documents", fertility.op11),
     "op12_dynamic_collocations": _over("documents", collocations.op12),
 }
 SQL: dict[str, str] = {"op4_redirect_equivalence": redirects.OP4_SQL, "op6_site_spread": lines.OP6_SQL, "op9_polynomial_dedup": exact.OP9_SQL, "op10_histogram_topk": topk.OP10_SQL, "op12_dynamic_collocations": collocations.OP12_SQL}
