@@ -26,7 +26,7 @@ from signalmill.functions.ordered import attach
 from signalmill.llm.names import unused
 from signalmill.plans.runtime import discard, shared_folder, written
 
-SHARDS = 4
+SHARDS = 3
 LEAST = 30  # occurrences of a candidate
 LONGEST = 4  # words of a phrase
 SHARE = 80  # percent: a phrase found this often inside one longer candidate goes
@@ -38,7 +38,7 @@ BLOCK = 1 << 16
 BREAK = b"\xff"  # never part of UTF-8
 TABLE = bytes(c + 32 if 65 <= c <= 90 else 255 if c in b".,;:!?\n\x0b\x0c\r" else c for c in range(256))
 WORDS = [f"w{i}" for i in range(1, LONGEST + 1)]
-KEYS = ["len", "lang", *WORDS]
+KEYS = ["len", *WORDS]  # names of words differ by language, so a phrase's do too
 
 
 class _Codes(dict):
@@ -127,11 +127,11 @@ def _reach(sketch: np.ndarray, names: np.ndarray) -> np.ndarray:
 
 def _counter(sketch, step: int, shards: int):
     """Counts of one shard's active phrases; ``until`` is the last step in which a phrase is."""
-    schema = pa.schema([("len", pa.int32()), ("lang", pa.string()), *((w, pa.int64()) for w in WORDS), ("c", pa.int64()), ("until", pa.int32())])
+    schema = pa.schema([("len", pa.int32()), *((w, pa.int64()) for w in WORDS), ("c", pa.int64()), ("until", pa.int32())])
 
-    def rows(lang, columns, counts, until):
+    def rows(columns, counts, until):
         n = len(counts)
-        fields = [pa.array(np.full(n, len(columns), np.int32)), pa.array([lang]).dictionary_encode().take(pa.array(np.zeros(n, np.int32))).cast(pa.string())]
+        fields = [pa.array(np.full(n, len(columns), np.int32))]
         fields += [pa.array(c.view(np.int64)) for c in columns] + [pa.array(np.zeros(n, np.int64))] * (LONGEST - len(columns))
         return pa.RecordBatch.from_arrays([*fields, pa.array(counts.astype(np.int64)), pa.array(until.astype(np.int32))], schema=schema)
 
@@ -142,7 +142,7 @@ def _counter(sketch, step: int, shards: int):
                 names, codes = np.frombuffer(row["names"], np.uint64), np.frombuffer(row["codes"], np.uint32).astype(np.int64)
                 if step <= shards:
                     counts = np.bincount(codes, minlength=len(names))[1:]
-                    yield rows(row["lang"], [names[1:]], counts, np.full(len(counts), shards))
+                    yield rows([names[1:]], counts, np.full(len(counts), shards))
                 known = _reach(table, _name([names]))
                 known[0] = 0
                 at = np.arange(len(codes))  # starts of the phrases of the last length
@@ -157,7 +157,7 @@ def _counter(sketch, step: int, shards: int):
                     if open_.any():
                         _, first, counts = np.unique(key[open_], return_index=True, return_counts=True)
                         spots = at[open_][first]
-                        yield rows(row["lang"], [names[codes[spots + i]] for i in range(size)], counts, latest[open_][first].astype(np.int64) + shards)
+                        yield rows([names[codes[spots + i]] for i in range(size)], counts, latest[open_][first].astype(np.int64) + shards)
                     if size == LONGEST or not len(at):
                         break
                     now = _reach(table, _name([names[codes[at + i]] for i in range(size)]))
@@ -206,7 +206,7 @@ def _sketch(state: DataFrame, count: int) -> np.ndarray:
 
 
 def _count(chunks: DataFrame, shards: int, least: int) -> tuple[DataFrame, str]:
-    """(len, lang, w1 .. w4, f) of all phrases of ``least`` occurrences or more, and where the table lies."""
+    """(len, w1 .. w4, f) of all phrases of ``least`` occurrences or more, and where the table lies."""
     spark = chunks.sparkSession
     counts = [f"c{s}" for s in range(shards)]
     total = sum((F.col(c) for c in counts), F.lit(0))
@@ -214,8 +214,8 @@ def _count(chunks: DataFrame, shards: int, least: int) -> tuple[DataFrame, str]:
     while True:
         step += 1
         shared = spark.sparkContext.broadcast(sketch)
-        own = chunks.filter(F.col("shard") == (step - 1) % shards).select("lang", "names", "codes")
-        fresh = own.mapInArrow(_counter(shared, step, shards), f"len int, lang string, {', '.join(f'{w} bigint' for w in WORDS)}, c bigint, until int")
+        own = chunks.filter(F.col("shard") == (step - 1) % shards).select("names", "codes")
+        fresh = own.mapInArrow(_counter(shared, step, shards), f"len int, {', '.join(f'{w} bigint' for w in WORDS)}, c bigint, until int")
         fresh = fresh.select(*KEYS, "c", "until", F.lit(None).cast("int").alias("reach"), *[F.lit(0).cast("bigint").alias(c) for c in counts])
         both = fresh if state is None else fresh.unionByName(state.withColumn("c", F.lit(0).cast("bigint")))
         merged = both.groupBy(*KEYS).agg(F.sum("c").alias("c"), F.max("until").alias("until"), F.max("reach").alias("reach"), *[F.max(c).alias(c) for c in counts])
@@ -249,7 +249,7 @@ def _names(chunks: DataFrame, words: DataFrame) -> DataFrame:
 def _phrase(first: int, last: int) -> list[Column]:
     """Columns w1 .. w4 of the words ``first`` to ``last`` of a row's phrase."""
     words = [F.col(WORDS[i]) for i in range(first, last)]
-    return [F.lit(last - first).alias("len"), "lang", *[x.alias(w) for x, w in zip([*words, *[F.lit(0).cast("bigint")] * (LONGEST - len(words))], WORDS)]]
+    return [F.lit(last - first).alias("len"), *[x.alias(w) for x, w in zip([*words, *[F.lit(0).cast("bigint")] * (LONGEST - len(words))], WORDS)]]
 
 
 def _scored(counts: DataFrame) -> DataFrame:
@@ -309,11 +309,12 @@ def collocations(docs: DataFrame, least: int = LEAST, share: int = SHARE, top: i
             discard(spark, path)
     scored = _scored(counts)
     scored = scored.join(_contained(counts), KEYS, "left").filter(F.col("above").isNull() | (F.col("above").cast("decimal(20,0)") * 100 < F.col("a").cast("decimal(20,0)") * share))
+    scored = attach(scored, words.select(F.col("w").alias("w1"), "lang"), "w1", salt=F.hash("w2", "w3", "w4"))
     order = [F.desc("score"), F.desc("a")]
     kept = scored.withColumn("place", F.rank().over(Window.partitionBy("lang").orderBy(*order))).filter(F.col("place") <= top)
-    spelled = kept.select(*KEYS, "a", "l", "r", "score", F.posexplode(F.slice(F.array(*WORDS), 1, F.col("len"))).alias("pos", "w")).join(words.select("w", "word"), "w")
+    spelled = kept.select("lang", *KEYS, "a", "l", "r", "score", F.posexplode(F.slice(F.array(*WORDS), 1, F.col("len"))).alias("pos", "w")).join(words.select("w", "word"), "w")
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "word"))), lambda x: x["word"]), " ")
-    spelled = spelled.groupBy(*KEYS, "a", "l", "r", "score").agg(joined.alias("phrase"))
+    spelled = spelled.groupBy("lang", *KEYS, "a", "l", "r", "score").agg(joined.alias("phrase"))
     total = chunks.groupBy("lang").agg(F.sum("n").alias("n"))
     ranked = spelled.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order, "phrase"))).filter(F.col("rank") <= top)
     return ranked.join(total, "lang").select("lang", F.col("rank").cast("bigint"), "phrase", "a", "l", "r", "n", "score")
