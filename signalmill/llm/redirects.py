@@ -10,7 +10,8 @@ from signalmill.llm.components import connected
 RULES = (("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block"))
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 TAG = r"(?is)<(?:link|meta)\b[^<>]*>"
-CANONICAL = r"(?is)^<link\b(?=[^>]*\brel\s*=\s*[\"']?canonical\b)[^>]*\bhref\s*=\s*[\"']?([^\"'\s>]+)"
+REL = r"""(?<![\w-])rel\s*=\s*(?:"(?:[^"]*\s)?canonical(?:\s[^"]*)?"|'(?:[^']*\s)?canonical(?:\s[^']*)?'|canonical(?=[\s/>]))"""
+CANONICAL = rf"(?is)^<link\b(?=[^>]*{REL})[^>]*\bhref\s*=\s*[\"']?([^\"'\s>]+)"
 REFRESH = r"(?is)^<meta\b(?=[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b)[^>]*\bcontent\s*=\s*[\"']?[^\"'>]*?\burl\s*=\s*([^\"'\s>]+)"
 
 
@@ -38,18 +39,47 @@ def decide(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return (F.lit(None).cast("string"), F.lit(None).cast("string")) if name is None else (name, verdict)
 
 
+SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*:"
+
+
+def _without_dots(path: Column) -> Column:
+    """A path that starts with ``/``, its ``.`` and ``..`` segments worked off."""
+    parts = F.slice(F.split(path, "/", -1), 2, F.size(F.split(path, "/", -1)))
+    step = lambda done, x: F.when(x == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).when(x == ".", done).otherwise(F.concat(done, F.array(x)))
+    kept = F.aggregate(parts, F.array().cast("array<string>"), step)
+    kept = F.when(F.element_at(parts, -1).isin(".", ".."), F.concat(kept, F.array(F.lit("")))).otherwise(kept)
+    return F.concat(F.lit("/"), F.array_join(kept, "/"))
+
+
+def resolved(page: Column, link: Column) -> Column:
+    """The address that ``link`` has on the page at ``page``; null without a host.
+
+    A leading scheme makes it absolute, whatever stands further on. ``//host`` takes the page's scheme,
+    ``/path`` its host, ``?query`` its path, and anything else its folder; ``.`` and ``..`` are worked off.
+    """
+    base = F.regexp_extract(page, r"^((?s:.*?)://[^/?#]*)", 1)
+    here = path_of(page)
+    bare, query = F.regexp_extract(link, r"^([^?#]*)", 1), F.regexp_extract(link, r"^[^?#]*(\?[^#]*)", 1)
+    folder = F.when(F.instr(here, "/") > 0, F.regexp_extract(here, r"^((?s:.*)/)", 1)).otherwise(F.lit("/"))
+    path = F.when(bare == "", here).when(bare.startswith("/"), _without_dots(bare)).otherwise(_without_dots(F.concat(folder, bare)))
+    return (
+        F.when(link.rlike(SCHEME), F.when(link.rlike(SCHEME + "//"), link))
+        .when(link.startswith("//"), F.concat(F.regexp_extract(page, r"^((?s:.*?):)//", 1), link))
+        .when(page.contains("://"), F.concat(base, path, query))
+    )
+
+
 def alias_edges(pages: DataFrame) -> DataFrame:
-    """(a, b): each page's URL and the absolute URLs of its canonical links and refresh redirects.
+    """(a, b): each page's URL and the URLs of its canonical links and refresh redirects.
 
-    URLs are told apart without their fragment. Links without ``://`` stay on the page's own host
-    and are resolved against it when they start with ``/``; others are no edges.
+    ``canonical`` may be one of several rel values. Links of any form are resolved against the
+    page's URL, and URLs are told apart without their fragment. Links to no host (``mailto:``) are no edges.
     """
     tags = pages.filter("url is not null and html is not null").select("url", F.explode(F.regexp_extract_all("html", F.lit(TAG), F.lit(0))).alias("tag"))
     target = F.coalesce(*[F.when(F.regexp_extract("tag", p, 1) != "", F.regexp_extract("tag", p, 1)) for p in (CANONICAL, REFRESH)])
-    base = F.regexp_extract("url", r"^((?s:.*?)://[^/?#]*)", 1)
-    to = F.when(F.col("to").contains("://"), F.col("to")).when(F.col("to").startswith("//"), F.concat(F.substring_index("url", "//", 1), "to")).when(F.col("to").startswith("/"), F.concat(base, "to"))
-    links = tags.select("url", target.alias("to")).filter("to is not null").select("url", F.replace(to, F.lit("&amp;"), F.lit("&")).alias("to"))
-    return links.filter("to is not null").select(node(F.col("url")).alias("a"), node(F.col("to")).alias("b")).distinct()
+    links = tags.select("url", F.replace(target, F.lit("&amp;"), F.lit("&")).alias("to")).filter("to is not null")
+    ends = links.select("url", resolved(F.col("url"), F.col("to")).alias("to")).filter("to is not null")
+    return ends.select(node(F.col("url")).alias("a"), node(F.col("to")).alias("b")).distinct()
 
 
 def node(url: Column) -> Column:
@@ -76,7 +106,11 @@ def judge(pages: DataFrame, edges: DataFrame, rules=RULES) -> DataFrame:
     classes = said.groupBy("component").agg(F.max(F.col("word") == "block").alias("blocked"), F.max(F.col("word") == "allow").alias("allowed"))
     blocked = classes.filter("blocked and not coalesce(allowed, false)").select("component")
     aliases = members.join(blocked, "component").select(F.col("node").alias("alias")).withColumn("alias_verdict", F.lit("block"))
-    out = own.withColumn("alias", F.when(F.col("rule").isNull(), node(F.col("url")))).join(aliases, "alias", "left")
+    # only pages without a rule and with a host look for their class
+    asks = F.col("rule").isNull() & F.col("url").contains("://")
+    asked = own.filter(asks).withColumn("alias", node(F.col("url"))).join(aliases, "alias", "left")
+    settled = own.filter(~F.coalesce(asks, F.lit(False))).withColumn("alias_verdict", F.lit(None).cast("string"))
+    out = asked.select(*own.columns, "alias_verdict").unionByName(settled)
     return out.select("page_id", "host", "path", "rule", F.coalesce("own", "alias_verdict", F.lit("allow")).alias("verdict"))
 
 

@@ -45,3 +45,32 @@ def test_many_aliases_of_one_page(spark):
     rows += [(5000, "http://hub.org/p", '<link rel="canonical" href="http://q.example.net/de/8">')]
     got = {r["page_id"]: r["verdict"] for r in R.op4(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
     assert got == {r[0]: "block" if r[0] >= 1000 or r[0] % 3 == 0 else "allow" for r in rows}
+
+
+def test_every_form_of_link(spark):
+    """Relative links as the standard library resolves them, whatever the query string holds."""
+    from urllib.parse import urljoin
+
+    from pyspark.sql import functions as F
+
+    pages = ["https://a.org/x/y/z?q=http://no.com/en/", "http://b.org", "http://b.org/", "https://c.org/d/e/", "ftp://h.org/a/b"]
+    links = ["page2.html", "../x", "../../../x/./y/..", "?p=3", "/go?u=http://x.com/en/1", "//y.net/de/8", "http://x.com/en/1", "./", ".", "..", "/a/../b/", "sub/x?y=../z", "HTTPS://Q.org/A", "/a//b"]
+    rows = [(p, l) for p in pages for l in links]
+    got = spark.createDataFrame(rows, "page string, link string").select("page", "link", R.resolved(F.col("page"), F.col("link")).alias("to")).collect()
+    for r in got:
+        want = urljoin(r["page"], r["link"]).replace("https://Q.org/A", "HTTPS://Q.org/A")
+        assert r["to"] == want, (r["page"], r["link"])
+    assert spark.range(1).select(R.resolved(F.lit("https://a.org/"), F.lit("mailto:x@y.com")).alias("to")).first()["to"] is None
+
+
+def test_relative_links_and_rel_tokens_block(spark):
+    rows = [
+        (0, "https://e.org/a/1", '<link rel="alternate canonical" href="../b/2?p=1">'),
+        (1, "https://e.org/b/2?p=1", "<link href=/c rel='shortlink canonical'>"),
+        (2, "https://e.org/c", '<meta http-equiv="refresh" content="0; url=https://x.com/en/1?u=://">'),
+        (3, "https://f.org/1", '<link rel="not-canonical" href="https://x.com/en/1">'),
+        (4, "https://f.org/2", '<link data-rel="canonical" href="https://x.com/en/1">'),
+        (5, "https://f.org/3", '<link rel="canonical" href="/go?u=https://x.com/en/1">'),
+    ]
+    got = {r["page_id"]: r["verdict"] for r in R.op4(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert got == {0: "block", 1: "block", 2: "block", 3: "allow", 4: "allow", 5: "allow"}
