@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
@@ -12,6 +13,8 @@ from signalmill.plans.runtime import written
 
 CAPACITY = 1024
 END = 2
+SLICE = 64  # texts whose ids a task holds at once
+LARGEST = 3  # lengths that fill a gap together
 
 
 def cut(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None) -> DataFrame:
@@ -25,7 +28,7 @@ def cut(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None) -> D
 
     def kernel(batches):
         encode, task, seen = byte_encoder(path or default_path()), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
-        for batch in batches:
+        for batch in (whole.slice(at, SLICE) for whole in batches for at in range(0, whole.num_rows, SLICE)):
             out = [[] for _ in range(7)]
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 ids = np.append(encode(text or ""), np.uint32(END)).astype("<u4")
@@ -42,14 +45,14 @@ def cut(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None) -> D
     return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(kernel, fields)
 
 
-def complete(left: np.ndarray, gap: int, even: bool = False) -> list[int] | None:
-    """One, two or three available lengths that fill ``gap`` exactly; None if there are none. ``even``: the most even pair, else the most uneven."""
+def complete(left: np.ndarray, gap: int, even: bool = False, most: int = LARGEST) -> list[int] | None:
+    """Up to ``most`` available lengths that fill ``gap`` exactly; None if there are none. ``even``: the most even pair, else the most uneven."""
     if gap < 1:
         return None
     if left[gap]:
         return [gap]
-    pair = _pair(left, gap, even)
-    if pair:
+    pair = _pair(left, gap, even) if most > 1 else None
+    if pair or most < 3:
         return pair
     have = left[: gap + 1] > 0
     sums = np.convolve(have, have)[: gap + 1] > 0  # index of pair sums
@@ -72,28 +75,29 @@ def _pair(left: np.ndarray, gap: int, even: bool) -> list[int] | None:
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, list[int]]]:
     """(times, lengths): sequences to make, from the number of pieces of each length up to ``capacity``.
 
-    The longest piece left opens a sequence, and combinations of up to three lengths that fill its
-    gap exactly are consumed. Where none is left, the residuals are packed by best fit: either at
-    once, with the rest of the gap tried again after each piece, or at the end, longest first. A
-    pattern is repeated as often as its lengths last, so each step uses up a length, and steps do
-    not grow with the number of documents. Of the variants, which also prefer even, uneven or no
-    complements, the one with the fewest sequences is returned.
+    The longest piece left opens a sequence, and combinations of lengths that fill its gap exactly are
+    consumed. Where none is left, the residuals are packed by best fit: either at once, with the
+    rest of the gap tried again after each piece, or at the end, longest first. A pattern is
+    repeated as often as its lengths last, so each step uses up a length, and steps do not grow with
+    the number of documents. Small tables may lack the short pieces that pairs and triples use up early,
+    so the plan is made with up to one, two and three lengths a gap, and with the most even and the most
+    uneven pairs; the plan with the fewest sequences is returned.
     """
     left = np.zeros(capacity + 1, np.int64)
     for length, count in counts.items():
         left[length] = count
-    plans = [_plan(left.copy(), capacity, even, again) for even in (False, True) for again in (False, True)]
-    best = min([*plans, _best_fit(left.copy(), capacity)], key=lambda p: sum(t for t, _ in p))
+    plans = [_plan(left.copy(), capacity, even, again, most) for most in range(LARGEST, 0, -1) for even in (False, True)[: most] for again in (False, True)]
+    best = min(plans, key=lambda p: sum(t for t, _ in p))
     assert all(sum(t * p.count(n) for t, p in best) == c for n, c in counts.items())
     return best
 
 
-def _plan(left: np.ndarray, capacity: int, even: bool, again: bool) -> list[tuple[int, list[int]]]:
+def _plan(left: np.ndarray, capacity: int, even: bool, again: bool, most: int) -> list[tuple[int, list[int]]]:
     out, waiting = [], np.zeros_like(left)
     while left.any():
         used, gap = [], capacity
         while gap:
-            more = complete(left, gap, even) if used else None
+            more = complete(left, gap, even, most) if used else None
             if more is None:
                 fits = np.flatnonzero(left[: gap + 1])
                 if not len(fits) or used and not again:
@@ -141,6 +145,21 @@ def _best_fit(left: np.ndarray, capacity: int) -> list[tuple[int, list[int]]]:
     return [group for groups in open_ for group in groups]
 
 
+def _places(slots: list[tuple]):
+    """(length, rank) -> sequence_id and offset. Each slot is a stretch of ranks of one length in equal sequences."""
+    length, low, number, each, at = (np.array(c, np.int64) for c in zip(*sorted(slots))) if slots else (np.zeros(0, np.int64),) * 5
+    key = (length << 44) + low
+
+    @F.pandas_udf("sequence_id bigint, offset bigint")
+    def locate(lengths: pd.Series, ranks: pd.Series) -> pd.DataFrame:
+        size, rank = lengths.to_numpy(np.int64), ranks.to_numpy(np.int64)
+        i = np.searchsorted(key, (size << 44) + rank, side="right") - 1
+        within = rank - low[i]
+        return pd.DataFrame({"sequence_id": number[i] + within // each[i], "offset": at[i] + within % each[i] * size})
+
+    return locate
+
+
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """``pieces`` (of ``cut``, with any further columns) and their sequence_id and offset, gapless from 0.
 
@@ -151,7 +170,6 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """
     others = [c for c in pieces.columns if c not in ("task", "nth", "length")]
     table, _ = written(pieces.select("task", "nth", "length", F.struct(*others).alias("others")))
-    spark = table.sparkSession
     short = table.filter(F.col("length") < capacity)
     sizes = short.groupBy("task", "length").agg(F.count("*").alias("size"))
     before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
@@ -162,15 +180,13 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         at = 0
         for length in dict.fromkeys(lengths):
             each = lengths.count(length)
-            slots.append((length, rank[length], rank[length] + times * each, number, each, at))
+            slots.append((length, rank[length], number, each, at))
             rank[length] += times * each
             at += each * length
         number += times
-    slot = spark.createDataFrame(slots, "length bigint, low bigint, high bigint, number bigint, each bigint, at bigint")
+    place = _places(slots)(F.col("length"), F.col("rank"))
     placed = short.join(base.select("task", "length", "base"), ["task", "length"]).withColumn("rank", F.col("base") + F.col("nth"))
-    placed = placed.join(F.broadcast(slot), "length").filter("rank >= low and rank < high")
-    place = F.col("rank") - F.col("low")
-    placed = placed.withColumn("sequence_id", F.col("number") + F.floor(place / F.col("each"))).withColumn("offset", F.col("at") + place % F.col("each") * F.col("length"))
+    placed = placed.withColumn("place", place).withColumn("sequence_id", F.col("place.sequence_id")).withColumn("offset", F.col("place.offset"))
     alone = table.filter(F.col("length") == capacity)
     alone = alone.withColumn("sequence_id", -1 - F.shiftleft("task", 36) - F.col("nth")).withColumn("offset", F.lit(0).cast("bigint"))
     columns = [F.col("length") if c == "length" else F.col("others")[c].alias(c) for c in pieces.columns if c not in ("task", "nth")]
