@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 ALPHABET = "abcdefghijklmnopqrst"
 LOWEST = -1e308
+EDGE = 1e-9  # a mean this little below a breakpoint counts as on it, so the last bit of a sum decides no letter
 # Two-decimal normal breakpoints of the word distance table.
 ROUNDED_BREAKPOINTS = {
     3: (-0.43, 0.43),
@@ -51,7 +52,8 @@ def literal_array(values: Sequence[float]) -> Column:
 
 
 def symbol_index(value: Column, breakpoints: Column | Sequence[float]) -> Column:
-    """Number of breakpoints at or below the value, less one."""
+    """Number of breakpoints at or below the value, to within ``EDGE``, less one."""
+    value = value + F.lit(EDGE)
     if not isinstance(breakpoints, Column):
         index = F.lit(-1)
         for b in breakpoints:

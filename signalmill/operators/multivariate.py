@@ -10,7 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from signalmill.functions.frames import empty_frame
+from signalmill.functions.frames import cells, empty_frame
 from signalmill.functions.ordered import BLOCK, attach, framed, with_stats
 from signalmill.functions.timeparts import as_us, floor_div, from_us, ntz
 from signalmill.operators.anomaly import tukey_outliers
@@ -502,7 +502,7 @@ def random_projection(
     spread = live.select(
         F.col("entity_id").alias("_e"), F.col("track_id").alias("_t"), F.col("projection_id").alias("_p"), F.col("weight").alias("_w"), F.explode(blocks).alias("_b")
     )
-    mixed = values.groupBy("entity_id", "_blk").cogroup(spread.groupBy("_e", "_b"))
+    mixed = cells(values, ["entity_id", "_blk"], spread, ["_e", "_b"])
 
     def kernel(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:

@@ -1,8 +1,10 @@
 """Matrix profiles by tiled similarity joins, and what is read from them.
 
 Series are cut into overlapping chunks. Every pair of chunks is one cell, spread by
-its own key, so a long series fans out over the cluster; a cell is a few array products
-and returns only the best neighbour of each of its windows.
+its own key, so a long series fans out over the cluster. Within a cell the covariance of
+a pair of windows follows from that of the pair one step before on its diagonal, so a
+pair costs a few operations at any window length; a cell returns only the best neighbour
+of each of its windows.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from signalmill.functions.frames import empty_frame
+from signalmill.functions.frames import cells, empty_frame
 from signalmill.functions.ordered import attach, framed, known_bins, mark_bins, running_sum
 from signalmill.functions.quantiles import quantiles
 from signalmill.functions.timeparts import floor_div
@@ -73,6 +75,73 @@ def _corr(za, fa, zb, fb, mass: bool) -> np.ndarray:
     return c
 
 
+RESTART = 256  # rows after which covariances are computed anew, so that rounding does not add up
+STEADY = 1e4  # largest over smallest product of two windows' norms up to which the recurrence holds its digits
+
+
+class _Windows:
+    """The windows of one chunk, and what the step along a diagonal needs of each."""
+
+    def __init__(self, values, m: int):
+        given = np.asarray(values, dtype=float)
+        self.values = given - given.mean()  # correlations stay the same
+        self.all = np.lib.stride_tricks.sliding_window_view(self.values, m)
+        self.mean = self.all.mean(axis=1)
+        centred = self.all - self.mean[:, None]
+        norm = np.sqrt((centred * centred).sum(axis=1))
+        high = np.lib.stride_tricks.sliding_window_view(np.abs(given), m).max(axis=1)
+        self.flat = norm <= 1e-12 * np.maximum(1.0, high)
+        self.scale = np.divide(1.0, norm, out=np.zeros_like(norm), where=~self.flat)
+        self.half = (self.values[m:] - self.values[:-m]) / 2
+        self.mid = (self.values[m:] - self.mean[1:]) + (self.values[:-m] - self.mean[:-1])
+        sound = norm[~self.flat]
+        self.spread = float(sound.max() / sound.min()) if len(sound) else 1.0
+
+    def __len__(self) -> int:
+        return len(self.mean)
+
+    def unit(self, rows) -> np.ndarray:
+        return (self.all[rows] - self.mean[rows][:, None]) * self.scale[rows][:, None]
+
+
+def _corr_rows(a: _Windows, b: _Windows, s: int, e: int, mass: bool) -> np.ndarray:
+    """Correlations of the windows ``s`` to ``e`` of ``a`` with all of ``b``.
+
+    cov(i+1, j+1) = cov(i, j) + half_a(i) mid_b(j) + mid_a(i) half_b(j), from the first row and column.
+    Chunks whose windows differ too much in scale take the products themselves.
+    """
+    if a.spread * b.spread <= STEADY:
+        c = np.empty((e - s, len(b)))
+        c[:, 0] = np.correlate(a.values[s : e + a.all.shape[1] - 1], b.all[0] - b.mean[0], "valid")
+        c[0] = np.correlate(b.values, a.all[s] - a.mean[s], "valid")
+        step = np.outer(a.half[s : e - 1], b.mid)
+        step += np.outer(a.mid[s : e - 1], b.half)
+        for r in range(1, e - s):
+            np.add(c[r - 1, :-1], step[r - 1], out=c[r, 1:])
+        c *= a.scale[s:e, None]
+        c *= b.scale
+    else:
+        c = a.unit(slice(s, e)) @ b.unit(slice(None)).T
+    np.clip(c, -1.0, 1.0, out=c)
+    if mass and a.flat[s:e].any() and b.flat.any():
+        c[np.ix_(a.flat[s:e], b.flat)] = 1.0
+    return c
+
+
+def _diagonals(a: _Windows, b: _Windows, mass: bool):
+    """Correlations of all windows of ``a`` with all of ``b``, some rows at a time: (first row, block)."""
+    for s in range(0, len(a), RESTART):
+        yield s, _corr_rows(a, b, s, min(s + RESTART, len(a)), mass)
+
+
+def _pair_corr(a: _Windows, i: np.ndarray, b: _Windows, j: np.ndarray, mass: bool) -> np.ndarray:
+    """Correlations of chosen pairs by their products, so that close ones have all digits; -inf where ``j`` is negative."""
+    c = np.clip(np.einsum("nm,nm->n", a.unit(i), b.unit(j)), -1.0, 1.0)
+    if mass:
+        c[a.flat[i] & b.flat[j]] = 1.0
+    return np.where(j < 0, -np.inf, c)
+
+
 TIE = 1e-12  # correlations this close count as equal: the lowest index wins
 
 
@@ -98,36 +167,39 @@ def _self_cells(parts: DataFrame, by: Sequence[str]):
     right = rows.select(
         *[F.col(k).alias(f"_{k}") for k in by], F.explode(F.sequence(zero, F.col("c"))).alias("_a"), F.col("c").alias("_b"), F.col("lo").alias("_lo"), F.col("values").alias("_values")
     )
-    return left.groupBy(*by, "a", "b").cogroup(right.groupBy(*[f"_{k}" for k in by], "_a", "_b"))
+    return cells(left, [*by, "a", "b"], right, [*[f"_{k}" for k in by], "_a", "_b"])
 
 
 def _neighbours(grid: DataFrame, m: int, minlag: int, mass: bool, by: Sequence[str], chunk: int) -> DataFrame:
     """Best neighbour of every window per side: ``by, idx, side, corr, nn`` (several rows per window)."""
     by, size = list(by), chunk_size(m, chunk)
-    cells = _self_cells(chunks(grid, m, size, by), by)
+    pairs = _self_cells(chunks(grid, m, size, by), by)
 
     def kernel(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
             return empty_frame([*by, "side"], ["idx", "nn"], ["corr"])
         a, b = int(left["lo"].iloc[0]), int(right["_lo"].iloc[0])
-        za, fa = _unit(left["values"].iloc[0], m)
-        zb, fb = (za, fa) if a == b else _unit(right["_values"].iloc[0], m)
-        j = np.arange(b, b + len(zb))
-        col_best, col_arg = np.full(len(zb), -np.inf), np.full(len(zb), -1)
-        row_best, row_arg = np.full(len(za), -np.inf), np.full(len(za), -1)
-        step = max(1, CELL_BYTES // (8 * len(zb)))
-        for s in range(0, len(za), step):
-            i = np.arange(a + s, a + min(s + step, len(za)))
-            c = _corr(za[s : s + step], fa[s : s + step], zb, fb, mass)
-            c[j[None, :] - i[:, None] <= minlag] = -np.inf  # only later windows: each pair once
-            at, row_best[s : s + step] = _first_best(c, 1)
-            row_arg[s : s + step] = j[at]
+        wa = _Windows(left["values"].iloc[0], m)
+        wb = wa if a == b else _Windows(right["_values"].iloc[0], m)
+        i, j = np.arange(a, a + len(wa)), np.arange(b, b + len(wb))
+        col_best, col_arg = np.full(len(j), -np.inf), np.full(len(j), -1)
+        row_arg = np.full(len(i), -1)
+        near = b - (a + len(wa) - 1) <= minlag  # else every pair is far enough apart
+        for s, c in _diagonals(wa, wb, mass):
+            if near:
+                for r in range(len(c)):  # only later windows: each pair once
+                    c[r, : max(0, a + s + r + minlag - b + 1)] = -np.inf
+            at, top = _first_best(c, 1)
+            row_arg[s : s + len(c)] = np.where(top < -1.0, -1, at)
             up, top = _first_best(c, 0)
             better = top > col_best + TIE
-            col_best[better], col_arg[better] = top[better], i[up[better]]
+            col_best[better], col_arg[better] = top[better], s + up[better]
+        row_best = _pair_corr(wa, np.arange(len(wa)), wb, row_arg, mass)
+        col_best = _pair_corr(wb, np.arange(len(wb)), wa, col_arg, mass)
+        row_arg, col_arg = np.where(row_arg < 0, -1, j[row_arg]), np.where(col_arg < 0, -1, i[col_arg])
         out = {k: left[k].iloc[0] for k in by}
-        out["idx"] = np.concatenate([np.arange(a, a + len(za)), j])
-        out["side"] = np.repeat(["right", "left"], [len(za), len(zb)])
+        out["idx"] = np.concatenate([i, j])
+        out["side"] = np.repeat(["right", "left"], [len(i), len(j)])
         out["corr"] = np.concatenate([row_best, col_best])
         out["nn"] = np.concatenate([row_arg, col_arg])
         return pd.DataFrame(out)
@@ -136,7 +208,7 @@ def _neighbours(grid: DataFrame, m: int, minlag: int, mass: bool, by: Sequence[s
         [grid.schema[k] for k in by]
         + [T.StructField("idx", T.LongType()), T.StructField("side", T.StringType()), T.StructField("corr", T.DoubleType()), T.StructField("nn", T.LongType())]
     )
-    return cells.applyInPandas(kernel, schema)
+    return pairs.applyInPandas(kernel, schema)
 
 
 def _ranked() -> Column:
@@ -216,7 +288,7 @@ def query_profiles(
     packs = asked.select(*by, "_pack").distinct()
     asked = asked.select(*by, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_top"))).alias("c"), "_pack", "query_id", "seed", "query", "limit")
     right = parts.join(packs, by).select(*[F.col(k).alias(f"_{k}") for k in by], F.col("c").alias("_c"), F.col("_pack").alias("_p"), "lo", "values")
-    cells = asked.groupBy(*by, "c", "_pack").cogroup(right.groupBy(*[f"_{k}" for k in by], "_c", "_p"))
+    pairs = cells(asked, [*by, "c", "_pack"], right, [*[f"_{k}" for k in by], "_c", "_p"])
 
     def kernel(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
@@ -241,7 +313,7 @@ def query_profiles(
         [grid.schema[k] for k in by]
         + [queries.schema["query_id"], T.StructField("seed", T.LongType()), T.StructField("idx", T.LongType()), T.StructField("dist", T.DoubleType())]
     )
-    return cells.applyInPandas(kernel, schema)
+    return pairs.applyInPandas(kernel, schema)
 
 
 def distance_profile(query: Sequence[float], grid: DataFrame, by: Sequence[str] = SIGNAL) -> DataFrame:
@@ -376,7 +448,7 @@ def motif_pruned(grid: DataFrame, m: int, minlag: int | None = None, segments: i
         zb, fb = _unit(y["_values"].iloc[0], m)
         return row(x, search(za, fa, zb, fb, int(x["lo"].iloc[0]), int(y["_lo"].iloc[0]), float(x["_bound"].iloc[0])))
 
-    far = left.groupBy(*by, "a", "b").cogroup(right.groupBy(*[f"_{k}" for k in by], "_a", "_b")).applyInPandas(far_kernel, schema)
+    far = cells(left, [*by, "a", "b"], right, [*[f"_{k}" for k in by], "_a", "_b"]).applyInPandas(far_kernel, schema)
     best = near.unionByName(far).groupBy(*by).agg(F.min(F.struct("dist", "idx_a", "idx_b")).alias("b"))
     return best.select(*by, "b.idx_a", "b.idx_b", "b.dist")
 
@@ -539,20 +611,16 @@ def _cross_neighbours(parts: DataFrame, pairs: DataFrame, m: int) -> DataFrame:
     def kernel(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
         if x.empty or y.empty:
             return empty_frame(["series", "other"], ["idx", "nn"], ["corr"])
-        za, fa = _unit(x["values"].iloc[0], m)
-        zb, fb = _unit(y["_values"].iloc[0], m)
-        i, j = np.arange(len(za)) + int(x["lo"].iloc[0]), np.arange(len(zb)) + int(y["_lo"].iloc[0])
-        row_best, row_arg = np.empty(len(za)), np.empty(len(za), dtype=int)
-        col_best, col_arg = np.full(len(zb), -np.inf), np.full(len(zb), -1)
-        step = max(1, CELL_BYTES // (8 * len(zb)))
-        for s in range(0, len(za), step):
-            c = _corr(za[s : s + step], fa[s : s + step], zb, fb, True)
-            at = c.argmax(axis=1)
-            row_best[s : s + step], row_arg[s : s + step] = c[np.arange(len(c)), at], j[at]
-            up = c.argmax(axis=0)
-            top = c[up, np.arange(len(zb))]
-            better = top > col_best
-            col_best[better], col_arg[better] = top[better], i[s + up[better]]
+        wa, wb = _Windows(x["values"].iloc[0], m), _Windows(y["_values"].iloc[0], m)
+        i, j = np.arange(len(wa)) + int(x["lo"].iloc[0]), np.arange(len(wb)) + int(y["_lo"].iloc[0])
+        row_arg, col_best, col_arg = np.zeros(len(wa), int), np.full(len(wb), -np.inf), np.zeros(len(wb), int)
+        for s, c in _diagonals(wa, wb, True):
+            row_arg[s : s + len(c)] = _first_best(c, 1)[0]
+            up, top = _first_best(c, 0)
+            better = top > col_best + TIE
+            col_best[better], col_arg[better] = top[better], s + up[better]
+        row_best, col_best = _pair_corr(wa, np.arange(len(wa)), wb, row_arg, True), _pair_corr(wb, np.arange(len(wb)), wa, col_arg, True)
+        row_arg, col_arg = j[row_arg], i[col_arg]
         s, t = x["s"].iloc[0], x["t"].iloc[0]
         return pd.DataFrame(
             {
@@ -564,8 +632,8 @@ def _cross_neighbours(parts: DataFrame, pairs: DataFrame, m: int) -> DataFrame:
             }
         )
 
-    cells = left.groupBy("s", "t", "a", "b").cogroup(right.groupBy("_s", "_t", "_a", "_b"))
-    return cells.applyInPandas(kernel, "series string, other string, idx long, corr double, nn long")
+    pairs = cells(left, ["s", "t", "a", "b"], right, ["_s", "_t", "_a", "_b"])
+    return pairs.applyInPandas(kernel, "series string, other string, idx long, corr double, nn long")
 
 
 def ab_profile(grid: DataFrame, a: str, b: str, m: int, chunk: int = CHUNK) -> DataFrame:
@@ -603,27 +671,168 @@ def ab_discords(profile: DataFrame, k: int, gap: int, target: str = "b") -> Data
     return discords(profile.filter(F.col("series") == target), k, gap, ["series"])
 
 
-def consensus_motif(grid: DataFrame, m: int, min_count: int | None = None, chunk: int = CHUNK) -> DataFrame:
-    """The window whose ``min_count``-th nearest series (itself at 0) is closest, and its members."""
-    ids = grid.select("signal_id").distinct()
+SEGMENTS = 16
+BLOCK_RUNS = 2048  # on either side of a cell of bounds
+ROUND = 256  # runs of the first round of a consensus search; each further round takes four times as many
+WIDEST = 4096
+SEEDS = 3  # series whose windows are compared at once, for a first radius
+
+
+def run_length(m: int) -> int:
+    """Neighbouring windows that are bounded, compared or dropped together: few enough that they stay alike."""
+    return 1 << min(5, int(math.log2(max(1, m // 12))))
+
+
+def _boxes(parts: DataFrame, m: int) -> DataFrame:
+    """Per run of windows the least and largest weighted segment means of its unit windows."""
+    length = run_length(m)
+    cuts = [k * m // min(SEGMENTS, m) for k in range(min(SEGMENTS, m) + 1)]
+
+    def kernel(batches):
+        for pdf in batches:
+            for name, lo, values in zip(pdf["signal_id"], pdf["lo"], pdf["values"]):
+                w = _Windows(values, m)
+                z = w.unit(slice(None))
+                means = np.stack([z[:, s:e].mean(axis=1) * math.sqrt(e - s) for s, e in zip(cuts, cuts[1:])], axis=1)
+                starts = np.arange(0, len(w), length)
+                low, high = np.minimum.reduceat(means, starts), np.maximum.reduceat(means, starts)
+                yield pd.DataFrame({"signal_id": name, "run": starts + lo, "low": list(low), "high": list(high)})
+
+    return parts.select("signal_id", "lo", "values").mapInPandas(kernel, "signal_id string, run long, low array<double>, high array<double>")
+
+
+def _run_bounds(boxes: DataFrame, m: int, best: float, done: DataFrame) -> DataFrame:
+    """(signal_id, run, other, bound): the series in which a run may have windows within ``best``.
+
+    The distance of two boxes of segment means bounds that of their windows from below. Blocks of runs
+    meet blocks of runs, and a cell returns only what lies within.
+    """
+    count = max(1, -(-boxes.count() // BLOCK_RUNS))
+    placed = boxes.withColumn("_k", F.pmod(F.xxhash64("signal_id", floor_div(F.col("run"), run_length(m) * max(1, BLOCK_RUNS // 8))), F.lit(count)))
+    every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(count - 1).cast("bigint")))
+    left = placed.join(done, "signal_id", "left_anti").withColumn("_j", every)
+    right = placed.select(F.col("signal_id").alias("other"), F.col("low").alias("_low"), F.col("high").alias("_high"), F.col("_k").alias("_l"), every.alias("_i"))
+    limit = (best * (1 + 1e-9) + 1e-9) ** 2 / m
+
+    def kernel(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        out = [empty_frame(["signal_id", "other"], ["run"], ["bound"])[["signal_id", "run", "other", "bound"]]]
+        if len(x) and len(y):
+            y = y.sort_values("other", kind="stable")
+            names = y["other"].to_numpy()
+            starts = np.flatnonzero(np.append(True, names[1:] != names[:-1]))
+            low, high = np.stack(y["_low"]).T, np.stack(y["_high"]).T
+            for s in range(0, len(x), 128):
+                part = x.iloc[s : s + 128]
+                far = np.zeros((len(part), len(y)))
+                for a, b, lo, hi in zip(np.stack(part["low"]).T, np.stack(part["high"]).T, low, high):
+                    gap = np.maximum(a[:, None] - hi, lo - b[:, None])
+                    np.maximum(gap, 0.0, out=gap)
+                    far += gap * gap
+                far = np.minimum.reduceat(far, starts, axis=1)
+                i, j = np.nonzero((far <= limit) & (part["signal_id"].to_numpy()[:, None] != names[starts]))
+                out.append(pd.DataFrame({"signal_id": part["signal_id"].to_numpy()[i], "run": part["run"].to_numpy()[i], "other": names[starts][j], "bound": np.sqrt(far[i, j] * m)}))
+        return pd.concat(out)
+
+    found = cells(left, ["_k", "_j"], right, ["_i", "_l"]).applyInPandas(kernel, "signal_id string, run long, other string, bound double")
+    return found.groupBy("signal_id", "run", "other").agg(F.min("bound").alias("bound"))
+
+
+def _compared(parts: DataFrame, pairs: DataFrame, m: int, best: float, length: int) -> DataFrame:
+    """Nearest window of ``other`` to every window of a run, where it lies within ``best``: ``signal_id, idx, other, dist, nn``.
+
+    ``pairs`` has ``signal_id, run, other``; a run has ``length`` windows. Every chunk of the other series is one cell.
+    """
+    tops = parts.groupBy("signal_id").agg(F.max("c").alias("_top"))
+    size = parts.select("signal_id", "c", "lo", "values")
+    runs = pairs.select("signal_id", "run").distinct().withColumn("_run", F.col("run"))
+    starts = size.withColumn("run", F.explode(F.sequence(F.col("lo"), F.col("lo") + F.size("values") - m, F.lit(length).cast("bigint"))))
+    shapes = starts.join(runs, ["signal_id", "run"]).select("signal_id", "run", F.slice("values", (F.col("run") - F.col("lo") + 1).cast("int"), length + m - 1).alias("shape"))
+    asked = pairs.select("signal_id", "run", "other").join(shapes, ["signal_id", "run"]).join(tops.select(F.col("signal_id").alias("other"), "_top"), "other")
+    asked = asked.select(F.col("signal_id").alias("_name"), F.col("run").alias("_run"), F.col("other").alias("_o"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_top"))).alias("_c"), "shape")
+
+    def kernel(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        out = [empty_frame(["signal_id", "other"], ["idx", "nn"], ["dist"])[["signal_id", "idx", "other", "dist", "nn"]]]
+        if len(x) and len(y):
+            wb, lo, other = _Windows(x["values"].iloc[0], m), int(x["lo"].iloc[0]), x["signal_id"].iloc[0]
+            for name, run, shape in zip(y["_name"], y["_run"], y["shape"]):
+                wa = _Windows(shape, m)
+                at = np.concatenate([_first_best(c, 1)[0] for _, c in _diagonals(wa, wb, True)])
+                corr = _pair_corr(wa, np.arange(len(wa)), wb, at, True)
+                dist = np.sqrt(np.maximum(2.0 * m * (1.0 - corr), 0.0))
+                keep = np.flatnonzero(dist <= best * (1 + 1e-9) + 1e-9)
+                out.append(pd.DataFrame({"signal_id": name, "idx": run + keep, "other": other, "dist": dist[keep], "nn": lo + at[keep]}))
+        return pd.concat(out)
+
+    found = cells(size, ["signal_id", "c"], asked, ["_o", "_c"]).applyInPandas(kernel, "signal_id string, idx long, other string, dist double, nn long")
+    nearest = found.groupBy("signal_id", "idx", "other").agg(F.min(F.struct(F.round("dist", 9).alias("r"), F.col("nn"), F.col("dist"))).alias("b"))
+    return nearest.select("signal_id", "idx", "other", "b.dist", "b.nn")
+
+
+def _best_radius(near: DataFrame, need: int) -> tuple | None:
+    """The smallest ``need - 1``-th distance of a window, with its series and place."""
+    radius = near.groupBy("signal_id", "idx").agg(F.get(F.sort_array(F.collect_list("dist")), F.lit(need - 2)).alias("radius"))
+    found = radius.filter("radius is not null").agg(F.min(F.struct("radius", "signal_id", "idx")).alias("b")).select("b.*").first()
+    return tuple(found) if found["radius"] is not None else None
+
+
+def consensus_search(grid: DataFrame, m: int, min_count: int | None = None, chunk: int = CHUNK) -> tuple[tuple | None, DataFrame, dict[str, int]]:
+    """Best-first search for the window whose ``min_count``-th nearest series, itself at 0, is closest.
+
+    Returns (radius, series, idx), the chunks, and how many pairs of a run of windows and a series there
+    are, were bounded within the first radius, and were compared. All windows of a few series give the
+    first radius: as many as hold the motif for certain, or ``SEEDS``. Runs of windows elsewhere come in
+    the order of their bounds; a run goes as soon as fewer series than needed can lie within the best
+    radius, and the search ends when the next run's bound is beyond it.
+    """
+    length = run_length(m)
+    size = max(length, chunk_size(m, chunk) // length * length)
+    parts = chunks(grid, m, size)
+    ids = parts.select("signal_id").distinct()
     n = ids.count()
+    if n < 2:
+        return None, parts, {"all": 0, "bounded": 0, "compared": 0}
     need = n if min_count is None else max(2, min(int(min_count), n))
-    fleet = ids.agg(F.sort_array(F.collect_list("signal_id")).alias("_all"))
-    pairs = fleet.select(F.posexplode("_all").alias("_i", "s"), "_all")
-    pairs = pairs.select("s", F.explode(F.slice("_all", F.col("_i") + 2, F.lit(n))).alias("t"))
-    near = _reduce(_cross_neighbours(chunks(grid, m, chunk_size(m, chunk)), pairs, m), ["series", "other", "idx"], m)
-    near = checkpointed(near)
-    radius = near.groupBy("series", "idx").agg(F.get(F.sort_array(F.collect_list("dist")), F.lit(need - 2)).alias("radius"))
-    best = radius.agg(F.min(F.struct("radius", "series", "idx")).alias("b")).select("b.*")
-    members = near.join(best, ["series", "idx"]).select(
-        F.col("series").alias("central_series"), F.col("idx").alias("central_idx"), "radius",
-        F.col("other").alias("signal_id"), F.col("nn").alias("idx"), "dist", F.lit(False).alias("is_central"),
-    )
-    own = best.select(
-        F.col("series").alias("central_series"), F.col("idx").alias("central_idx"), "radius",
-        F.col("series").alias("signal_id"), F.col("idx").alias("idx"), F.lit(0.0).alias("dist"), F.lit(True).alias("is_central"),
-    )
-    return members.unionByName(own)
+    boxes = checkpointed(_boxes(parts, m))
+    first = [r[0] for r in ids.orderBy("signal_id").limit(min(SEEDS, n - need + 1)).collect()]
+    seeds = ids.filter(F.col("signal_id").isin(first))
+    asked = ids.select(F.col("signal_id").alias("other"), F.explode(F.array(*map(F.lit, first))).alias("signal_id")).filter("signal_id <> other")
+    pairs = parts.select("signal_id", F.col("lo").alias("run")).join(asked, "signal_id")
+    compared = boxes.join(seeds, "signal_id", "left_semi").count() * (n - 1)
+    best = _best_radius(_compared(parts, pairs, m, float("inf"), size), need)
+    near = F.array_sort(F.collect_list(F.struct("bound", "other")))
+    runs = checkpointed(_run_bounds(boxes, m, best[0], seeds).groupBy("signal_id", "run").agg(near.alias("near")).withColumn("floor", F.get("near", F.lit(need - 2))["bound"]))
+    work = {"all": boxes.count() * (n - 1), "bounded": runs.agg(F.coalesce(F.sum(F.size("near")), F.lit(0))).first()[0], "compared": compared}
+    last, width = None, ROUND
+    while True:
+        reach = best[0] * (1 + 1e-9) + 1e-9
+        left = runs.filter(F.col("floor") <= reach)
+        if last:
+            floor, name, run = last
+            after = (F.col("signal_id") > name) | ((F.col("signal_id") == name) & (F.col("run") > run))
+            left = left.filter((F.col("floor") > floor) | ((F.col("floor") == floor) & after))
+        batch = left.select("floor", "signal_id", "run", F.size(F.filter("near", lambda x: x["bound"] <= reach)).alias("n")).orderBy("floor", "signal_id", "run").limit(width).collect()
+        if not batch:
+            return best, parts, work
+        last, width = tuple(batch[-1])[:3], min(4 * width, WIDEST)
+        work["compared"] += sum(r["n"] for r in batch)
+        asked = grid.sparkSession.createDataFrame([(r["signal_id"], r["run"]) for r in batch], "signal_id string, run long")  # at most WIDEST rows
+        pairs = runs.join(F.broadcast(asked), ["signal_id", "run"]).select("signal_id", "run", F.explode(F.filter("near", lambda x: x["bound"] <= reach)["other"]).alias("other"))
+        found = _best_radius(_compared(parts, pairs, m, best[0], length), need)
+        best = min(best, found) if found else best
+
+
+def consensus_motif(grid: DataFrame, m: int, min_count: int | None = None, chunk: int = CHUNK) -> DataFrame:
+    """The window whose ``min_count``-th nearest series (itself at 0) is closest, and its nearest window in every series."""
+    best, parts, _ = consensus_search(grid, m, min_count, chunk)
+    if not best:
+        return grid.sparkSession.createDataFrame([], "central_series string, central_idx long, radius double, signal_id string, idx long, dist double, is_central boolean")
+    radius, name, idx = best
+    central = [F.lit(name).alias("central_series"), F.lit(idx).cast("bigint").alias("central_idx"), F.lit(radius).alias("radius")]
+    ids = parts.select("signal_id").distinct()
+    own = ids.filter(F.col("signal_id") == name).select(*central, "signal_id", F.lit(idx).cast("bigint").alias("idx"), F.lit(0.0).alias("dist"), F.lit(True).alias("is_central"))
+    pairs = ids.filter(F.col("signal_id") != name).select(F.lit(name).alias("signal_id"), F.lit(idx // run_length(m) * run_length(m)).cast("bigint").alias("run"), F.col("signal_id").alias("other"))
+    near = _compared(parts, pairs, m, float("inf"), run_length(m)).filter(F.col("idx") == idx)
+    return near.select(*central, F.col("other").alias("signal_id"), F.col("nn").alias("idx"), "dist", F.lit(False).alias("is_central")).unionByName(own)
 
 
 # ---------------------------------------------------------------- several channels
@@ -631,47 +840,75 @@ def consensus_motif(grid: DataFrame, m: int, min_count: int | None = None, chunk
 TRACK = ("entity_id", "track_id")
 
 
+CHANNELS = 16  # whose distances are held at a time
+
+
 def mstamp(tracks: DataFrame, m: int, k_dims: Sequence[int] | None = None, minlag: int | None = None, chunk: int = CHUNK) -> DataFrame:
-    """Profile over k of d channels: mean of the k smallest channel distances (``entity_id, k, idx``)."""
+    """Profile over k of d channels: mean of the k smallest channel distances (``entity_id, k, idx``).
+
+    Channels come in blocks. Of each pair of windows only the smallest distances so far are kept, as
+    many as the largest k asked for, and the sum of all; so memory grows with k and not with d.
+    """
     lag = exclusion(m) if minlag is None else int(minlag)
     d = tracks.select("track_id").distinct().count()
-    size = max(64, min(chunk, CELL_BYTES // (8 * m * max(1, d))))
+    size = max(64, min(chunk, CELL_BYTES // (64 * max(1, d))))
     parts = chunks(tracks, m, size, TRACK).groupBy("entity_id", "c", "lo").agg(
         F.sort_array(F.collect_list(F.struct("track_id", "values"))).alias("_t")
     )
     parts = parts.select("entity_id", "c", "lo", F.transform("_t", lambda t: t["values"]).alias("values"))
     wanted = sorted(k_dims) if k_dims else list(range(1, d + 1))
 
+    def means(smallest: np.ndarray, total: np.ndarray, ks: list[int], count: int) -> dict[int, np.ndarray]:
+        sums = np.cumsum(np.sort(smallest, axis=0), axis=0)
+        return {k: (total if k == count else sums[k - 1]) / k for k in ks}
+
     def kernel(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
             return empty_frame(["entity_id"], ["k", "idx", "nn"], ["dist"])
         a, b = int(left["lo"].iloc[0]), int(right["_lo"].iloc[0])
-        xs = [_unit(v, m) for v in left["values"].iloc[0]]
-        ys = [_unit(v, m) for v in right["_values"].iloc[0]]
-        na, nb = len(xs[0][0]), len(ys[0][0])
+        xs = [_Windows(v, m) for v in left["values"].iloc[0]]
+        ys = xs if a == b else [_Windows(v, m) for v in right["_values"].iloc[0]]
+        na, nb, count = len(xs[0]), len(ys[0]), len(xs)
         i, j = np.arange(a, a + na), np.arange(b, b + nb)
-        ks = [k for k in wanted if k <= len(xs)]
-        rows = {k: (np.full(na, np.inf), np.full(na, -1)) for k in ks}
-        cols = {k: (np.full(nb, np.inf), np.full(nb, -1)) for k in ks}
-        step = max(1, CELL_BYTES // (8 * nb * len(xs)))
+        ks = [k for k in wanted if k <= count]
+        most = max([k for k in ks if k < count], default=0)
+        to_distance = lambda c: np.sqrt(np.maximum(2.0 * m * (1.0 - c), 0.0))
+        row_at = {k: np.full(na, -1) for k in ks}
+        col_best, col_at = {k: np.full(nb, np.inf) for k in ks}, {k: np.full(nb, -1) for k in ks}
+        step = max(1, min(RESTART, CELL_BYTES // (8 * nb * (most + CHANNELS + 2))))
         for s in range(0, na, step):
-            at = i[s : s + step]
-            dist = np.stack([np.sqrt(np.maximum(2.0 * m * (1.0 - _corr(x[s : s + step], fx[s : s + step], y, fy, True)), 0.0)) for (x, fx), (y, fy) in zip(xs, ys)])
-            dist.sort(axis=0)
-            np.cumsum(dist, axis=0, out=dist)
-            near = j[None, :] - at[:, None] <= lag
-            for k in ks:
-                kd = np.where(near, np.inf, dist[k - 1] / k)
-                arg = kd.argmin(axis=1)
-                rows[k][0][s : s + step], rows[k][1][s : s + step] = kd[np.arange(len(at)), arg], j[arg]
+            e = min(s + step, na)
+            total, smallest = np.zeros((e - s, nb)), np.empty((0, e - s, nb))
+            for block in range(0, count, CHANNELS):
+                dist = np.stack([to_distance(_corr_rows(x, y, s, e, True)) for x, y in zip(xs[block : block + CHANNELS], ys[block : block + CHANNELS])])
+                total += dist.sum(axis=0)
+                if most:
+                    smallest = np.concatenate([smallest, dist])
+                    if len(smallest) > most:
+                        smallest = np.partition(smallest, most - 1, axis=0)[:most]
+            near = j[None, :] - i[s:e, None] <= lag
+            for k, kd in means(smallest, total, ks, count).items():
+                kd = np.where(near, np.inf, kd)
+                at = kd.argmin(axis=1)
+                row_at[k][s:e] = np.where(near[np.arange(e - s), at], -1, at)
                 up = kd.argmin(axis=0)
                 top = kd[up, np.arange(nb)]
-                better = top < cols[k][0]
-                cols[k][0][better], cols[k][1][better] = top[better], at[up[better]]
-        out = [pd.DataFrame({"k": k, "idx": np.concatenate([i, j]), "dist": np.concatenate([rows[k][0], cols[k][0]]), "nn": np.concatenate([rows[k][1], cols[k][1]])}) for k in ks]
+                better = top < col_best[k]
+                col_best[k][better], col_at[k][better] = top[better], s + up[better]
+
+        def exact(own, other, at, k):
+            here = np.flatnonzero(at >= 0)
+            dist = np.stack([to_distance(_pair_corr(x, here, y, at[here], True)) for x, y in zip(own, other)])
+            return here, np.sort(dist, axis=0)[:k].sum(axis=0) / k
+
+        out = [empty_frame([], ["k", "idx", "nn"], ["dist"])[["k", "idx", "dist", "nn"]]]
+        for k in ks:
+            for own, other, at, mine, theirs in ((xs, ys, row_at[k], i, j), (ys, xs, col_at[k], j, i)):
+                here, dist = exact(own, other, at, k)
+                out.append(pd.DataFrame({"k": k, "idx": mine[here], "dist": dist, "nn": theirs[at[here]]}))
         frame = pd.concat(out)
         frame.insert(0, "entity_id", left["entity_id"].iloc[0])
-        return frame[np.isfinite(frame["dist"])]
+        return frame
 
     found = _self_cells(parts, ["entity_id"]).applyInPandas(kernel, "entity_id string, k int, idx long, dist double, nn long")
     best = found.groupBy("entity_id", "k", "idx").agg(F.min(F.struct("dist", "nn")).alias("b"))

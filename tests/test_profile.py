@@ -206,3 +206,60 @@ def test_ab_and_pan_occurrences(grid_of):
     hits = pan["motif_occurrences"].collect()
     assert {(r["rank"], r["m"]) for r in hits} == {(k, m) for k, (m, _) in pairs.items()}
     assert all(i in {r["idx"] for r in hits if r["rank"] == k} for k, (_, i) in pairs.items())
+
+
+def brute_consensus(data, m, need):
+    best = (np.inf, "", -1)
+    for s, x in data.items():
+        near = np.stack([distances(x, y, m).min(axis=1) for t, y in data.items() if t != s])
+        radius = np.sort(near, axis=0)[need - 2]
+        best = min(best, (radius.min(), s, int(radius.argmin())))
+    return best
+
+
+@pytest.mark.parametrize("need", [None, 2, 9])
+def test_consensus_search_prunes_and_finds_the_same(grid_of, monkeypatch, need):
+    """A shape planted in most of twelve series: the search compares few pairs of a run and a series."""
+    monkeypatch.setattr(P, "chunk_size", lambda m, c=0: 200)
+    monkeypatch.setattr(P, "BLOCK_RUNS", 40)
+    rng = np.random.default_rng(4)
+    shape = 8 * np.sin(np.linspace(0, 6 * np.pi, 48)) * np.linspace(0.2, 1, 48)
+    data = {f"s{i:02d}": walk(500 + 30 * i, 50 + i) for i in range(12)}
+    for i, x in enumerate(data.values()):
+        if i not in (1, 5):
+            at = 40 + 31 * i
+            x[at : at + 48] = x[at] + shape + rng.normal(0, 0.05, 48)
+    best, _, work = P.consensus_search(grid_of(data, known=False), 48, need)
+    want = brute_consensus(data, 48, need or 12)
+    assert best[0] == pytest.approx(want[0], abs=1e-7)
+    assert need is None or best[1:] == want[1:]
+    if need:
+        # the windows of three of twelve series, and a few runs besides
+        assert work["compared"] < work["all"] * 0.3 and work["bounded"] < work["all"] * 0.1
+
+
+def test_consensus_of_flat_and_lone_series(grid_of):
+    assert P.consensus_motif(grid_of({"a": walk(100, 1)}), 16).collect() == []
+    data = {"a": np.r_[walk(60, 2), np.full(40, 3.0)], "b": np.r_[np.full(50, -1.0), walk(60, 3)], "c": walk(120, 4)}
+    for need in (2, 3):
+        got = P.consensus_search(grid_of(data, known=False), 16, need)[0]
+        assert got[0] == pytest.approx(brute_consensus(data, 16, need)[0], abs=1e-7)
+
+
+@pytest.mark.parametrize("m", [4, 16, 100])
+def test_diagonals_agree_with_products(m):
+    rng = np.random.default_rng(m)
+    for x, y in (
+        (walk(700, 1), walk(500, 2)),
+        (1e6 + rng.standard_normal(600), rng.standard_normal(600) * 1e-3),
+        (np.r_[rng.standard_normal(300), np.zeros(200), 1e7 * rng.standard_normal(100)], walk(400, 3)),
+        (np.full(300, 2.0), walk(300, 4)),
+    ):
+        a, b = P._Windows(x, m), P._Windows(y, m)
+        got = np.vstack([c for _, c in P._diagonals(a, b, True)])
+        (za, fa), (zb, fb) = P._unit(x, m), P._unit(y, m)
+        want = P._corr(za, fa, zb, fb, True)
+        assert np.abs(got - want).max() < 1e-9
+        i, j = np.arange(0, len(a), 7), np.arange(0, len(b), 7)
+        k = min(len(i), len(j))
+        assert np.allclose(P._pair_corr(a, i[:k], b, j[:k], True), want[i[:k], j[:k]], atol=1e-9)
