@@ -7,7 +7,7 @@ from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from signalmill.functions.ordered import attach
+from signalmill.functions.ordered import attach, with_row
 from signalmill.functions.timeparts import floor_div, ntz, to_us
 
 
@@ -76,31 +76,58 @@ def events_overlapping(
     return out
 
 
+def with_class(df: DataFrame, lo: Column, hi: Column, unit: int) -> DataFrame:
+    """``_lo``, ``_hi`` (microseconds) and ``_cls``: the interval is at most ``unit * 2^_cls`` long, so it lies in two slots of that width."""
+    df = df.withColumn("_lo", lo).withColumn("_hi", hi)
+    return df.withColumn("_cls", F.ceil(F.log2(F.greatest((F.col("_hi") - F.col("_lo")) / unit, F.lit(1.0)))).cast("int"))
+
+
+def class_width(unit: int) -> Column:
+    return F.expr(f"shiftleft({unit}L, _cls)")
+
+
+def in_slots(df: DataFrame, unit: int) -> DataFrame:
+    """A row for each slot of its own class's width that an interval meets: one or two."""
+    return df.withColumn("_slot", F.explode(F.sequence(floor_div(F.col("_lo"), class_width(unit)), floor_div(F.col("_hi"), class_width(unit)))))
+
+
+def at_classes(df: DataFrame, intervals: DataFrame, least: Column | None = None) -> DataFrame:
+    """``df`` once for each class among ``intervals`` (fewer than 64), from class ``least`` on."""
+    rows = with_row(df, intervals.agg(F.collect_set("_cls").alias("_classes")))
+    wanted = F.col("_classes") if least is None else F.filter("_classes", lambda c: c >= least)
+    return rows.withColumn("_cls", F.explode(wanted)).drop("_classes")
+
+
 def interval_overlap(left: DataFrame, right: DataFrame, on: Sequence[str], slot_us: int) -> DataFrame:
     """Pairs of overlapping intervals (``start_ts, end_ts`` / ``r_start_ts, r_end_ts``).
 
-    Both sides are cut into time slots and meet on key and slot, so one busy key
-    spreads over its slots; a pair is kept in the slot of its later start only.
+    Intervals lie in slots as wide as their own length class, widths doubling from ``slot_us``: one or two
+    rows, however long. The shorter of two looks into the slots of the longer one's class, again one or two
+    a class; a pair counts in the slot of its later start. Busy keys spread over their slots.
     """
-    slots = lambda s, e: F.explode(F.sequence(floor_div(to_us(s), slot_us), floor_div(to_us(e), slot_us)))
-    a = left.withColumn("_slot", slots(F.col("start_ts"), F.coalesce("end_ts", "start_ts")))
-    b = right.withColumn("_slot", slots(F.col("r_start_ts"), F.coalesce("r_end_ts", "r_start_ts")))
-    pairs = a.join(b, [*on, "_slot"]).filter(
-        (F.col("start_ts") <= F.coalesce("r_end_ts", "r_start_ts")) & (F.col("r_start_ts") <= F.coalesce("end_ts", "start_ts"))
-    )
-    meet = floor_div(to_us(F.greatest("start_ts", "r_start_ts")), slot_us)
-    return pairs.filter(F.col("_slot") == meet).drop("_slot")
+    a = with_class(left, to_us("start_ts"), to_us(F.coalesce("end_ts", "start_ts")), slot_us)
+    b = with_class(right, to_us("r_start_ts"), to_us(F.coalesce("r_end_ts", "r_start_ts")), slot_us).withColumnsRenamed({"_lo": "_rlo", "_hi": "_rhi"})
+    back = lambda df: df.withColumnsRenamed({"_rlo": "_lo", "_rhi": "_hi"})
+    there = lambda df: df.withColumnsRenamed({"_lo": "_rlo", "_hi": "_rhi"})
+
+    def met(x: DataFrame, y: DataFrame) -> DataFrame:
+        pairs = x.join(y, [*on, "_cls", "_slot"]).filter((F.col("_lo") <= F.col("_rhi")) & (F.col("_rlo") <= F.col("_hi")))
+        return pairs.filter(F.col("_slot") == floor_div(F.greatest("_lo", "_rlo"), class_width(slot_us)))
+
+    longer_left = met(in_slots(a, slot_us), there(in_slots(at_classes(back(b).withColumnRenamed("_cls", "_own"), a, F.col("_own")), slot_us)).drop("_own"))
+    longer_right = met(in_slots(at_classes(a.withColumnRenamed("_cls", "_own"), b, F.col("_own") + 1), slot_us).drop("_own"), there(in_slots(back(b), slot_us)))
+    return longer_left.unionByName(longer_right).drop("_slot", "_cls", "_lo", "_hi", "_rlo", "_rhi")
 
 
 def markers_near(markers: DataFrame, times: DataFrame, threshold_us: int, slot_us: int | None = None) -> DataFrame:
-    """Markers whose span, widened by the threshold, contains a given ``at_ts``."""
-    slot = slot_us or max(2 * threshold_us, 1_000_000)
-    lo = to_us("start_ts") - threshold_us
-    hi = to_us(F.coalesce("end_ts", "start_ts")) + threshold_us
-    wide = markers.withColumn("_lo", lo).withColumn("_hi", hi)
-    wide = wide.withColumn("_slot", F.explode(F.sequence(floor_div(F.col("_lo"), slot), floor_div(F.col("_hi"), slot))))
-    at = times.withColumn("_at", to_us("at_ts")).withColumn("_slot", floor_div(F.col("_at"), slot))
-    return wide.join(at, "_slot").filter(F.col("_at").between(F.col("_lo"), F.col("_hi"))).drop("_slot", "_lo", "_hi", "_at")
+    """Markers whose span, widened by the threshold, contains a given ``at_ts``.
+
+    A marker lies in one or two slots of its length class; a time looks into one slot of each class.
+    """
+    unit = slot_us or max(2 * threshold_us, 1_000_000)
+    wide = with_class(markers, to_us("start_ts") - threshold_us, to_us(F.coalesce("end_ts", "start_ts")) + threshold_us, unit)
+    at = at_classes(times.withColumn("_at", to_us("at_ts")), wide).withColumn("_slot", floor_div(F.col("_at"), class_width(unit)))
+    return in_slots(wide, unit).join(at, ["_cls", "_slot"]).filter(F.col("_at").between(F.col("_lo"), F.col("_hi"))).drop("_slot", "_cls", "_lo", "_hi", "_at")
 
 
 def missing_signals(ids: DataFrame, df: DataFrame) -> DataFrame:

@@ -9,10 +9,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
+from signalmill.functions.frames import by_cell
 from signalmill.functions.ordered import BLOCK, ordinal, with_row, with_stats
 from signalmill.functions.timeparts import floor_div
 from signalmill.operators.grid import pivot_signals
 from signalmill.operators.spectral import series_length
+from signalmill.plans.runtime import checkpointed
 
 GROUP = 128  # signals per side of one pair cell
 
@@ -72,7 +74,7 @@ def pair_moments(grid: DataFrame, block: int = 1 << 14) -> DataFrame:
 
     sums = ("n", "sx", "sy", "sxx", "sxy", "syy")
     schema = "signal_a string, signal_b string, " + ", ".join(f"{c} double" for c in sums)
-    parts = cells.groupBy("_ga", "_gb", "_blk").applyInPandas(kernel, schema)
+    parts = by_cell(cells, "_ga", "_gb", "_blk").applyInPandas(kernel, schema)
     return parts.groupBy("signal_a", "signal_b").agg(*[F.sum(c).alias(c) for c in sums])
 
 
@@ -99,7 +101,7 @@ def pair_products(grid: DataFrame, lags: int, block: int = 1 << 14) -> DataFrame
                     out.append((names[a], names[b], (f @ f.T).ravel().tolist()))
         return pd.DataFrame(out, columns=["signal_a", "signal_b", "sums"])
 
-    parts = cells.groupBy("_ga", "_gb", "_blk").applyInPandas(kernel, "signal_a string, signal_b string, sums array<double>")
+    parts = by_cell(cells, "_ga", "_gb", "_blk").applyInPandas(kernel, "signal_a string, signal_b string, sums array<double>")
     size = (2 * lags + 2) ** 2
     totals = F.array(*[F.sum(F.col("sums")[i]) for i in range(size)])
     return parts.groupBy("signal_a", "signal_b").agg(totals.alias("sums"))
@@ -127,6 +129,111 @@ def correlation_matrix(grid: DataFrame, symmetric: bool = False) -> DataFrame:
     return upper.unionByName(flipped).unionByName(own)
 
 
+SKETCH = 64  # segment means by which a correlation is bounded
+CELL_VALUES = 1 << 21  # of the signals on one side of a cell
+
+
+def _packed(grid: DataFrame, block: int) -> DataFrame:
+    """Places and centred values of each signal and time block, gaps left out; written once."""
+    centred = with_stats(grid.select("signal_id", "bin_idx", "value"), "signal_id", {"_mean": F.avg("value")}).filter(F.col("value").isNotNull())
+    pair = F.struct("bin_idx", (F.col("value") - F.col("_mean")).alias("v"))
+    rows = centred.groupBy("signal_id", floor_div(F.col("bin_idx"), block).alias("_blk")).agg(F.array_sort(F.collect_list(pair)).alias("_p"))
+    return checkpointed(rows.select("signal_id", "_blk", F.transform("_p", lambda p: p["bin_idx"]).alias("at"), F.transform("_p", lambda p: p["v"]).alias("v")))
+
+
+def _sketches(packed: DataFrame, first: int, bins: int, groups: int) -> DataFrame:
+    """Per signal its group, whether it has a value in every bin, and its unit vector's parts along equal segments."""
+    width = -(-bins // SKETCH)
+    sums = packed.select("signal_id", F.explode(F.arrays_zip("at", "v")).alias("p")).groupBy("signal_id", floor_div(F.col("p.at") - first, width).alias("seg"))
+    sums = sums.agg(F.sum("p.v").alias("s"), F.count("*").alias("n"), F.sum(F.col("p.v") * F.col("p.v")).alias("q"))
+    share = F.col("s") / F.sqrt(F.least(F.lit(width), F.lit(bins) - F.col("seg") * width))
+    sums = sums.withColumn("c", share)
+    found = sums.groupBy("signal_id").agg(F.sum("n").alias("n"), F.sum("q").alias("q"), F.array_sort(F.collect_list(F.struct("seg", "c"))).alias("_c"))
+    parts = F.transform("_c", lambda c: c["c"] / F.sqrt("q"))
+    return found.filter("q > 0").select("signal_id", F.pmod(F.hash("signal_id"), F.lit(groups)).alias("_g"), (F.col("n") == bins).alias("whole"), parts.alias("parts"))
+
+
+def _both_sides(rows: DataFrame, groups: int) -> DataFrame:
+    """Every row in the cells of its group with each group."""
+    rows = rows.withColumn("_o", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    return rows.withColumn("_ga", F.least("_g", "_o")).withColumn("_gb", F.greatest("_g", "_o")).drop("_o")
+
+
+def _may_reach(threshold: float, absolute: bool):
+    """The signals of a cell with a partner whose correlation may reach the threshold.
+
+    For unit vectors x, y with parts p, q along orthogonal directions, x y <= p q + |x - p| |y - q|. A
+    signal with gaps is not bounded.
+    """
+
+    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
+        whole, group = pdf["whole"].to_numpy(bool), pdf["_g"].to_numpy()
+        size = max(map(len, pdf["parts"]))
+        parts = np.zeros((len(pdf), size))
+        for i in np.flatnonzero(whole):
+            parts[i] = pdf["parts"].iloc[i]
+        rest = np.sqrt(np.maximum(0.0, 1.0 - (parts * parts).sum(axis=1)))
+        near = parts @ parts.T
+        high = np.abs(near) if absolute else near
+        high = high + np.outer(rest, rest)
+        pair = (high >= threshold - 1e-9) | ~whole[:, None] | ~whole[None, :]
+        np.fill_diagonal(pair, False)
+        if pdf["_ga"].iloc[0] != pdf["_gb"].iloc[0]:
+            pair &= group[:, None] != group[None, :]
+        return pdf.loc[pair.any(axis=1), ["signal_id", "_g", "_ga", "_gb"]]
+
+    return kernel
+
+
+def _reaching(threshold: float, absolute: bool, first: int, bins: int):
+    """Correlation of the pairs of one cell, over shared bins, where it reaches the threshold."""
+
+    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
+        row, names = pd.factorize(pdf["signal_id"], sort=True)
+        x = np.full((len(names), bins), np.nan)
+        group = np.zeros(len(names), int)
+        for i, g, at, v in zip(row, pdf["_g"], pdf["at"], pdf["v"]):
+            x[i, np.asarray(at) - first] = v
+            group[i] = g
+        m = np.isfinite(x).astype(float)
+        z = np.nan_to_num(x)
+        n, sx, sxx, sxy = m @ m.T, z @ m.T, (z * z) @ m.T, z @ z.T
+        vx = n * sxx - sx * sx
+        sound = (n >= 2) & (vx > 1e-12 * n * sxx)
+        sound &= sound.T
+        with np.errstate(invalid="ignore", divide="ignore"):
+            r = (n * sxy - sx * sx.T) / (np.sqrt(vx) * np.sqrt(vx.T))
+            hit = sound & ((np.abs(r) if absolute else r) >= threshold)
+        hit = np.triu(hit, 1)
+        if pdf["_ga"].iloc[0] != pdf["_gb"].iloc[0]:
+            hit &= group[:, None] != group[None, :]
+        a, b = np.nonzero(hit)
+        return pd.DataFrame({"signal_a": names[a].astype(object), "signal_b": names[b].astype(object), "n": n[a, b].astype(np.int64), "r": r[a, b]})
+
+    return kernel
+
+
+def correlated_pairs(grid: DataFrame, threshold: float = 0.9, absolute: bool = False, block: int = 1 << 14) -> DataFrame:
+    """Pairs of signals whose correlation over shared bins is at least ``threshold``: signal_a, signal_b, n, r.
+
+    Equal to the full matrix, filtered, which is never made. Segment means bound every correlation from
+    above: groups of signals meet by these short vectors first, and of each cell only signals with a
+    partner in reach go on. Their whole series meet in cells of bounded size, and a cell returns what
+    reaches the threshold. Signals with gaps have no bound and always go on; constant ones have no
+    correlation. With ``absolute`` also strongly negative pairs count.
+    """
+    packed = _packed(grid, block)
+    first, last, count = packed.agg(F.min(F.get("at", F.lit(0))), F.max(F.element_at("at", -1)), F.count_distinct("signal_id")).first()
+    if first is None:
+        return grid.sparkSession.createDataFrame([], "signal_a string, signal_b string, n long, r double")
+    bins = last - first + 1
+    groups = max(1, -(-count // max(1, min(GROUP, CELL_VALUES // bins))))
+    sketched = by_cell(_both_sides(_sketches(packed, first, bins, groups), groups), "_ga", "_gb")
+    tried = sketched.applyInPandas(_may_reach(threshold, absolute), "signal_id string, _g int, _ga int, _gb int")
+    rows = by_cell(tried.join(packed, "signal_id"), "_ga", "_gb")
+    return rows.applyInPandas(_reaching(threshold, absolute, first, bins), "signal_a string, signal_b string, n long, r double")
+
+
 def pearson(grid: DataFrame, a: str, b: str) -> DataFrame:
     """Pearson correlation of two signals (NULL below two pairs or when constant)."""
     wide = pivot_signals(grid, {"_a": a, "_b": b}).filter(F.col("_a").isNotNull() & F.col("_b").isNotNull())
@@ -167,7 +274,7 @@ def lag_sums(target: DataFrame, candidates: DataFrame, max_lag: int, block: int
         return pd.DataFrame(out, columns=["signal_id", "lag", "n", "sx", "sy", "sxx", "sxy", "syy"])
 
     schema = "signal_id string, lag int, n long, sx double, sy double, sxx double, sxy double, syy double"
-    parts = rows.groupBy("_g", "_blk").applyInPandas(kernel, schema)
+    parts = by_cell(rows, "_g", "_blk").applyInPandas(kernel, schema)
     return parts.groupBy("signal_id", "lag").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "sxy", "syy")])
 
 

@@ -358,6 +358,12 @@ def _(t):
     return rounded(R.correlation_matrix(user_daily(t, filled=False)))
 
 
+@query("r01_correlated_pairs", sql_round(USER_FILLED + """ SELECT a.signal_id AS signal_a, b.signal_id AS signal_b, count(*) AS n, corr(a.value, b.value) AS r
+FROM filled a JOIN filled b ON a.bin_idx = b.bin_idx AND a.signal_id < b.signal_id WHERE a.value IS NOT NULL AND b.value IS NOT NULL GROUP BY ALL HAVING corr(a.value, b.value) BETWEEN 0.7 AND 1.1""", "r"))
+def _(t):
+    return rounded(R.correlated_pairs(user_daily(t), 0.7))
+
+
 @query("r01_correlation_symmetric", sql_round(FILLED + " SELECT a.signal_id AS signal_a, b.signal_id AS signal_b, count(*) AS n, corr(a.value, b.value) AS r FROM filled a JOIN filled b USING (bin_idx) GROUP BY ALL", "r"))
 def _(t):
     return rounded(R.correlation_matrix(hourly(t), symmetric=True))
@@ -435,27 +441,52 @@ def _(t):
     return rounded(R.what_if(R.regression(hourly(t), "click", OTHERS), scenario))
 
 
-@query("r09_validate_signal")
+def sql_virtual_sensor() -> str:
+    """CTE ``vp``: the target's residual after taking out one reference after another, by coefficients of the first 70 percent."""
+    wide = ", ".join([f"max(value) FILTER (signal_id = '{n}') AS x{k}" for k, n in enumerate(OTHERS, 1)])
+    out = f", v0 AS (SELECT *, value AS y, bin_idx < {int(720 * 0.7)} AS tr FROM (SELECT bin_idx, ts, max(value) FILTER (signal_id = 'click') AS value, {wide} FROM filled GROUP BY ALL))"
+    for k in range(1, len(OTHERS) + 1):
+        left = [f"x{j}" for j in range(k, len(OTHERS) + 1)]
+        rest = lambda c: f"{c} - avg({c}) FILTER (tr) OVER () - regr_slope({c}, x{k}) FILTER (tr) OVER () * (x{k} - avg(x{k}) FILTER (tr) OVER ()) AS {c}"
+        out += f", v{k} AS (SELECT * EXCLUDE (y, {', '.join(left)}), {', '.join(rest(c) for c in ['y', *left[1:]])} FROM v{k - 1})"
+    return out + f""", vs AS (SELECT *, sqrt(sum(y * y) FILTER (tr) OVER () / (count(*) FILTER (tr) OVER () - {len(OTHERS) + 1})) AS sigma, greatest(0, 1 - sum(y * y) FILTER (tr) OVER () / (var_pop(value) FILTER (tr) OVER () * count(*) FILTER (tr) OVER ())) AS r2 FROM v{len(OTHERS)}),
+vp AS (SELECT bin_idx, ts, value, value - y AS estimate, y AS residual, tr AS is_train, sigma, r2, y / sigma AS residual_z FROM vs)"""
+
+
+@query("r09_validate_signal", sql_round(FILLED + sql_virtual_sensor() + """, vf AS (SELECT max(sigma) AS sigma, max(r2) AS r2, avg(residual) FILTER (NOT is_train) AS bias, avg((abs(residual_z) > 3)::INT) FILTER (NOT is_train) AS out_of_bounds, max(abs(residual_z)) FILTER (NOT is_train) AS max_abs_z FROM vp)
+SELECT *, CASE WHEN max_abs_z > 6 OR out_of_bounds > 0.1 OR abs(bias) / sigma > 2 THEN 'faulty' WHEN max_abs_z > 3 OR out_of_bounds > 0.02 OR abs(bias) / sigma > 1 THEN 'suspect' ELSE 'valid' END AS verdict FROM vf""", "sigma r2 bias out_of_bounds max_abs_z"))
 def _(t):
     return rounded(R.validate_signal(hourly(t), "click", OTHERS))
 
 
-@query("r09_validate_points")
+@query("r09_validate_points", sql_round(FILLED + sql_virtual_sensor() + " SELECT * FROM vp", "value estimate residual sigma r2 residual_z"))
 def _(t):
-    return R.validate_points(hourly(t), "click", OTHERS)
+    return rounded(R.validate_points(hourly(t), "click", OTHERS).drop("beta"))
 
 
-@query("r10_granger")
+def sql_granger(p: int) -> str:
+    """CTE ``gr``: the relative drop in residual squares from the source's ``p`` lags, by taking out one regressor after another."""
+    lags = ", ".join(f"lag(value, {k}) OVER w AS l{k}" for k in range(1, p + 1))
+    first = ", ".join([f"a.l{k} AS x{k}" for k in range(1, p + 1)] + [f"b.l{k} AS x{p + k}" for k in range(1, p + 1)])
+    out = f""", lg AS (SELECT signal_id, bin_idx, value, {lags} FROM filled WINDOW w AS (PARTITION BY signal_id ORDER BY bin_idx)),
+g0 AS (SELECT a.signal_id AS target, b.signal_id AS source, a.value AS y, {first} FROM lg a JOIN lg b ON a.bin_idx = b.bin_idx AND a.signal_id <> b.signal_id WHERE a.bin_idx >= {p})"""
+    for k in range(1, 2 * p + 1):
+        rest = lambda c: f"{c} - avg({c}) OVER w - regr_slope({c}, x{k}) OVER w * (x{k} - avg(x{k}) OVER w) AS {c}"
+        out += f", g{k} AS (SELECT target, source, {', '.join(rest(c) for c in ['y', *(f'x{j}' for j in range(k + 1, 2 * p + 1))])} FROM g{k - 1} WINDOW w AS (PARTITION BY target, source))"
+    return out + f""", gr AS (SELECT source, target, greatest(0, least(0.999, 1 - f.s / o.s)) AS score FROM (SELECT target, source, sum(y * y) AS s FROM g{p} GROUP BY ALL) o JOIN (SELECT target, source, sum(y * y) AS s FROM g{2 * p} GROUP BY ALL) f USING (target, source))"""
+
+
+@query("r10_granger", sql_round(FILLED + sql_granger(3) + " SELECT * FROM gr WHERE target = 'click' AND source = 'view'", "score"))
 def _(t):
     return rounded(R.granger(hourly(t), "click", "view", 3))
 
 
-@query("r11_causality_matrix")
+@query("r11_causality_matrix", sql_round(FILLED + sql_granger(2) + " SELECT * FROM gr", "score"))
 def _(t):
     return rounded(R.causality_matrix(hourly(t), 2))
 
 
-@query("r11_causal_edges")
+@query("r11_causal_edges", sql_round(FILLED + sql_granger(2) + " SELECT * FROM gr WHERE score >= 0.003", "score"))
 def _(t):
     return rounded(R.causal_edges(R.causality_matrix(hourly(t), 2), 0.003))
 
@@ -470,7 +501,13 @@ def _(t):
     return rounded(R.diagnose_anomalies(N.decompose_anomalies(hourly(t), 1.5, 24), "click", ["error", "view"], 3, 12))
 
 
-@query("r13_scatter_pairs", sql_round(GRID + """, w AS (SELECT bin_idx, ts, max(value) FILTER (signal_id = 'click') AS x, max(value) FILTER (signal_id = 'view') AS y FROM grid GROUP BY ALL),
+@query("r13_scatter_pairs", sql_round(GRID + """, w AS (SELECT bin_idx, ts, max(value) FILTER (signal_id = 'click') AS x, max(value) FILTER (signal_id = 'view') AS y FROM grid GROUP BY ALL)
+SELECT * FROM w WHERE x IS NOT NULL AND y IS NOT NULL""", "x y"))
+def _(t):
+    return rounded(R.scatter_pairs(hourly(t, filled=False), "click", "view"))
+
+
+@query("r13_scatter_thinned", sql_round(GRID + """, w AS (SELECT bin_idx, ts, max(value) FILTER (signal_id = 'click') AS x, max(value) FILTER (signal_id = 'view') AS y FROM grid GROUP BY ALL),
 n AS (SELECT *, row_number() OVER (ORDER BY bin_idx) - 1 AS i, count(*) OVER () AS c FROM w WHERE x IS NOT NULL AND y IS NOT NULL)
 SELECT bin_idx, ts, x, y FROM n WHERE i % (CASE WHEN c > 200 THEN ceil(c / 200)::BIGINT ELSE 1 END) = 0""", "x y"))
 def _(t):

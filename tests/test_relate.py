@@ -118,3 +118,59 @@ def test_decompose_auto_period(grid_of):
     x = 5 + 0.02 * t + np.tile(np.sin(2 * np.pi * np.arange(24) / 24), 10)
     rows = S.decompose(grid_of({"x": x})).collect()
     assert max(abs(r["residual"]) for r in rows) < 0.2
+
+
+@pytest.mark.parametrize("threshold, absolute", [(0.9, False), (0.6, True), (-1.0, False), (0.99, True)])
+def test_correlated_pairs_are_the_matrix_filtered(grid_of, monkeypatch, threshold, absolute):
+    monkeypatch.setattr(R, "GROUP", 5)
+    monkeypatch.setattr(R, "SKETCH", 16)
+    rng = np.random.default_rng(7)
+    data = {f"w{i:02d}": walk(200, i) for i in range(16)}
+    data |= {f"x{i:02d}": data[f"w{i:02d}"] * (1 - 2 * (i % 2)) + rng.normal(0, 0.5, 200) for i in range(8)}
+    data |= {f"n{i}": rng.normal(size=200) for i in range(4)} | {"k": np.full(200, 2.0), "none": np.full(200, np.nan)}
+    for i in (1, 3):
+        data[f"w{i:02d}"][i * 7 :: 11] = np.nan
+    grid = grid_of(data)
+    want = {}
+    for r in R.correlation_matrix(grid).collect():
+        if r["r"] is not None and (abs(r["r"]) if absolute else r["r"]) >= threshold:
+            want[r["signal_a"], r["signal_b"]] = (r["n"], pytest.approx(r["r"], abs=1e-9))
+    got = {(r["signal_a"], r["signal_b"]): (r["n"], r["r"]) for r in R.correlated_pairs(grid, threshold, absolute, block=64).collect()}
+    assert got == want and want
+    assert R.correlated_pairs(grid.limit(0)).collect() == []
+
+
+def test_few_signals_go_on_from_their_sketches(grid_of):
+    """Of 300 walks only those with a partner within reach have their series compared."""
+    data = {f"w{i:03d}": walk(256, 1000 + i) for i in range(300)}
+    data["twin"] = data["w007"] + 0.01
+    packed = R._packed(grid_of(data), 64)
+    cells = R._both_sides(R._sketches(packed, 0, 256, 6), 6).groupBy("_ga", "_gb")
+    tried = cells.applyInPandas(R._may_reach(0.99, False), "signal_id string, _g int, _ga int, _gb int")
+    assert tried.count() < 0.3 * 301 * 6
+    assert {"twin", "w007"} <= {r["signal_id"] for r in tried.collect()}
+
+
+def test_intervals_of_any_length_make_two_rows(spark):
+    """Seconds and months side by side: every overlap once, and no interval in more than two slots."""
+    from datetime import timedelta
+
+    from signalmill.operators import joins as J
+
+    rng = np.random.default_rng(5)
+    length = [timedelta(seconds=float(s)) for s in (0, 1, 2, 4, 60, 3600, 90 * 86400)]
+    rows = [(i, START + timedelta(seconds=int(rng.integers(0, 7 * 86400))), length[int(rng.integers(7))]) for i in range(400)]
+    rows = [(i, f"k{i % 3}", a, None if not d else a + d) for i, a, d in rows]
+    left = spark.createDataFrame(rows, "i long, k string, start_ts timestamp_ntz, end_ts timestamp_ntz")
+    right = left.select(F.col("i").alias("j"), "k", F.col("start_ts").alias("r_start_ts"), F.col("end_ts").alias("r_end_ts"))
+    want = sorted((a[0], b[0]) for a in rows for b in rows if a[1] == b[1] and a[2] <= (b[3] or b[2]) and b[2] <= (a[3] or a[2]))
+    got = J.interval_overlap(left, right, ["k"], 1_000_000)
+    assert sorted((r["i"], r["j"]) for r in got.collect()) == want
+    assert set(got.columns) == {"i", "k", "start_ts", "end_ts", "j", "r_start_ts", "r_end_ts"}
+    classed = J.with_class(left, F.unix_micros(F.col("start_ts").cast("timestamp")), F.unix_micros(F.coalesce("end_ts", "start_ts").cast("timestamp")), 1_000_000)
+    assert J.in_slots(classed, 1_000_000).groupBy("i").count().agg(F.max("count")).first()[0] <= 2
+    times = spark.createDataFrame([(n, START + timedelta(seconds=1777 * n)) for n in range(300)], "n long, at_ts timestamp_ntz")
+    near = J.markers_near(left, times, 1_000_000)
+    second = timedelta(seconds=1)
+    want = sorted((r[0], n) for r in rows for n in range(300) if r[2] - second <= START + timedelta(seconds=1777 * n) <= (r[3] or r[2]) + second)
+    assert sorted((r["i"], r["n"]) for r in near.collect()) == want
