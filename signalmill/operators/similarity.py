@@ -10,20 +10,20 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from signalmill.functions.frames import empty_frame
+from signalmill.functions.frames import cells, empty_frame
 from signalmill.functions.ordered import SALTS, attach, framed, known_bins, mark_bins, with_row
 from signalmill.functions.quantiles import quantiles
 from signalmill.functions.symbols import (
-    ROUNDED_BREAKPOINTS, fitted_breakpoints, gaussian_breakpoints, literal_array, mindist, similarity, symbol_index, symbolize,
+    EDGE, ROUNDED_BREAKPOINTS, fitted_breakpoints, gaussian_breakpoints, literal_array, mindist, similarity, symbol_index, symbolize,
 )
 from signalmill.functions.timeparts import as_us, floor_div, from_us, to_us
 from signalmill.operators.catalog import best_row
 from signalmill.operators.grid import fill_linear, make_series, search_space
-from signalmill.operators.joins import join_dim, map_tracks, top_k_per_group
+from signalmill.operators.joins import at_classes, class_width, in_slots, join_dim, map_tracks, top_k_per_group, with_class
 from signalmill.operators.sequences import pick_nonoverlap
 from signalmill.operators.spectral import series_length
 from signalmill.operators.windows import SIGNAL, sax_windows, segment_bounds, window_means
-from signalmill.plans.runtime import checkpointed
+from signalmill.plans.runtime import checkpointed, discard, written
 
 TRACK = ("entity_id", "track_id")
 
@@ -38,7 +38,7 @@ class Query:
         self.length = len(x)
         self.breakpoints = fitted_breakpoints(z.tolist(), alpha)
         self.paa = [float(z[a:b].mean()) for a, b in segment_bounds(len(z), segments)]
-        self.symbols = [sum(v >= b for b in self.breakpoints) - 1 for v in self.paa]
+        self.symbols = [sum(v + EDGE >= b for b in self.breakpoints) - 1 for v in self.paa]
         self.word = "".join("abcdefghijklmnopqrst"[s] for s in self.symbols)
 
 
@@ -218,42 +218,100 @@ def word_counts(windows: DataFrame, by: Sequence[str] = SIGNAL) -> DataFrame:
     return windows.groupBy(*by, "word").agg(F.count(F.lit(1)).alias("word_frequency"))
 
 
-def score_candidates(cands: DataFrame, others: DataFrame, window: int, chunk: int = 4096, width: int = 512) -> DataFrame:
-    """Nearest non-overlapping window of each candidate by distance of segment means.
+TIME_CHUNK = 4096  # starts of the windows on one side of a cell
+PACK = 512  # candidates on the other
 
-    Windows go into time chunks and candidates into packs; every (chunk, pack) cell is
-    one array product that returns one row per candidate.
-    """
+
+def _window_chunks(windows: DataFrame) -> DataFrame:
+    """The windows of each signal and time chunk as one row: their starts and, one after another, their segment means."""
+    rows = windows.groupBy("signal_id", floor_div(F.col("start_index"), TIME_CHUNK).alias("_chunk")).agg(F.array_sort(F.collect_list(F.struct("start_index", "paa"))).alias("_w"))
+    return rows.select("signal_id", "_chunk", F.transform("_w", lambda w: w["start_index"]).alias("starts"), F.flatten(F.transform("_w", lambda w: w["paa"])).alias("means"))
+
+
+def _score(cands: DataFrame, packed: DataFrame, window: int) -> DataFrame:
     w = Window.partitionBy("signal_id", "_c").orderBy("start_index")
-    cands = cands.withColumn("_c", floor_div(F.col("start_index"), chunk))
-    cands = cands.withColumn("_pack", F.concat_ws("-", "_c", floor_div(F.row_number().over(w) - 1, width)))
-    spans = others.groupBy("signal_id").agg(F.max(floor_div(F.col("start_index"), chunk)).alias("_top"))
-    packs = cands.select("signal_id", "_pack").distinct()
-    left = cands.join(spans, "signal_id").withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_top"))))
-    left = left.select("signal_id", "_chunk", "_pack", "start_index", "paa")
-    sides = packs.groupBy("signal_id").agg(F.collect_list("_pack").alias("_packs"))
-    right = attach(others, sides, "signal_id", salt="start_index").withColumn("_p", F.explode("_packs"))
-    right = right.select(F.col("signal_id").alias("_sid"), floor_div(F.col("start_index"), chunk).alias("_k"), "_p", F.col("start_index").alias("_at"), F.col("paa").alias("_paa"))
+    cands = cands.withColumn("_c", floor_div(F.col("start_index"), TIME_CHUNK))
+    cands = cands.withColumn("_pack", F.concat_ws("-", "_c", floor_div(F.row_number().over(w) - 1, PACK)))
+    met = packed.select("signal_id", "_chunk")
+    left = cands.join(met, "signal_id").select("signal_id", "_chunk", "_pack", "start_index", "paa")
+    right = packed.join(cands.select("signal_id", "_pack").distinct(), "signal_id")
+    right = right.select(F.col("signal_id").alias("_sid"), F.col("_chunk").alias("_k"), F.col("_pack").alias("_p"), "starts", "means")
 
     def kernel(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if a.empty or b.empty:
             return empty_frame(["signal_id"], ["start_index", "j"], ["d"])
-        x, y = np.stack(a["paa"].to_numpy()), np.stack(b["_paa"].to_numpy())
-        i, j = a["start_index"].to_numpy(), b["_at"].to_numpy()
-        d = np.sqrt(((x[:, None, :] - y[None, :, :]) ** 2).sum(axis=2))
+        x, i, j = np.stack(a["paa"].to_numpy()).astype(float), a["start_index"].to_numpy(), np.asarray(b["starts"].iloc[0])
+        y = np.asarray(b["means"].iloc[0], dtype=float).reshape(len(j), -1)
+        d = np.zeros((len(i), len(j)))
+        for own, other in zip(x.T, y.T):  # one segment at a time: no array of windows by windows by segments
+            gap = own[:, None] - other
+            d += gap * gap
+        d = np.sqrt(d)
         d[np.abs(i[:, None] - j[None, :]) < window] = np.inf
         d[~np.isfinite(d)] = np.inf
-        order = np.argsort(j, kind="stable")
-        best = order[np.argmin(d[:, order], axis=1)]
+        best = np.argmin(d, axis=1)
         out = pd.DataFrame({"signal_id": a["signal_id"], "start_index": i, "d": d[np.arange(len(i)), best], "j": j[best]})
         return out[np.isfinite(out["d"])]
 
-    cells = left.groupBy("signal_id", "_chunk", "_pack").cogroup(right.groupBy("_sid", "_k", "_p"))
-    scored = cells.applyInPandas(kernel, "signal_id string, start_index long, d double, j long")
+    pairs = cells(left, ["signal_id", "_chunk", "_pack"], right, ["_sid", "_k", "_p"])
+    scored = pairs.applyInPandas(kernel, "signal_id string, start_index long, d double, j long")
     best = scored.groupBy("signal_id", "start_index").agg(F.min(F.struct("d", "j")).alias("b"))
     return best.select("signal_id", "start_index", F.col("b.d").alias("nn_distance"), F.col("b.j").alias("nearest_neighbor_start"))
 
 
+def score_candidates(cands: DataFrame, others: DataFrame, window: int) -> DataFrame:
+    """Nearest non-overlapping window of each candidate by distance of segment means.
+
+    Windows go into time chunks, one row each, and candidates into packs; every (chunk, pack) cell
+    is a few array products that return one row per candidate.
+    """
+    return _score(cands, checkpointed(_window_chunks(others)), window)
+
+
+def _word_bound(pool: DataFrame, others: DataFrame, window: int) -> DataFrame:
+    """``pool`` with ``value``: the distance to the first or last window of its own word, which its nearest one cannot exceed."""
+    ends = others.groupBy("signal_id", "word").agg(F.min(F.struct("start_index", "paa")).alias("_first"), F.max(F.struct("start_index", "paa")).alias("_last"))
+    rows = attach(pool, ends, ["signal_id", "word"], how="left", salt="start_index")
+
+    def apart(end: str) -> Column:
+        squares = F.zip_with("paa", F.col(f"{end}.paa"), lambda x, y: (x - y) * (x - y))
+        far = F.sqrt(F.aggregate(squares, F.lit(0.0), lambda t, x: t + x))
+        return F.when(F.abs(F.col("start_index") - F.col(f"{end}.start_index")) >= window, far)
+
+    return rows.withColumn("value", F.coalesce(F.least(apart("_first"), apart("_last")), F.lit(float("inf")))).drop("_first", "_last")
+
+
+def discord_search(pool: DataFrame, others: DataFrame, window: int, k: int, width: int = 256) -> tuple[DataFrame, int]:
+    """The ``k`` candidates of all signals with the farthest nearest neighbour, non-overlapping within a signal, and how many were scored.
+
+    A candidate's bound is the distance to a window of its own word: common words are close to
+    something and come last. Best-first picks are made of the bounds as if they were distances. As long
+    as a pick is only a bound, the highest bounds are scored, twice as many each round. When all picks
+    are scored, no other candidate can take their place, since its distance is at most its bound.
+    """
+    keys = ["signal_id", "start_index"]
+    packed = checkpointed(_window_chunks(others))
+    state = _word_bound(pool, others, window).withColumn("exact", F.lit(False)).withColumn("nearest_neighbor_start", F.lit(None).cast("bigint"))
+    state, path = written(state)
+    order = [F.col("value").desc(), *keys]
+    scored, width = 0, max(width, k)
+    while True:
+        picks = pick_nonoverlap(state.drop("paa"), k, window - 1, "value", idx="start_index").drop("pick")
+        picks, place = written(picks.orderBy(*order).limit(k))
+        if picks.filter(~F.col("exact")).isEmpty():
+            return picks.drop("exact"), scored
+        discard(state.sparkSession, place)
+        ask = checkpointed(state.filter(~F.col("exact")).orderBy(*order).limit(width).select(*keys, "paa"))
+        scored, width, old = scored + ask.count(), min(2 * width, 1 << 20), path
+        near = _score(ask, packed, window).withColumnRenamed("nearest_neighbor_start", "_near")
+        asked = ask.select(*keys, F.lit(True).alias("_asked")).join(near, keys, "left")
+        rows = state.join(asked, keys, "left")
+        rows = rows.withColumn("value", F.when(F.col("_asked"), F.col("nn_distance")).otherwise(F.col("value")))
+        rows = rows.withColumn("nearest_neighbor_start", F.when(F.col("_asked"), F.col("_near")).otherwise(F.col("nearest_neighbor_start")))
+        state, path = written(rows.withColumn("exact", F.col("exact") | F.col("_asked").isNotNull()).drop("_asked", "_near", "nn_distance"))
+        discard(state.sparkSession, old)
+
+
 def sax_discords(
     grid: DataFrame,
     window: int,
@@ -266,9 +324,10 @@ def sax_discords(
 ) -> DataFrame:
     """Windows whose nearest non-overlapping neighbour is far.
 
-    ``candidates`` > 0 scores the rarest words' windows of each signal, 0 every window
-    no commoner than its signal's mean word count. With ``detection_bins`` only windows
-    in the last bins are candidates and only earlier ones are neighbours.
+    ``candidates`` > 0 considers the rarest words' windows of each signal, 0 every window
+    no commoner than its signal's mean word count; ``discord_search`` scores only those that
+    may be among the ``k``. With ``detection_bins`` only windows in the last bins are candidates
+    and only earlier ones are neighbours.
     """
     windows = sax_windows(grid, window, segments, gaussian_breakpoints(alpha), threshold)
     counts = word_counts(windows)
@@ -281,11 +340,10 @@ def sax_discords(
     else:
         common = rows.groupBy("signal_id").agg(F.avg("word_frequency").alias("_cut"))
         pool = attach(pool, common, "signal_id", salt="start_index").filter(F.col("word_frequency") <= F.col("_cut")).drop("_cut")
-    near = score_candidates(pool.select("signal_id", "start_index", "paa"), others.select("signal_id", "start_index", "paa"), window)
-    scored = near.join(pool.drop("paa"), ["signal_id", "start_index"])
-    picks = pick_nonoverlap(scored, k, window - 1, "nn_distance", idx="start_index").drop("pick")
+    picks, _ = discord_search(pool, others, window, k)
+    picks = picks.withColumnRenamed("value", "nn_distance")
     order = [F.col("nn_distance").desc(), F.col("signal_id"), F.col("start_index")]
-    return picks.orderBy(*order).limit(k).withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+    return picks.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
 
 
 def discord_thresholds(discords: DataFrame) -> DataFrame:
@@ -376,13 +434,14 @@ def vsm_classify(scores: DataFrame) -> DataFrame:
 def vsm_training(spans: DataFrame, df: DataFrame, bin_us: int, slot_us: int | None = None) -> DataFrame:
     """Filled grid of every labelled span (``class_label, series_id, signal_id, start_ts, end_ts``).
 
-    Spans and readings meet on signal and time slot, so one busy signal is spread.
+    Spans and readings meet on signal and a time slot of the span's length class, so one busy signal
+    is spread and a long span makes no more than two rows.
     """
-    slot = slot_us or 256 * bin_us
+    unit = slot_us or 256 * bin_us
     spans = spans.withColumn("_a", to_us("start_ts")).withColumn("_z", to_us("end_ts"))
-    keyed = spans.withColumn("_slot", F.explode(F.sequence(floor_div(F.col("_a"), slot), floor_div(F.col("_z"), slot))))
-    rows = df.withColumn("_us", to_us("ts")).withColumn("_slot", floor_div(F.col("_us"), slot))
-    hits = rows.join(keyed.select("class_label", "series_id", "signal_id", "_slot", "_a", "_z"), ["signal_id", "_slot"])
+    keyed = with_class(spans.filter("_a <= _z"), F.col("_a"), F.col("_z"), unit)
+    rows = at_classes(df.withColumn("_us", to_us("ts")), keyed).withColumn("_slot", floor_div(F.col("_us"), class_width(unit)))
+    hits = rows.join(in_slots(keyed, unit).select("class_label", "series_id", "signal_id", "_cls", "_slot", "_a", "_z"), ["signal_id", "_cls", "_slot"])
     hits = hits.filter(F.col("_us").between(F.col("_a"), F.col("_z")))
     hits = hits.withColumn("bin_idx", floor_div(F.col("_us") - F.col("_a"), bin_us))
     means = hits.groupBy("class_label", "series_id", "bin_idx").agg(F.avg("value").alias("value"))

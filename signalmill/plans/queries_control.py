@@ -283,7 +283,12 @@ def _(t):
     return rounded(P.exceedance_steps(fc(t), 120.0))
 
 
-@query("f08_exceedance")
+@query("f08_exceedance", sql_round(FILLED + FC + """, sp AS (SELECT f.signal_id, f.step, avg((f.forecast + r.residual * sqrt(f.step) > 200)::INT) AS probability FROM fc f JOIN fc r ON f.signal_id = r.signal_id AND f.step IS NOT NULL AND r.step IS NULL GROUP BY ALL),
+sf AS (SELECT signal_id, max(probability) AS peak_probability, arg_max(step, (probability, -step)) AS peak_step, min(step) FILTER (probability >= 0.5) AS first_likely_step FROM sp GROUP BY ALL),
+ps AS (SELECT signal_id, residual, row_number() OVER w - 1 AS nth, sum(residual) OVER (w ROWS UNBOUNDED PRECEDING) AS run FROM fc WHERE step IS NULL AND residual IS NOT NULL WINDOW w AS (PARTITION BY signal_id ORDER BY bin_idx)),
+pt AS (SELECT a.signal_id, a.nth, count(*) AS c, max(f.forecast + b.run - (a.run - a.residual)) > 200 AS hit FROM ps a JOIN fc f ON f.signal_id = a.signal_id AND f.step IS NOT NULL JOIN ps b ON b.signal_id = a.signal_id AND b.nth = a.nth + f.step - 1 GROUP BY ALL),
+sh AS (SELECT signal_id, avg(hit::INT) AS any_breach_probability FROM pt WHERE c = (SELECT max(step) FROM fc) GROUP BY ALL)
+SELECT sf.*, any_breach_probability, 'trajectory' AS method FROM sf JOIN sh USING (signal_id)""", "peak_probability any_breach_probability"))
 def _(t):
     return rounded(P.exceedance(fc(t), 200.0))
 

@@ -278,7 +278,13 @@ def _(t):
     return rounded(S.box_outliers(hourly(t)))
 
 
-@query("g14_duration_curve", sql_round(f"""WITH {SIGNALS}, r AS (SELECT signal_id, value, row_number() OVER (PARTITION BY signal_id ORDER BY value DESC) - 1 AS i, count(*) OVER (PARTITION BY signal_id) AS n FROM raw),
+@query("g14_duration_curve", sql_round(f"""WITH {SIGNALS}, r AS (SELECT signal_id, value, row_number() OVER (PARTITION BY signal_id ORDER BY value DESC) AS i, count(*) OVER (PARTITION BY signal_id) AS n FROM raw)
+SELECT signal_id, i::DOUBLE / n * 100 AS percent, value FROM r""", "percent"))
+def _(t):
+    return rounded(S.duration_curve(signals(t)))
+
+
+@query("g14_duration_curve_thinned", sql_round(f"""WITH {SIGNALS}, r AS (SELECT signal_id, value, row_number() OVER (PARTITION BY signal_id ORDER BY value DESC) - 1 AS i, count(*) OVER (PARTITION BY signal_id) AS n FROM raw),
 s AS (SELECT *, CASE WHEN n > 500 THEN ceil(n / 500)::BIGINT ELSE 1 END AS step FROM r)
 SELECT signal_id, CASE WHEN i % step = 0 THEN (i + 1)::DOUBLE / n * 100 ELSE 100.0 END AS percent, value FROM s WHERE i % step = 0 OR i = n - 1""", "percent"))
 def _(t):

@@ -13,11 +13,11 @@ from signalmill.operators.multivariate import TRACK
 from signalmill.plans.queries_relate import reading_dim
 from signalmill.plans.registry import query
 from signalmill.plans.samples import (
-    END, FILLED, SIGNALS, START, TRACK_FILLED, USER_FILLED, USERS, hourly, rounded, signals, sql_round, tracks, user_daily, user_signals,
+    END, FILLED, SIGNALS, START, TRACK_FILLED, USER_FILLED, USERS, hourly, recursive, rounded, signals, sql_greedy, sql_round, tracks, user_daily, user_signals,
 )
 
 G4 = "-0.6744897501960817, 0.0, 0.6744897501960817"
-LETTER = "substr('abcd', 1 + ({v} >= {a})::INT + ({v} >= {b})::INT + ({v} >= {c})::INT, 1)"
+LETTER = "substr('abcd', 1 + ({v} + 1e-9::DOUBLE >= {a})::INT + ({v} + 1e-9::DOUBLE >= {b})::INT + ({v} + 1e-9::DOUBLE >= {c})::INT, 1)"
 
 
 def letter(v: str, cuts=("-0.6744897501960817", "0", "0.6744897501960817")) -> str:
@@ -284,22 +284,35 @@ def _(t):
     return rounded(X.suggest_params(user_signals(t).withColumnRenamed("signal_id", "query_id")))
 
 
-@query("x11_sax_discords")
+def sql_discords(pool: str, k: int, others: str = "true") -> str:
+    """CTE ``dr``: the ``k`` farthest of the windows ``pool`` (a filter on ``cw``), non-overlapping within a signal."""
+    greedy, last = sql_greedy("sc", "nn_distance DESC, start_index", 23, k, "start_index").rsplit("\nSELECT", 1)
+    return recursive(FILLED + WINDOWS + f""", cw AS (SELECT *, count(*) OVER (PARTITION BY signal_id, word) AS word_frequency FROM sw),
+cp AS (SELECT *, avg(word_frequency) OVER (PARTITION BY signal_id) AS cut FROM cw), cf AS (SELECT * FROM cp WHERE {pool}),
+sc AS MATERIALIZED (SELECT c.signal_id, c.start_index, c.end_index, c.word, c.word_frequency, min(d) AS nn_distance, arg_min(j, (d, j)) AS nearest_neighbor_start
+ FROM (SELECT c.*, w.start_index AS j, sqrt(pow(c.p0 - w.p0, 2) + pow(c.p1 - w.p1, 2) + pow(c.p2 - w.p2, 2) + pow(c.p3 - w.p3, 2)) AS d FROM cf c JOIN pw w ON c.signal_id = w.signal_id AND abs(c.start_index - w.start_index) >= 24 WHERE {others}) c GROUP BY ALL)"""
+        + greedy + f""", dp AS (SELECT{last}), dr AS (SELECT * EXCLUDE (pick), (row_number() OVER (ORDER BY nn_distance DESC, signal_id, start_index))::INT AS rank FROM dp QUALIFY rank <= {k})""")
+
+
+RAREST = "true QUALIFY row_number() OVER (PARTITION BY signal_id ORDER BY word_frequency, start_index) <= 60"
+
+
+@query("x11_sax_discords", sql_round(sql_discords(RAREST, 10) + " SELECT * FROM dr", "nn_distance"))
 def _(t):
     return rounded(X.sax_discords(hourly(t), 24, 10, 4, 4, candidates=60))
 
 
-@query("x11_sax_discords_all")
+@query("x11_sax_discords_all", sql_round(sql_discords("word_frequency <= cut", 10) + " SELECT * FROM dr", "nn_distance"))
 def _(t):
     return rounded(X.sax_discords(hourly(t), 24, 10, 4, 4, candidates=0))
 
 
-@query("x12_discords_detection")
+@query("x12_discords_detection", sql_round(sql_discords("start_index >= 624 " + RAREST.removeprefix("true "), 5, "w.start_index < 624") + " SELECT * FROM dr", "nn_distance"))
 def _(t):
     return rounded(X.sax_discords(hourly(t), 24, 5, 4, 4, candidates=60, detection_bins=96))
 
 
-@query("x13_discord_thresholds")
+@query("x13_discord_thresholds", sql_round(sql_discords(RAREST, 20) + " SELECT quantile_cont(nn_distance, 0.5) AS p50, quantile_cont(nn_distance, 0.9) AS p90, quantile_cont(nn_distance, 0.95) AS p95, max(nn_distance) AS max, count(*) AS samples FROM dr", "p50 p90 p95 max"))
 def _(t):
     return rounded(X.discord_thresholds(X.sax_discords(hourly(t), 24, 20, 4, 4, candidates=60)))
 

@@ -99,13 +99,37 @@ def test_discords_by_brute_force(grid_of, candidates, detection, monkeypatch):
                 taken.append(s)
         found += taken
     want = sorted(found, key=lambda s: (-s[0], s[1], s[2]))[:4]
-    base = X.score_candidates
-    monkeypatch.setattr(X, "score_candidates", lambda c, o, win: base(c, o, win, chunk=50, width=7))
+    monkeypatch.setattr(X, "TIME_CHUNK", 50)
+    monkeypatch.setattr(X, "PACK", 7)
     got = X.sax_discords(grid_of(data), w, 4, p, 4, candidates=candidates, detection_bins=detection).orderBy("rank").collect()
     assert [r["nn_distance"] for r in got] == pytest.approx([s[0] for s in want], abs=1e-6)
     assert [(r["signal_id"], r["start_index"]) for r in got] == [s[1:] for s in want]
 
 
+def test_discord_search_scores_few_candidates(grid_of):
+    """A repeating shape with two odd places: common words are bounded by their own kind and never scored."""
+    from signalmill.operators.windows import sax_windows
+
+    rng = np.random.default_rng(1)
+    x = np.sin(np.arange(3000) * 2 * np.pi / 24) + rng.normal(0, 0.05, 3000)
+    x[700:716] += 2.5
+    x[2000:2016] = rng.normal(size=16)
+    w, p = 24, 6
+    windows = sax_windows(grid_of({"a": x}), w, p, Y.gaussian_breakpoints(4)).drop("end_index").cache()
+    picks, scored = X.discord_search(windows, windows, w, 2, width=16)
+    every = np.array([means(z(x[i : i + w]), p) for i in range(len(x) - w + 1)])
+    gaps = np.sqrt(((every[:, None] - every[None]) ** 2).sum(axis=2))
+    gaps[np.abs(np.subtract.outer(np.arange(len(every)), np.arange(len(every)))) < w] = np.inf
+    near, taken = gaps.min(axis=1), []
+    for i in np.argsort(-near, kind="stable"):
+        if all(abs(i - t) >= w for t in taken):
+            taken.append(i)
+    got = picks.orderBy(F.desc("value")).collect()
+    assert [r["start_index"] for r in got] == taken[:2]
+    assert [r["value"] for r in got] == pytest.approx(near[taken[:2]].tolist(), abs=1e-9)
+    assert scored < len(every) / 4
+
+
 def test_word_functions(spark):
     df = spark.createDataFrame([("abca", "adcb"), ("dddd", "aaaa")], "a string, b string")
     a, b = F.col("a"), F.col("b")

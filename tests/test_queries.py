@@ -16,10 +16,6 @@ from signalmill.plans.all_queries import QUERIES, SQL, run  # noqa: E402
 FOLDER = os.environ.get("SIGNALMILL_DATA", "/root/testdata/sf0.001")
 EVERY = 1 if os.environ.get("SIGNALMILL_PARITY") == "all" else 9
 
-# In the sparse smallest tables segment means lie exactly on the pattern's own breakpoints, so
-# the last bit of a sum decides the letter; the same query agrees at sf0.01.
-ON_THE_EDGE = {"x01_similarity_tolerance"} if FOLDER.rstrip("/").endswith("sf0.001") else set()
-
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="test tables not present")
 
 
@@ -54,8 +50,6 @@ def test_query(spark, database, name):
     assert sorted(rel.columns) == cols
     at = [rel.columns.index(c) for c in cols]
     want = sorted((tuple(plain(r[i]) for i in at) for r in rel.fetchall()), key=order)
-    if got != want and name in ON_THE_EDGE:
-        pytest.xfail("letters decided by rounding on this table size")
     assert got == want
 
 
