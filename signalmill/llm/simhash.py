@@ -15,7 +15,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from signalmill.llm.components import connected
 from signalmill.plans.runtime import discard, written
@@ -205,7 +205,7 @@ def common_shingles(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]
 
 
 def prefixes(docs: DataFrame, size: int, similarity: float) -> DataFrame:
-    """(doc_id, n, digest, prefix): size and digest of a text's shingle set, and the shingles by which it is found.
+    """(doc_id, n, digest, sketch, prefix): size, digest and parity sketch of a text's shingle set, and the shingles by which it is found.
 
     Two sets of a Jaccard similarity of at least ``similarity`` share at least ceil(similarity * n) of
     the n shingles of either one. Under one order of all shingles the first n - ceil(similarity * n) + 1
@@ -228,9 +228,30 @@ def prefixes(docs: DataFrame, size: int, similarity: float) -> DataFrame:
                     ordered = values
                 first.append(ordered[: len(values) - math.ceil(similarity * len(values) - 1e-9) + 1])
             digests = pa.array([xxhash.xxh128_digest(x.tobytes()) for x in sets], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(map(len, sets)), pa.int64()), digests, _lists(first)], ["doc_id", "n", "digest", "prefix"])
+            sketches = pa.array([parity_sketch(x) for x in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(map(len, sets)), pa.int64()), digests, sketches, _lists(first)], ["doc_id", "n", "digest", "sketch", "prefix"])
 
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(kernel, "doc_id bigint, n bigint, digest binary, prefix array<bigint>")
+    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(kernel, "doc_id bigint, n bigint, digest binary, sketch binary, prefix array<bigint>")
+
+
+def parity_sketch(values: np.ndarray) -> bytes:
+    """A bit for each class of hashes: whether their number is odd. Two to four bits an entry, at least 64.
+
+    Two sets differ in at least as many entries as their sketches differ in bits. A sketch folds to half
+    its length by XOR of its halves.
+    """
+    bits = 1 << max(6, int(2 * len(values) - 1).bit_length()) if len(values) else 64
+    places = values.view(np.uint64) & np.uint64(bits - 1)
+    return np.packbits(np.bincount(places.astype(np.int64), minlength=bits).astype(np.uint8) & 1, bitorder="little").tobytes()
+
+
+def sketch_distance(a: bytes, b: bytes) -> int:
+    """Bits in which two parity sketches differ, the longer one folded."""
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    if len(x) < len(y):
+        x, y = y, x
+    x = np.bitwise_xor.reduce(x.reshape(-1, len(y)), axis=0)
+    return int(np.bitwise_count(x ^ y).sum())
 
 
 def _enough(shared: Column, n: Column, m: Column, similarity: float) -> Column:
@@ -238,22 +259,61 @@ def _enough(shared: Column, n: Column, m: Column, similarity: float) -> Column:
     return shared * (1 + similarity) >= (n + m) * similarity - 1e-6
 
 
-def alike(pairs: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
-    """The written ``pairs`` (a, b) whose shingle sets have a Jaccard similarity of at least ``similarity``.
+def _within(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """(a, b, far): the pairs whose sets may be ``similarity`` alike as far as their sketches tell.
 
-    Sets are large, so they are made for the texts of the pairs only and deleted afterwards.
+    Sets of n and m entries that are alike differ in at most (n + m) (1 - similarity) / (1 + similarity).
+    """
+
+    def kernel(batches):
+        for batch in batches:
+            a, b, n, m, x, y = (batch.column(i).to_pylist() for i in range(6))
+            far = np.array([sketch_distance(p, q) for p, q in zip(x, y)], np.int64)
+            keep = far * (1 + similarity) <= (np.array(n, np.int64) + np.array(m, np.int64)) * (1 - similarity) + 1e-6
+            out = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(far)], ["a", "b", "far"])
+            yield out.filter(pa.array(keep))
+
+    side = lambda x: nodes.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "sa", "sb")
+    return both.mapInArrow(kernel, "a bigint, b bigint, far bigint")
+
+
+def linked(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
+    """(a, b): pairs with a Jaccard similarity of at least ``similarity`` that connect all that such ones among ``pairs`` connect.
+
+    Sketches drop most pairs. Of the others each text's nearest is compared first, by the whole sets, then
+    each text's nearest outside its component, then all that still lie in different components. Sets
+    are large, so they are made for the texts of the pairs left only and deleted afterwards.
     """
     spark = pairs.sparkSession
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    left, place = written(_within(pairs, nodes, similarity))
+    ids = left.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     sets, path = written(shingle_sets(texts.join(ids, "doc_id", "left_semi"), size))
     release(spark)
-    left, right = (sets.select(F.col("id").alias(x), F.col("s").alias(f"s{x}")) for x in "ab")
-    both = pairs.join(left, "a").join(right, "b")
-    out, _ = written(both.filter(_enough(F.size(F.array_intersect("sa", "sb")), F.size("sa"), F.size("sb"), similarity)).select("a", "b").distinct())
+    sides = [sets.select(F.col("id").alias(x), F.col("s").alias(f"s{x}")) for x in "ab"]
+    edges = None
+    for last in (False, False, True):
+        ends = left.select(F.explode(F.array("a", "b")).alias("x"), F.struct("far", "a", "b").alias("p"))
+        ask = left.select("a", "b") if last else ends.groupBy("x").agg(F.min("p").alias("p")).select("p.a", "p.b").distinct()
+        both = ask.join(sides[0], "a").join(sides[1], "b")
+        good, _ = written(both.filter(_enough(F.size(F.array_intersect("sa", "sb")), F.size("sa"), F.size("sb"), similarity)).select("a", "b"))
+        edges = good if edges is None else edges.unionByName(good)
+        if last:
+            break
+        classes = connected(edges)
+        own = lambda x: classes.select(F.col("node").alias(x), F.col("component").alias(f"c{x}"))
+        rest = left.join(ask, ["a", "b"], "left_anti").join(own("a"), "a", "left").join(own("b"), "b", "left")
+        rest, new = written(rest.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b", "far"))
+        discard(spark, place)
+        left, place = rest, new
+        release(spark)
+        if left.isEmpty():
+            break
     discard(spark, path)
-    del both, left, right, sets
+    discard(spark, place)
+    del both, ask, sides, sets
     release(spark)
-    return out
+    return edges
 
 
 def release(spark) -> None:
@@ -263,7 +323,7 @@ def release(spark) -> None:
 
 
 def link_similar(nodes: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
-    """(id, root) for ``nodes`` (id, n, prefix) whose shingle set is ``similarity`` alike another one's.
+    """(id, root) for ``nodes`` (id, n, sketch, prefix) whose shingle set is ``similarity`` alike another one's.
 
     Every such pair shares a shingle of its prefixes. A shingle's place in both bounds what two sets
     can share, which drops most pairs; the others are compared by their whole sets. As in ``link``,
@@ -271,27 +331,37 @@ def link_similar(nodes: DataFrame, texts: DataFrame, size: int, similarity: floa
     components with a member outside the bucket's commonest one.
     """
     keyed = nodes.select("id", "n", F.posexplode("prefix").alias("at", "h"))
-    me, bucket = F.struct("id", "n", "at"), Window.partitionBy("h")
-    met = keyed.select("h", "id", "n", "at", F.min(me).over(bucket).alias("p"), F.max(me).over(bucket).alias("q"))
-    met, _ = written(met.filter("p.id < q.id"))
-    del keyed
-    release(nodes.sparkSession)
+    buckets = keyed.groupBy("h").agg(F.min("id").alias("p"), F.max("id").alias("q")).filter("p < q")
+    met, place = written(keyed.join(buckets, "h"))
+    del keyed, buckets
+    spark = nodes.sparkSession
+    release(spark)
 
     def reach(n, at, m, other):
         return _enough(F.least(at, other) + 1 + F.least(n - at - 1, m - other - 1), n, m, similarity)
 
-    stars = met.select("id", "n", "at", F.explode(F.array("p", "q")).alias("o")).filter("id <> o.id").filter(reach(F.col("n"), F.col("at"), F.col("o.n"), F.col("o.at")))
-    tried, _ = written(stars.select(F.least("id", "o.id").alias("a"), F.greatest("id", "o.id").alias("b")).distinct())
-    stars = alike(tried, texts, size, similarity)
+    poles = met.filter("id = p or id = q").select("h", F.col("id").alias("o"), F.col("n").alias("m"), F.col("at").alias("ao"))
+    stars = met.select("h", "id", "n", "at", F.explode(F.array("p", "q")).alias("o")).filter("id <> o").join(poles, ["h", "o"]).filter(reach(F.col("n"), F.col("at"), F.col("m"), F.col("ao")))
+    tried, old = written(stars.select(F.least("id", "o").alias("a"), F.greatest("id", "o").alias("b")).distinct())
+    del stars, poles
+    release(spark)
+    stars = linked(tried, nodes, texts, size, similarity)
     first = connected(stars).select(F.col("node").alias("id"), F.col("component").alias("c"))
-    sides, _ = written(met.select("h", "id", "n", "at").join(first, "id", "left").withColumn("c", F.coalesce("c", "id")))
+    sides, aside = written(met.select("h", "id", "n", "at").join(first, "id", "left").withColumn("c", F.coalesce("c", "id")))
+    discard(spark, place)
     common = sides.groupBy("h", "c").agg(F.count("*").alias("k")).groupBy("h").agg(F.max_by("c", F.struct("k", "c")).alias("most"), F.count("*").alias("kinds"))
     open_ = sides.join(common.filter("kinds > 1").drop("kinds"), "h")
     rare = open_.filter("c <> most").select("h", F.col("id").alias("x"), F.col("c").alias("cx"), F.col("n").alias("m"), F.col("at").alias("ax"))
     pairs = open_.join(rare, "h").filter("c <> cx and (c = most or id < x)").filter(reach(F.col("n"), F.col("at"), F.col("m"), F.col("ax")))
     pairs = pairs.select(F.least("id", "x").alias("a"), F.greatest("id", "x").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    pairs, _ = written(pairs)
-    return connected(stars.unionByName(alike(pairs, texts, size, similarity))).select(F.col("node").alias("id"), F.col("component").alias("root"))
+    pairs, more = written(pairs)
+    for path in (old, aside):
+        discard(spark, path)
+    del sides, common, open_, rare, tried, met
+    release(spark)
+    out = connected(stars.unionByName(linked(pairs, nodes, texts, size, similarity))).select(F.col("node").alias("id"), F.col("component").alias("root"))
+    discard(spark, more)
+    return out
 
 
 def drop_similar(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -304,7 +374,7 @@ def drop_similar(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> Dat
     named = docs.filter("doc_id is not null")
     rows, _ = written(prefixes(named, size, similarity))
     firsts, _ = written(rows.groupBy("digest").agg(F.min("doc_id").alias("doc_id")))
-    nodes = rows.join(firsts, ["digest", "doc_id"]).select(F.col("doc_id").alias("id"), "n", "prefix")
+    nodes = rows.join(firsts, ["digest", "doc_id"]).select(F.col("doc_id").alias("id"), "n", "sketch", "prefix")
     keep = firsts.select(F.col("doc_id").alias("id")).distinct().join(link_similar(nodes, named, size, similarity), "id", "left").filter("root is null or root = id").select(F.col("id").alias("kept"))
     stay = named.join(keep, named["doc_id"] == keep["kept"], "left_semi").dropDuplicates(["doc_id"])
     return stay.unionByName(docs.filter("doc_id is null"))
