@@ -265,3 +265,23 @@ def test_watch_runs_per_micro_batch(spark, tmp_path):
     run = L.run_watch(live, lambda now: spark.range(1).withColumn("now", F.lit(now)), lambda df, e: seen.append(df.first()["now"]), checkpointLocation=str(tmp_path / "w"))
     run.awaitTermination()
     assert len(seen) == 2 and max(seen) == datetime(2024, 1, 2, 15)
+
+
+@pytest.mark.parametrize("ahead", [1, 40, 700])
+def test_crossings_by_brute_force(ahead):
+    """Block bounds against every path step by step, also for horizons of several blocks."""
+    rng = np.random.default_rng(ahead)
+    residual = rng.normal(size=1500)
+    run, level = np.cumsum(residual), rng.normal(size=ahead).cumsum() / 5
+    for threshold in (-5.0, 3.0, 20.0, 60.0):
+        want = [(level + run[t : t + ahead] - (run[t] - residual[t])).max() > threshold for t in range(len(run) - ahead + 1)]
+        assert P._crossings(run, residual, level, threshold).tolist() == want
+
+
+def test_the_plan_does_not_grow_with_the_folds(grid_of):
+    grid = grid_of({"x": np.sin(np.arange(2600) / 5)})
+    size = lambda step: len(P.backtest(grid, 10, 100, step, 12)._jdf.queryExecution().optimizedPlan().toString())
+    few, many = size(125), size(1)
+    assert abs(few - many) < 0.02 * few
+    rows = P.backtest(grid, 10, 100, 1, 12, 50)
+    assert rows.agg(F.count_distinct("origin"), F.count("*")).first()[:] == (2491, 24910)
