@@ -25,6 +25,7 @@ BLOCK = 1 << 14
 SLICE = 512  # texts that a task holds as strings at a time
 FULL = (1 << 64) - 1
 SAMPLED = 16  # one document of so many shows which shingles are common
+PARITY = 512  # bits of the sketch that pairs of a bucket are told apart by
 COMMON = 200_000  # common shingles that go to the tasks
 
 
@@ -205,7 +206,8 @@ def common_shingles(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]
 
 
 def prefixes(docs: DataFrame, size: int, similarity: float) -> DataFrame:
-    """(doc_id, n, digest, sketch, prefix): size, digest and parity sketch of a text's shingle set, and the shingles by which it is found.
+    """(doc_id, n, digest, sketch, parity, prefix): size, digest and parity sketches (of fitting and of fixed length) of a
+    text's shingle set, and the shingles by which it is found.
 
     Two sets of a Jaccard similarity of at least ``similarity`` share at least ceil(similarity * n) of
     the n shingles of either one. Under one order of all shingles the first n - ceil(similarity * n) + 1
@@ -229,18 +231,20 @@ def prefixes(docs: DataFrame, size: int, similarity: float) -> DataFrame:
                 first.append(ordered[: len(values) - math.ceil(similarity * len(values) - 1e-9) + 1])
             digests = pa.array([xxhash.xxh128_digest(x.tobytes()) for x in sets], pa.binary())
             sketches = pa.array([parity_sketch(x) for x in sets], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(map(len, sets)), pa.int64()), digests, sketches, _lists(first)], ["doc_id", "n", "digest", "sketch", "prefix"])
+            fixed = _lists([np.frombuffer(parity_sketch(x, PARITY), np.int64) for x in sets])
+            columns = [batch.column(0), pa.array(list(map(len, sets)), pa.int64()), digests, sketches, fixed, _lists(first)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "digest", "sketch", "parity", "prefix"])
 
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(kernel, "doc_id bigint, n bigint, digest binary, sketch binary, prefix array<bigint>")
+    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(kernel, "doc_id bigint, n bigint, digest binary, sketch binary, parity array<bigint>, prefix array<bigint>")
 
 
-def parity_sketch(values: np.ndarray) -> bytes:
-    """A bit for each class of hashes: whether their number is odd. Two to four bits an entry, at least 64.
+def parity_sketch(values: np.ndarray, bits: int | None = None) -> bytes:
+    """A bit for each class of hashes: whether their number is odd. ``bits``, or two to four an entry and at least 64.
 
     Two sets differ in at least as many entries as their sketches differ in bits. A sketch folds to half
     its length by XOR of its halves.
     """
-    bits = 1 << max(6, int(2 * len(values) - 1).bit_length()) if len(values) else 64
+    bits = bits or (1 << max(6, int(2 * len(values) - 1).bit_length()) if len(values) else 64)
     places = values.view(np.uint64) & np.uint64(bits - 1)
     return np.packbits(np.bincount(places.astype(np.int64), minlength=bits).astype(np.uint8) & 1, bitorder="little").tobytes()
 
@@ -323,7 +327,7 @@ def release(spark) -> None:
 
 
 def link_similar(nodes: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
-    """(id, root) for ``nodes`` (id, n, sketch, prefix) whose shingle set is ``similarity`` alike another one's.
+    """(id, root) for ``nodes`` (id, n, sketch, parity, prefix) whose shingle set is ``similarity`` alike another one's.
 
     Every such pair shares a shingle of its prefixes. A shingle's place in both bounds what two sets
     can share, which drops most pairs; the others are compared by their whole sets. As in ``link``,
@@ -350,9 +354,12 @@ def link_similar(nodes: DataFrame, texts: DataFrame, size: int, similarity: floa
     sides, aside = written(met.select("h", "id", "n", "at").join(first, "id", "left").withColumn("c", F.coalesce("c", "id")))
     discard(spark, place)
     common = sides.groupBy("h", "c").agg(F.count("*").alias("k")).groupBy("h").agg(F.max_by("c", F.struct("k", "c")).alias("most"), F.count("*").alias("kinds"))
-    open_ = sides.join(common.filter("kinds > 1").drop("kinds"), "h")
-    rare = open_.filter("c <> most").select("h", F.col("id").alias("x"), F.col("c").alias("cx"), F.col("n").alias("m"), F.col("at").alias("ax"))
-    pairs = open_.join(rare, "h").filter("c <> cx and (c = most or id < x)").filter(reach(F.col("n"), F.col("at"), F.col("m"), F.col("ax")))
+    open_ = sides.join(common.filter("kinds > 1").drop("kinds"), "h").join(nodes.select("id", "parity"), "id")
+    rare = open_.filter("c <> most").select("h", F.col("id").alias("x"), F.col("c").alias("cx"), F.col("n").alias("m"), F.col("at").alias("ax"), F.col("parity").alias("px"))
+    # texts that share a passage and little else differ in too many places of their sketches and make no pair
+    apart = sum((F.bit_count(F.col("parity")[i].bitwiseXOR(F.col("px")[i])) for i in range(PARITY // 64)), F.lit(0))
+    alike = apart * (1 + similarity) <= (F.col("n") + F.col("m")) * (1 - similarity) + 1e-6
+    pairs = open_.join(rare, "h").filter("c <> cx and (c = most or id < x)").filter(reach(F.col("n"), F.col("at"), F.col("m"), F.col("ax"))).filter(alike)
     pairs = pairs.select(F.least("id", "x").alias("a"), F.greatest("id", "x").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
     pairs, more = written(pairs)
     for path in (old, aside):
@@ -374,7 +381,7 @@ def drop_similar(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> Dat
     named = docs.filter("doc_id is not null")
     rows, _ = written(prefixes(named, size, similarity))
     firsts, _ = written(rows.groupBy("digest").agg(F.min("doc_id").alias("doc_id")))
-    nodes = rows.join(firsts, ["digest", "doc_id"]).select(F.col("doc_id").alias("id"), "n", "sketch", "prefix")
+    nodes = rows.join(firsts, ["digest", "doc_id"]).select(F.col("doc_id").alias("id"), "n", "sketch", "parity", "prefix")
     keep = firsts.select(F.col("doc_id").alias("id")).distinct().join(link_similar(nodes, named, size, similarity), "id", "left").filter("root is null or root = id").select(F.col("id").alias("kept"))
     stay = named.join(keep, named["doc_id"] == keep["kept"], "left_semi").dropDuplicates(["doc_id"])
     return stay.unionByName(docs.filter("doc_id is null"))
