@@ -21,7 +21,7 @@ HEADLINE = [
     "l01_stream_bins", "l05_collapse_alerts", "entry_deviation_runs",
 ]
 PROFILE_SIZES = (4000, 8000, 12000)
-LONGER = 48000  # timed by cores only: the smaller sizes are mostly the fixed cost of a job
+LONGER = 24000  # timed by cores only: the smaller sizes are mostly the fixed cost of a job
 
 
 def profile_input(spark, n: int):
