@@ -60,6 +60,31 @@ class Vocabulary:
             while self.keys[at] >= 0:
                 at = (at + 1) & ((1 << self.bits) - 1)
             self.keys[at], self.merged[at] = key, piece
+        self.model = model
+        self.length = np.zeros(size, np.int64)  # characters; a character's bytes after its first have none
+        for piece, i in self.ids.items():
+            self.length[i] = len(piece)
+        for byte, i in self.byte.items():
+            self.length[i] = byte >> 6 != 2
+        self._trees()
+
+    def _trees(self) -> None:
+        """The merges by which each piece is made where nothing is skipped, on its own or within a word.
+
+        No merge crosses the ends of a piece that stays, so a piece is always made the same way.
+        """
+        spelled = list(self.ids)
+        ids = np.full((len(spelled), max(map(len, spelled)) + 2), -2, np.int64)
+        for r, piece in enumerate(spelled):
+            ids[r, 1 : len(piece) + 1] = [self.chars.get(c, -1) for c in piece]
+        merges: list = []
+        _merge_rounds(ids, np.zeros(len(ids), np.uint64), 0.0, self, merges)
+        row, place, made = (np.concatenate(x) for x in zip(*merges))
+        piece = np.array(list(self.ids.values()), np.int64)[row]
+        order = np.argsort(piece, kind="stable")
+        self.tree_place, self.tree_piece = place[order], made[order]
+        self.tree_size = np.bincount(piece, minlength=self.size)
+        self.tree_start = np.cumsum(self.tree_size) - self.tree_size
 
     def slot(self, key: np.ndarray) -> np.ndarray:
         return ((key.astype(np.uint64) * np.uint64(STEPS[0])) >> np.uint64(64 - self.bits)).astype(np.int64)
@@ -90,6 +115,12 @@ def word_key(word: str, seed: int) -> int:
     return xxhash.xxh64_intdigest(word.encode(), seed & MASK)
 
 
+def word_keys(words: list[bytes], seeds: list[int]) -> np.ndarray:
+    import xxhash
+
+    return np.fromiter(map(xxhash.xxh64_intdigest, words, seeds), np.uint64, len(words))
+
+
 def skipped(key: int, place: int, piece: int, rate: float) -> bool:
     """Whether the candidate merge of ``piece`` at ``place`` of the word is dropped."""
     x = (key + place * STEPS[0] + piece * STEPS[1]) & MASK
@@ -98,17 +129,28 @@ def skipped(key: int, place: int, piece: int, rate: float) -> bool:
     return (x ^ (x >> 31)) >> 11 < int(rate * (1 << 53))
 
 
-def _skipped_all(key: np.ndarray, place: np.ndarray, piece: np.ndarray, rate: float) -> np.ndarray:
-    a, b, c = (np.uint64(s) for s in STEPS)
-    x = key + place.astype(np.uint64) * a + piece.astype(np.uint64) * b
+def mixed(place: np.ndarray, piece: np.ndarray) -> np.ndarray:
+    """What a candidate merge adds to the key of its word."""
+    return place.astype(np.uint64) * np.uint64(STEPS[0]) + piece.astype(np.uint64) * np.uint64(STEPS[1])
+
+
+def _low(x: np.ndarray, rate: float) -> np.ndarray:
+    _, b, c = (np.uint64(s) for s in STEPS)
     x = (x ^ (x >> np.uint64(30))) * b
     x = (x ^ (x >> np.uint64(27))) * c
     return (x ^ (x >> np.uint64(31))) >> np.uint64(11) < np.uint64(int(rate * (1 << 53)))
 
 
+def _skipped_all(key: np.ndarray, place: np.ndarray, piece: np.ndarray, rate: float) -> np.ndarray:
+    return _low(key + mixed(place, piece), rate)
+
+
 def merge_one(word: str, seed: int, rate: float, vocab: Vocabulary) -> list[int]:
     """Segmentation of one word by an agenda of candidate merges: best score first, then leftmost."""
-    key = word_key(word, seed)
+    return _by_agenda(word, word_key(word, seed), rate, vocab)
+
+
+def _by_agenda(word: str, key: int, rate: float, vocab: Vocabulary) -> list[int]:
     ids = [vocab.chars.get(c, -1) for c in word]
     n, agenda = len(ids), []
     prev, nxt = list(range(-1, n - 1)), list(range(1, n + 1))
@@ -133,6 +175,11 @@ def merge_one(word: str, seed: int, rate: float, vocab: Vocabulary) -> list[int]
         offer(i)
         if prev[i] >= 0:
             offer(prev[i])
+    return _spelled(word, ids, vocab)
+
+
+def _spelled(word: str, ids: list[int], vocab: Vocabulary) -> list[int]:
+    """Pieces by place, characters without one as bytes."""
     out: list[int] = []
     for i, x in enumerate(ids):
         if x >= 0:
@@ -144,60 +191,75 @@ def merge_one(word: str, seed: int, rate: float, vocab: Vocabulary) -> list[int]
 
 def merge_many(words: list[str], seeds: list[int], rate: float, vocab: Vocabulary) -> list[list[int]]:
     """``merge_one`` of many words, the batch's best candidates merged together round by round."""
-    out: list = [[]] * len(words)
-    size = np.fromiter(map(len, words), np.int64, len(words))
-    for i in np.flatnonzero(size > SHORT).tolist():
-        out[i] = merge_one(words[i], seeds[i], rate, vocab)
-    widths = (0, 4, 8, 12, 16, 24, 32, SHORT)
-    for low, width in zip(widths, widths[1:]):
-        rows = np.flatnonzero((size > low) & (size <= width))
-        for at in range(0, len(rows), 1 << 13):
-            _merge_block(words, seeds, rows[at : at + (1 << 13)], width, rate, vocab, out)
-    return out
+    pool, starts, sizes = _merge_all(words, np.fromiter(map(word_key, words, seeds), np.uint64, len(words)), rate, vocab)
+    return [pool[a : a + n].tolist() for a, n in zip(starts.tolist(), sizes.tolist())]
+
 
+def _merge_all(words: list[str], keys: np.ndarray, rate: float, vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pieces of many words one after another, and where in them each word's start and how many they are."""
+    starts, sizes, pool, end = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64), [], 0
+    size, get = np.fromiter(map(len, words), np.int64, len(words)), vocab.chars.get
 
-def _merge_block(words, seeds, rows, width, rate, vocab, out) -> None:
-    get, picked = vocab.chars.get, [words[i] for i in rows.tolist()]
-    columns = np.arange(width + 1)
-    ids = np.full((len(rows), width + 1), -2, np.int64)  # -2: no symbol, -1: a character without a piece
-    ids[columns < np.fromiter(map(len, picked), np.int64, len(rows))[:, None]] = [get(c, -1) for w in picked for c in w]
-    place = np.tile(columns, (len(rows), 1))
-    key = np.array([word_key(w, seeds[i]) for i, w in zip(rows.tolist(), picked)], np.uint64)
+    def put(rows, counts, values):
+        nonlocal end
+        starts[rows], sizes[rows] = end + np.cumsum(counts) - counts, counts
+        pool.append(np.asarray(values, np.int32))
+        end += len(values)
 
-    def candidates(left, right, where, keys):
-        made = vocab.join(left, right)
-        cost = np.where(made < 0, np.inf, vocab.cost[made])
+    for i in np.flatnonzero(size > SHORT).tolist():
+        ids = _by_agenda(words[i], int(keys[i]), rate, vocab)
+        put([i], np.array([len(ids)]), ids)
+    widths = (-1, 4, 8, 12, 16, 24, 32, SHORT)
+    for low, width in zip(widths, widths[1:]):
+        alike = np.flatnonzero((size > low) & (size <= width))
+        for at in range(0, len(alike), 1 << 13):
+            rows = alike[at : at + (1 << 13)]
+            picked = [words[i] for i in rows.tolist()]
+            ids = np.full((len(rows), width + 2), -2, np.int64)  # -2: no symbol, -1: a character without a piece
+            ids[:, 1:-1][np.arange(width) < size[rows, None]] = [get(c, -1) for w in picked for c in w]
+            _merge_rounds(ids, keys[rows], rate, vocab)
+            odd = (ids == -1).any(axis=1)
+            here = (ids != -2) & ~odd[:, None]
+            put(rows, here.sum(axis=1), ids[here])
+            for r in np.flatnonzero(odd).tolist():
+                spelled = _spelled(picked[r], ids[r, 1:].tolist(), vocab)
+                put(rows[r : r + 1], np.array([len(spelled)]), spelled)
+    return np.concatenate(pool) if pool else np.zeros(0, np.int32), starts, sizes
+
+
+def _merge_rounds(ids: np.ndarray, keys: np.ndarray, rate: float, vocab: Vocabulary, merges: list | None = None) -> None:
+    """Merge the rows of ``ids``, symbols by place between two guard columns, in place; what is merged away becomes -2.
+
+    Every round makes the best merge of every row. Symbols know their neighbours by position in the flat
+    array, so a round costs the rows and not their symbols. ``merges`` gets (row, place, piece) of each round.
+    """
+    width = ids.shape[1]
+    flat, spots = ids.ravel(), np.arange(ids.size)
+    prev, nxt = spots - 1, spots + 1
+    made, cost = np.full(ids.size, -1, np.int64), np.full(ids.size, np.inf)
+
+    def offer(left: np.ndarray, right: np.ndarray, row: np.ndarray) -> None:
+        piece = vocab.join(flat[left], flat[right])
+        price = np.where(piece < 0, np.inf, vocab.cost[piece])
         if rate > 0:
-            cost[_skipped_all(keys, where, np.maximum(made, 0), rate)] = np.inf
-        return made, cost
-
-    made, cost = candidates(ids[:, :-1], ids[:, 1:], place[:, :-1], key[:, None])
-    live, final, starts = np.arange(len(rows)), ids.copy(), place.copy()
-    while True:
-        best = cost.argmin(axis=1)
-        going = np.isfinite(cost[np.arange(len(live)), best])
-        final[live[~going]], starts[live[~going]] = ids[~going], place[~going]
-        if not going.any():
-            break
-        live, ids, place, made, cost, best, key = (x[going] for x in (live, ids, place, made, cost, best, key))
-        at = np.arange(len(live))
-        ids[at, best] = made[at, best]
-        source = np.minimum(columns[None, :] + (columns[None, :] > best[:, None]), width)
-        ids, place = np.take_along_axis(ids, source, 1), np.take_along_axis(place, source, 1)
-        made, cost = np.take_along_axis(made, np.minimum(source[:, :-1], width - 1), 1), np.take_along_axis(cost, np.minimum(source[:, :-1], width - 1), 1)
-        ids[:, -1], made[:, -1], cost[:, -1] = -2, -1, np.inf
-        for j in (best, np.maximum(best - 1, 0)):
-            right = np.minimum(j + 1, width)
-            made[at, j % width], cost[at, j % width] = candidates(ids[at, j], np.where(j + 1 > width, -2, ids[at, right]), place[at, j], key)
-    sizes, odd = (final != -2).sum(axis=1).tolist(), (final == -1).any(axis=1).tolist()
-    for r, (i, n, symbols) in enumerate(zip(rows.tolist(), sizes, final.tolist())):
-        symbols = symbols[:n]
-        if odd[r]:
-            flat: list[int] = []
-            for x, p in zip(symbols, starts[r].tolist()):
-                flat += [x] if x >= 0 else [vocab.byte[b] for b in picked[r][p].encode()]
-            symbols = flat
-        out[i] = symbols
+            price[_skipped_all(keys[row], left - row * width - 1, np.maximum(piece, 0), rate)] = np.inf
+        made[left], cost[left] = piece, price
+
+    some = np.flatnonzero((flat[:-1] >= 0) & (flat[1:] >= 0))
+    offer(some, some + 1, some // width)
+    live, table = np.arange(len(ids)), cost.reshape(ids.shape)
+    while len(live):
+        at = live * width + table[live].argmin(axis=1)
+        going = np.isfinite(cost[at])
+        live, at = live[going], at[going]
+        gone = nxt[at]
+        after, before = nxt[gone], prev[at]
+        if merges is not None:
+            merges.append((live, at - live * width - 1, made[at]))
+        flat[at], flat[gone], cost[gone] = made[at], -2, np.inf
+        nxt[at], prev[after] = after, at
+        offer(at, after, live)
+        offer(before, at, live)
 
 
 def occurrence_seed(seed: int, nth: int) -> int:
@@ -206,58 +268,71 @@ def occurrence_seed(seed: int, nth: int) -> int:
 
 
 class Encoder:
-    """Texts to ids under one rate; words repeat, so their segmentations are kept, up to a bound."""
+    """Texts to ids under one rate; under seeds of whole texts, segmentations of words are kept, up to a bound."""
 
     def __init__(self, vocab: Vocabulary, rate: float):
         self.vocab, self.rate, self.kept, self.split = vocab, rate, {}, re.compile(r" *[^ ]+| +")
-        self.spans, self.drops = {}, {}
-
-    def _spans(self, word: str) -> tuple[list[int], list[int]]:
-        """Places and pieces of all merges that any order of merging could make; none are kept of long words."""
-        found = [(i, self.vocab.ids.get(word[i:j])) for i in range(len(word)) for j in range(i + 2, len(word) + 1)] if len(word) <= SHORT else []
-        found = [(i, p) for i, p in found if p is not None]
-        return [i for i, _ in found], [p for _, p in found]
-
-    def encode_each(self, texts: list[str], seeds: list[int]) -> list[list[int]]:
-        """As ``encode``, with a seed of its own for every word of a text.
 
-        What a word becomes depends only on which of its merges are skipped, so segmentations are
-        kept by word and skipped merges; the skips are drawn anew for every occurrence.
+    def _plain(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """As ``_merge_all`` at rate 0, by the vocabulary's own encoder where that reads the words as they are."""
+        own = [bool(w.strip(" ")) and w[0] == " " and SPACE not in w for w in words]
+        found = iter(self.vocab.model.encode([w[1:] for w, o in zip(words, own) if o], num_threads=1))
+        ids, table = [next(found) if o else [] for o in own], self.vocab.bytes
+        other = [i for i, (w, x) in enumerate(zip(words, ids)) if b"".join([table[p] for p in x]) != w.encode()]
+        pool, starts, sizes = _merge_all([words[i] for i in other], np.zeros(len(other), np.uint64), 0.0, self.vocab)
+        for i, a, n in zip(other, starts.tolist(), sizes.tolist()):
+            ids[i] = pool[a : a + n].tolist()
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        return np.fromiter((p for x in ids for p in x), np.int32, int(sizes.sum())), np.cumsum(sizes) - sizes, sizes
+
+    def _merges(self, pool: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The places and pieces, as ``mixed``, of all merges that plain segmentations are made by, each word's start and number."""
+        v = self.vocab
+        ends = np.cumsum(v.length[pool])
+        offset = ends - v.length[pool]
+        offset -= np.repeat(offset[np.minimum(starts, max(len(pool) - 1, 0))], sizes) if len(pool) else 0
+        n = v.tree_size[pool]
+        total = np.concatenate(([0], np.cumsum(n)))
+        source = np.arange(total[-1]) + np.repeat(v.tree_start[pool] - total[:-1], n)
+        first = total[starts]
+        return mixed(np.repeat(offset, n) + v.tree_place[source], v.tree_piece[source]), first, total[starts + sizes] - first
+
+    def encode_flat(self, texts: list[str], seeds: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after another and the places where texts begin, with a seed of its own for every word.
+
+        A word keeps its plain segmentation unless one of the merges that make it is skipped: up to the
+        first skipped one both ways of merging are the same. So skips are drawn for every occurrence, for these
+        few merges, and only occurrences that lose one are merged again.
         """
         words = [self.split.findall(" " + t) if t else [] for t in texts]
-        flat = [w for ws in words for w in ws]
-        own = [occurrence_seed(seed, n) for ws, seed in zip(words, seeds) for n in range(len(ws))]
-        for w in set(flat) - self.spans.keys():
-            self.spans[w] = self._spans(w)
-        mine = [self.spans[w] for w in flat]
-        size = np.fromiter((len(x[0]) for x in mine), np.int64, len(flat))
-        marks = np.zeros(len(flat), np.uint64)
-        keys = np.fromiter(map(word_key, flat, own), np.uint64, len(flat))
+        counts = np.fromiter(map(len, words), np.int64, len(words))
+        code = {w: i for i, w in enumerate(dict.fromkeys(w for ws in words for w in ws))}
+        names, raw = list(code), [w.encode() for w in code]
+        flat = np.fromiter((code[w] for ws in words for w in ws), np.int64, int(counts.sum()))
+        nth = np.arange(len(flat)) - np.repeat(np.cumsum(counts) - counts, counts)
+        own = np.repeat(np.array([s & MASK for s in seeds], np.uint64), counts) + (nth + 1).astype(np.uint64) * np.uint64(STEPS[2])
+        keys = word_keys([raw[i] for i in flat.tolist()], own.tolist())
+        pool, starts, sizes = self._plain(names)
+        merges, first, size = self._merges(pool, starts, sizes)
+        again = np.zeros(len(flat), bool)
         for at in range(0, len(flat), 1 << 16):
-            part, n = slice(at, at + (1 << 16)), size[at : at + (1 << 16)]
-            place = np.array([i for x in mine[part] for i in x[0]], np.int64)
-            piece = np.array([p for x in mine[part] for p in x[1]], np.int64)
-            bit = np.arange(len(place)) - np.repeat(np.cumsum(n) - n, n)
-            out = _skipped_all(np.repeat(keys[part], n), place, piece, self.rate) & (bit < 64)
-            np.bitwise_or.at(marks, at + np.repeat(np.arange(len(n)), n)[out], np.uint64(1) << bit[out].astype(np.uint64))
-        fixed = [len(w) <= SHORT and k <= 64 for w, k in zip(flat, size.tolist())]
-        names = [(w, m) if f else (w, m, s) for w, m, s, f in zip(flat, marks.tolist(), own, fixed)]
-        new = {name: i for i, name in enumerate(names) if name not in self.drops}
-        for name, ids in zip(new, merge_many([flat[i] for i in new.values()], [own[i] for i in new.values()], self.rate, self.vocab)):
-            self.drops[name] = ids
-        out, at = [], 0
-        for ws in words:
-            ids = []
-            for name in names[at : at + len(ws)]:
-                ids += self.drops[name]
-            out.append(ids)
-            at += len(ws)
-        for name in [x for x in new if len(x) == 3]:  # of one occurrence only
-            del self.drops[name]
-        if len(self.drops) + len(self.spans) > CACHE:
-            self.drops.clear()
-            self.spans.clear()
-        return out
+            some = flat[at : at + (1 << 16)]
+            n = size[some]
+            which = np.repeat(np.arange(len(some)), n)
+            source = np.arange(len(which)) + np.repeat(first[some] - (np.cumsum(n) - n), n)
+            again[at + which[_low(keys[at + which] + merges[source], self.rate)]] = True
+        redo = np.flatnonzero(again)
+        more, its, many = _merge_all([names[i] for i in flat[redo].tolist()], keys[redo], self.rate, self.vocab)
+        begin, length = starts[flat], sizes[flat]
+        begin[redo], length[redo] = its + len(pool), many
+        ends = np.concatenate(([0], np.cumsum(length)))
+        ids = np.concatenate((pool, more))[np.arange(ends[-1]) + np.repeat(begin - ends[:-1], length)]
+        return ids, ends[np.concatenate(([0], np.cumsum(counts)))]
+
+    def encode_each(self, texts: list[str], seeds: list[int]) -> list[list[int]]:
+        """As ``encode``, with a seed of its own for every word of a text."""
+        ids, ends = self.encode_flat(texts, seeds)
+        return [ids[a:b].tolist() for a, b in zip(ends, ends[1:])]
 
     def encode(self, texts: list[str], seeds: list[int]) -> list[list[int]]:
         """Merges never cross from a letter to a space, so words with the spaces before them stand alone."""
@@ -302,9 +377,10 @@ def encode_dropout(docs: DataFrame, rate: float = RATE, seed: int = 7, path: str
                 part = batch.slice(at, SLICE)
                 texts = [t or "" for t in part.column(1).to_pylist()]
                 seeds = [seed * 1_000_003 + xxhash.xxh64_intdigest(str(i).encode(), seed & MASK) for i in part.column(0).to_pylist()]
-                ids = coder.encode_each(texts, seeds)
-                same = [coder.decode(i) == t for i, t in zip(ids, texts)]
-                cols = [part.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(list(map(len, ids)), pa.int64()), pa.array(same)]
+                ids, ends = coder.encode_flat(texts, seeds)
+                same = [coder.decode(ids[a:b].tolist()) == t for a, b, t in zip(ends, ends[1:], texts)]
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))
+                cols = [part.column(0), lists, pa.array(np.diff(ends)), pa.array(same)]
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "ids", "n_ids", "lossless"])
 
     return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(kernel, "doc_id bigint, ids array<int>, n_ids bigint, lossless boolean")

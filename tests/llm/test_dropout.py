@@ -68,3 +68,28 @@ def test_every_occurrence_is_cut_on_its_own(spark):
     assert len({tuple(out[i]["ids"]) for i in range(300)}) > 8
     one = [tuple(D.merge_one(w, D.occurrence_seed(5, n), 0.1, vocab)) for n, w in enumerate([" " + word] * 300)]
     assert len(set(one)) > 8
+
+
+def test_only_occurrences_that_lose_a_merge_are_merged_again(monkeypatch):
+    """Of words of one piece each, the share that keeps all its merges costs no merging."""
+    vocab = D.vocabulary(PATH)
+    words = [w for w in ("water", "people", "little", "house", "garden") if " " + w in vocab.ids]
+    text, merged, plain = " ".join(words * 400), [], D._merge_all
+    monkeypatch.setattr(D, "_merge_all", lambda some, *rest: merged.extend(some) or plain(some, *rest))
+    got = D.Encoder(vocab, 0.1).encode_each([text], [3])[0]
+    expected = [D.merge_one(" " + w, D.occurrence_seed(3, n), 0.1, vocab) for n, w in enumerate(words * 400)]
+    assert got == [i for ids in expected for i in ids]
+    lost = sum(ids != [vocab.ids[" " + w]] for ids, w in zip(expected, words * 400))
+    assert words and lost <= len(merged) < 0.6 * len(expected)
+
+
+def test_words_of_blanks_marks_and_unknown_characters():
+    vocab = D.vocabulary(PATH)
+    texts = ["a ", "  ", "", "▁ ▁a a▁", "\x00 b\x00c", "日本語 😀😀 é", "x" * 70 + " y", "q\n\tq \r"]
+    for rate in (0.0, 0.3, 1.0):
+        coder = D.Encoder(vocab, rate)
+        got = coder.encode_each(texts, list(range(len(texts))))
+        for seed, (text, ids) in enumerate(zip(texts, got)):
+            words = coder.split.findall(" " + text) if text else []
+            assert ids == [i for n, w in enumerate(words) for i in D.merge_one(w, D.occurrence_seed(seed, n), rate, vocab)]
+            assert coder.decode(ids) == text
