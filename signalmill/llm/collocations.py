@@ -200,7 +200,8 @@ def _sketch(state: DataFrame, count: int) -> np.ndarray:
     reached = state.filter(f"reach is not null and len < {LONGEST}").select("len", *WORDS[:-1], "reach")
     slots = reached.mapInArrow(_slot_rows(size), "block bigint, slot bigint, step int").groupBy("block", "slot").agg(F.max("step").alias("step"))
     out = np.zeros(size, np.uint8)
-    for block, body in slots.groupBy("block").applyInPandas(_block, "block bigint, body binary").collect():
+    # block by block, so that the driver holds the sketch once
+    for block, body in slots.groupBy("block").applyInPandas(_block, "block bigint, body binary").toLocalIterator():
         out[block * BLOCK : (block + 1) * BLOCK] = np.frombuffer(body, np.uint8)
     return out
 
@@ -230,6 +231,7 @@ def _count(chunks: DataFrame, shards: int, least: int) -> tuple[DataFrame, str]:
         if step >= max(shards, (last or 0) + shards):
             return state.filter("reach is not null").select(*KEYS, total.alias("f")), path
         if last == step:
+            sketch = None  # the tasks' copy is gone and the next one is as large
             sketch = _sketch(state, count)
 
 
