@@ -14,7 +14,7 @@ def connected(edges: DataFrame) -> DataFrame:
     the smallest one, a small star hangs the smaller ones there, until the edges are stars around
     the smallest node of each component; the number of edges never grows. Each step is an
     aggregation with partial sums and a join of one row per node, whose hot side adaptive execution
-    may split. Every round is written to the shared folder and the one before is deleted. The
+    may split; files say little of the number of nodes, so the joins are told not to broadcast. Every round is written to the shared folder and the one before is deleted. The
     result reads the last round's table, which stays. Nulls and loops are dropped; an empty input
     gives an empty result.
     """
@@ -30,8 +30,8 @@ def connected(edges: DataFrame) -> DataFrame:
             .agg(F.min("v").alias("v"))
             .select(F.col("u").alias("lo"), F.least("u", "v").alias("m"))
         )
-        large = stars.join(least, "lo").select("hi", F.col("m").alias("lo")).distinct()
-        small = large.join(large.groupBy("hi").agg(F.min("lo").alias("m")), "hi")
+        large = stars.join(least.hint("merge"), "lo").select("hi", F.col("m").alias("lo")).distinct()
+        small = large.join(large.groupBy("hi").agg(F.min("lo").alias("m")).hint("merge"), "hi")
         small = small.select(F.explode(F.array(F.struct(F.col("hi").alias("x"), "m"), F.struct(F.col("lo").alias("x"), "m"))).alias("e"))
         small = small.select(F.col("e.x").alias("hi"), F.col("e.m").alias("lo")).filter("hi <> lo").distinct()
         after, new = written(small)

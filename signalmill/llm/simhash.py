@@ -123,24 +123,33 @@ def link(fps: DataFrame, limit: int = 4, reach: int = 2) -> DataFrame:
     bucket's smallest and largest, which joins dense buckets without listing their pairs. Then only
     pairs of different components are compared, and of those only pairs with a member outside the
     bucket's commonest component, so no pair within a large group is listed and no link is lost.
+
+    A fingerprint has a row for each mask, which the planner does not count, so the joins are told not to
+    send a side through the driver.
     """
+    spark = fps.sparkSession
     masks = chain_masks(limit, reach)
     keys = F.array(*[F.struct(F.lit(i).alias("k"), F.lit(s).alias("start"), F.col("fp").bitwiseAND(F.lit(_signed(m)).cast("bigint")).alias("v")) for i, (s, m) in enumerate(masks)])
     keyed = fps.select("fp").distinct().select("fp", F.inline(keys))
     poles = keyed.groupBy("k", "v").agg(F.min("fp").alias("p"), F.max("fp").alias("q")).filter("p < q")
-    met, _ = written(keyed.join(poles, ["k", "v"]))
+    met, place = written(keyed.join(poles.hint("merge"), ["k", "v"]))
     near = lambda a, b, s="start": _near(F.col(a), F.col(b), F.col(s), limit)
     stars = met.select("fp", "start", F.explode(F.array("p", "q")).alias("pole")).filter("fp <> pole").filter(F.bit_count(F.col("fp").bitwiseXOR(F.col("pole"))) <= limit)
-    stars, _ = written(stars.select(F.col("fp").alias("a"), F.col("pole").alias("b")).distinct())
+    stars, old = written(stars.select(F.col("fp").alias("a"), F.col("pole").alias("b")).distinct())
     first = connected(stars).select(F.col("node").alias("fp"), F.col("component").alias("c"))
-    sides, _ = written(met.select("k", "v", "start", "fp").join(first, "fp", "left").withColumn("c", F.coalesce("c", "fp")))
+    sides, aside = written(met.select("k", "v", "start", "fp").join(first.hint("merge"), "fp", "left").withColumn("c", F.coalesce("c", "fp")))
+    discard(spark, place)
     share = sides.groupBy("k", "v", "c").agg(F.count("*").alias("n"))
     common = share.groupBy("k", "v").agg(F.max_by("c", F.struct("n", "c")).alias("most"), F.count("*").alias("kinds")).filter("kinds > 1").drop("kinds")
-    open_ = sides.join(common, ["k", "v"])
+    open_ = sides.join(common.hint("merge"), ["k", "v"])
     rare = open_.filter("c <> most").select("k", "v", F.col("fp").alias("x"), F.col("c").alias("cx"))
-    pairs = open_.join(rare, ["k", "v"]).filter("c <> cx and (c = most or fp < x)").filter(near("fp", "x"))
+    pairs = open_.join(rare.hint("merge"), ["k", "v"]).filter("c <> cx and (c = most or fp < x)").filter(near("fp", "x"))
     more = pairs.select(F.col("c").alias("a"), F.col("cx").alias("b")).distinct()
-    return connected(stars.unionByName(more)).select(F.col("node").alias("fp"), F.col("component").alias("root"))
+    out = connected(stars.unionByName(more)).select(F.col("node").alias("fp"), F.col("component").alias("root"))
+    for path in (old, aside):
+        discard(spark, path)
+    release(spark)
+    return out
 
 
 def near_duplicates(docs: DataFrame, size: int = 4, limit: int = 4, reach: int = 2) -> DataFrame:
@@ -151,9 +160,9 @@ def near_duplicates(docs: DataFrame, size: int = 4, limit: int = 4, reach: int =
     """
     rows, _ = written(fingerprints(docs, size))
     byfp = rows.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    roots = byfp.join(link(byfp, limit, reach), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    roots = byfp.join(link(byfp, limit, reach).hint("merge"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = roots.groupBy("root").agg(F.min("first").alias("component_id"))
-    return rows.join(roots.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    return rows.join(roots.join(least.hint("merge"), "root").select("fp", "component_id").hint("merge"), "fp").select("doc_id", "fp", "component_id")
 
 
 def shingle_set(text: str | None, size: int) -> np.ndarray:
