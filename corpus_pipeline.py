@@ -23,7 +23,7 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of texts whose five-word shingles are 0.8 alike stays."""
+    """One document of each class of texts whose five-word shingles are 0.8 alike stays: SimHash classes propose, whole sets decide, prefixes find the rest."""
     return simhash.drop_similar(docs, size=5, similarity=0.8)
 
 

@@ -335,10 +335,11 @@ def release(spark) -> None:
     spark._jvm.System.gc()
 
 
-def link_similar(nodes: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
+def link_similar(nodes: DataFrame, texts: DataFrame, proposed: DataFrame, size: int, similarity: float) -> DataFrame:
     """(id, root) for ``nodes`` (id, n, sketch, parity, prefix) whose shingle set is ``similarity`` alike another one's.
 
-    Every such pair shares a shingle of its prefixes. A shingle's place in both bounds what two sets
+    The pairs ``proposed`` (a, b), those that fingerprints find, are compared first. They do not reach every
+    such pair, but every one shares a shingle of its prefixes. A shingle's place in both bounds what two sets
     can share, which drops most pairs; the others are compared by their whole sets. As in ``link``,
     each is first compared with the smallest and largest of its bucket, then only pairs of different
     components with a member outside the bucket's commonest one.
@@ -355,7 +356,8 @@ def link_similar(nodes: DataFrame, texts: DataFrame, size: int, similarity: floa
 
     poles = met.filter("id = p or id = q").select("h", F.col("id").alias("o"), F.col("n").alias("m"), F.col("at").alias("ao"))
     stars = met.select("h", "id", "n", "at", F.explode(F.array("p", "q")).alias("o")).filter("id <> o").join(poles, ["h", "o"]).filter(reach(F.col("n"), F.col("at"), F.col("m"), F.col("ao")))
-    tried, old = written(stars.select(F.least("id", "o").alias("a"), F.greatest("id", "o").alias("b")).distinct())
+    stars = stars.select(F.least("id", "o").alias("a"), F.greatest("id", "o").alias("b"))
+    tried, old = written(stars.unionByName(proposed.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct())
     del stars, poles
     release(spark)
     stars = linked(tried, nodes, texts, size, similarity)
@@ -380,18 +382,20 @@ def link_similar(nodes: DataFrame, texts: DataFrame, size: int, similarity: floa
     return out
 
 
-def drop_similar(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
+def drop_similar(docs: DataFrame, size: int = 5, similarity: float = 0.8, limit: int = 4, reach: int = 2) -> DataFrame:
     """``docs`` with one document, the smallest doc_id, of each class linked by shingle similarity.
 
     Texts are linked if the Jaccard similarity of their sets of hashed ``size``-word shingles is at
-    least ``similarity``. Repeated rows of one doc_id are one document, texts without words are
+    least ``similarity``. SimHash classes of fingerprints within ``limit`` bits propose near copies, and whole
+    sets decide; pairs that are alike though their fingerprints are not are found by prefixes. Repeated rows of one doc_id are one document, texts without words are
     alike, rows without a doc_id stay as they are.
     """
     named = docs.filter("doc_id is not null")
     rows, _ = written(prefixes(named, size, similarity))
     firsts, _ = written(rows.groupBy("digest").agg(F.min("doc_id").alias("doc_id")))
+    classes, _ = written(near_duplicates(named, size, limit, reach).filter("doc_id <> component_id").select(F.col("component_id").alias("a"), F.col("doc_id").alias("b")).distinct())
     nodes = rows.join(firsts, ["digest", "doc_id"]).select(F.col("doc_id").alias("id"), "n", "sketch", "parity", "prefix")
-    keep = firsts.select(F.col("doc_id").alias("id")).distinct().join(link_similar(nodes, named, size, similarity), "id", "left").filter("root is null or root = id").select(F.col("id").alias("kept"))
+    keep = firsts.select(F.col("doc_id").alias("id")).distinct().join(link_similar(nodes, named, classes, size, similarity), "id", "left").filter("root is null or root = id").select(F.col("id").alias("kept"))
     stay = named.join(keep, named["doc_id"] == keep["kept"], "left_semi").dropDuplicates(["doc_id"])
     return stay.unionByName(docs.filter("doc_id is null"))
 
