@@ -1,4 +1,4 @@
-from datetime import datetime
+from datetime import datetime, timedelta
 
 import numpy as np
 import pytest
@@ -230,3 +230,58 @@ def test_training_spans_fill_each_window(spark):
     )
     got = X.vsm_training(spans, df, HOUR, slot_us=2 * HOUR).orderBy("bin_idx").collect()
     assert [(r["bin_idx"], r["value"]) for r in got] == [(0, 1.0), (1, 2.0), (2, 3.0), (3, 3.0)]
+
+
+@pytest.mark.parametrize("slot", [None, 2 * HOUR, HOUR // 5])
+def test_training_bins_of_any_span(spark, slot):
+    """Spans of any length and beginning, shared names, nulls, readings on the edges and of very different sizes."""
+    us = lambda t: int((t - datetime(1970, 1, 1)).total_seconds()) * 1_000_000 + t.microsecond
+    rng = np.random.default_rng(11)
+    begin = datetime(2024, 1, 1)
+    minute = lambda m: begin + timedelta(minutes=int(m))
+    rows = [(f"s{i % 2}", minute(rng.integers(0, 1500)), float(rng.normal()) * 10.0 ** int(rng.integers(0, 3))) for i in range(700)]
+    rows += [("s0", minute(400), 1e300), ("s0", minute(401), 1e300), ("s1", minute(700), None), (None, minute(3), 1.0), ("s1", None, 2.0), ("s1", minute(701), float("inf"))]
+    spans = [(f"c{i % 2}", f"n{i}", f"s{i % 2}", minute(a := rng.integers(-60, 1400)), minute(a + rng.integers(-1, 400))) for i in range(60)]
+    spans += [("c0", f"w{i}", "s0", minute(37 * i), minute(37 * i + 240)) for i in range(12)]  # whole bins, ends on readings
+    spans += [("c0", f"p{i}", "s0", at, at + timedelta(microseconds=i)) for i, at in enumerate([rows[0][1], rows[2][1], rows[4][1]])]
+    spans += [("c0", "w1", "s1", minute(5), minute(700)), spans[3], (None, "x", "s0", minute(0), minute(90)), ("c1", "y", None, minute(0), minute(90)), ("c1", "z", "s1", None, minute(90))]
+    found = {}
+    for c, n, s, a, z in spans:
+        for r, t, v in rows:
+            if None not in (c, n, s, a, z, r, t, v) and s == r and a <= t <= z:
+                found.setdefault((c, n, (us(t) - us(a)) // HOUR), []).append(v)
+    want = []
+    for c, n, s, a, z in spans:
+        if a is not None and z is not None:
+            want += [(str(c), n, k, float(np.mean(found[c, n, k])) if (c, n, k) in found else None) for k in range(-(-(us(z) - us(a)) // HOUR))]
+    df = spark.createDataFrame(rows, "signal_id string, ts timestamp_ntz, value double")
+    named = spark.createDataFrame(spans, "class_label string, series_id string, signal_id string, start_ts timestamp_ntz, end_ts timestamp_ntz")
+    fill, X.fill_linear = X.fill_linear, lambda grid, by: grid
+    try:
+        got = X.vsm_training(named, df, HOUR, slot_us=slot).collect()
+    finally:
+        X.fill_linear = fill
+    order = lambda r: (r[0], r[1], r[2])
+    got = sorted(((str(r["class_label"]), r["series_id"], r["bin_idx"], r["value"]) for r in got), key=order)
+    assert [r[:3] for r in got] == [r[:3] for r in sorted(want, key=order)]
+    for (*_, v), (*_, w) in zip(got, sorted(want, key=order)):
+        assert v == pytest.approx(w, rel=1e-9) if w is not None else v is None
+
+
+def test_training_sums_each_reading_by_edges(spark):
+    """A thousand spans over the same readings: rows summed grow with both tables, not with their product."""
+    begin, seen = datetime(2024, 1, 1), []
+    df = spark.range(2000).select(F.lit("s").alias("signal_id"), F.expr("timestamp_ntz'2024-01-01' + make_interval(0,0,0,0,0,0,id * 10)").alias("ts"), F.col("id").cast("double").alias("value"))
+    spans = spark.createDataFrame([("c", str(i), "s", begin + timedelta(seconds=i), begin + timedelta(seconds=i, hours=4)) for i in range(1000)], "class_label string, series_id string, signal_id string, start_ts timestamp_ntz, end_ts timestamp_ntz")
+    got = X.vsm_training(spans, df, HOUR)
+    got.collect()
+
+    def walk_plan(node):
+        seen.append(node.metrics().get("numOutputRows").get().value() if node.metrics().contains("numOutputRows") else 0)
+        inner = node.executedPlan() if node.getClass().getSimpleName() == "AdaptiveSparkPlanExec" else node.plan() if "QueryStage" in node.getClass().getSimpleName() else None
+        children = [inner] if inner is not None else [node.children().apply(i) for i in range(node.children().size())]
+        for child in children:
+            walk_plan(child)
+
+    walk_plan(got._jdf.queryExecution().executedPlan())
+    assert max(seen) < 50_000  # 1,440,000 readings lie in the spans
