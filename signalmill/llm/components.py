@@ -30,7 +30,7 @@ def connected(edges: DataFrame) -> DataFrame:
             .agg(F.min("v").alias("v"))
             .select(F.col("u").alias("lo"), F.least("u", "v").alias("m"))
         )
-        large = stars.join(least.hint("merge"), "lo").select("hi", F.col("m").alias("lo")).distinct()
+        large = stars.join(least.hint("merge"), "lo").select("hi", F.col("m").alias("lo"))  # as many rows as before, some alike
         small = large.join(large.groupBy("hi").agg(F.min("lo").alias("m")).hint("merge"), "hi")
         small = small.select(F.explode(F.array(F.struct(F.col("hi").alias("x"), "m"), F.struct(F.col("lo").alias("x"), "m"))).alias("e"))
         small = small.select(F.col("e.x").alias("hi"), F.col("e.m").alias("lo")).filter("hi <> lo").distinct()
@@ -44,6 +44,11 @@ def connected(edges: DataFrame) -> DataFrame:
     return nodes.unionByName(stars.select(F.col("lo").alias("node"), F.col("lo").alias("component")).distinct())
 
 
+def forest(classes: DataFrame) -> DataFrame:
+    """(a, b): a result of ``connected`` as edges. Further edges join them in few rounds, a round being many exchanges of the driver's."""
+    return classes.filter("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+
+
 def _mark(stars: DataFrame) -> tuple:
     """Number and order-free checksum of the edges: equal marks, equal edges."""
     return tuple(stars.agg(F.count("*"), F.bit_xor(F.xxhash64("hi", "lo")), F.bit_xor(F.xxhash64("lo", "hi"))).first())

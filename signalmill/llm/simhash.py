@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from signalmill.llm.components import connected
+from signalmill.llm.components import connected, forest
 from signalmill.plans.runtime import discard, written
 
 BITS = 64
@@ -136,7 +136,9 @@ def link(fps: DataFrame, limit: int = 4, reach: int = 2) -> DataFrame:
     near = lambda a, b, s="start": _near(F.col(a), F.col(b), F.col(s), limit)
     stars = met.select("fp", "start", F.explode(F.array("p", "q")).alias("pole")).filter("fp <> pole").filter(F.bit_count(F.col("fp").bitwiseXOR(F.col("pole"))) <= limit)
     stars, old = written(stars.select(F.col("fp").alias("a"), F.col("pole").alias("b")).distinct())
-    first = connected(stars).select(F.col("node").alias("fp"), F.col("component").alias("c"))
+    classes = connected(stars)
+    discard(spark, old)
+    first = classes.select(F.col("node").alias("fp"), F.col("component").alias("c"))
     sides, aside = written(met.select("k", "v", "start", "fp").join(first.hint("merge"), "fp", "left").withColumn("c", F.coalesce("c", "fp")))
     discard(spark, place)
     share = sides.groupBy("k", "v", "c").agg(F.count("*").alias("n"))
@@ -145,9 +147,8 @@ def link(fps: DataFrame, limit: int = 4, reach: int = 2) -> DataFrame:
     rare = open_.filter("c <> most").select("k", "v", F.col("fp").alias("x"), F.col("c").alias("cx"))
     pairs = open_.join(rare.hint("merge"), ["k", "v"]).filter("c <> cx and (c = most or fp < x)").filter(near("fp", "x"))
     more = pairs.select(F.col("c").alias("a"), F.col("cx").alias("b")).distinct()
-    out = connected(stars.unionByName(more)).select(F.col("node").alias("fp"), F.col("component").alias("root"))
-    for path in (old, aside):
-        discard(spark, path)
+    out = connected(forest(classes).unionByName(more)).select(F.col("node").alias("fp"), F.col("component").alias("root"))
+    discard(spark, aside)
     release(spark)
     return out
 
@@ -292,7 +293,7 @@ def _within(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
 
 
 def linked(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
-    """(a, b): pairs with a Jaccard similarity of at least ``similarity`` that connect all that such ones among ``pairs`` connect.
+    """(a, b): edges that connect all that pairs with a Jaccard similarity of at least ``similarity`` among ``pairs`` connect, and no more.
 
     Sketches drop most pairs. Of the others each text's nearest is compared first, by the whole sets, then
     each text's nearest outside its component, then all that still lie in different components. Sets
@@ -314,6 +315,7 @@ def linked(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, size: int, simi
         if last:
             break
         classes = connected(edges)
+        edges = forest(classes)
         own = lambda x: classes.select(F.col("node").alias(x), F.col("component").alias(f"c{x}"))
         rest = left.join(ask, ["a", "b"], "left_anti").join(own("a"), "a", "left").join(own("b"), "b", "left")
         rest, new = written(rest.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b", "far"))
@@ -361,7 +363,8 @@ def link_similar(nodes: DataFrame, texts: DataFrame, proposed: DataFrame, size:
     del stars, poles
     release(spark)
     stars = linked(tried, nodes, texts, size, similarity)
-    first = connected(stars).select(F.col("node").alias("id"), F.col("component").alias("c"))
+    classes = connected(stars)
+    first = classes.select(F.col("node").alias("id"), F.col("component").alias("c"))
     sides, aside = written(met.select("h", "id", "n", "at").join(first, "id", "left").withColumn("c", F.coalesce("c", "id")))
     discard(spark, place)
     common = sides.groupBy("h", "c").agg(F.count("*").alias("k")).groupBy("h").agg(F.max_by("c", F.struct("k", "c")).alias("most"), F.count("*").alias("kinds"))
@@ -377,7 +380,7 @@ def link_similar(nodes: DataFrame, texts: DataFrame, proposed: DataFrame, size:
         discard(spark, path)
     del sides, common, open_, rare, tried, met
     release(spark)
-    out = connected(stars.unionByName(linked(pairs, nodes, texts, size, similarity))).select(F.col("node").alias("id"), F.col("component").alias("root"))
+    out = connected(forest(classes).unionByName(linked(pairs, nodes, texts, size, similarity))).select(F.col("node").alias("id"), F.col("component").alias("root"))
     discard(spark, more)
     return out
 

@@ -39,3 +39,21 @@ def test_fingerprints_propose_in_the_near_dedup_stage(spark, monkeypatch):
     plain = S.prefixes
     monkeypatch.setattr(S, "prefixes", lambda *a: plain(*a).withColumn("prefix", F.array().cast("array<bigint>")))
     assert sorted(r["doc_id"] for r in P.drop_near_copies(spark, docs, "").collect()) == [1, 3]
+
+
+def test_links_found_are_not_sought_again(spark, monkeypatch):
+    """Exchanges leave threads and plans at the driver: later components begin with the classes that are known."""
+    from signalmill.llm import components
+
+    plans, keep = [], components.written
+
+    def noted(df):
+        table = keep(df)
+        plans.append(df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning"))
+        return table
+
+    monkeypatch.setattr(components, "written", noted)
+    chain = [(1 << k) - 1 for k in range(0, 60, 3)]
+    got = {r["fp"]: r["root"] for r in S.link(spark.createDataFrame([(x,) for x in chain], "fp bigint")).collect()}
+    assert got == dict.fromkeys(chain, 0)
+    assert len(plans) <= 9 and sum(plans) <= 60
