@@ -174,3 +174,24 @@ def test_intervals_of_any_length_make_two_rows(spark):
     second = timedelta(seconds=1)
     want = sorted((r[0], n) for r in rows for n in range(300) if r[2] - second <= START + timedelta(seconds=1777 * n) <= (r[3] or r[2]) + second)
     assert sorted((r["i"], r["n"]) for r in near.collect()) == want
+
+
+def test_little_more_meets_than_matches_and_all_tasks_take_part(spark, tmp_path):
+    """Small files with large results: slots are dealt over all partitions, and most pairs that meet are results."""
+    from signalmill.operators import joins as J
+
+    rng = np.random.default_rng(8)
+    minutes = lambda c: F.expr(f"timestamp_ntz'2024-01-01' + make_dt_interval(0, 0, {c}, 0)")
+    rows = [(i, int(rng.integers(20000)), int(rng.integers(60, 960))) for i in range(1200)]
+    spark.createDataFrame(rows, "i long, s int, n int").coalesce(1).write.parquet(f"{tmp_path}/spans")
+    spans = spark.read.parquet(f"{tmp_path}/spans").select("i", minutes("s").alias("start_ts"), minutes("s + n").alias("end_ts"))
+    times = spans.select(F.col("i").alias("j"), F.col("start_ts").alias("at_ts"))
+    near = sorted((a[0], b[0]) for a in rows for b in rows if a[1] <= b[1] <= a[1] + a[2])
+    hour = 3_600_000_000
+    for got, want in ((J.markers_near(spans, times, 0, hour), near),):
+        assert sorted((r["i"], r["j"]) for r in got.collect()) == want
+        assert got.select(F.spark_partition_id().alias("p")).distinct().count() > 1
+        assert "BroadcastHashJoin [_cls" not in got._jdf.queryExecution().executedPlan().toString()
+    wide = J.with_class(spans, F.unix_micros(F.col("start_ts").cast("timestamp")), F.unix_micros(F.col("end_ts").cast("timestamp")), hour)
+    spots = times.withColumn("_at", F.unix_micros(F.col("at_ts").cast("timestamp")))
+    assert J.meeting(spots, wide, [], hour).count() < 1.6 * len(near)
