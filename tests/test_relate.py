@@ -186,12 +186,29 @@ def test_little_more_meets_than_matches_and_all_tasks_take_part(spark, tmp_path)
     spark.createDataFrame(rows, "i long, s int, n int").coalesce(1).write.parquet(f"{tmp_path}/spans")
     spans = spark.read.parquet(f"{tmp_path}/spans").select("i", minutes("s").alias("start_ts"), minutes("s + n").alias("end_ts"))
     times = spans.select(F.col("i").alias("j"), F.col("start_ts").alias("at_ts"))
+    right = spans.select(F.col("i").alias("j"), F.col("start_ts").alias("r_start_ts"), F.col("end_ts").alias("r_end_ts"))
     near = sorted((a[0], b[0]) for a in rows for b in rows if a[1] <= b[1] <= a[1] + a[2])
+    both = sorted((a[0], b[0]) for a in rows for b in rows if a[1] <= b[1] + b[2] and b[1] <= a[1] + a[2])
     hour = 3_600_000_000
-    for got, want in ((J.markers_near(spans, times, 0, hour), near),):
+    for got, want in ((J.markers_near(spans, times, 0, hour), near), (J.interval_overlap(spans, right, [], hour), both)):
         assert sorted((r["i"], r["j"]) for r in got.collect()) == want
         assert got.select(F.spark_partition_id().alias("p")).distinct().count() > 1
         assert "BroadcastHashJoin [_cls" not in got._jdf.queryExecution().executedPlan().toString()
     wide = J.with_class(spans, F.unix_micros(F.col("start_ts").cast("timestamp")), F.unix_micros(F.col("end_ts").cast("timestamp")), hour)
     spots = times.withColumn("_at", F.unix_micros(F.col("at_ts").cast("timestamp")))
     assert J.meeting(spots, wide, [], hour).count() < 1.6 * len(near)
+
+
+def test_intervals_that_end_before_they_start(spark):
+    """Such an interval meets those that hold both its ends, as the two comparisons say."""
+    from signalmill.operators import joins as J
+
+    rng = np.random.default_rng(9)
+    rows = [(i, int(a), int(a + rng.integers(-50, 120))) for i, a in enumerate(rng.integers(0, 400, 150))] + [(900, None, 5), (901, 7, None), (902, 30, 30), (902, 30, 30)]
+    at = lambda c: F.expr(f"timestamp_ntz'2024-01-01' + make_dt_interval(0, 0, 0, {c})")
+    df = spark.createDataFrame(rows, "i long, s int, e int")
+    left = df.select("i", at("s").alias("start_ts"), at("e").alias("end_ts"))
+    right = df.select(F.col("i").alias("j"), at("s").alias("r_start_ts"), at("e").alias("r_end_ts"))
+    full = [(i, s, s if e is None else e) for i, s, e in rows if s is not None]
+    want = sorted((a[0], b[0]) for a in full for b in full if a[1] <= b[2] and b[1] <= a[2])
+    assert sorted((r["i"], r["j"]) for r in J.interval_overlap(left, right, [], 10_000_000).collect()) == want
