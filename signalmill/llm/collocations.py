@@ -37,28 +37,35 @@ SLOTS = 1 << 26  # at most so many bytes of sketch
 BLOCK = 1 << 16
 BREAK = b"\xff"  # never part of UTF-8
 TABLE = bytes(c + 32 if 65 <= c <= 90 else 255 if c in b".,;:!?\n\x0b\x0c\r" else c for c in range(256))
+GAPS = np.isin(np.arange(256), [9, 32, BREAK[0]])  # bytes that no word holds, once translated
 WORDS = [f"w{i}" for i in range(1, LONGEST + 1)]
 KEYS = ["len", *WORDS]  # names of words differ by language, so a phrase's do too
 
 
-class _Codes(dict):
-    """Numbers words in the order they come; the break is 0."""
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = code = len(self)
-        return code
+def _numbered(values: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """Each value's number in the order they first come, and the values by number."""
+    found = values.dictionary_encode()
+    return found.indices.to_numpy(zero_copy_only=False).astype(np.int64), found.dictionary
 
 
 def _chunk(text: bytes, lang: str, seed: int) -> dict:
+    """Codes of a text's words in the order they come, from 1 on; the break is 0."""
     import xxhash
 
-    tokens = text.replace(BREAK, b" \xff ").split()
-    codes = _Codes({BREAK: 0})
-    ids = np.fromiter(map(codes.__getitem__, tokens), np.uint32, len(tokens))
-    words = list(codes)[1:]
+    body = np.frombuffer(text, np.uint8)
+    gap = GAPS[body]
+    padded = np.concatenate([[True], gap, [True]])
+    edges = np.flatnonzero(padded[1:] != padded[:-1])
+    starts, ends = edges[::2], edges[1::2]
+    kind, width = (pa.binary(), np.int32) if len(text) < 1 << 31 else (pa.large_binary(), np.int64)
+    offsets = np.concatenate([[0], np.cumsum(ends - starts)]).astype(width)
+    tokens = pa.Array.from_buffers(kind, len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(body[~gap])])
+    numbers, words = _numbered(tokens)
+    words = words.to_pylist()
+    ids = np.insert(numbers + 1, np.searchsorted(starts, np.flatnonzero(body == BREAK[0])), 0).astype(np.uint32)
     salt = lang.encode() + b"\0"
     names = np.array([0, *(xxhash.xxh3_64_intdigest(salt + w, seed) for w in words)], np.uint64)
-    return {"lang": lang, "n": int((ids > 0).sum()), "names": names.tobytes(), "codes": ids.tobytes(), "words": BREAK.join(words)}
+    return {"lang": lang, "n": len(starts), "names": names.tobytes(), "codes": ids.tobytes(), "words": BREAK.join(words)}
 
 
 def _cuts(text: bytes) -> list[bytes]:
@@ -151,21 +158,25 @@ def _counter(sketch, step: int, shards: int):
                 for size in range(2, LONGEST + 1):
                     at = at[at < len(codes) - size + 1]
                     at = at[(reached[at] > 0) & (reached[at + 1] > 0)]
-                    latest = np.maximum(reached[at], reached[at + 1])
-                    open_ = latest.astype(np.int64) + shards >= step
-                    key = (ids[at] << 32) | codes[at + size - 1]
+                    if not len(at):
+                        break
+                    own, found = _numbered(pa.array((ids[at] << 32) | codes[at + size - 1]))
+                    spots = np.empty(len(found), np.int64)  # a place of each phrase
+                    spots[own] = at
+                    columns = [names[codes[spots + i]] for i in range(size)]
+                    latest = np.maximum(reached[spots], reached[spots + 1]).astype(np.int64)
+                    open_ = latest + shards >= step
                     if open_.any():
-                        _, first, counts = np.unique(key[open_], return_index=True, return_counts=True)
-                        spots = at[open_][first]
-                        yield rows([names[codes[spots + i]] for i in range(size)], counts, latest[open_][first].astype(np.int64) + shards)
-                    if size == LONGEST or not len(at):
+                        counts = np.bincount(own, minlength=len(found))
+                        yield rows([c[open_] for c in columns], counts[open_], latest[open_] + shards)
+                    if size == LONGEST:
                         break
-                    now = _reach(table, _name([names[codes[at + i]] for i in range(size)]))
-                    at, key = at[now > 0], key[now > 0]
+                    now = _reach(table, _name(columns))[own]
+                    at, own, now = at[now > 0], own[now > 0], now[now > 0]
                     reached = np.zeros(len(codes), np.uint8)
-                    reached[at] = now[now > 0]
+                    reached[at] = now
                     ids = np.zeros(len(codes), np.int64)
-                    ids[at] = np.unique(key, return_inverse=True)[1]
+                    ids[at] = own
 
     return kernel
 

@@ -89,3 +89,32 @@ def test_a_crowded_sketch_only_counts_more(spark, monkeypatch):
     rows = texts(8)
     df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").repartition(2)
     assert sorted(map(tuple, C.collocations(df, 8).collect())) == brute(rows, 8, 80, 2000)
+
+
+@pytest.mark.parametrize("text", [b"", b" \t ", b"\xff", b"\xff\xff a", b"a", b"a b\xffa  c\ta\xff", "\x00 ünï\u00a0x\x1f \x85 日本 日本".encode() + b"\xff \xff", b"ab a b ab" * 9])
+def test_codes_of_a_chunk(text):
+    """Words are numbered without an object for each occurrence, with the numbers that a plain walk gives."""
+    import numpy as np
+
+    tokens = re.findall(rb"\xff|[^ \t\xff]+", text)
+    codes = {b"\xff": 0}
+    want = [codes.setdefault(w, len(codes)) for w in tokens]
+    row = C._chunk(text, "en", 0)
+    assert np.frombuffer(row["codes"], np.uint32).tolist() == want
+    assert row["words"] == b"\xff".join([*codes][1:]) and row["n"] == sum(c > 0 for c in want)
+    assert len(row["names"]) == 8 * len(codes)
+
+
+def test_a_phrase_is_looked_up_once_a_chunk(monkeypatch):
+    """However often a phrase comes in a chunk, its place in the sketch is sought once."""
+    import numpy as np
+    import pyarrow as pa
+    from types import SimpleNamespace
+
+    sought, true = [], C._reach
+    monkeypatch.setattr(C, "_reach", lambda sketch, names: sought.append(len(names)) or true(sketch, names))
+    row = C._chunk(b"a b c d e " * 1000, "en", 0)
+    batch = pa.RecordBatch.from_pylist([{"names": row["names"], "codes": row["codes"]}])
+    out = [r for b in C._counter(SimpleNamespace(value=np.ones(C.BLOCK, np.uint8)), 2, 3)([batch]) for r in b.to_pylist()]
+    assert sorted((r["len"], r["c"]) for r in out) == sorted([(1, 1000)] * 5 + [(n, 1000 if i + n <= 5 else 999) for n in (2, 3, 4) for i in range(5)])
+    assert sought == [6, 5, 5]
