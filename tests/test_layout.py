@@ -36,6 +36,12 @@ def test_markers_lie_in_runs(spark, spans, tmp_path):
     assert bytes_a_row(near, f"{tmp_path}/near") < 0.5
 
 
+def test_overlaps_lie_in_runs(spark, spans, tmp_path):
+    right = spans.select(F.col("i").alias("j"), F.col("start_ts").alias("r_start_ts"), F.col("end_ts").alias("r_end_ts"))
+    both = J.interval_overlap(spans, right, [], 60 * MINUTE).filter("i < j").select("i", "j")
+    assert bytes_a_row(both, f"{tmp_path}/both") < 0.75
+
+
 @pytest.mark.parametrize("tile", (1, 3, 256))
 def test_tiles_of_any_size(spark, monkeypatch, tile):
     """Equal rows, ties, missing keys and times, and columns that have no order."""
