@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from signalmill.operators import joins as J
+from signalmill.operators import joins as J, relate as R
 
 MINUTE = 60_000_000
 
@@ -64,3 +64,42 @@ def test_tiles_of_any_size(spark, monkeypatch, tile):
     times = left.select(F.col("i").alias("j"), F.col("start_ts").alias("at_ts"), "m")
     got = J.markers_near(left.drop("m"), times, 2 * MINUTE, 10 * MINUTE).collect()
     assert plain((r["i"], r["j"]) for r in got) == plain((a[0], b[0]) for a in full for b in full if a[2] - 2 <= b[2] <= a[3] + 2)
+
+
+def gappy(count, seed=7):
+    """Signals of 30 bins, about a tenth of them empty."""
+    rng = np.random.default_rng(seed)
+    return {f"u{i}": np.where(rng.random(30) < 0.1, np.nan, rng.normal(size=30)) for i in rng.permutation(count)}
+
+
+def test_shared_bins_lie_in_runs(spark, grid_of, tmp_path):
+    assert bytes_a_row(R.signal_pairs(grid_of(gappy(1200))), f"{tmp_path}/pairs") < 0.7
+
+
+def test_every_series_is_copied_a_bounded_number_of_times(spark, grid_of, monkeypatch):
+    found, both = [], R._both_sides
+    monkeypatch.setattr(R, "SIDE", 2)
+    monkeypatch.setattr(R, "_both_sides", lambda rows, groups: found.append(groups) or both(rows, groups))
+    assert R.signal_pairs(grid_of(gappy(100))).count() == 100 * 99 // 2
+    assert found == [32]
+
+
+@pytest.mark.parametrize("by_r", (False, True))
+def test_cells_of_any_shape(spark, grid_of, monkeypatch, by_r):
+    """Groups, strips and runs that do not divide each other, names whose order is not that of their numbers of values."""
+    data = gappy(23) | {"flat": np.full(30, 2.0), "empty": np.full(30, np.nan), "one": np.where(np.arange(30) == 4, 1.0, np.nan), "Ü": np.arange(30.0), "": -np.arange(30.0)}
+    names, want = sorted(data), {}
+    for i, a in enumerate(names):
+        for b in names[i + 1 :]:
+            x, y = (data[c][np.isfinite(data[a]) & np.isfinite(data[b])] for c in (a, b))
+            want[a, b] = (len(x), np.corrcoef(x, y)[0, 1] if len(x) > 1 and x.std() > 1e-9 and y.std() > 1e-9 else None)
+    for name, size in {"SIDE": 4, "SORTED": 30, "FEW": 3, "STRIP": 3, "RUN": 2}.items():
+        monkeypatch.setattr(R, name, size)
+    for matrix in (R.correlation_matrix(grid_of(data), by_r=by_r), R.correlation_matrix(grid_of(data, known=False), by_r=by_r)):
+        rows = matrix.collect()
+        got = {(r["signal_a"], r["signal_b"]): (r["n"], r["r"]) for r in rows}
+        assert len(rows) == len(got) and got.keys() == want.keys()
+        assert all(got[k][0] == n and (got[k][1] is None if r is None else abs(got[k][1] - r) < 1e-9) for k, (n, r) in want.items())
+    rows = R.signal_pairs(grid_of(data)).collect()
+    assert {(r["signal_a"], r["signal_b"]): r["shared_bins"] for r in rows} == {k: n for k, (n, _) in want.items()} and len(rows) == len(want)
+    assert R.signal_pairs(grid_of({"a": np.full(30, np.nan)})).collect() == R.correlation_matrix(grid_of({"a": np.arange(30.0)}), by_r=by_r).collect() == []
